@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, langid, warc
+from millrace.llm import chat, decontaminate, langid, line_dedup, minhash, mixing, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs, counts=True)
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2)
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
@@ -79,13 +93,42 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM d
 """
 
+#: Every source gets an equal share of the mixture.
+_OP1_SQL = """
+WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+r AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n),
+s AS (SELECT source, rate - greatest(floor(rate) - 63, 0) AS rate, greatest(floor(rate) - 63, 0) AS fixed FROM r),
+c AS (SELECT source, rate, fixed, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM s
+  UNION ALL SELECT source, rate, fixed, k + 1, p * rate / (k + 1)::DOUBLE, c + p * rate / (k + 1)::DOUBLE FROM c WHERE k < ceil(rate + 10 * sqrt(rate) + 20)),
+u AS (SELECT *, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+k AS (SELECT u.doc_id, any_value(c.fixed) + count(*) FILTER (c.c <= u.u) AS k FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY u.doc_id),
+x AS (SELECT d.*, unnest(generate_series(1, k.k::BIGINT)) AS i FROM documents d JOIN k USING (doc_id))
+SELECT doc_id, text, lang, source, n_chars, i::INTEGER AS copy, ('0x' || substr(md5('mix-1:order:' || doc_id || ':' || i), 1, 13))::BIGINT AS mix_key FROM x
+"""
+
+_OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT u, v FROM pairs JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION SELECT reach.doc_id, both_ways.v FROM reach JOIN both_ways ON reach.r = both_ways.u),
+c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix": op1_mix,
     "op4_chat": op4_chat,
     "op5_decontaminate": op5_decontaminate,
+    "op6_line_dedup": op6_line_dedup,
     "op8_warc": op8_warc,
+    "op9_minhash": op9_minhash,
     "op10_langid": op10_langid,
 }
-SQL = {"op4_chat": _OP4_SQL, "op5_decontaminate": _OP5_SQL, "op8_warc": _OP8_SQL}
+SQL = {"op1_mix": _OP1_SQL, "op4_chat": _OP4_SQL, "op5_decontaminate": _OP5_SQL, "op8_warc": _OP8_SQL, "op9_minhash": _OP9_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,10 +8,10 @@ Candidate edges are star-shaped: each bucket links its members to one centre, so
 members gives n - 1 pairs. Buckets are found by a range sort of (key, id), which splits even a bucket
 that holds most of the rows over many tasks. Every edge is confirmed on full sets.
 
-A star may miss a pair whose two members both fall short of the centre, so rounds follow on what is
-left: only members of buckets that still hold more than one component take part, first with other
-centres, then with all pairs that lie across components and have not been tested. Copies and
-their links have collapsed by then, and no pair that shares a bucket goes untested.
+A star may miss a pair whose two members both fall short of the centre. So the members of buckets
+that still hold more than one component are compared across components, in blocks of bounded size, by
+sketches of a byte for each of ``SKETCH`` bins; only pairs that may be similar become rows, and these
+are confirmed on full sets too. No pair that shares a bucket goes without a test.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Id sets up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 500_000
 _PICKS = 4096
+#: Bins of a sketch; members of a block in the comparison across components.
+SKETCH, BLOCK = 256, 1024
 
 
 def bins_of(hashes: np.ndarray, bins: int) -> np.ndarray:
@@ -55,6 +57,16 @@ def densify(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
+    """For each sorted set the smallest hash of each bin, or EMPTY."""
+    sig = np.full((len(sets), bins), EMPTY, np.uint64)
+    for i, s in enumerate(sets):
+        b = bins_of(s, bins)  # ascending, as the hashes are
+        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else []
+        sig[i, b[first]] = s[first]
+    return sig
+
+
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit bucket key for each band of each signature row, as signed longs."""
     rows = sig.shape[1] // bands
@@ -128,36 +140,94 @@ def _pairs(a: str, b: str):
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
+def _sketch(batches):
+    """(id, n, sketch): a byte of the smallest hash in each of ``SKETCH`` bins."""
+    for pdf in batches:
+        sets = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
+        sig = densify(signatures(sets, SKETCH))
+        yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in sets], "sketch": [(row >> np.uint64(9)).astype(np.uint8).tobytes() for row in sig]})
+
+
+def floor_of(n: np.ndarray, percent: int) -> np.ndarray:
+    """The share of equal sketch bytes that a pair of the wanted similarity, the smaller set having n
+    hashes, falls below by chance but once in three hundred thousand times."""
+    p = percent / 100
+    return p - 4.5 * np.sqrt(p * (1 - p) * (1 / SKETCH + 1.5 / n))
+
+
+def _across(percent: int):
+    """Pairs of one group, in different components, that may be similar by their sketches.
+
+    Rows come sorted by group (key, a, b): with a = b all pairs inside the block count, else those of
+    block a with block b. A group has at most two blocks, so what is held is bounded.
+    """
+
+    def pairs(key, pdf):
+        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), SKETCH)
+        ids, c, block, n = (pdf[x].to_numpy() for x in ("id", "c", "block", "n"))
+        out = []
+        for i in range(len(pdf) - 1):
+            other = np.flatnonzero(c[i + 1 :] != c[i]) + i + 1
+            if key[1] != key[2]:
+                other = other[block[other] != block[i]]
+            if len(other):
+                same = np.count_nonzero(sketch[other] == sketch[i], axis=1) / SKETCH
+                ok = other[same >= floor_of(np.minimum(n[other], n[i]), percent)]
+                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in ok]
+        return pd.DataFrame(out, columns=["u", "v"])
+
+    def run(batches):
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
+            keys = pdf[["key", "a", "b"]].to_numpy()
+            ends = np.concatenate((np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(pdf)])) if len(pdf) else [0]
+            at = 0
+            for end in ends[:-1]:
+                yield pairs(keys[at], pdf.iloc[at:end])
+                at = end
+            held = pdf.iloc[at:]
+        if held is not None and len(held):
+            yield pairs(held[["key", "a", "b"]].to_numpy()[0], held)
+
+    return run
+
+
 def link(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, space: Workspace) -> DataFrame:
     """(node, component) of ids that are linked with another one.
 
     ``bands``: (key, id) rows. ``fetch``: from a table of ids to (id, s) with s the id's whole set as
     sorted 64-bit hashes.
     """
-    members = space.save(bucket_members(bands, space), "members")
-    ids = members.select("id").union(members.select(F.col("centre").alias("id"))).distinct()
-    sets = space.save(fetch(space.save(ids, "ids")), "sets")
-    edges = space.save(members.select(*_pairs("centre", "id")).distinct(), "candidates")
-    links = space.save(_confirm(edges, sets, percent), "links")
+    found = bucket_members(bands, space)
+    members = space.save(found.select("key", "id").union(found.select("key", F.col("centre").alias("id"))).distinct(), "members")
+    sets = space.save(fetch(space.save(members.select("id").distinct(), "ids")), "sets")
+    # The centre of a bucket is the member whose buckets hold the most rows: what copies stem from
+    # shares more bands with them than they do with each other.
+    sized = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
+    weight = sized.groupBy("id").agg(F.sum("size").alias("weight"))
+    weighed = space.save(sized.join(weight, "id"), "weighed")
+    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
+    offered = weighed.join(centres, "key").select("id", F.struct(F.col("top.weight").alias("w"), F.col("top.minus").alias("minus")).alias("top")).filter("id <> -top.minus")
+    # Each member meets the weightiest centre of its buckets: no more edges than members.
+    star = offered.groupBy("id").agg(F.max("top").alias("top")).select("id", (-F.col("top.minus")).alias("centre"))
+    tested = space.save(star.select(*_pairs("id", "centre")).distinct(), "candidates")
+    links = space.save(_confirm(tested, sets, percent), "links")
     labels = space.save(connected(links, space), "labels")
-    tested = edges
-    everyone = members.select("key", "id").union(members.select("key", F.col("centre").alias("id"))).distinct()
-    for final in (False, True):
-        labelled = everyone.join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-        mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n"), F.min(F.struct(F.xxhash64("id", "key"), "id"))["id"].alias("centre"))
-        mixed = mixed.filter("lo <> hi AND n > 2").select("key", "centre")
-        left = space.save(labelled.join(mixed, "key"), "mixed")
-        if final:
-            other = left.select("key", F.col("id").alias("id2"), F.col("c").alias("c2"))
-            more = left.join(other, "key").filter("id < id2 AND c <> c2").select(*_pairs("id", "id2"))
-        else:
-            centres = left.filter("id = centre").select("key", F.col("c").alias("c2"))
-            more = left.join(centres, "key").filter("id <> centre AND c <> c2").select(*_pairs("id", "centre"))
-        more = space.save(more.distinct().join(tested, ["u", "v"], "left_anti"), "more")
-        found = space.save(_confirm(more, sets, percent), "found")
-        tested = tested.union(more)
-        if found.limit(1).count():
-            # Components so far count as stars: their labels are edges already.
-            links = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).union(found)
-            labels = space.save(connected(links, space), "labels")
-    return labels
+
+    # What lies in one bucket but in different components, in blocks of bounded size.
+    labelled = weighed.select("key", "id", "size").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("c"))
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+    left = labelled.filter("size > 2").join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "c")
+    sketches = space.save(sets.mapInPandas(_sketch, "id long, n long, sketch binary"), "sketches")
+    dealt = spread.join(sketches, "id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id")
+    more = dealt.mapInPandas(_across(percent), "u long, v long").distinct().join(tested, ["u", "v"], "left_anti")
+    extra = space.save(_confirm(space.save(more, "more"), sets, percent), "found")
+    if not extra.limit(1).count():
+        return labels
+    # Components so far count as stars: their labels are edges already.
+    stars = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    return space.save(connected(stars.union(extra), space), "labels")

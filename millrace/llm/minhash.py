@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import BLANK_WORD, Workspace, WordHashes, lower_ascii, mix64
-from millrace.llm.linking import EMPTY, band_keys, bins_of, densify, link, join_ids
+from millrace.llm.linking import band_keys, densify, join_ids, link, signatures
 
 BANDS, ROWS = 32, 4
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -38,21 +38,12 @@ def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(total)
 
 
-def set_signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
-    sig = np.full((len(sets), bins), EMPTY, np.uint64)
-    for i, s in enumerate(sets):
-        b = bins_of(s, bins)  # ascending, as the hashes are
-        first = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1]))) if len(b) else []
-        sig[i, b[first]] = s[first]
-    return densify(sig)
-
-
 def _sketch(size: int):
     def run(batches):
         hashes = WordHashes()
         for pdf in batches:
             sets = [shingle_set(t, size, hashes) for t in pdf["t"]]
-            keys = band_keys(set_signatures(sets, BANDS * ROWS), BANDS)
+            keys = band_keys(densify(signatures(sets, BANDS * ROWS)), BANDS)
             yield pd.DataFrame(
                 {
                     "id": pdf["id"],

@@ -1,10 +1,10 @@
 """Fuzzy line deduplication: MinHash over character shingles, bands, exact Jaccard, union-find.
 
 Lines are compared after trimming blanks at both ends; blank lines are never compared and always
-stay. Equal lines are met by a 128-bit hash; different lines are linked where the Jaccard similarity
-of their sets of 8-character shingles (of a shorter line: the whole line) is 0.8 or more, found by 12
-bands of 3 bins (a pair of similarity 0.8 is reached but for a chance of two in ten thousand, one of
-0.85 of one in a hundred thousand) and confirmed exactly. Of each component the line that comes first,
+stay. Equal lines are met by their hashes; different lines are linked where the Jaccard similarity
+of their sets of 8-character shingles (of a shorter line: the whole line) is 0.8 or more, found by 10
+bands of 3 bins (a pair of similarity 0.8 is reached but for a chance of eight in ten thousand, one of
+0.85 of eight in a hundred thousand) and confirmed exactly. Of each component the line that comes first,
 by document id, row and place, stays; the others go from their texts.
 
 Edge cases: null and empty texts stay as they are; a document that loses all its lines gets an empty
@@ -17,42 +17,52 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Workspace, mix64, row_key
+from millrace.llm.common import Workspace, row_key
 from millrace.llm.linking import EMPTY, band_keys, bins_of, densify, join_ids, link
 
 SHINGLE_CHARS, PERCENT = 8, 80
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 10, 3
 #: Characters whose shingles are hashed at one time in a worker.
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 100_000
+#: Up to so many removed lines their places are broadcast to the texts; more are joined by shuffle.
+BROADCAST_LINES = 1_000_000
 _BLANKS = " \t\r\x0b\f"
 
 
-def _shingle_hashes(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of the lines, one after the other, and how many each line has."""
+def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of the lines, and each one's line."""
+    k = SHINGLE_CHARS
     padded = [x if len(x) >= k else x.ljust(k, "\0") for x in lines]
-    codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    total = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     lengths = np.array([len(x) for x in padded])
-    total = np.zeros(max(0, len(codes) - k + 1), np.uint64)
-    for j in range(k):
-        total = total * np.uint64(0x100000001B3) + codes[j : j + len(total)]
-    counts = lengths - k + 1
-    starts = np.cumsum(lengths) - lengths
-    at = np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
-    return mix64(total[at]), counts
-
-
-def shingle_set(line: str, k: int = SHINGLE_CHARS) -> np.ndarray:
-    return np.unique(_shingle_hashes([line], k)[0])
-
-
-def line_bands(lines: list[str], k: int = SHINGLE_CHARS) -> np.ndarray:
+    factor, span = 0x9E3779B97F4A7C15, 1
+    while span < k:  # doubling: a hash of 2 n characters from two of n
+        total = total[:-span] * np.uint64(factor) + total[span:]
+        factor, span = factor * factor % 2**64, 2 * span
+    total ^= total >> np.uint64(32)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    total ^= total >> np.uint64(29)
+    inside = np.ones(len(total), bool)  # shingles that begin in one line and end in the next do not count
+    ends = np.cumsum(lengths)[:-1]
+    for back in range(1, k):
+        inside[ends - back] = False
+    owner = np.repeat(np.arange(len(lines), dtype=np.int32), lengths)[: len(total)]
+    return total[inside], owner[inside]
+
+
+def shingle_set(line: str) -> np.ndarray:
+    return np.unique(_shingle_hashes([line])[0])
+
+
+def line_bands(lines: list[str]) -> np.ndarray:
     bins = BANDS * ROWS
-    hashes, counts = _shingle_hashes(lines, k)
+    hashes, owner = _shingle_hashes(lines)
     sig = np.full(len(lines) * bins, EMPTY, np.uint64)
-    np.minimum.at(sig, np.repeat(np.arange(len(lines)) * bins, counts) + bins_of(hashes, bins), hashes)
+    np.minimum.at(sig, owner.astype(np.int64) * bins + bins_of(hashes, bins), hashes)
     return band_keys(densify(sig.reshape(len(lines), bins)), BANDS)
 
 
@@ -67,51 +77,78 @@ def _blocks(lines: list[str]):
         yield at, len(lines)
 
 
-def _with_bands(batches):
+def _signed(h: int) -> int:
+    return h - 2**64 if h >= 2**63 else h
+
+
+def _places(batches):
+    """(doc, rk, no, h1, h2, bands) of every line that is not blank; of lines that repeat within a
+    batch the first alone has bands."""
     for pdf in batches:
-        lines = pdf["line"].tolist()
-        keys = [row.tolist() for a, b in _blocks(lines) for row in line_bands(lines[a:b])]
-        yield pdf.drop(columns="line").assign(bands=keys)
+        rows, fresh = [], {}
+        for doc, rk, text in zip(pdf["doc"], pdf["rk"].tolist(), pdf["t"], strict=True):
+            for no, raw in enumerate(text.split("\n")):
+                if line := raw.strip(_BLANKS):
+                    h1, h2 = _signed(xxhash.xxh64_intdigest(line)), _signed(xxhash.xxh3_64_intdigest(line))
+                    if h1 not in fresh:
+                        fresh[h1] = (len(rows), line)
+                    rows.append((doc, rk, no, h1, h2))
+        at, lines = [i for i, _ in fresh.values()], [x for _, x in fresh.values()]
+        bands: list = [None] * len(rows)
+        for a, b in _blocks(lines):
+            for i, row in zip(at[a:b], line_bands(lines[a:b]), strict=True):
+                bands[i] = row
+        out = pd.DataFrame(rows, columns=["doc", "rk", "no", "h1", "h2"])
+        for lo in range(0, len(out), 20_000):
+            part = out.iloc[lo : lo + 20_000]
+            yield part.assign(bands=bands[lo : lo + 20_000])
 
 
 def _parts(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, rk, no, line, h1, h2) of every line that is not blank."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("t"))
-    rows = rows.select("doc", "rk", F.posexplode(_parts(F.col("t"))).alias("no", "raw"))
-    rows = rows.select("doc", "rk", "no", F.btrim("raw", F.lit(_BLANKS)).alias("line")).filter("line <> ''")
-    return rows.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("string").alias("doc"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("t"))
+    return rows.filter("t IS NOT NULL")
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, rk, no) of every line that goes; ``rk`` is ``row_key(id_col, text_col)``."""
+    """(rk, no) of every line that goes; ``rk`` is ``row_key(id_col, text_col)``.
+
+    A line is known by a 64-bit hash, told apart by a second one: different lines that share the
+    first are left alone.
+    """
     space = Workspace(docs.sparkSession, "lines")
-    lines = _lines(docs, id_col, text_col)
-    sketches = lines.mapInPandas(_with_bands, "doc long, rk long, no int, h1 long, h2 long, bands array<long>")
-    first = F.min(F.struct("doc", "rk", "no", "bands")).alias("s")
-    distinct = sketches.groupBy("h1", "h2").agg(first, F.count("*").alias("n")).select("h1", "h2", "n", "s.*")
-    table = space.save(distinct.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    texts = _texts(docs, id_col, text_col)
+    held = texts.mapInPandas(_places, "doc string, rk long, no int, h1 long, h2 long, bands array<long>")
+    places = space.save(held.withColumn("doc", F.col("doc").cast("long")), "places")
+    same = places.groupBy("h1").agg(F.min(F.struct("doc", "rk", "no")).alias("first"), F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
+    distinct = space.save(same.filter("lo = hi").select(F.col("h1").alias("id"), "n", "first.*"), "distinct")
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = space.save(table.select("id", "rk", "no", "h1", "h2").join(ids, "id"), "wanted")
+        wanted = distinct.join(ids, "id").groupBy("rk").agg(F.collect_list(F.struct("no", "id")).alias("want"))  # of one text each
+        wanted = space.save(wanted, "wanted")
 
-        def sets(batches):
+        def pick(batches):
             for pdf in batches:
-                yield pd.DataFrame({"id": pdf["id"], "s": [shingle_set(x).tobytes() for x in pdf["line"]]})
-
-        found = join_ids(lines.drop("doc"), wanted, ["rk", "no", "h1", "h2"]).select("id", "line")
-        return found.mapInPandas(sets, "id long, s binary").groupBy("id").agg(F.min("s").alias("s"))  # repeated rows
-
-    labels = link(table.select(F.explode("bands").alias("key"), "id"), fetch, PERCENT, space)
-    groups = table.drop("bands").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    groups = groups.filter("n > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "id"))
+                rows = []
+                for text, want in zip(pdf["t"], pdf["want"], strict=True):
+                    lines = text.split("\n")
+                    rows += [(w["id"], lines[w["no"]].strip(_BLANKS).encode("utf-8", "surrogatepass")) for w in want]
+                yield pd.DataFrame(rows, columns=["id", "s"])
+
+        found = join_ids(texts, wanted, ["rk"]).select("t", "want").mapInPandas(pick, "id long, s binary")
+        return found.groupBy("id").agg(F.min("s").alias("s"))  # rows equal in id and text give a line twice
+
+    bands = places.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("h1").alias("id"))
+    labels = link(bands, fetch, PERCENT, space, lambda s: shingle_set(s.decode("utf-8", "surrogatepass")))
+    groups = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
+    groups = groups.withColumn("component", F.coalesce("component", "id"))
     keeper = groups.groupBy("component").agg(F.min(F.struct("doc", "rk", "no")).alias("keep"))
-    marked = space.save(groups.join(keeper, "component").select("h1", "h2", F.col("keep.rk").alias("krk"), F.col("keep.no").alias("kno")), "marked")
-    gone = lines.select("doc", "rk", "no", "h1", "h2").join(marked, ["h1", "h2"]).filter("rk <> krk OR no <> kno")
-    return space.save(gone.select("doc", "rk", "no").distinct(), "gone")
+    marked = groups.join(keeper, "component").select(F.col("id").alias("h1"), F.col("keep.rk").alias("krk"), F.col("keep.no").alias("kno"))
+    gone = places.select("rk", "no", "h1").join(space.save(marked, "marked"), "h1").filter("rk <> krk OR no <> kno")
+    return space.save(gone.select("rk", "no").distinct(), "gone")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_emptied: bool = False) -> DataFrame:
@@ -122,6 +159,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = duplicate_lines(docs, id_col, text_col)
     by_row = gone.groupBy("rk").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("rk", "__rk")  # of one text each
+    by_row = F.broadcast(by_row) if gone.count() <= BROADCAST_LINES else by_row
     held = docs.withColumn("__rk", row_key(id_col, text_col)).join(by_row, "__rk", "left")
     parts = _parts(F.col(text_col))
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))

@@ -17,6 +17,7 @@ are confirmed on full sets too. No pair that shares a bucket goes without a test
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -77,9 +78,12 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return mix64(total).view(np.int64)
 
 
-def similar(a: bytes, b: bytes, percent: int) -> bool:
-    """100 * |A and B| >= percent * |A or B| for sets given as sorted 64-bit hashes."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+def as_hashes(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, np.uint64)
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * |X and Y| >= percent * |X or Y| for sets given as sorted distinct hashes."""
     if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
         return False
     both = np.concatenate((x, y))
@@ -126,10 +130,11 @@ def join_ids(rows: DataFrame, ids: DataFrame, on: list[str], most: int = BROADCA
     return rows.join(F.broadcast(ids) if ids.count() <= most else ids, on)
 
 
-def _confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirm(edges: DataFrame, sets: DataFrame, percent: int, decode) -> DataFrame:
     def check(batches):
         for pdf in batches:
-            ok = [similar(a, b, percent) for a, b in zip(pdf["su"], pdf["sv"], strict=True)]
+            held = lru_cache(64)(decode)  # rows come sorted by u
+            ok = [similar(held(a), decode(b), percent) for a, b in zip(pdf["su"], pdf["sv"], strict=True)]
             yield pdf.loc[ok, ["u", "v"]]
 
     u, v = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
@@ -140,12 +145,16 @@ def _pairs(a: str, b: str):
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
-def _sketch(batches):
+def _sketch(decode):
     """(id, n, sketch): a byte of the smallest hash in each of ``SKETCH`` bins."""
-    for pdf in batches:
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["s"]]
-        sig = densify(signatures(sets, SKETCH))
-        yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in sets], "sketch": [(row >> np.uint64(9)).astype(np.uint8).tobytes() for row in sig]})
+
+    def run(batches):
+        for pdf in batches:
+            sets = [decode(s) for s in pdf["s"]]
+            sig = densify(signatures(sets, SKETCH))
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in sets], "sketch": [(row >> np.uint64(9)).astype(np.uint8).tobytes() for row in sig]})
+
+    return run
 
 
 def floor_of(n: np.ndarray, percent: int) -> np.ndarray:
@@ -193,11 +202,11 @@ def _across(percent: int):
     return run
 
 
-def link(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, space: Workspace) -> DataFrame:
+def link(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, space: Workspace, decode: Callable[[bytes], np.ndarray] = as_hashes) -> DataFrame:
     """(node, component) of ids that are linked with another one.
 
-    ``bands``: (key, id) rows. ``fetch``: from a table of ids to (id, s) with s the id's whole set as
-    sorted 64-bit hashes.
+    ``bands``: (key, id) rows. ``fetch``: from a table of ids to (id, s), where ``decode`` makes the
+    id's whole set, as sorted distinct 64-bit hashes, of the binary s.
     """
     found = bucket_members(bands, space)
     members = space.save(found.select("key", "id").union(found.select("key", F.col("centre").alias("id"))).distinct(), "members")
@@ -212,7 +221,7 @@ def link(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int
     # Each member meets the weightiest centre of its buckets: no more edges than members.
     star = offered.groupBy("id").agg(F.max("top").alias("top")).select("id", (-F.col("top.minus")).alias("centre"))
     tested = space.save(star.select(*_pairs("id", "centre")).distinct(), "candidates")
-    links = space.save(_confirm(tested, sets, percent), "links")
+    links = space.save(_confirm(tested, sets, percent, decode), "links")
     labels = space.save(connected(links, space), "labels")
 
     # What lies in one bucket but in different components, in blocks of bounded size.
@@ -222,10 +231,11 @@ def link(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int
     left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "c")
-    sketches = space.save(sets.mapInPandas(_sketch, "id long, n long, sketch binary"), "sketches")
+    sketched = sets.join(left.select("id").distinct(), "id", "left_semi")
+    sketches = space.save(sketched.mapInPandas(_sketch(decode), "id long, n long, sketch binary"), "sketches")
     dealt = spread.join(sketches, "id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id")
     more = dealt.mapInPandas(_across(percent), "u long, v long").distinct().join(tested, ["u", "v"], "left_anti")
-    extra = space.save(_confirm(space.save(more, "more"), sets, percent), "found")
+    extra = space.save(_confirm(space.save(more, "more"), sets, percent, decode), "found")
     if not extra.limit(1).count():
         return labels
     # Components so far count as stars: their labels are edges already.

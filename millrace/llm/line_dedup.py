@@ -141,7 +141,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = join_ids(texts, wanted, ["rk"]).select("t", "want").mapInPandas(pick, "id long, s binary")
         return found.groupBy("id").agg(F.min("s").alias("s"))  # rows equal in id and text give a line twice
 
-    bands = places.filter("bands IS NOT NULL").select(F.explode("bands").alias("key"), F.col("h1").alias("id"))
+    bands = places.filter("bands IS NOT NULL").select(F.col("h1").alias("id"), "bands")
     labels = link(bands, fetch, PERCENT, space, lambda s: shingle_set(s.decode("utf-8", "surrogatepass")))
     groups = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
     groups = groups.withColumn("component", F.coalesce("component", "id"))

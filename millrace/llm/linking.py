@@ -10,8 +10,9 @@ that holds most of the rows over many tasks. Every edge is confirmed on full set
 
 A star may miss a pair whose two members both fall short of the centre. So the members of buckets
 that still hold more than one component are compared across components, in blocks of bounded size, by
-sketches of a byte for each of ``SKETCH`` bins; only pairs that may be similar become rows, and these
-are confirmed on full sets too. No pair that shares a bucket goes without a test.
+the smallest hashes of their sets (small sets are there as a whole); only pairs that may be similar
+become rows, and these are confirmed on full sets too. No pair that shares ``least`` buckets goes
+without a test.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Id sets up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 500_000
 _PICKS = 4096
-#: Bins of a sketch; members of a block in the comparison across components.
-SKETCH, BLOCK = 256, 1024
+#: Hashes of a set that the comparison across components sees; members of a block there.
+BOTTOM, BLOCK = 512, 1024
 
 
 def bins_of(hashes: np.ndarray, bins: int) -> np.ndarray:
@@ -145,44 +146,63 @@ def _pairs(a: str, b: str):
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
-def _sketch(decode):
-    """(id, n, sketch): a byte of the smallest hash in each of ``SKETCH`` bins."""
+def _bottom(decode):
+    """(id, n, low): the ``BOTTOM`` smallest hashes of a set, by their upper halves."""
 
     def run(batches):
         for pdf in batches:
             sets = [decode(s) for s in pdf["s"]]
-            sig = densify(signatures(sets, SKETCH))
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in sets], "sketch": [(row >> np.uint64(9)).astype(np.uint8).tobytes() for row in sig]})
+            low = [np.unique((s[:BOTTOM] >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in sets], "low": low})
 
     return run
 
 
-def floor_of(n: np.ndarray, percent: int) -> np.ndarray:
-    """The share of equal sketch bytes that a pair of the wanted similarity, the smaller set having n
-    hashes, falls below by chance but once in three hundred thousand times."""
+def maybe_similar(x: np.ndarray, y: np.ndarray, whole: bool, percent: int) -> bool:
+    """Whether two sets, ``x`` and ``y`` their smallest hashes, may be as similar as wanted.
+
+    Small sets are here as a whole, so this is exact but for a margin of two hashes. Of larger ones
+    the share among the smallest of both is an estimate; a pair of the wanted similarity falls below
+    the margin by chance but once in three hundred thousand times.
+    """
+    both = np.concatenate((x, y))
+    both.sort()
+    again = both[1:] == both[:-1]
+    twice, union = both[1:][again], both[np.concatenate(([True], ~again))]
     p = percent / 100
-    return p - 4.5 * np.sqrt(p * (1 - p) * (1 / SKETCH + 1.5 / n))
+    if whole:
+        return len(twice) + 2 >= p * len(union)
+    k = min(len(x), len(y))
+    common = int(np.searchsorted(twice, union[k - 1], "right"))
+    return common / k >= p - 4.5 * np.sqrt(p * (1 - p) / k)
 
 
-def _across(percent: int):
-    """Pairs of one group, in different components, that may be similar by their sketches.
+def _across(percent: int, least: int):
+    """Links, as far as the smallest hashes tell, between different components within one group.
 
     Rows come sorted by group (key, a, b): with a = b all pairs inside the block count, else those of
-    block a with block b. A group has at most two blocks, so what is held is bounded.
+    block a with block b. A group has at most two blocks, so what is held is bounded. A pair is
+    looked at in the first large bucket that it shares, if it shares ``least`` buckets of any size.
     """
 
     def pairs(key, pdf):
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), SKETCH)
+        low = [np.frombuffer(x, np.uint32) for x in pdf["low"]]
+        bands = np.array(pdf["bands"].tolist(), np.int64)
+        large = (pdf["large"].to_numpy(np.int64)[:, None] >> np.arange(bands.shape[1])) & 1 == 1
         ids, c, block, n = (pdf[x].to_numpy() for x in ("id", "c", "block", "n"))
         out = []
         for i in range(len(pdf) - 1):
             other = np.flatnonzero(c[i + 1 :] != c[i]) + i + 1
             if key[1] != key[2]:
                 other = other[block[other] != block[i]]
-            if len(other):
-                same = np.count_nonzero(sketch[other] == sketch[i], axis=1) / SKETCH
-                ok = other[same >= floor_of(np.minimum(n[other], n[i]), percent)]
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in ok]
+            if not len(other):
+                continue
+            equal = bands[other] == bands[i]
+            first = (equal & large[i]).argmax(axis=1)
+            other = other[(equal.sum(axis=1) >= least) & (bands[i][first] == key[0])]
+            for j in other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])].tolist():
+                if maybe_similar(low[i], low[j], max(n[i], n[j]) <= BOTTOM, percent):
+                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
         return pd.DataFrame(out, columns=["u", "v"])
 
     def run(batches):
@@ -202,15 +222,17 @@ def _across(percent: int):
     return run
 
 
-def link(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, space: Workspace, decode: Callable[[bytes], np.ndarray] = as_hashes) -> DataFrame:
+def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, space: Workspace, decode: Callable[[bytes], np.ndarray] = as_hashes, least: int = 1) -> DataFrame:
     """(node, component) of ids that are linked with another one.
 
-    ``bands``: (key, id) rows. ``fetch``: from a table of ids to (id, s), where ``decode`` makes the
-    id's whole set, as sorted distinct 64-bit hashes, of the binary s.
+    ``sketches``: (id, bands) with a bucket key for each band; rows may repeat. ``fetch``: from a
+    table of ids to (id, s), where ``decode`` makes the id's whole set, as sorted distinct 64-bit
+    hashes, of the binary s. ``least``: the number of bands that pairs off the stars must share.
     """
-    found = bucket_members(bands, space)
+    found = bucket_members(sketches.select(F.explode("bands").alias("key"), "id"), space)
     members = space.save(found.select("key", "id").union(found.select("key", F.col("centre").alias("id"))).distinct(), "members")
-    sets = space.save(fetch(space.save(members.select("id").distinct(), "ids")), "sets")
+    ids = space.save(members.select("id").distinct(), "ids")
+    sets = space.save(fetch(ids), "sets")
     # The centre of a bucket is the member whose buckets hold the most rows: what copies stem from
     # shares more bands with them than they do with each other.
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
@@ -224,17 +246,22 @@ def link(bands: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int
     links = space.save(_confirm(tested, sets, percent, decode), "links")
     labels = space.save(connected(links, space), "labels")
 
-    # What lies in one bucket but in different components, in blocks of bounded size.
+    # What lies in one bucket but in different components: buckets of two are pairs by themselves,
+    # larger ones are compared in blocks of bounded size.
     labelled = weighed.select("key", "id", "size").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    left = labelled.filter("size > 2").join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("u"), F.max("id").alias("v"), F.max("size").alias("size")).filter("lo <> hi")
+    twos = mixed.filter("size = 2").groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("u", "v")
+    left = labelled.join(mixed.filter("size > 2").select("key"), "key")
+    of_id = sketches.join(left.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("bands").alias("bands"))
+    marks = left.select("id", "key").join(of_id, "id").groupBy("id", "bands").agg(F.bit_or(F.expr("shiftleft(1L, CAST(array_position(bands, key) - 1 AS INT))")).alias("large"))
+    lows = sets.join(marks, "id").select("id", "s").mapInPandas(_bottom(decode), "id long, n long, low binary")
+    payload = space.save(lows.join(marks, "id"), "payload")
+    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "c")
-    sketched = sets.join(left.select("id").distinct(), "id", "left_semi")
-    sketches = space.save(sketched.mapInPandas(_sketch(decode), "id long, n long, sketch binary"), "sketches")
-    dealt = spread.join(sketches, "id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id")
-    more = dealt.mapInPandas(_across(percent), "u long, v long").distinct().join(tested, ["u", "v"], "left_anti")
+    dealt = spread.join(payload, "id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id")
+    more = dealt.mapInPandas(_across(percent, least), "u long, v long").union(twos).distinct().join(tested, ["u", "v"], "left_anti")
     extra = space.save(_confirm(space.save(more, "more"), sets, percent, decode), "found")
     if not extra.limit(1).count():
         return labels

@@ -3,7 +3,8 @@
 A document's set holds its distinct word shingles (of a document with fewer words: the whole sequence
 as one). Documents with equal sets are one class, met by a 128-bit digest of the set; classes are
 linked through banded buckets (``linking``) and every link is confirmed on the full sets. Signatures
-of 32 bands of 4 bins reach a pair of similarity 0.8 but for a chance below one in ten million.
+of 32 bands of 4 bins put a pair of similarity 0.8 into two common buckets, which is what a test takes,
+but for a chance of one in a million.
 
 Edge cases: documents without words or text have an empty set and are linked with nothing; rows that
 share an id are one document, and the smallest digest of their sets stands for it; rows with a null id
@@ -82,7 +83,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = join_ids(named, wanted, ["id"]).mapInPandas(sets, "id long, s binary")
         return found.groupBy("id").agg(F.min("s").alias("s"))  # repeated rows of one document are equal here
 
-    labels = link(classes.select(F.explode("bands").alias("key"), "id"), fetch, percent, space)
+    labels = link(classes.select("id", "bands"), fetch, percent, space, least=2)
     of_class = classes.select("k", F.col("id").alias("node")).join(labels, "node", "left").select("k", F.coalesce("component", "node").alias("c"))
     # Each class is one row; only groups of copies repeat a key, and those joins can be split.
     full = table.filter("n > 0").select("id", "n", "k").join(of_class, "k", "left").select("id", "n", "c")

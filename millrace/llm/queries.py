@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontaminate, langid, line_dedup, minhash, mixing, warc
+from millrace.llm import ann, chat, decontaminate, html_extract, langid, line_dedup, minhash, mixing, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,25 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = pages.select("page_id", "url", html_extract.main_text(pages).alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (_read(spark, sf_dir, t) for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text")
+    held_out = lambda c: F.crc32(F.col(c).cast("string")) % 5 == 0
+    model = toxicity.fit(docs, labels, ~held_out("id"))
+    out = docs.select("doc_id", held_out("doc_id").alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
@@ -121,9 +140,12 @@ FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_html": op2_html,
+    "op3_ann": op3_ann,
     "op4_chat": op4_chat,
     "op5_decontaminate": op5_decontaminate,
     "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
     "op10_langid": op10_langid,

@@ -27,6 +27,8 @@ VOCABULARY, MIN_TEXTS = 3000, 5
 #: The fit reads at most so many texts of each label, by a hash of their ids, of at most so many words.
 MAX_TRAIN_PER_LABEL, MAX_TRAIN_WORDS = 1000, 1200
 STEPS, BATCH_TEXTS, RATE = 260, 24, 0.01
+#: Share of a batch's distinct words that are blanked, and decay of the input vectors in each step.
+BLANKED, DECAY = 0.25, 0.003
 SEED = 5
 _WORD = re.compile(r"\w+")
 _KEEP = np.float32(30.0)  # an update gate held shut: what padding sends
@@ -124,7 +126,7 @@ class Network:
         logits = pooled @ self.p["wo"] + self.p["bo"][0]
         return (logits, (held, both, a, weight, pooled)) if keep else logits
 
-    def backward(self, pre, at, kept, d_logits, x, how) -> dict[str, np.ndarray]:
+    def backward(self, pre, at, kept, d_logits, x, shown, how) -> dict[str, np.ndarray]:
         held, both, a, weight, pooled = kept
         n, t, h = at.shape[0], at.shape[1], HIDDEN
         p, g = self.p, {"bo": np.array([d_logits.sum()], np.float32), "wo": pooled.T @ d_logits}
@@ -155,7 +157,7 @@ class Network:
         d_pre = d_pre[:, :-1]
         g["b"] = d_pre.sum(axis=1, keepdims=True)
         g["wx"] = np.matmul(x.T[None], d_pre)
-        d_in = np.matmul(d_pre, p["wx"].transpose(0, 2, 1)).sum(axis=0)
+        d_in = np.matmul(d_pre, p["wx"].transpose(0, 2, 1)).sum(axis=0) * shown
         ids, buckets, owner, scale = how
         g["word"] = np.zeros_like(p["word"])
         np.add.at(g["word"], ids, d_in[:, :WORD_DIM])
@@ -200,6 +202,8 @@ def train(texts: list[str | None], labels: list[int], steps: int = STEPS) -> Net
         owner = np.repeat(np.arange(len(chosen)), [len(r) for r in rows])
         at = np.concatenate(rows)
         x, how = net.inputs(distinct)
+        shown = (rng.random((len(x), 1)) >= BLANKED).astype(np.float32)
+        x *= shown
         pre = net.project(x)
         logits, kept = net.forward(pre, at, keep=True)
         begin = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
@@ -208,7 +212,7 @@ def train(texts: list[str | None], labels: list[int], steps: int = STEPS) -> Net
         total = np.add.reduceat(e, begin)
         whole = top + np.log(total)  # the smooth maximum of a text's windows
         d = (_sigmoid(whole) - y[chosen]) / len(chosen)
-        grads = net.backward(pre, at, kept, (d[owner] * e / total[owner]).astype(np.float32), x, how)
+        grads = net.backward(pre, at, kept, (d[owner] * e / total[owner]).astype(np.float32), x, shown, how)
         norm = np.sqrt(sum(float((v**2).sum()) for v in grads.values()))
         clip = min(1.0, 1.0 / (norm + 1e-9))
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
@@ -217,6 +221,8 @@ def train(texts: list[str | None], labels: list[int], steps: int = STEPS) -> Net
             first[k] += 0.1 * (v - first[k])
             second[k] += 0.01 * (v * v - second[k])
             net.p[k] -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+            if k in ("word", "char"):
+                net.p[k] *= np.float32(1 - DECAY)
     return net
 
 

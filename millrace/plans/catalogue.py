@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.plans import log_queries, retrieval_queries
+
 #: Modules that register queries: each has QUERIES (name -> function) and SQL (name -> text).
-MODULES = ()
+MODULES = (retrieval_queries, log_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

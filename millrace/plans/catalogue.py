@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import eval_queries, log_queries, retrieval_queries
+from millrace.plans import eval_queries, log_queries, retrieval_queries, series_queries
 
 #: Modules that register queries: each has QUERIES (name -> function) and SQL (name -> text).
-MODULES = (retrieval_queries, log_queries, eval_queries)
+MODULES = (retrieval_queries, log_queries, eval_queries, series_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

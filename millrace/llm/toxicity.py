@@ -27,8 +27,9 @@ VOCABULARY, MIN_TEXTS = 3000, 5
 #: The fit reads at most so many texts of each label, by a hash of their ids, of at most so many words.
 MAX_TRAIN_PER_LABEL, MAX_TRAIN_WORDS = 1000, 1200
 STEPS, BATCH_TEXTS, RATE = 260, 24, 0.01
-#: Share of a batch's distinct words that are blanked, and decay of the input vectors in each step.
-BLANKED, DECAY = 0.25, 0.003
+#: Share of a batch's distinct words that are blanked at first (falling to none at the end, so that
+#: small samples aren't learnt by heart), and decay of the input vectors in each step.
+BLANKED, DECAY = 0.6, 0.003
 SEED = 5
 _WORD = re.compile(r"\w+")
 _KEEP = np.float32(30.0)  # an update gate held shut: what padding sends
@@ -202,7 +203,7 @@ def train(texts: list[str | None], labels: list[int], steps: int = STEPS) -> Net
         owner = np.repeat(np.arange(len(chosen)), [len(r) for r in rows])
         at = np.concatenate(rows)
         x, how = net.inputs(distinct)
-        shown = (rng.random((len(x), 1)) >= BLANKED).astype(np.float32)
+        shown = (rng.random((len(x), 1)) >= BLANKED * (1 - step / steps)).astype(np.float32)
         x *= shown
         pre = net.project(x)
         logits, kept = net.forward(pre, at, keep=True)

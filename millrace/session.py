@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +45,18 @@ def local_session(cpus: int | None = None, partitions: int = 8) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; Spark resolves the path, so any store it can read will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each context, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_millrace_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    files = [*sorted((root / "millrace").rglob("*.py")), *root.glob("corpus_pipeline.py")]
+    path = Path(tempfile.mkdtemp(prefix="millrace-code-")) / "millrace_code.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in files:
+            out.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+    sc._millrace_shipped = True

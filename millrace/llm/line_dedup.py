@@ -3,8 +3,8 @@
 Lines are compared after trimming blanks at both ends; blank lines are never compared and always
 stay. Equal lines are met by their hashes; different lines are linked where the Jaccard similarity
 of their sets of 8-character shingles (of a shorter line: the whole line) is 0.8 or more, found by 10
-bands of 3 bins (a pair of similarity 0.8 is reached but for a chance of eight in ten thousand, one of
-0.85 of eight in a hundred thousand) and confirmed exactly. Of each component the line that comes first,
+bands of 3 bins (two common buckets make a candidate: a pair of similarity 0.8 is reached but for a
+chance of nine in a thousand, one of 0.85 of one in a thousand, one of 0.9 of three in a hundred thousand) and confirmed exactly. Of each component the line that comes first,
 by document id, row and place, stays; the others go from their texts.
 
 Edge cases: null and empty texts stay as they are; a document that loses all its lines gets an empty
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ SHINGLE_CHARS, PERCENT = 8, 80
 BANDS, ROWS = 10, 3
 #: Characters whose shingles are hashed at one time in a worker.
 BLOCK_CHARS = 100_000
+#: Characters of texts whose lines a worker holds at one time.
+CHUNK_CHARS = 6_000_000
 #: Up to so many removed lines their places are broadcast to the texts; more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
 _BLANKS = " \t\r\x0b\f"
@@ -54,8 +57,18 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return total[inside], owner[inside]
 
 
-def shingle_set(line: str) -> np.ndarray:
-    return np.unique(_shingle_hashes([line])[0])
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct hashes of each line's shingles."""
+    out = []
+    for a, b in _blocks(lines):
+        hashes, owner = _shingle_hashes(lines[a:b])
+        ends = np.searchsorted(owner, np.arange(b - a + 1))
+        out += [np.unique(hashes[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return out
+
+
+def _decode(payloads: list[bytes]) -> list[np.ndarray]:
+    return shingle_sets([p.decode("utf-8", "surrogatepass") for p in payloads])
 
 
 def line_bands(lines: list[str]) -> np.ndarray:
@@ -77,31 +90,39 @@ def _blocks(lines: list[str]):
         yield at, len(lines)
 
 
-def _signed(h: int) -> int:
-    return h - 2**64 if h >= 2**63 else h
-
-
 def _places(batches):
-    """(doc, rk, no, h1, h2, bands) of every line that is not blank; of lines that repeat within a
-    batch the first alone has bands."""
-    for pdf in batches:
-        rows, fresh = [], {}
-        for doc, rk, text in zip(pdf["doc"], pdf["rk"].tolist(), pdf["t"], strict=True):
-            for no, raw in enumerate(text.split("\n")):
-                if line := raw.strip(_BLANKS):
-                    h1, h2 = _signed(xxhash.xxh64_intdigest(line)), _signed(xxhash.xxh3_64_intdigest(line))
-                    if h1 not in fresh:
-                        fresh[h1] = (len(rows), line)
-                    rows.append((doc, rk, no, h1, h2))
-        at, lines = [i for i, _ in fresh.values()], [x for _, x in fresh.values()]
-        bands: list = [None] * len(rows)
-        for a, b in _blocks(lines):
-            for i, row in zip(at[a:b], line_bands(lines[a:b]), strict=True):
-                bands[i] = row
-        out = pd.DataFrame(rows, columns=["doc", "rk", "no", "h1", "h2"])
-        for lo in range(0, len(out), 20_000):
-            part = out.iloc[lo : lo + 20_000]
-            yield part.assign(bands=bands[lo : lo + 20_000])
+    """(doc, rk, no, h1, h2, bands) of every line that is not blank, a few millions of characters at a
+    time; of lines that repeat there the first alone has bands."""
+    for batch in batches:
+        docs, rks, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < CHUNK_CHARS):
+                size += len(texts[end])
+                end += 1
+            lines, owner, no = [], [], []
+            for i in range(at, end):
+                for n, raw in enumerate(texts[i].split("\n")):
+                    if line := raw.strip(_BLANKS):
+                        lines.append(line)
+                        owner.append(i)
+                        no.append(n)
+            coded = [x.encode("utf-8", "surrogatepass") for x in lines]
+            h1 = np.fromiter(map(xxhash.xxh64_intdigest, coded), np.uint64, len(lines))
+            h2 = np.fromiter(map(xxhash.xxh3_64_intdigest, coded), np.uint64, len(lines))
+            _, fresh = np.unique(h1, return_index=True)
+            fresh.sort()
+            chosen = [lines[i] for i in fresh.tolist()]
+            keys = [line_bands(chosen[a:b]) for a, b in _blocks(chosen)]
+            has = np.zeros(len(lines), np.int64)
+            has[fresh] = BANDS
+            offsets = pa.array(np.concatenate(([0], np.cumsum(has))), pa.int32(), mask=np.concatenate((has == 0, [False])))
+            bands = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).ravel() if keys else np.zeros(0, np.int64)))
+            rows = np.array(owner, np.int64)
+            columns = [docs.take(pa.array(rows)), pa.array(rks[rows]), pa.array(no, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "rk", "no", "h1", "h2", "bands"])
+            at = end
 
 
 def _parts(text: Column) -> Column:
@@ -109,7 +130,7 @@ def _parts(text: Column) -> Column:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("string").alias("doc"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("t"))
     return rows.filter("t IS NOT NULL")
 
 
@@ -121,8 +142,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     space = Workspace(docs.sparkSession, "lines")
     texts = _texts(docs, id_col, text_col)
-    held = texts.mapInPandas(_places, "doc string, rk long, no int, h1 long, h2 long, bands array<long>")
-    places = space.save(held.withColumn("doc", F.col("doc").cast("long")), "places")
+    places = space.save(texts.mapInArrow(_places, "doc long, rk long, no int, h1 long, h2 long, bands array<long>"), "places")
     same = places.groupBy("h1").agg(F.min(F.struct("doc", "rk", "no")).alias("first"), F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
     distinct = space.save(same.filter("lo = hi").select(F.col("h1").alias("id"), "n", "first.*"), "distinct")
 
@@ -142,7 +162,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return found.groupBy("id").agg(F.min("s").alias("s"))  # rows equal in id and text give a line twice
 
     bands = places.filter("bands IS NOT NULL").select(F.col("h1").alias("id"), "bands")
-    labels = link(bands, fetch, PERCENT, space, lambda s: shingle_set(s.decode("utf-8", "surrogatepass")))
+    labels = link(bands, fetch, PERCENT, space, _decode, least=2, bottom=400)
     groups = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
     groups = groups.withColumn("component", F.coalesce("component", "id"))
     keeper = groups.groupBy("component").agg(F.min(F.struct("doc", "rk", "no")).alias("keep"))

@@ -9,7 +9,7 @@ members gives n - 1 pairs. Buckets are found by a range sort of (key, id), which
 that holds most of the rows over many tasks. Every edge is confirmed on full sets.
 
 A star may miss a pair whose two members both fall short of the centre. So the members of buckets
-that still hold more than one component are compared across components, in blocks of bounded size, by
+whose members hang under different centres are compared across these, in blocks of bounded size, by
 the smallest hashes of their sets (small sets are there as a whole); only pairs that may be similar
 become rows, and these are confirmed on full sets too. No pair that shares ``least`` buckets goes
 without a test.
@@ -18,22 +18,22 @@ without a test.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Workspace, mix64
+from millrace.llm.common import Workspace, chunks, mix64
 from millrace.llm.components import connected
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Id sets up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 500_000
 _PICKS = 4096
-#: Hashes of a set that the comparison across components sees; members of a block there.
-BOTTOM, BLOCK = 512, 1024
+#: Members of a block in the comparison across components.
+BLOCK = 1024
 
 
 def bins_of(hashes: np.ndarray, bins: int) -> np.ndarray:
@@ -79,8 +79,8 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     return mix64(total).view(np.int64)
 
 
-def as_hashes(payload: bytes) -> np.ndarray:
-    return np.frombuffer(payload, np.uint64)
+def as_hashes(payloads: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(p, np.uint64) for p in payloads]
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -94,32 +94,28 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _stars(batches):
-    """(key, centre, id) for buckets of more than one member, from rows sorted by key and id.
+    """(key, centre, id) for buckets of more than one member, from the rows of a range of (key, id).
 
-    The first and the last bucket of a partition may go on in its neighbours: they are reported in
-    any case, as (key, centre, centre), and met by their key afterwards.
+    The first and the last bucket of a range may go on in its neighbours: they are reported in any
+    case, as (key, centre, centre), and met by their key afterwards.
     """
-    key = centre = None
-    for pdf in batches:
-        k, i = pdf["key"].to_numpy(), pdf["id"].to_numpy()
-        if not len(k):
-            continue
-        first = np.concatenate(([key is None or k[0] != key], k[1:] != k[:-1]))
-        at = np.maximum.accumulate(np.where(first, np.arange(len(k)), -1))
-        centres = np.where(at >= 0, i[at], centre if centre is not None else 0)
-        edge = centres != i
-        if key is None:
-            edge[0] = True
-        yield pd.DataFrame({"key": k[edge], "centre": centres[edge], "id": i[edge]})
-        key, centre = k[-1], centres[-1]
-    if key is not None:
-        yield pd.DataFrame({"key": [key], "centre": [centre], "id": [centre]})
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    k, i = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts]) for c in (0, 1))
+    order = np.lexsort((i, k))
+    k, i = k[order], i[order]
+    first = np.concatenate(([True], k[1:] != k[:-1]))
+    centres = i[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+    edge = (centres != i) & np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])))
+    edge[0] = edge[np.flatnonzero(first)[-1]] = True
+    yield pa.RecordBatch.from_arrays([pa.array(x[edge]) for x in (k, centres, i)], ["key", "centre", "id"])
 
 
 def bucket_members(bands: DataFrame, space: Workspace) -> DataFrame:
     """(key, centre, id) of every bucket of ``bands`` (key, id) with more than one member."""
-    dealt = bands.repartitionByRange("key", "id").sortWithinPartitions("key", "id")
-    found = space.save(dealt.mapInPandas(_stars, "key long, centre long, id long"), "buckets")
+    dealt = bands.repartitionByRange("key", "id")
+    found = space.save(dealt.mapInArrow(_stars, "key long, centre long, id long"), "buckets")
     ends = found.filter("centre = id").select("key", "centre").distinct()  # two for each partition
     least = ends.groupBy("key").agg(F.min("centre").alias("c"), F.count("*").alias("n")).filter("n > 1")
     across = ends.join(least, "key").filter("centre <> c").select("key", F.col("c").alias("centre"), F.col("centre").alias("id"))
@@ -134,9 +130,11 @@ def join_ids(rows: DataFrame, ids: DataFrame, on: list[str], most: int = BROADCA
 def _confirm(edges: DataFrame, sets: DataFrame, percent: int, decode) -> DataFrame:
     def check(batches):
         for pdf in batches:
-            held = lru_cache(64)(decode)  # rows come sorted by u
-            ok = [similar(held(a), decode(b), percent) for a, b in zip(pdf["su"], pdf["sv"], strict=True)]
-            yield pdf.loc[ok, ["u", "v"]]
+            for part in chunks(pdf, 2000):
+                distinct = list({*part["su"], *part["sv"]})
+                held = dict(zip(distinct, decode(distinct), strict=True))
+                ok = [similar(held[a], held[b], percent) for a, b in zip(part["su"], part["sv"], strict=True)]
+                yield part.loc[ok, ["u", "v"]]
 
     u, v = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
     return edges.join(v, "v").join(u, "u").mapInPandas(check, "u long, v long")
@@ -146,13 +144,13 @@ def _pairs(a: str, b: str):
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
-def _bottom(decode):
-    """(id, n, low): the ``BOTTOM`` smallest hashes of a set, by their upper halves."""
+def _bottom(decode, bottom: int):
+    """(id, n, low): the ``bottom`` smallest hashes of a set, by their upper halves."""
 
     def run(batches):
         for pdf in batches:
-            sets = [decode(s) for s in pdf["s"]]
-            low = [np.unique((s[:BOTTOM] >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
+            sets = decode(pdf["s"].tolist())
+            low = [np.unique((s[:bottom] >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
             yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in sets], "low": low})
 
     return run
@@ -177,7 +175,7 @@ def maybe_similar(x: np.ndarray, y: np.ndarray, whole: bool, percent: int) -> bo
     return common / k >= p - 4.5 * np.sqrt(p * (1 - p) / k)
 
 
-def _across(percent: int, least: int):
+def _across(percent: int, least: int, bottom: int):
     """Links, as far as the smallest hashes tell, between different components within one group.
 
     Rows come sorted by group (key, a, b): with a = b all pairs inside the block count, else those of
@@ -185,53 +183,79 @@ def _across(percent: int, least: int):
     looked at in the first large bucket that it shares, if it shares ``least`` buckets of any size.
     """
 
-    def pairs(key, pdf):
-        low = [np.frombuffer(x, np.uint32) for x in pdf["low"]]
-        bands = np.array(pdf["bands"].tolist(), np.int64)
-        large = (pdf["large"].to_numpy(np.int64)[:, None] >> np.arange(bands.shape[1])) & 1 == 1
-        ids, c, block, n = (pdf[x].to_numpy() for x in ("id", "c", "block", "n"))
-        out = []
-        for i in range(len(pdf) - 1):
-            other = np.flatnonzero(c[i + 1 :] != c[i]) + i + 1
-            if key[1] != key[2]:
-                other = other[block[other] != block[i]]
-            if not len(other):
-                continue
-            equal = bands[other] == bands[i]
+    def pairs(t, lo, hi):
+        key, m = t["key"][lo], hi - lo
+        c, n, ids, bands, low, block = (t[x][lo:hi] for x in ("c", "n", "id", "bands", "low", "block"))
+        if (c == c[0]).all():
+            return
+        large = (t["large"][lo:hi][:, None] >> np.arange(bands.shape[1])) & 1 == 1
+        both = t["a"][lo] != t["b"][lo]
+        step = max(1, 60_000 // m)
+        for at in range(0, m, step):  # rows against all that come after them, some rows at a time
+            i = np.arange(at, min(m, at + step))
+            ok = (c[i][:, None] != c[None]) & (np.arange(m)[None] > i[:, None])
+            if both:
+                ok &= block[i][:, None] != block[None]
+            r, j = np.nonzero(ok)
+            i = i[r]
+            keep = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            i, j = i[keep], j[keep]
+            equal = bands[i] == bands[j]
             first = (equal & large[i]).argmax(axis=1)
-            other = other[(equal.sum(axis=1) >= least) & (bands[i][first] == key[0])]
-            for j in other[100 * np.minimum(n[other], n[i]) >= percent * np.maximum(n[other], n[i])].tolist():
-                if maybe_similar(low[i], low[j], max(n[i], n[j]) <= BOTTOM, percent):
-                    out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-        return pd.DataFrame(out, columns=["u", "v"])
+            keep = (equal.sum(axis=1) >= least) & (bands[i, first] == key)
+            for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+                if maybe_similar(low[x], low[y], n[x] <= bottom and n[y] <= bottom, percent):
+                    yield min(ids[x], ids[y]), max(ids[x], ids[y])
 
     def run(batches):
         held = None
-        for pdf in batches:
-            pdf = pdf if held is None else pd.concat((held, pdf), ignore_index=True)
-            keys = pdf[["key", "a", "b"]].to_numpy()
-            ends = np.concatenate((np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(pdf)])) if len(pdf) else [0]
-            at = 0
-            for end in ends[:-1]:
-                yield pairs(keys[at], pdf.iloc[at:end])
-                at = end
-            held = pdf.iloc[at:]
-        if held is not None and len(held):
-            yield pairs(held[["key", "a", "b"]].to_numpy()[0], held)
+        for last, batch in _with_last(batches):
+            table = pa.table(batch) if held is None else pa.concat_tables([held, pa.table(batch)])
+            table = table.combine_chunks()
+            t = {x: table[x].to_numpy() for x in ("key", "a", "b", "block", "id", "c", "n", "large")}
+            m = len(table)
+            t["low"] = [np.frombuffer(x, np.uint32) for x in table["low"].to_pylist()]
+            t["bands"] = table["bands"].combine_chunks().flatten().to_numpy().reshape(m, -1) if m else np.zeros((0, 1), np.int64)
+            new = np.ones(m, bool)
+            new[1:] = (t["key"][1:] != t["key"][:-1]) | (t["a"][1:] != t["a"][:-1]) | (t["b"][1:] != t["b"][:-1])
+            ends = [*np.flatnonzero(new).tolist(), m]
+            whole = ends if last else ends[:-1]  # the group at the end may go on in the next batch
+            out = [p for lo, hi in zip(whole[:-1], whole[1:], strict=True) if hi - lo > 1 for p in pairs(t, lo, hi)]
+            held = None if last or not m else table.slice(whole[-1])
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return run
 
 
-def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, space: Workspace, decode: Callable[[bytes], np.ndarray] = as_hashes, least: int = 1) -> DataFrame:
+def _with_last(batches):
+    """Each batch with whether it is the last one."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            yield False, held
+        held = batch
+    if held is not None:
+        yield True, held
+
+
+def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, space: Workspace, decode: Callable[[list[bytes]], list[np.ndarray]] = as_hashes, least: int = 1, bottom: int = 512) -> DataFrame:
     """(node, component) of ids that are linked with another one.
 
     ``sketches``: (id, bands) with a bucket key for each band; rows may repeat. ``fetch``: from a
-    table of ids to (id, s), where ``decode`` makes the id's whole set, as sorted distinct 64-bit
-    hashes, of the binary s. ``least``: the number of bands that pairs off the stars must share.
+    table of ids to (id, s), where ``decode`` makes whole sets, as sorted distinct 64-bit hashes, of
+    binaries s. ``least``: the number of buckets that a pair must share to be a candidate. ``bottom``: the
+    number of a set's hashes that the comparison across components sees.
+
+    ``sketches`` is read twice; its files may go once this returns.
     """
     found = bucket_members(sketches.select(F.explode("bands").alias("key"), "id"), space)
     members = space.save(found.select("key", "id").union(found.select("key", F.col("centre").alias("id"))).distinct(), "members")
+    if least > 1:  # whoever is in fewer shared buckets shares too few with anyone
+        often = members.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("id")
+        held = members.join(often, "id")
+        members = space.save(held.join(held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key").select("key", "id"), "often")
     ids = space.save(members.select("id").distinct(), "ids")
+    banded = space.save(sketches.join(ids, "id", "left_semi").groupBy("id").agg(F.min("bands").alias("bands")), "banded")
     sets = space.save(fetch(ids), "sets")
     # The centre of a bucket is the member whose buckets hold the most rows: what copies stem from
     # shares more bands with them than they do with each other.
@@ -240,31 +264,28 @@ def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     weighed = space.save(sized.join(weight, "id"), "weighed")
     centres = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
     offered = weighed.join(centres, "key").select("id", F.struct(F.col("top.weight").alias("w"), F.col("top.minus").alias("minus")).alias("top")).filter("id <> -top.minus")
+    offered = offered.groupBy("id", "top").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     # Each member meets the weightiest centre of its buckets: no more edges than members.
     star = offered.groupBy("id").agg(F.max("top").alias("top")).select("id", (-F.col("top.minus")).alias("centre"))
-    tested = space.save(star.select(*_pairs("id", "centre")).distinct(), "candidates")
+    tested = space.save(star.select(F.col("id").alias("u"), F.col("centre").alias("v")), "candidates")
     links = space.save(_confirm(tested, sets, percent, decode), "links")
-    labels = space.save(connected(links, space), "labels")
 
-    # What lies in one bucket but in different components: buckets of two are pairs by themselves,
-    # larger ones are compared in blocks of bounded size.
-    labelled = weighed.select("key", "id", "size").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("c"))
+    # What lies in one bucket but hangs under different centres: buckets of two are pairs by
+    # themselves, larger ones are compared in blocks of bounded size.
+    above = links.select(F.col("u").alias("v"), F.col("v").alias("top"))
+    under = links.join(above, "v", "left").select(F.col("u").alias("id"), F.coalesce("top", "v").alias("c"))
+    labelled = weighed.select("key", "id", "size").join(under, "id", "left").select("key", "id", "size", F.coalesce("c", "id").alias("c"))
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("u"), F.max("id").alias("v"), F.max("size").alias("size")).filter("lo <> hi")
     twos = mixed.filter("size = 2").groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("u", "v")
     left = labelled.join(mixed.filter("size > 2").select("key"), "key")
-    of_id = sketches.join(left.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("bands").alias("bands"))
-    marks = left.select("id", "key").join(of_id, "id").groupBy("id", "bands").agg(F.bit_or(F.expr("shiftleft(1L, CAST(array_position(bands, key) - 1 AS INT))")).alias("large"))
-    lows = sets.join(marks, "id").select("id", "s").mapInPandas(_bottom(decode), "id long, n long, low binary")
+    marks = left.select("id", "key").join(banded, "id").groupBy("id", "bands").agg(F.bit_or(F.expr("shiftleft(1L, CAST(array_position(bands, key) - 1 AS INT))")).alias("large"))
+    lows = sets.join(marks, "id").select("id", "s").mapInPandas(_bottom(decode, bottom), "id long, n long, low binary")
     payload = space.save(lows.join(marks, "id"), "payload")
     left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "c")
     dealt = spread.join(payload, "id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id")
-    more = dealt.mapInPandas(_across(percent, least), "u long, v long").union(twos).distinct().join(tested, ["u", "v"], "left_anti")
+    more = dealt.mapInArrow(_across(percent, least, bottom), "u long, v long").union(twos).distinct().join(tested.select(*_pairs("u", "v")), ["u", "v"], "left_anti")
     extra = space.save(_confirm(space.save(more, "more"), sets, percent, decode), "found")
-    if not extra.limit(1).count():
-        return labels
-    # Components so far count as stars: their labels are edges already.
-    stars = labels.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    return space.save(connected(stars.union(extra), space), "labels")
+    return space.save(connected(links.union(extra), space), "labels")

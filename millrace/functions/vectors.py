@@ -30,7 +30,7 @@ def cosine_pairs(questions: DataFrame, records: DataFrame, floor: float | None =
     out = None
     for b in range(blocks):
         part = keyed.filter(F.col("__b") == b).select("qid", "vector").collect()  # at most about ``block`` vectors
-        held = spark.sparkContext.broadcast(([r["qid"] for r in part], unit_rows(np.array([r["vector"] for r in part], np.float64).reshape(len(part), -1))))
+        held = spark.sparkContext.broadcast(([r["qid"] for r in part], unit_rows(np.array([r["vector"] for r in part] or [[0.0]], np.float64))))
 
         def score(batches, held=held):
             ids, q = held.value

@@ -104,7 +104,7 @@ def align_monotone(scores: DataFrame, session: str, chunk: str, page: str, score
     """(session, chunk, page): the best monotone alignment of each session's chunks."""
     kind = scores.schema[session].dataType.simpleString()
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index=chunk, columns=page, values=score, fill_value=0.0)
         path = monotone_path(wide.to_numpy(), skip_cost)
         return pd.DataFrame({session: [key[0]] * len(path), chunk: wide.index, page: [int(wide.columns[j]) for j in path]})
@@ -115,7 +115,7 @@ def align_monotone(scores: DataFrame, session: str, chunk: str, page: str, score
 def merge_cues(df: DataFrame, key: list[str], start: str, end: str, text: str, gap: float = 1.5, most: int = 200) -> DataFrame:
     """Neighbouring cues joined while the pause is short and the text has room."""
 
-    def run(keys, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows: list[list] = []
         for s, e, t in pdf.sort_values([start, end], kind="stable")[[start, end, text]].itertuples(index=False):
             if rows and s - rows[-1][1] <= gap and len(rows[-1][2]) + 1 + len(t) <= most:

@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import bound_batches
+
 #: The template's own marks, and marks of other common templates.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 FOREIGN = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -107,6 +109,7 @@ def _expand(batches):
 
 def format_examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row for each example: its rendered text and the trainable span in code points."""
+    bound_batches(turns.sparkSession)
     rows = turns.select(F.col(conv_col).alias("c"), F.col(turn_col).alias("n"), F.col(role_col).alias("r"), F.col(text_col).alias("t"))
     kind = rows.schema["c"].dataType.simpleString()
     dealt = rows.repartition("c").sortWithinPartitions("c", "n", "r", "t")

@@ -37,6 +37,16 @@ def shared_dir(spark: SparkSession) -> str:
     return held.rstrip("/")
 
 
+def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Let no Arrow batch pass ``most`` bytes in this session: what a worker holds of the input at one
+    time, besides one row, stays small however long texts are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name, "")
+    now = int(held[:-1]) if held.endswith("b") and held[:-1].isdigit() else None
+    if now is None or now > most or now <= 0:
+        spark.conf.set(name, f"{most}b")
+
+
 class Workspace:
     """Intermediate tables of one operator run, as Parquet in the shared folder.
 
@@ -46,6 +56,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, label: str) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import PLAIN_WORD, WordHashes, lower_ascii, mix64, row_key
+from millrace.llm.common import PLAIN_WORD, WordHashes, bound_batches, lower_ascii, mix64, row_key
 
 WINDOW = 10
 MAX_WINDOWS = 200_000
@@ -157,6 +157,7 @@ def scan(
 
     ``clean_text`` is filled only with ``with_text``. An input column named ``into`` is replaced.
     """
+    bound_batches(docs.sparkSession)
     items = _collect_items(benchmark, item_col, item_text_col, window, max_windows)
     if items is None:
         return _scan_by_join(docs, benchmark, text_col, item_col, item_text_col, window, with_text, into)

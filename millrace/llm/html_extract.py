@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import bound_batches
+
 CONTENT, NEUTRAL, BOILERPLATE = range(3)
 TRAIN_PAGES, SEED, STEPS, RATE, DECAY = 360, 3, 250, 0.3, 1e-4
 
@@ -376,6 +378,7 @@ def extract(pages: list[str | None], model: tuple[np.ndarray, np.ndarray]) -> li
 
 def main_text(pages: DataFrame, html_col: str = "html") -> Column:
     """The main text of each row's page."""
+    bound_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(trained())
 
     @F.pandas_udf("string")

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import bound_batches
+
 UNDECIDED = "und"
 DIM = 512
 N = 3
@@ -31,7 +33,7 @@ RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField
 
 def letter_vector(code: int, dim: int) -> np.ndarray:
     """The bipolar vector of a letter; code 0 stands for whatever separates words."""
-    return np.random.Generator(np.random.PCG64([SEED, code])).integers(0, 2, dim).astype(np.float32) * 2 - 1
+    return np.random.Generator(np.random.PCG64([SEED, code])).integers(0, 2, dim).astype(np.int8) * 2 - 1
 
 
 class Bundler:
@@ -55,7 +57,7 @@ class Bundler:
         return got[np.concatenate(([True], (got[1:] != 0) | (got[:-1] != 0)))]
 
     def gram_vector(self, gram: int) -> np.ndarray:
-        out = np.ones(self.dim, np.float32)
+        out = np.ones(self.dim, np.int8)
         for place in range(N):
             code = (gram >> (21 * place)) & 0x1FFFFF
             if code not in self.letters:
@@ -80,8 +82,11 @@ class Bundler:
         counts = np.zeros((len(texts), len(grams)), np.float32)
         for i, (g, c) in enumerate(parts):
             counts[i, np.searchsorted(grams, g)] = c
-        vectors = np.array([self.grams[g] for g in grams.tolist()], np.float32).reshape(len(grams), self.dim)
-        return counts @ vectors
+        out, rows = np.zeros((len(texts), self.dim), np.float32), grams.tolist()
+        for lo in range(0, len(rows), 4096):  # vectors are bytes; so many at one time become floats
+            vectors = np.array([self.grams[g] for g in rows[lo : lo + 4096]], np.int8).astype(np.float32)
+            out += counts[:, lo : lo + 4096] @ vectors
+        return out
 
 
 def _blocks(texts: list[str]):
@@ -125,6 +130,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
     The texts are chosen by a hash of their ids from two narrow columns (a limit in each map task
     before the shuffle), then bundled where they lie: only sums leave the executors.
     """
+    bound_batches(train.sparkSession)
     rows = train.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     rows = rows.filter(F.col("l").isNotNull() & F.col("t").isNotNull())
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i", F.lit(SEED)), "i"))
@@ -154,6 +160,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Column:
     """A struct of ``lang_pred`` and ``score`` for each row of ``docs``."""
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.pandas_udf(RESULT)

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import bound_batches
+
 WINDOW, STRIDE = 64, 48
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 12, 12, 12, 8192
 VOCABULARY, MIN_TEXTS = 3000, 5
@@ -301,6 +303,7 @@ def score(docs: DataFrame, model: Network | float, text_col: str = "text") -> Co
     """The score of each row's whole text, between 0 and 1."""
     if isinstance(model, float):
         return F.lit(model)
+    bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import shared_dir
+from millrace.llm.common import bound_batches, shared_dir
 
 #: Payloads below this many bytes are always written in full.
 MIN_REVISIT_BYTES = 100
@@ -142,6 +142,7 @@ def _writer(root: str, roll: int):
 def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write ``pages`` below ``root`` and return the manifest, one row for each committed file."""
     spark = pages.sparkSession
+    bound_batches(spark)
     rows = pages.select(F.col(id_col).alias("p"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     ids = rows.select("p", F.sha2("html", 256).alias("digest"), F.octet_length("html").alias("size"))
     ids = ids.filter((F.col("size") >= MIN_REVISIT_BYTES) & F.col("p").isNotNull()).select("p", "digest")

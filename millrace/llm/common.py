@@ -41,9 +41,8 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Let no Arrow batch pass ``most`` bytes in this session: what a worker holds of the input at one
     time, besides one row, stays small however long texts are."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    number, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(name, "-1b").lower()).groups()
-    now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] if int(number) > 0 else None
-    if now is None or now > most:
+    number, unit = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(name, "2047m").lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > most:
         spark.conf.set(name, f"{most}b")
 
 

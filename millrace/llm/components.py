@@ -3,8 +3,8 @@
 Each round a large star hangs every larger neighbour under the smallest of a node's neighbourhood,
 and a small star does the same for the smaller ones, until the edges no longer change; they then lead
 from each node straight to the smallest of its component. The rounds grow with the logarithm of the
-longest path. Each round is written out, so lost executors cost one round at most; only a count and a
-checksum of the edges reach the driver. A hub's rows are aggregated before they are dealt, and the
+longest path. Each round is written out, so lost executors cost one round at most; only counts of the
+edges reach the driver. A hub's rows are aggregated before they are dealt, and the
 join back to it is one that adaptive execution can split.
 """
 
@@ -29,21 +29,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return under.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _checksum(edges: DataFrame):
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(u % 1000003)")).first())
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each node hangs under one other, and none that others hang under hangs itself."""
+    n = edges.agg(F.count("*").alias("n"), F.countDistinct("u").alias("u")).first()
+    if n["n"] != n["u"]:
+        return False
+    tops = edges.select("v").distinct()
+    return not edges.join(tops.withColumnRenamed("v", "u"), "u", "left_semi").limit(1).count()
 
 
 def connected(edges: DataFrame, space: Workspace) -> DataFrame:
     """(node, component) for each node of ``edges`` (long columns u and v, no null, u <> v); a
     component bears the smallest of its nodes. An empty edge table gives an empty result."""
-    now = space.save(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    sum_now = _checksum(now)
-    while sum_now[0]:
+    now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now, done = space.save(now, "edges"), False
+    while not done:
         after = space.save(_small_star(_large_star(now)), "stars")
-        sum_after = _checksum(after)
         space.drop(now)
-        now, same, sum_now = after, sum_after == sum_now, sum_after
-        if same:
-            break
+        now, done = after, _is_forest_of_stars(after)
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

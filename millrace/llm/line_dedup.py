@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Workspace, row_key
-from millrace.llm.linking import EMPTY, band_keys, bins_of, densify, join_ids, link
+from millrace.llm.linking import EMPTY, band_keys, bins_of, densify, join_ids, link, local_stars, signatures
 
 SHINGLE_CHARS, PERCENT = 8, 80
 BANDS, ROWS = 10, 3
@@ -67,6 +67,11 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     return out
 
 
+def bands_of(sets: list[np.ndarray]) -> np.ndarray:
+    """The same keys as ``line_bands`` gives, from lines' sets."""
+    return band_keys(densify(signatures(sets, BANDS * ROWS)), BANDS)
+
+
 def _decode(payloads: list[bytes]) -> list[np.ndarray]:
     return shingle_sets([p.decode("utf-8", "surrogatepass") for p in payloads])
 
@@ -90,9 +95,12 @@ def _blocks(lines: list[str]):
         yield at, len(lines)
 
 
+_PLACES = ["doc", "rk", "no", "h1", "h2", "part", "blob"]
+
+
 def _places(batches):
-    """(doc, rk, no, h1, h2, bands) of every line that is not blank, a few millions of characters at a
-    time; of lines that repeat there the first alone has bands."""
+    """(doc, rk, no, h1, h2) of every line that is not blank, a few millions of characters at a time,
+    and (part, blob) with the buckets of the different lines among them."""
     for batch in batches:
         docs, rks, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
         at = 0
@@ -115,13 +123,13 @@ def _places(batches):
             fresh.sort()
             chosen = [lines[i] for i in fresh.tolist()]
             keys = [line_bands(chosen[a:b]) for a, b in _blocks(chosen)]
-            has = np.zeros(len(lines), np.int64)
-            has[fresh] = BANDS
-            offsets = pa.array(np.concatenate(([0], np.cumsum(has))), pa.int32(), mask=np.concatenate((has == 0, [False])))
-            bands = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).ravel() if keys else np.zeros(0, np.int64)))
-            rows = np.array(owner, np.int64)
-            columns = [docs.take(pa.array(rows)), pa.array(rks[rows]), pa.array(no, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "rk", "no", "h1", "h2", "bands"])
+            rows, m = np.array(owner, np.int64), len(lines)
+            packed = local_stars(np.concatenate(keys), h1[fresh].view(np.int64)) if keys else []
+            columns = [docs.take(pa.array(rows)), pa.array(rks[rows]), pa.array(no, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, _PLACES)
+            n = len(packed)
+            columns = [pa.nulls(n, c.type) for c in columns[:5]] + [pa.array([p for p, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, _PLACES)
             at = end
 
 
@@ -142,7 +150,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     space = Workspace(docs.sparkSession, "lines")
     texts = _texts(docs, id_col, text_col)
-    places = space.save(texts.mapInArrow(_places, "doc long, rk long, no int, h1 long, h2 long, bands array<long>"), "places")
+    found = space.save(texts.mapInArrow(_places, "doc long, rk long, no int, h1 long, h2 long, part int, blob binary"), "places")
+    places, packed = found.filter("part IS NULL").select(*_PLACES[:5]), found.filter("part IS NOT NULL").select("part", "blob")
     same = places.groupBy("h1").agg(F.min(F.struct("doc", "rk", "no")).alias("first"), F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
     distinct = space.save(same.filter("lo = hi").select(F.col("h1").alias("id"), "n", "first.*"), "distinct")
 
@@ -161,8 +170,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = join_ids(texts, wanted, ["rk"]).select("t", "want").mapInPandas(pick, "id long, s binary")
         return found.groupBy("id").agg(F.min("s").alias("s"))  # rows equal in id and text give a line twice
 
-    bands = places.filter("bands IS NOT NULL").select(F.col("h1").alias("id"), "bands")
-    labels = link(bands, fetch, PERCENT, space, _decode, least=2, bottom=400)
+    labels = link(packed, fetch, bands_of, PERCENT, space, _decode, bottom=400)
     groups = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
     groups = groups.withColumn("component", F.coalesce("component", "id"))
     keeper = groups.groupBy("component").agg(F.min(F.struct("doc", "rk", "no")).alias("keep"))

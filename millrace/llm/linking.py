@@ -5,8 +5,9 @@ stays, and empty bins borrow from filled ones by a fixed sequence of random pick
 (optimal densification). Bands of a few bins are hashed to bucket keys.
 
 Candidate edges are star-shaped: each bucket links its members to one centre, so a bucket of n
-members gives n - 1 pairs. Buckets are found by a range sort of (key, id), which splits even a bucket
-that holds most of the rows over many tasks. Every edge is confirmed on full sets.
+members gives n - 1 pairs. Band rows are combined where they are made, so that even a bucket that
+holds most of the rows sends one row from each chunk, and travel packed. Every edge is confirmed on
+full sets.
 
 A star may miss a pair whose two members both fall short of the centre. So the members of buckets
 whose members hang under different centres are compared across these, in blocks of bounded size, by
@@ -93,33 +94,64 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def _stars(batches):
-    """(key, centre, id) for buckets of more than one member, from the rows of a range of (key, id).
+#: Buckets are dealt by so many leading bits of their keys; empty parts cost nothing.
+PART_BITS = 12
+_ROW = np.dtype([("key", "<i8"), ("id", "<i8")])
+_EDGE = np.dtype([("key", "<i8"), ("centre", "<i8"), ("id", "<i8")])
 
-    The first and the last bucket of a range may go on in its neighbours: they are reported in any
-    case, as (key, centre, centre), and met by their key afterwards.
-    """
-    parts = [b for b in batches if b.num_rows]
-    if not parts:
-        return
-    k, i = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in parts]) for c in (0, 1))
-    order = np.lexsort((i, k))
-    k, i = k[order], i[order]
-    first = np.concatenate(([True], k[1:] != k[:-1]))
-    centres = i[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
-    edge = (centres != i) & np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1])))
-    edge[0] = edge[np.flatnonzero(first)[-1]] = True
-    yield pa.RecordBatch.from_arrays([pa.array(x[edge]) for x in (k, centres, i)], ["key", "centre", "id"])
 
+def local_stars(keys: np.ndarray, ids: np.ndarray) -> list[tuple[int, bytes]]:
+    """The band rows of one chunk, combined before they are dealt: (part, packed rows).
 
-def bucket_members(bands: DataFrame, space: Workspace) -> DataFrame:
-    """(key, centre, id) of every bucket of ``bands`` (key, id) with more than one member."""
-    dealt = bands.repartitionByRange("key", "id")
-    found = space.save(dealt.mapInArrow(_stars, "key long, centre long, id long"), "buckets")
-    ends = found.filter("centre = id").select("key", "centre").distinct()  # two for each partition
-    least = ends.groupBy("key").agg(F.min("centre").alias("c"), F.count("*").alias("n")).filter("n > 1")
-    across = ends.join(least, "key").filter("centre <> c").select("key", F.col("c").alias("centre"), F.col("centre").alias("id"))
-    return found.filter("centre <> id").union(across)
+    ``keys`` has a row of bucket keys for each of ``ids``. A bucket sends its first member on, packed
+    with others of its part; further members become edges to that one here (part -1). So a bucket
+    that holds most of the rows still sends one row from each chunk.
+    """
+    k, i = keys.ravel(), np.repeat(ids, keys.shape[1])
+    order = np.argsort(k)
+    k, i = k[order], i[order]
+    first = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
+    at = np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))
+    more = ~first & (i != i[at])
+    edges = np.empty(int(more.sum()), _EDGE)
+    edges["key"], edges["centre"], edges["id"] = k[more], i[at][more], i[more]
+    rows = np.empty(int(first.sum()), _ROW)
+    rows["key"], rows["id"] = k[first], i[first]
+    part = (rows["key"] >> (64 - PART_BITS)) + (1 << (PART_BITS - 1))  # ascending, as the keys are
+    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    ends = [*cuts[1:].tolist(), len(rows)]
+    out = [(int(part[a]), rows[a:b].tobytes()) for a, b in zip(cuts.tolist(), ends, strict=True)] if len(cuts) else []
+    return [*out, (-1, edges.tobytes())] if len(edges) else out
+
+
+def _meet(batches):
+    """(key, centre, id) of buckets with more than one member among the packed rows of some parts."""
+    blobs, edges = [], []
+    for b in batches:
+        for part, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            (edges if part < 0 else blobs).append(blob)
+    found = [np.frombuffer(b"".join(edges), _EDGE)] if edges else []
+    if blobs:
+        rows = np.frombuffer(b"".join(blobs), _ROW)
+        order = np.argsort(rows["key"])
+        k, i = rows["key"][order], rows["id"][order]
+        first = np.concatenate(([True], k[1:] != k[:-1]))
+        centre = i[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+        edge = centre != i
+        held = np.empty(int(edge.sum()), _EDGE)
+        held["key"], held["centre"], held["id"] = k[edge], centre[edge], i[edge]
+        found.append(held)
+    for part in found:
+        for lo in range(0, len(part), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c][lo : lo + 200_000])) for c in _EDGE.names], list(_EDGE.names))
+
+
+def bucket_members(packed: DataFrame, space: Workspace) -> DataFrame:
+    """(key, id) of every bucket with more than one member, from (part, blob) of ``local_stars``."""
+    # Edges made in a chunk need no meeting; they are dealt evenly.
+    dealt = packed.repartition(F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.pmod(F.xxhash64("blob"), F.lit(1 << PART_BITS))))
+    found = space.save(dealt.select("part", "blob").mapInArrow(_meet, "key long, centre long, id long"), "buckets")
+    return found.select("key", "id").union(found.select("key", F.col("centre").alias("id"))).distinct()
 
 
 def join_ids(rows: DataFrame, ids: DataFrame, on: list[str], most: int = BROADCAST_IDS) -> DataFrame:
@@ -144,14 +176,16 @@ def _pairs(a: str, b: str):
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
-def _bottom(decode, bottom: int):
-    """(id, n, low): the ``bottom`` smallest hashes of a set, by their upper halves."""
+def _bottom(decode, bands_of, bottom: int):
+    """(id, n, low, bands): the ``bottom`` smallest hashes of a set, by their upper halves, and its
+    bucket keys."""
 
     def run(batches):
         for pdf in batches:
             sets = decode(pdf["s"].tolist())
             low = [np.unique((s[:bottom] >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in sets], "low": low})
+            bands = [row.tolist() for row in bands_of(sets)] if sets else []
+            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in sets], "low": low, "bands": bands})
 
     return run
 
@@ -238,24 +272,23 @@ def _with_last(batches):
         yield True, held
 
 
-def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, space: Workspace, decode: Callable[[list[bytes]], list[np.ndarray]] = as_hashes, least: int = 1, bottom: int = 512) -> DataFrame:
+def link(
+    packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], bands_of: Callable[[list[np.ndarray]], np.ndarray], percent: int, space: Workspace,
+    decode: Callable[[list[bytes]], list[np.ndarray]] = as_hashes, least: int = 2, bottom: int = 512,
+) -> DataFrame:
     """(node, component) of ids that are linked with another one.
 
-    ``sketches``: (id, bands) with a bucket key for each band; rows may repeat. ``fetch``: from a
-    table of ids to (id, s), where ``decode`` makes whole sets, as sorted distinct 64-bit hashes, of
-    binaries s. ``least``: the number of buckets that a pair must share to be a candidate. ``bottom``: the
-    number of a set's hashes that the comparison across components sees.
-
-    ``sketches`` is read twice; its files may go once this returns.
+    ``packed``: (part, blob) of ``local_stars``. ``fetch``: from a table of ids to (id, s), where
+    ``decode`` makes whole sets, as sorted distinct 64-bit hashes, of binaries s, and ``bands_of``
+    their rows of bucket keys. ``least``: the number of buckets that a pair must share to be a
+    candidate. ``bottom``: the number of a set's hashes that the comparison across components sees.
     """
-    found = bucket_members(sketches.select(F.explode("bands").alias("key"), "id"), space)
-    members = space.save(found.select("key", "id").union(found.select("key", F.col("centre").alias("id"))).distinct(), "members")
+    members = space.save(bucket_members(packed, space), "members")
     if least > 1:  # whoever is in fewer shared buckets shares too few with anyone
         often = members.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("id")
         held = members.join(often, "id")
         members = space.save(held.join(held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key").select("key", "id"), "often")
     ids = space.save(members.select("id").distinct(), "ids")
-    banded = space.save(sketches.join(ids, "id", "left_semi").groupBy("id").agg(F.min("bands").alias("bands")), "banded")
     sets = space.save(fetch(ids), "sets")
     # The centre of a bucket is the member whose buckets hold the most rows: what copies stem from
     # shares more bands with them than they do with each other.
@@ -278,9 +311,11 @@ def link(sketches: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("u"), F.max("id").alias("v"), F.max("size").alias("size")).filter("lo <> hi")
     twos = mixed.filter("size = 2").groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("u", "v")
     left = labelled.join(mixed.filter("size > 2").select("key"), "key")
-    marks = left.select("id", "key").join(banded, "id").groupBy("id", "bands").agg(F.bit_or(F.expr("shiftleft(1L, CAST(array_position(bands, key) - 1 AS INT))")).alias("large"))
-    lows = sets.join(marks, "id").select("id", "s").mapInPandas(_bottom(decode, bottom), "id long, n long, low binary")
-    payload = space.save(lows.join(marks, "id"), "payload")
+    marks = left.groupBy("id").agg(F.collect_set("key").alias("keys"))  # one for each band at most
+    lows = sets.join(marks, "id").select("id", "s").mapInPandas(_bottom(decode, bands_of, bottom), "id long, n long, low binary, bands array<long>")
+    bit = lambda acc, i: acc + F.when(F.array_contains("keys", F.get("bands", i)), F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2), i).cast("long")
+    large = F.aggregate(F.sequence(F.lit(0), F.size("bands") - 1), F.lit(0).cast("long"), bit)
+    payload = space.save(lows.join(marks, "id").select("id", "n", "low", "bands", large.alias("large")), "payload")
     left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import BLANK_WORD, Workspace, WordHashes, lower_ascii, mix64
-from millrace.llm.linking import band_keys, densify, join_ids, link, signatures
+from millrace.llm.linking import band_keys, densify, join_ids, link, local_stars, signatures
 
 BANDS, ROWS = 32, 4
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -39,24 +39,33 @@ def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(total)
 
 
+def bands_of(sets: list[np.ndarray]) -> np.ndarray:
+    return band_keys(densify(signatures(sets, BANDS * ROWS)), BANDS)
+
+
 def _sketch(size: int):
     def run(batches):
         hashes = WordHashes()
         for pdf in batches:
             sets = [shingle_set(t, size, hashes) for t in pdf["t"]]
-            keys = band_keys(densify(signatures(sets, BANDS * ROWS)), BANDS)
             yield pd.DataFrame(
                 {
                     "id": pdf["id"],
                     "n": [len(s) for s in sets],
                     "k": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "bands": [k.tolist() if len(s) else [] for k, s in zip(keys, sets, strict=True)],
+                    "bands": [row.tobytes() if len(s) else b"" for row, s in zip(bands_of(sets), sets, strict=True)],
                 }
             )
 
     return run
 
 
+def _pack(batches):
+    for pdf in batches:
+        keys = np.frombuffer(b"".join(pdf["bands"]), np.int64).reshape(len(pdf), BANDS)
+        yield pd.DataFrame(local_stars(keys, pdf["id"].to_numpy(np.int64)), columns=["part", "blob"])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each document: ``id_col``, n_shingles, component_id (the smallest id that can be
     reached over links) and kept (whether the document is that one)."""
@@ -64,7 +73,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space = Workspace(spark, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     named = rows.filter("id IS NOT NULL")
-    sketches = named.mapInPandas(_sketch(shingle_words), "id long, n long, k binary, bands array<long>")
+    sketches = named.mapInPandas(_sketch(shingle_words), "id long, n long, k binary, bands binary")
     one = sketches.groupBy("id").agg(F.min(F.struct("k", "n", "bands")).alias("s")).select("id", "s.*")
     table = space.save(one, "sketches")
     classes = table.filter("n > 0").groupBy("k").agg(F.min(F.struct("id", "bands")).alias("s")).select("k", "s.*")
@@ -83,12 +92,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = join_ids(named, wanted, ["id"]).mapInPandas(sets, "id long, s binary")
         return found.groupBy("id").agg(F.min("s").alias("s"))  # repeated rows of one document are equal here
 
-    labels = link(classes.select("id", "bands"), fetch, percent, space, least=2)
+    packed = space.save(classes.select("id", "bands").mapInPandas(_pack, "part int, blob binary"), "packed")
+    labels = link(packed, fetch, bands_of, percent, space)
     of_class = classes.select("k", F.col("id").alias("node")).join(labels, "node", "left").select("k", F.coalesce("component", "node").alias("c"))
     # Each class is one row; only groups of copies repeat a key, and those joins can be split.
     full = table.filter("n > 0").select("id", "n", "k").join(of_class, "k", "left").select("id", "n", "c")
     out = full.unionByName(table.filter("n = 0").select("id", "n", F.col("id").alias("c")))
-    nameless = rows.filter("id IS NULL").mapInPandas(_sketch(shingle_words), "id long, n long, k binary, bands array<long>")
+    nameless = rows.filter("id IS NULL").mapInPandas(_sketch(shingle_words), "id long, n long, k binary, bands binary")
     out = out.unionByName(nameless.select("id", "n", F.lit(None).cast("long").alias("c")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import eval_queries, join_queries, log_queries, retrieval_queries, series_queries, stream_queries, text_queries
+from millrace.plans import eval_queries, join_queries, log_queries, retrieval_queries, rule_queries, series_queries, stream_queries, text_queries
 
 #: Modules that register queries: each has QUERIES (name -> function) and SQL (name -> text).
-MODULES = (retrieval_queries, log_queries, eval_queries, series_queries, text_queries, join_queries, stream_queries)
+MODULES = (retrieval_queries, log_queries, eval_queries, series_queries, text_queries, join_queries, rule_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

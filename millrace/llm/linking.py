@@ -190,8 +190,9 @@ def _bottom(decode, bands_of, bottom: int):
     return run
 
 
-def maybe_similar(x: np.ndarray, y: np.ndarray, whole: bool, percent: int) -> bool:
-    """Whether two sets, ``x`` and ``y`` their smallest hashes, may be as similar as wanted.
+def likeness(x: np.ndarray, y: np.ndarray, whole: bool, percent: int) -> int:
+    """Whether two sets, ``x`` and ``y`` their smallest hashes, are as similar as wanted: 0 no, 1
+    perhaps, 2 yes.
 
     Small sets are here as a whole, so this is exact but for a margin of two hashes. Of larger ones
     the share among the smallest of both is an estimate; a pair of the wanted similarity falls below
@@ -203,10 +204,10 @@ def maybe_similar(x: np.ndarray, y: np.ndarray, whole: bool, percent: int) -> bo
     twice, union = both[1:][again], both[np.concatenate(([True], ~again))]
     p = percent / 100
     if whole:
-        return len(twice) + 2 >= p * len(union)
+        return int(len(twice) + 2 >= p * len(union)) + int(len(twice) - 1 >= p * (len(union) + 1))
     k = min(len(x), len(y))
     common = int(np.searchsorted(twice, union[k - 1], "right"))
-    return common / k >= p - 4.5 * np.sqrt(p * (1 - p) / k)
+    return int(common / k >= p - 4.5 * np.sqrt(p * (1 - p) / k))
 
 
 def _across(percent: int, least: int, bottom: int):
@@ -214,7 +215,8 @@ def _across(percent: int, least: int, bottom: int):
 
     Rows come sorted by group (key, a, b): with a = b all pairs inside the block count, else those of
     block a with block b. A group has at most two blocks, so what is held is bounded. A pair is
-    looked at in the first large bucket that it shares, if it shares ``least`` buckets of any size.
+    looked at in the first large bucket that it shares, if it shares ``least`` buckets of any size,
+    and unless a sure link joins its components in this group already: that adds none.
     """
 
     def pairs(t, lo, hi):
@@ -223,6 +225,13 @@ def _across(percent: int, least: int, bottom: int):
         if (c == c[0]).all():
             return
         large = (t["large"][lo:hi][:, None] >> np.arange(bands.shape[1])) & 1 == 1
+        top: dict[int, int] = {}
+
+        def find(v):
+            while v in top:
+                v = top[v]
+            return v
+
         both = t["a"][lo] != t["b"][lo]
         step = max(1, 60_000 // m)
         for at in range(0, m, step):  # rows against all that come after them, some rows at a time
@@ -238,8 +247,14 @@ def _across(percent: int, least: int, bottom: int):
             first = (equal & large[i]).argmax(axis=1)
             keep = (equal.sum(axis=1) >= least) & (bands[i, first] == key)
             for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
-                if maybe_similar(low[x], low[y], n[x] <= bottom and n[y] <= bottom, percent):
+                a, b = find(c[x]), find(c[y])
+                if a == b:
+                    continue  # a link between these two components is here already
+                like = likeness(low[x], low[y], n[x] <= bottom and n[y] <= bottom, percent)
+                if like:
                     yield min(ids[x], ids[y]), max(ids[x], ids[y])
+                if like == 2:
+                    top[max(a, b)] = min(a, b)
 
     def run(batches):
         held = None

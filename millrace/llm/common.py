@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Words of benchmark matching: everything but ASCII punctuation, controls and blanks.
 PLAIN_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -84,7 +91,7 @@ class Workspace:
 class WordHashes(dict):
     """Stable 64-bit hashes of words, kept for the words met most recently."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:
@@ -103,6 +110,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Give a worker's freed memory back to the machine; workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def row_key(*cols: str) -> Column:
     """A hash that tells apart rows which share an id but not their content; never null."""
     return F.xxhash64(*cols)

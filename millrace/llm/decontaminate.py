@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import PLAIN_WORD, WordHashes, bound_batches, lower_ascii, mix64, row_key
+from millrace.llm.common import PLAIN_WORD, WordHashes, bound_batches, lower_ascii, mix64, release, row_key
 
 WINDOW = 10
 MAX_WINDOWS = 200_000
@@ -125,6 +125,7 @@ def _scanner(held, with_text: bool):
             n = int(hit.sum())
             clean = (cut_spans(text, hit) if n else text) if with_text else None
             rows.append((len(words), n, len(found), _sha_of_items(found), n > 0, clean))
+        release()
         return pd.DataFrame(rows, columns=REPORT.names)
 
     return scan

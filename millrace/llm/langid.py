@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import bound_batches
+from millrace.llm.common import bound_batches, release
 
 UNDECIDED = "und"
 DIM = 512
@@ -39,7 +39,7 @@ def letter_vector(code: int, dim: int) -> np.ndarray:
 class Bundler:
     """Turns texts into bundled n-gram vectors; n-grams' vectors are kept once made."""
 
-    limit = 60_000
+    limit = 40_000
 
     def __init__(self, dim: int = DIM):
         self.dim, self.letters, self.grams = dim, {}, {}
@@ -166,6 +166,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> Colu
     @F.pandas_udf(RESULT)
     def run(batches: pd.Series) -> pd.DataFrame:
         got = held.value.predict([t or "" for t in batches], _bundler(held.value))
+        release()
         return pd.DataFrame(got, columns=RESULT.names)
 
     return run(F.col(text_col))

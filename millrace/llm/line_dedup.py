@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Workspace, row_key
+from millrace.llm.common import Workspace, release, row_key
 from millrace.llm.linking import EMPTY, band_keys, bins_of, densify, join_ids, link, local_stars, signatures
 
 SHINGLE_CHARS, PERCENT = 8, 80
@@ -131,10 +131,29 @@ def _places(batches):
             columns = [pa.nulls(n, c.type) for c in columns[:5]] + [pa.array([p for p, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, _PLACES)
             at = end
+        release()
 
 
-def _parts(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def _rebuild(text: Column, gone: Column, counts: bool) -> Column:
+    """struct(text, has_lines, n_lines): changed texts without the lines that go; the count is that
+    of lines before."""
+
+    @F.pandas_udf("text string, has_lines boolean, n_lines long")
+    def run(texts: pd.Series, gone_lines: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t, gone_here in zip(texts, gone_lines, strict=True):
+            lines = t.split("\n") if t and (counts or gone_here is not None) else []
+            n = sum(1 for x in lines if x.strip(_BLANKS)) if counts else 0
+            if gone_here is None:
+                rows.append((None, None, n))
+                continue
+            out = set(gone_here.tolist())
+            kept = [x for i, x in enumerate(lines) if i not in out]
+            rows.append(("\n".join(kept), any(x.strip(_BLANKS) for x in kept), n))
+        release()
+        return pd.DataFrame(rows, columns=["text", "has_lines", "n_lines"])
+
+    return run(text, gone)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -166,6 +185,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     lines = text.split("\n")
                     rows += [(w["id"], lines[w["no"]].strip(_BLANKS).encode("utf-8", "surrogatepass")) for w in want]
                 yield pd.DataFrame(rows, columns=["id", "s"])
+                release()
 
         found = join_ids(texts, wanted, ["rk"]).select("t", "want").mapInPandas(pick, "id long, s binary")
         return found.groupBy("id").agg(F.min("s").alias("s"))  # rows equal in id and text give a line twice
@@ -189,18 +209,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_row = gone.groupBy("rk").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("rk", "__rk")  # of one text each
     by_row = F.broadcast(by_row) if gone.count() <= BROADCAST_LINES else by_row
     held = docs.withColumn("__rk", row_key(id_col, text_col)).join(by_row, "__rk", "left")
-    parts = _parts(F.col(text_col))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    # One Python column, computed once: as an expression it would be copied into all that reads it.
+    held = held.withColumn("__new", _rebuild(F.col(text_col), F.col("__gone"), counts))
     changed = F.col("__gone").isNotNull()
-    text = F.when(changed, F.array_join(F.transform(stay, lambda i: F.get(F.col("__parts"), i)), "\n")).otherwise(F.col(text_col))
-    held = held.withColumn("__parts", parts).withColumn("__text", text)
     if drop_emptied:
-        held = held.filter(~changed | (F.btrim("__text", F.lit(_BLANKS + "\n")) != ""))
-    new = {text_col: F.col("__text")}
+        held = held.filter(~changed | F.col("__new.has_lines"))
+    new = {text_col: F.when(changed, F.col("__new.text")).otherwise(F.col(text_col))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(changed, F.length("__new.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     if counts:
-        blank = lambda x: F.btrim(x, F.lit(_BLANKS)) != ""
-        held = held.withColumn("__n_lines", F.coalesce(F.size(F.filter("__parts", blank)), F.lit(0)).cast("long"))
-        held = held.withColumn("__n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+        held = held.withColumns({"__n_lines": F.col("__new.n_lines"), "__n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
     return held.withColumns(new).select(*docs.columns, *(["__n_lines", "__n_removed"] if counts else []))

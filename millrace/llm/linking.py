@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Workspace, chunks, mix64
+from millrace.llm.common import Workspace, chunks, mix64, release
 from millrace.llm.components import connected
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -144,6 +144,7 @@ def _meet(batches):
     for part in found:
         for lo in range(0, len(part), 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(part[c][lo : lo + 200_000])) for c in _EDGE.names], list(_EDGE.names))
+    release()
 
 
 def bucket_members(packed: DataFrame, space: Workspace) -> DataFrame:
@@ -167,6 +168,7 @@ def _confirm(edges: DataFrame, sets: DataFrame, percent: int, decode) -> DataFra
                 held = dict(zip(distinct, decode(distinct), strict=True))
                 ok = [similar(held[a], held[b], percent) for a, b in zip(part["su"], part["sv"], strict=True)]
                 yield part.loc[ok, ["u", "v"]]
+            release()
 
     u, v = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
     return edges.join(v, "v").join(u, "u").mapInPandas(check, "u long, v long")
@@ -186,6 +188,7 @@ def _bottom(decode, bands_of, bottom: int):
             low = [np.unique((s[:bottom] >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
             bands = [row.tolist() for row in bands_of(sets)] if sets else []
             yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in sets], "low": low, "bands": bands})
+            release()
 
     return run
 
@@ -272,6 +275,7 @@ def _across(percent: int, least: int, bottom: int):
             out = [p for lo, hi in zip(whole[:-1], whole[1:], strict=True) if hi - lo > 1 for p in pairs(t, lo, hi)]
             held = None if last or not m else table.slice(whole[-1])
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+            release()
 
     return run
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BLANK_WORD, Workspace, WordHashes, lower_ascii, mix64
+from millrace.llm.common import BLANK_WORD, WordHashes, Workspace, lower_ascii, mix64, release
 from millrace.llm.linking import band_keys, densify, join_ids, link, local_stars, signatures
 
 BANDS, ROWS = 32, 4
@@ -56,6 +56,7 @@ def _sketch(size: int):
                     "bands": [row.tobytes() if len(s) else b"" for row, s in zip(bands_of(sets), sets, strict=True)],
                 }
             )
+            release()
 
     return run
 

@@ -51,6 +51,7 @@ def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: int,
         seen[rows[:, None], near] = True
         near = np.sort(np.where(fresh, near, n), axis=1)  # two expanded points may share a neighbour
         near[:, 1:][near[:, 1:] == near[:, :-1]] = n
+        near.sort(axis=1)
         near = near[:, : max(1, int((near < n).sum(axis=1).max(initial=0)))]
         real = near < n
         at = np.where(real, near, 0)

@@ -12,8 +12,8 @@ decisions are merged with the pages by the range sort itself, so payloads are sh
 Files are opened with ``pyarrow.fs`` (local, S3, GCS, HDFS), below the folder that all machines share.
 
 Edge cases: null html is an empty payload; repeated page ids with equal payloads make one response
-and revisits that refer to that id; a null page id is written with an empty id and read back as null
-(and never stands for a group); an empty table gives an empty manifest. Extra columns are never read.
+and revisits that refer to that id; a page with a null id is written in full, with an empty id that is
+read back as null, and takes no part in groups; an empty table gives an empty manifest. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -95,7 +95,7 @@ class _Shards:
         if self.out is None:
             self.name = f"part-{self.part:05d}-{self.seq:05d}.warc.gz"
             self.temp = f"{self.root}/_temporary/{self.attempt}-{self.name}"
-            self.out, self.sha, self.n, self.size, self.first = self.fs.open_output_stream(self.temp), hashlib.sha256(), 0, 0, page
+            self.out, self.sha, self.n, self.size, self.first = self.fs.open_output_stream(self.temp, compression=None), hashlib.sha256(), 0, 0, page
         packed = _gzip(data)
         self.out.write(packed)
         self.sha.update(packed)
@@ -190,7 +190,7 @@ def read_archives(spark: SparkSession, root: str, manifest: DataFrame, id_type:
         for pdf in batches:
             for name in pdf["file"]:
                 rows, held = [], 0
-                with fs.open_input_stream(f"{base}/{name}") as stream:
+                with fs.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for h, content in parse_records(stream):
                         if hashlib.sha256(content).hexdigest() != h["WARC-Block-Digest"][7:]:
                             raise ValueError(f"{name}: block digest differs")

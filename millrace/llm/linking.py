@@ -198,8 +198,8 @@ def likeness(x: np.ndarray, y: np.ndarray, whole: bool, percent: int) -> int:
     perhaps, 2 yes.
 
     Small sets are here as a whole, so this is exact but for a margin of two hashes. Of larger ones
-    the share among the smallest of both is an estimate; a pair of the wanted similarity falls below
-    the margin by chance but once in three hundred thousand times.
+    the share among the smallest of both is an estimate, which chance takes across the margin on
+    either side but once in three hundred thousand times.
     """
     both = np.concatenate((x, y))
     both.sort()
@@ -210,7 +210,8 @@ def likeness(x: np.ndarray, y: np.ndarray, whole: bool, percent: int) -> int:
         return int(len(twice) + 2 >= p * len(union)) + int(len(twice) - 1 >= p * (len(union) + 1))
     k = min(len(x), len(y))
     common = int(np.searchsorted(twice, union[k - 1], "right"))
-    return int(common / k >= p - 4.5 * np.sqrt(p * (1 - p) / k))
+    share, spread = common / k, 4.5 * np.sqrt(p * (1 - p) / k)
+    return int(share >= p - spread) + int(share >= p + spread)
 
 
 def _across(percent: int, least: int, bottom: int):

@@ -207,7 +207,7 @@ def test_warc_round_trip(spark, tmp_path):
     out = [r.asDict() for r in warc.read_archives(spark, root, manifest, with_payload=True).collect()]
     assert len(out) == len(rows)
     kinds = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in out if (r["page_id"] or 0) < 100)
-    assert kinds == [(0, "revisit", 3), (3, "response", None), (3, "revisit", 3), (4, "response", None), (5, "response", None), (6, "response", None), (7, "revisit", 3), (8, "response", None), (9, "revisit", 3)]
+    assert kinds == [(0, "response", None), (3, "response", None), (3, "revisit", 3), (4, "response", None), (5, "response", None), (6, "response", None), (7, "revisit", 3), (8, "response", None), (9, "revisit", 3)]
     text = {i: (h or "").encode() for i, _, h in rows}
     for r in out:
         assert r["payload_digest"] == hashlib.sha256(text[r["page_id"]]).hexdigest() and r["payload_bytes"] == len(text[r["page_id"]])

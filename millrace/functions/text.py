@@ -90,9 +90,15 @@ def extract_json(text: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """All runs of n words; none where there are fewer."""
-    count = F.size(words) - (n - 1)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(count > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(ws: Column) -> Column:
+        count = F.size(ws) - (n - 1)
+        found = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
+        return F.when(count > 0, found).otherwise(F.array().cast("array<string>"))
+
+    # The words are an argument, so they are made once: named in the inner lambda they would be made
+    # anew for every run.
+    return F.get(F.transform(F.array(words), runs), F.lit(0))
 
 
 def hmac_sha256(key: str, text: Column) -> Column:

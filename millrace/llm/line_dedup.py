@@ -170,7 +170,8 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space = Workspace(docs.sparkSession, "lines")
     texts = _texts(docs, id_col, text_col)
     found = space.save(texts.mapInArrow(_places, "doc long, rk long, no int, h1 long, h2 long, part int, blob binary"), "places")
-    places, packed = found.filter("part IS NULL").select(*_PLACES[:5]), found.filter("part IS NOT NULL").select("part", "blob")
+    places = space.save(found.filter("part IS NULL").select(*_PLACES[:5]), "lines")
+    packed = found.filter("part IS NOT NULL").select("part", "blob")  # goes with its table once it is read
     same = places.groupBy("h1").agg(F.min(F.struct("doc", "rk", "no")).alias("first"), F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
     distinct = space.save(same.filter("lo = hi").select(F.col("h1").alias("id"), "n", "first.*"), "distinct")
 
@@ -190,7 +191,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = join_ids(texts, wanted, ["rk"]).select("t", "want").mapInPandas(pick, "id long, s binary")
         return found.groupBy("id").agg(F.min("s").alias("s"))  # rows equal in id and text give a line twice
 
-    labels = link(packed, fetch, bands_of, PERCENT, space, _decode, bottom=400)
+    labels = link(packed, fetch, bands_of, PERCENT, space, _decode)
     groups = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
     groups = groups.withColumn("component", F.coalesce("component", "id"))
     keeper = groups.groupBy("component").agg(F.min(F.struct("doc", "rk", "no")).alias("keep"))

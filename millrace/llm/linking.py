@@ -294,16 +294,17 @@ def _with_last(batches):
 
 def link(
     packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], bands_of: Callable[[list[np.ndarray]], np.ndarray], percent: int, space: Workspace,
-    decode: Callable[[list[bytes]], list[np.ndarray]] = as_hashes, least: int = 2, bottom: int = 512,
+    decode: Callable[[list[bytes]], list[np.ndarray]] = as_hashes, least: int = 2, bottom: int = 1024,
 ) -> DataFrame:
     """(node, component) of ids that are linked with another one.
 
-    ``packed``: (part, blob) of ``local_stars``. ``fetch``: from a table of ids to (id, s), where
+    ``packed``: (part, blob) of ``local_stars``, a table of ``space`` that goes once it is read. ``fetch``: from a table of ids to (id, s), where
     ``decode`` makes whole sets, as sorted distinct 64-bit hashes, of binaries s, and ``bands_of``
     their rows of bucket keys. ``least``: the number of buckets that a pair must share to be a
     candidate. ``bottom``: the number of a set's hashes that the comparison across components sees.
     """
     members = space.save(bucket_members(packed, space), "members")
+    space.drop(packed)
     if least > 1:  # whoever is in fewer shared buckets shares too few with anyone
         often = members.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("id")
         held = members.join(often, "id")

@@ -2,10 +2,11 @@
 
 Lines are compared after trimming blanks at both ends; blank lines are never compared and always
 stay. Equal lines are met by their hashes; different lines are linked where the Jaccard similarity
-of their sets of 8-character shingles (of a shorter line: the whole line) is 0.8 or more, found by 10
-bands of 3 bins (two common buckets make a candidate: a pair of similarity 0.8 is reached but for a
-chance of nine in a thousand, one of 0.85 of one in a thousand, one of 0.9 of three in a hundred thousand) and confirmed exactly. Of each component the line that comes first,
-by document id, row and place, stays; the others go from their texts.
+of their sets of 8-character shingles (of a shorter line: the whole line) is 0.8 or more, found by 12
+bands of 3 bins (one common bucket makes a candidate: a pair of similarity 0.8 is reached but for a
+chance of two in ten thousand, one of 0.85 of one in a hundred thousand, one of 0.9 of two in ten
+million) and confirmed exactly. Of each component the line that comes first, by document id, row and
+place, stays; the others go from their texts.
 
 Edge cases: null and empty texts stay as they are; a document that loses all its lines gets an empty
 text (``dedup_lines``) or goes (``drop_emptied``); ties between rows with equal ids are ordered by a
@@ -26,7 +27,9 @@ from millrace.llm.common import Workspace, release, row_key
 from millrace.llm.linking import EMPTY, band_keys, bins_of, densify, join_ids, link, local_stars, signatures
 
 SHINGLE_CHARS, PERCENT = 8, 80
-BANDS, ROWS = 10, 3
+BANDS, ROWS = 12, 3
+#: Buckets that two lines must share to be compared.
+LEAST = 1
 #: Characters whose shingles are hashed at one time in a worker.
 BLOCK_CHARS = 100_000
 #: Characters of texts whose lines a worker holds at one time.
@@ -191,7 +194,7 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = join_ids(texts, wanted, ["rk"]).select("t", "want").mapInPandas(pick, "id long, s binary")
         return found.groupBy("id").agg(F.min("s").alias("s"))  # rows equal in id and text give a line twice
 
-    labels = link(packed, fetch, bands_of, PERCENT, space, _decode)
+    labels = link(packed, fetch, bands_of, PERCENT, space, _decode, LEAST)
     groups = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
     groups = groups.withColumn("component", F.coalesce("component", "id"))
     keeper = groups.groupBy("component").agg(F.min(F.struct("doc", "rk", "no")).alias("keep"))

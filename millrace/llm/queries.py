@@ -16,7 +16,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents"))
+    return mixing.mix(_read(spark, sf_dir, "documents"), whole_copies=True)  # as its SQL
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

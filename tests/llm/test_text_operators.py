@@ -54,6 +54,12 @@ def test_mix_large_rate_and_join_path(spark, monkeypatch):
     assert sorted((r["doc_id"], r["copy"]) for r in mixing.mix(df).collect()) == want
 
 
+def test_mix_large_rates_are_poisson(spark):
+    df = spark.createDataFrame([(i, "rare" if i < 100 else "most") for i in range(50_000)], "doc_id long, source string")
+    n = np.array([r["n"] for r in mixing.mix(df, {"rare": 1.0}).groupBy("doc_id").agg(F.count("*").alias("n")).collect()])
+    assert len(n) == 100 and n.mean() == pytest.approx(500, rel=0.02) and n.var() == pytest.approx(500, rel=0.35)
+
+
 # Chat
 
 CONTROLS = st.sampled_from([*chat.FOREIGN, chat.TURN, chat.TEXT, chat.END, "\\", "<", "|", "<\\|turn|>", "[\\INST]", "a", "\n", "é"])

@@ -3,7 +3,8 @@
 A word enters as its own vector (for words frequent in the training texts) beside the sum of hashed
 vectors of its character n-grams. Gated recurrent units read each window of ``WINDOW`` words both
 ways, attention pools their states, and a logistic unit scores the window. All windows of a text,
-one every ``STRIDE`` words, are scored, and the text's score is its worst window's. The fit takes
+one every ``STRIDE`` words, are scored, so a passage of up to ``WINDOW - STRIDE + 1`` words lies whole in
+one of them, and the text's score is its worst window's. The fit takes
 labels of whole texts: windows share the loss of their text by a smooth maximum.
 
 Edge cases: null and empty texts are one window without words; without training texts of both labels
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import bound_batches
 
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 12, 12, 12, 8192
 VOCABULARY, MIN_TEXTS = 3000, 5
 #: The fit reads at most so many texts of each label, by a hash of their ids, of at most so many words.

@@ -225,6 +225,12 @@ def test_windows_overlap_and_cover():
         assert all(b - a < toxicity.WINDOW for a, b in zip(begins, begins[1:], strict=False))
 
 
+def test_passages_of_half_a_window_lie_whole_in_one():
+    for n in (64, 65, 112, 333):
+        begins, size = toxicity.windows_of(n), toxicity.WINDOW // 2
+        assert all(any(b <= i and i + size <= b + toxicity.WINDOW for b in begins) for i in range(n - size + 1))
+
+
 # HTML
 
 

@@ -136,7 +136,8 @@ def _collect_items(benchmark: DataFrame, item_col: str, text_col: str, window: i
 
     The count comes first and runs on the executors, so nothing unbounded reaches the driver.
     """
-    word_count = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(f"({PLAIN_WORD.pattern})"), 1))
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    word_count = F.size(F.regexp_extract_all(lower, F.lit(f"({PLAIN_WORD.pattern})"), 1))
     total = benchmark.agg(F.sum(F.greatest(word_count - (window - 1), F.lit(1)) + window)).first()[0] or 0
     if total > most:
         return None

@@ -122,6 +122,12 @@ def test_scan_both_paths_against_brute_force(spark, most):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["n_items"], got[i]["items_sha256"], got[i]["contaminated"]) == (n, hit, len(found), sha, hit > 0)
 
 
+def test_a_benchmark_in_capitals_is_counted_whole(spark):
+    bench = spark.createDataFrame([(1, " ".join(["WORD"] * 400))], "item_id long, text string")
+    assert decontaminate._collect_items(bench, "item_id", "text", 10, 100) is None
+    assert len(decontaminate._collect_items(bench, "item_id", "text", 10, 401)) == 1
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_decontaminate_cuts_and_keeps(spark, most):
     passage = "one two three four five six seven eight nine ten eleven"

@@ -147,6 +147,28 @@ def _masked(column: str) -> str:
 
 
 _GRAMS = "list_distinct(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {m} + 1), lambda i: array_to_string(w[i:i + {m}], ' ')) ELSE []::VARCHAR[] END)"
+_WC = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
+#: Paragraphs, long ones taken apart at sentences and packed again, then packed into chunks: both by recursion.
+_CHUNKS = rf"""
+WITH RECURSIVE raw AS (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS pi FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '\n+') AS ps FROM documents)),
+par AS (SELECT doc_id, pi, p, {_WC.format("p")} AS n FROM (SELECT doc_id, pi, regexp_replace(p, '^\s+|\s+$', '', 'g') AS p FROM raw) WHERE p <> ''),
+sen AS (SELECT doc_id, pi, unnest(ss) AS s, unnest(range(len(ss))) AS si FROM (SELECT doc_id, pi, string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM par WHERE n > 400)),
+part AS (SELECT doc_id, pi, si, 0 AS wi, s AS t FROM sen WHERE {_WC.format("s")} <= 400
+  UNION ALL SELECT doc_id, pi, si, wi, array_to_string(ws[wi * 400 + 1:wi * 400 + 400], ' ') FROM (SELECT doc_id, pi, si, ws, unnest(range(ceil(len(ws) / 400.0)::BIGINT)) AS wi
+    FROM (SELECT doc_id, pi, si, list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '') AS ws FROM sen) WHERE len(ws) > 400)),
+num AS (SELECT doc_id, pi, row_number() OVER (PARTITION BY doc_id, pi ORDER BY si, wi) AS i, t, {_WC.format("t")} AS n FROM part),
+pack AS (SELECT doc_id, pi, i, n AS size, 0 AS no FROM num WHERE i = 1
+  UNION ALL SELECT x.doc_id, x.pi, x.i, CASE WHEN size + n > 400 THEN n ELSE size + n END, no + (size + n > 400)::INT FROM pack JOIN num x ON x.doc_id = pack.doc_id AND x.pi = pack.pi AND x.i = pack.i + 1),
+unit AS (SELECT doc_id, pi, 0 AS no, p AS t FROM par WHERE n <= 400
+  UNION ALL SELECT doc_id, pi, no, string_agg(t, ' ' ORDER BY i) FROM pack JOIN num USING (doc_id, pi, i) GROUP BY doc_id, pi, no),
+u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pi, no) AS i, t, {_WC.format("t")} AS n, regexp_matches(t, '{_q(chunking.OPENING)}') AS opens FROM unit),
+fold AS (SELECT doc_id, i, n AS size, 0 AS no FROM u WHERE i = 1
+  UNION ALL SELECT u.doc_id, u.i, CASE WHEN size + n > 400 OR (opens AND size >= 150) THEN n ELSE size + n END, no + (size + n > 400 OR (opens AND size >= 150))::INT FROM fold JOIN u ON u.doc_id = fold.doc_id AND u.i = fold.i + 1),
+c AS (SELECT doc_id, no, sum(n) AS size, max(no) OVER (PARTITION BY doc_id) AS top FROM fold JOIN u USING (doc_id, i) GROUP BY doc_id, no),
+small AS (SELECT a.doc_id, a.no FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.no = b.no + 1 WHERE a.no = a.top AND a.size < 75 AND a.size + b.size <= 500),
+placed AS (SELECT doc_id, i, t, fold.no - (small.no IS NOT NULL)::INT AS chunk FROM fold JOIN u USING (doc_id, i) LEFT JOIN small USING (doc_id, no))
+SELECT doc_id, chunk, sum({_WC.format("t")})::INTEGER AS words, md5(string_agg(t, chr(10) ORDER BY i)) AS text_md5 FROM placed GROUP BY doc_id, chunk
+"""
 _G8, _G4 = _GRAMS.format(n=8, m=7), _GRAMS.format(n=4, m=3)
 SQL = {
     "f01_scrub": f"WITH m AS (SELECT doc_id, {_masked('text')} AS t FROM documents) SELECT doc_id, md5(t) AS masked, len(regexp_extract_all(t, '\\[(?:email|number|handle)\\]'))::INTEGER AS n FROM m",
@@ -157,6 +179,7 @@ SQL = {
     "f22_segments": "WITH t AS (SELECT conv_id, turn, left(regexp_replace(text, '[^ -~]+', ' ', 'g'), 300) AS t FROM conversations) SELECT conv_id, turn, CASE WHEN length(t) <= 160 THEN 1 ELSE ceil(length(t) / 153.0) END::BIGINT AS segments FROM t",
     "f26_contamination": f"WITH a AS (SELECT item_id, unnest({_G8}) AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)), b AS (SELECT doc_id, unnest({_G8}) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)) SELECT item_id, doc_id, count(*) AS n FROM a JOIN b USING (g) GROUP BY ALL",
     "f25_echo": f"WITH c AS (SELECT conv_id, turn, {_G4} AS g FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations)) SELECT a.conv_id, a.turn, list_has_any(a.g, b.g) AS echo, len(list_filter(a.g, lambda x: NOT list_contains(b.g, x)))::INTEGER AS fresh FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1",
+    "f29_chunks": _CHUNKS,
     "f34_clean_url": r"WITH u AS (SELECT page_id, url AS u0, regexp_replace(regexp_replace(url, 'ref=', 'utm_ref=', 'g'), '([?&])utm_[^&#]*&?', '\1', 'g') AS u FROM pages) SELECT page_id, regexp_replace(u, '[?&]+(#|$)', '\1', 'g') AS url, regexp_replace(lower(regexp_extract(u0, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') AS host FROM u",
     "f39_syllables": "WITH w AS (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark) SELECT item_id, sum(greatest(len(regexp_extract_all(w, '[aeiouy]+')) - regexp_matches(w, '[^aeiouyl]e$')::INT, 1))::BIGINT AS syllables FROM w GROUP BY 1",
     "f60_extract_json": "SELECT event_id, props::JSON->>'k' AS k FROM events",

@@ -211,12 +211,23 @@ def test_hmac(spark):
     assert got == hmac.new(b"key", b"message", hashlib.sha256).hexdigest()
 
 
-def test_chunks():
-    assert chunking.chunk_text(None) == [] and chunking.chunk_text(" \n ") == []
-    long = "\n".join(" ".join(["word"] * 90) for _ in range(10))
-    parts = chunking.chunk_text(long)
-    assert all(len(p.split()) <= 500 for p in parts) and "\n".join(parts) == long
-    assert max(len(p.split()) for p in chunking.chunk_text("x " * 1000)) <= 400
+def test_chunks(spark):
+    ninety = " ".join(["word"] * 90)
+    sentence = lambda n, end=".": " ".join(["w"] * n) + end
+    texts = {
+        1: None, 2: " \n ", 3: "\n".join([ninety] * 10), 4: "x " * 1000,
+        5: "\n".join([ninety, ninety, "Q: " + ninety, "2. " + ninety, "# end"]),
+        6: " ".join(sentence(150, e) for e in ".!?"), 7: "\n".join([sentence(390), sentence(70)]), 8: "\n".join([sentence(390), sentence(80)]),
+    }
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    got = {}
+    for r in chunking.chunks(df, "id").orderBy("id", "chunk").collect():
+        got.setdefault(r["id"], []).append(r["chunk_text"])
+    assert set(got) == {3, 4, 5, 6, 7, 8} and "\n".join(got[3]) == texts[3]
+    sizes = {i: [len(c.split()) for c in cs] for i, cs in got.items()}
+    assert sizes[3] == [360, 360, 180] and sizes[4] == [400, 400, 200]
+    assert got[5] == ["\n".join([ninety] * 2), "Q: " + ninety + "\n2. " + ninety + "\n# end"]  # an item opens a chunk, a small rest joins
+    assert sizes[6] == [300, 150] and sizes[7] == [460] and sizes[8] == [390, 80]
 
 
 def test_snapshots(spark):

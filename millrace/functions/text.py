@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # What the masks and detectors look for.
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}"
 HANDLE = r"(^|[^A-Za-z0-9_@])@[A-Za-z0-9_.]{2,}"
-PHONE = r"(\+\d{1,3}[\s.\-]?)?\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]\d{4}"
+PHONE = r"(?<![\w.])(?:\+\d{1,3}[\s.\-]?)?\(?\d{3}\)?[\s.\-]?\d{3}[\s.\-]\d{4}(?![\w.])"
 LONG_DIGITS = r"\b\d{7,}\b"
 URL = r"(?i)https?://\S+"
 API_KEY = r"\b(?:sk-[A-Za-z0-9_\-]{8,}|AKIA[A-Z0-9]{8,}|gh[po]_[A-Za-z0-9]{8,}|xi-[A-Za-z0-9]{8,})"

@@ -22,8 +22,7 @@ def f01_scrub_names(spark, sf_dir):
 
 def f02_leaks(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    reasons = F.filter(text.leak_reasons(F.col("text")), lambda r: r != "personal detail")
-    return d.groupBy(F.array_join(reasons, ",").alias("reasons")).agg(F.count("*").alias("n"))
+    return d.groupBy(F.array_join(text.leak_reasons(F.col("text")), ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
 def f03_norm(spark, sf_dir):
@@ -140,12 +139,35 @@ def _q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
+# The patterns of the SQL stand by themselves, in the syntax of an engine without look-around: a guard before
+# or behind a match is matched too and put back, twice, since neighbours may share it.
 def _masked(column: str) -> str:
-    for pattern, token in text.PLAIN_MASKS:
-        column = f"regexp_replace({column}, '{_q(pattern)}', '{token.replace('$1', chr(92) + '1')}', 'g')"
+    mail = f"regexp_replace({column}, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z][A-Za-z]+', '[email]', 'g')"
+    handle = f"regexp_replace({mail}, '(^|[^A-Za-z0-9_@])@[A-Za-z0-9_.][A-Za-z0-9_.]+', '\\1[handle]', 'g')"
+    phone = handle
+    for _ in range(2):
+        phone = f"regexp_replace({phone}, '(^|[^0-9A-Za-z_.])([+][0-9]{{1,3}}[\\s.-]?)?[(]?[0-9]{{3}}[)]?[\\s.-]?[0-9]{{3}}[\\s.-][0-9]{{4}}($|[^0-9A-Za-z_.])', '\\1[number]\\3', 'g')"
+    return f"regexp_replace({phone}, '\\b[0-9]{{7}}[0-9]*\\b', '[number]', 'g')"
+
+
+def _named(column: str, keep: str | None = None) -> str:
+    name = "[A-Z][a-zA-Z''-]+(?:\\s+[A-Z][a-zA-Z''-]+)?"
+    leads = (
+        ("\\b((?i:my name is|my name''s|i am called|i''m called|call me)\\s+)", "[name]"), ("\\b((?:Prof|Professor|Dr|Mr|Mrs|Ms|Mx)[.]?\\s+)", "[person]"),
+        ("\\b((?i:classmate|teammate|partner|friend|roommate|ta|student|groupmate)s?\\s+)", "[student]"),
+    )
+    for lead, token in leads:
+        if keep:  # a mark between a lead and a kept name, taken out again
+            column = f"regexp_replace({column}, '{lead}((?i:{keep})(?:\\s|$|[^A-Za-z''-]))', '\\1' || chr(1) || '\\2', 'g')"
+        column = f"regexp_replace({column}, '{lead}{name}', '\\1{token}', 'g')"
+        column = f"replace({column}, chr(1), '')" if keep else column
     return column
 
 
+_KEY = "\\b(?:sk-[A-Za-z0-9_-]{8,}|AKIA[A-Z0-9]{8,}|gh[po]_[A-Za-z0-9]{8,}|xi-[A-Za-z0-9]{8,})"
+_TOKENS = "\\[(?:email|number|handle|name|person|student)\\]"
+#: The padded keys of a keyed hash, as blobs.
+_PADS = [bytes(b ^ pad for b in b"millrace".ljust(64, b"\0")).hex() for pad in (0x5C, 0x36)]
 _GRAMS = "list_distinct(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {m} + 1), lambda i: array_to_string(w[i:i + {m}], ' ')) ELSE []::VARCHAR[] END)"
 _WC = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
 #: Paragraphs, long ones taken apart at sentences and packed again, then packed into chunks: both by recursion.
@@ -172,10 +194,14 @@ SELECT doc_id, chunk, sum({_WC.format("t")})::INTEGER AS words, md5(string_agg(t
 _G8, _G4 = _GRAMS.format(n=8, m=7), _GRAMS.format(n=4, m=3)
 SQL = {
     "f01_scrub": f"WITH m AS (SELECT doc_id, {_masked('text')} AS t FROM documents) SELECT doc_id, md5(t) AS masked, len(regexp_extract_all(t, '\\[(?:email|number|handle)\\]'))::INTEGER AS n FROM m",
-    "f02_leaks": "SELECT concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(text, '{_q(p)}') THEN '{n}' END" for n, p in text.DETECTORS) + ") AS reasons, count(*) AS n FROM documents GROUP BY 1",
+    "f01_scrub_names": f"WITH m AS (SELECT doc_id, {_masked('text')} AS t FROM documents), s AS (SELECT doc_id, {_named('t', 'ben|benjamin')} AS t FROM m) SELECT doc_id, len(regexp_extract_all(t, '{_TOKENS}'))::INTEGER AS n FROM s",
+    "f02_leaks": f"""WITH m AS (SELECT text, {_masked('text')} AS t FROM documents), s AS (SELECT text, {_named('t')} AS t, regexp_matches(text, '{_TOKENS}') AS token FROM m)
+SELECT concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z][A-Za-z]+') THEN 'email' END, CASE WHEN regexp_matches(text, '(?i)https?://[^\\s]+') THEN 'url' END,
+  CASE WHEN regexp_matches(text, '\\b[0-9]{{7}}[0-9]*\\b') THEN 'long number' END, CASE WHEN regexp_matches(text, '{_KEY}') THEN 'api key' END, CASE WHEN token THEN 'scrub token' END,
+  CASE WHEN t <> text AND NOT token THEN 'personal detail' END) AS reasons, count(*) AS n FROM s GROUP BY 1""",
     "f03_norm": "SELECT doc_id, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS norm FROM documents",
     "f06_clip": r"WITH c AS (SELECT doc_id, text, left(text, 80) AS c FROM documents), b AS (SELECT *, regexp_extract(c, '(?s)^(.*)\s\S*$', 1) AS b FROM c) SELECT doc_id, CASE WHEN length(text) <= 80 THEN text WHEN b <> '' THEN b ELSE c END AS clipped FROM b",
-    "f08_secrets": f"WITH r AS (SELECT doc_id, regexp_replace(text, '{_q(text.API_KEY)}', '[REDACTED_KEY]', 'g') AS t FROM documents) SELECT doc_id, md5(t) AS redacted, contains(t, '[REDACTED_KEY]') AS changed FROM r",
+    "f08_secrets": f"WITH r AS (SELECT doc_id, regexp_replace(text, '{_KEY}', '[REDACTED_KEY]', 'g') AS t FROM documents) SELECT doc_id, md5(t) AS redacted, contains(t, '[REDACTED_KEY]') AS changed FROM r",
     "f22_segments": "WITH t AS (SELECT conv_id, turn, left(regexp_replace(text, '[^ -~]+', ' ', 'g'), 300) AS t FROM conversations) SELECT conv_id, turn, CASE WHEN length(t) <= 160 THEN 1 ELSE ceil(length(t) / 153.0) END::BIGINT AS segments FROM t",
     "f26_contamination": f"WITH a AS (SELECT item_id, unnest({_G8}) AS g FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark)), b AS (SELECT doc_id, unnest({_G8}) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents)) SELECT item_id, doc_id, count(*) AS n FROM a JOIN b USING (g) GROUP BY ALL",
     "f25_echo": f"WITH c AS (SELECT conv_id, turn, {_G4} AS g FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations)) SELECT a.conv_id, a.turn, list_has_any(a.g, b.g) AS echo, len(list_filter(a.g, lambda x: NOT list_contains(b.g, x)))::INTEGER AS fresh FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1",
@@ -184,10 +210,11 @@ SQL = {
     "f39_syllables": "WITH w AS (SELECT item_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) AS w FROM benchmark) SELECT item_id, sum(greatest(len(regexp_extract_all(w, '[aeiouy]+')) - regexp_matches(w, '[^aeiouyl]e$')::INT, 1))::BIGINT AS syllables FROM w GROUP BY 1",
     "f60_extract_json": "SELECT event_id, props::JSON->>'k' AS k FROM events",
     "f67_hashes": "SELECT doc_id, left(sha256(concat_ws('|', source, lang, text)), 16) AS cache_key FROM documents",
+    "f68_client_hash": f"WITH u AS (SELECT DISTINCT user_id FROM events) SELECT user_id, left(sha256(from_hex('{_PADS[0]}') || from_hex(sha256(from_hex('{_PADS[1]}') || user_id::VARCHAR::BLOB))), 16) AS client FROM u",
     "s33_csv_guard": "WITH c AS (SELECT lang, CASE WHEN doc_id % 9 = 0 THEN '=' ELSE '' END || text AS c FROM documents) SELECT lang, count(*) FILTER (left(c, 1) IN ('=', '+', '-', '@', chr(9), chr(13))) AS escaped, count(*) AS n FROM c GROUP BY 1",
     "a36_boilerplate": "WITH d AS (SELECT source || '-' || lang AS deck, doc_id, lower(text) AS t FROM documents), l AS (SELECT DISTINCT deck, doc_id, trim(unnest(string_split(t, chr(10)))) AS line FROM d), s AS (SELECT deck, count(*) AS texts FROM d GROUP BY 1), c AS (SELECT deck, line, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL) SELECT deck, line, n FROM c JOIN s USING (deck) WHERE n >= greatest(3, floor(texts * 0.1))",
     "a37_vocabulary": r"SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents WHERE lang = 'en') WHERE w = lower(w) GROUP BY 1 HAVING n >= 50",
     "a46_leak_hits": "WITH c AS (SELECT 'text' AS place, text AS cell FROM documents UNION ALL SELECT 'lang', lang FROM documents UNION ALL SELECT 'source', source FROM documents), w AS (SELECT place, unnest(regexp_extract_all(lower(cell), '[a-z0-9]+')) AS w FROM c) SELECT place, w, count(*) AS n FROM w WHERE w IN ('idiot', 'license', 'en', 'src3') GROUP BY ALL",
-    "p16_content_flags": rf"SELECT concat_ws(',', CASE WHEN regexp_matches(text, '(?i)\blicensed? under\b|\ball rights reserved\b') THEN 'license' END, CASE WHEN regexp_matches(text, '{_q(text.API_KEY)}') THEN 'secret' END, CASE WHEN regexp_matches(text, ' \| ') THEN 'table' END) AS flags, count(*) AS n FROM documents GROUP BY 1",
+    "p16_content_flags": rf"SELECT concat_ws(',', CASE WHEN regexp_matches(text, '(?i)\blicensed? under\b|\ball rights reserved\b') THEN 'license' END, CASE WHEN regexp_matches(text, '{_KEY}') THEN 'secret' END, CASE WHEN regexp_matches(text, ' \| ') THEN 'table' END) AS flags, count(*) AS n FROM documents GROUP BY 1",
     "p17_stuck_transcript": "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT doc_id, line, count(*) AS c FROM l GROUP BY ALL), p AS (SELECT doc_id, max(c) AS top, sum(c) AS n, count(*) AS kinds FROM c GROUP BY 1) SELECT doc_id, n >= 4 AND (top >= 0.5 * n OR kinds <= 3) AS stuck FROM p",
 }

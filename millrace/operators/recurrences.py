@@ -118,6 +118,7 @@ def merge_cues(df: DataFrame, key: list[str], start: str, end: str, text: str, g
     def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows: list[list] = []
         for s, e, t in pdf.sort_values([start, end], kind="stable")[[start, end, text]].itertuples(index=False):
+            t = t or ""
             if rows and s - rows[-1][1] <= gap and len(rows[-1][2]) + 1 + len(t) <= most:
                 rows[-1][1], rows[-1][2] = max(rows[-1][1], e), f"{rows[-1][2]} {t}"
             else:

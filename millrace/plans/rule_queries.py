@@ -70,7 +70,7 @@ def j08_judge_retest(spark, sf_dir):
 def j19_listed_words(spark, sf_dir):
     """Capitalised words of documents that a list has and a dictionary has not."""
     names = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("w")).distinct()
-    common = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([a-z]+)"), 1)).alias("w")).distinct()
+    common = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit(r"(?:^|[^\p{L}])([a-z]+)"), 1)).alias("w")).distinct()
     return smoothing.mask_listed_names(table(spark, sf_dir, "documents"), "doc_id", "text", names, common)
 
 
@@ -239,6 +239,13 @@ SQL = {
     "j25_normalised_lookup": f"WITH d AS (SELECT doc_id, source, {_NORM} AS k FROM documents), s AS (SELECT k, min(doc_id) AS topic FROM d WHERE source = 'src0' GROUP BY 1) SELECT doc_id, topic FROM d JOIN s USING (k)",
     "j29_first_rule": f"SELECT role, {_case(_ROUTES, 'text')} AS entry, count(*) AS n FROM conversations GROUP BY ALL",
     "f17_keyword_scope": f"SELECT doc_id, {_case(_SCOPE, 'text')} AS scope FROM documents",
+    "j19_listed_words": r"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark), c AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:^|[^\p{L}])([a-z]+)', 1)) AS w FROM conversations),
+l AS (SELECT w FROM n WHERE w NOT IN (SELECT w FROM c)), t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}''-]+')) AS raw FROM documents)
+SELECT doc_id AS id, count(*) AS n, string_agg(DISTINCT lower(raw), ',' ORDER BY lower(raw)) AS words FROM t WHERE raw <> lower(raw) AND lower(raw) IN (SELECT w FROM l) GROUP BY 1""",
+    "f07_redact_sentences": r"""WITH p AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[^.!?\n]*[.!?\n]*'), lambda s: CASE WHEN regexp_matches(s, '(?i)idiot|license') THEN '[redacted]' ELSE s END) AS p FROM documents), t AS (SELECT doc_id, array_to_string(p, '') AS t FROM p)
+SELECT doc_id, len(regexp_extract_all(t, '\[redacted\]'))::INTEGER AS n, length(t)::INTEGER AS chars FROM t""",
+    "f23_trim_sentences": r"""WITH s AS (SELECT item_id, regexp_extract_all(text, '[^.!?]+[.!?]+\s*') AS s FROM benchmark), p AS (SELECT item_id, list_transform(range(1, len(s) + 1), lambda i: length(rtrim(array_to_string(s[1:i], '')))) AS n FROM s)
+SELECT item_id, coalesce(list_max(list_filter(n, lambda x: x <= 150)), 0)::INTEGER AS n FROM p""",
     "f21_title_score": "WITH w AS (SELECT p_partkey, list_intersect(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_brand), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(p_type || ' brand 12 part'), '[a-z0-9]+'))) AS c FROM part) SELECT p_partkey, (len(c) + 2 * len(list_filter(c, lambda x: regexp_matches(x, '^[0-9]+$'))))::INTEGER AS score FROM w",
     "f32_embed_text": "SELECT doc_id, md5(concat_ws(chr(10) || chr(10), nullif(trim(left(source, 4)), ''), nullif(trim(left(lang, 2)), ''), nullif(trim(left(text, 200)), ''))) AS h FROM documents",
     "f33_split_name": "SELECT c_custkey, split_part(c_name, '#', 1) AS first, split_part(c_name, '#', -1) AS last FROM customer",

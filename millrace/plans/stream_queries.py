@@ -83,6 +83,29 @@ QUERIES = {f.__name__: f for f in (st08_metering_window, st17_sessions, st02_amo
 _E = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1000000.0::DOUBLE - 1704067200 AS t FROM events)"
 SQL = {
     "st08_metering_window": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    # Sessions that the watermark, the last time of all, has passed.
+    "st17_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 21600000000 AS far FROM e),
+s AS (SELECT user_id, t, sum(coalesce(far, false)::INT) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM g)
+SELECT user_id, min(t) AS start, count(*) AS n FROM s GROUP BY user_id, s HAVING max(t) + 21600000000 <= (SELECT max(t) FROM e)""",
+    "st03_admission": f"""WITH RECURSIVE {_E}, s AS (SELECT event_id, user_id, floor(t / 3600) AS h, floor(t / 86400) AS d, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e),
+r AS (SELECT event_id, user_id, i, h, d, 1 AS in_h, 1 AS in_d, true AS allowed FROM s WHERE i = 1
+  UNION ALL SELECT event_id, user_id, i, h, d, nh + ok::INT, nd + ok::INT, ok FROM (SELECT *, nh < 1 AND nd < 3 AS ok FROM (
+    SELECT s.*, CASE WHEN s.h = r.h THEN r.in_h ELSE 0 END AS nh, CASE WHEN s.d = r.d THEN r.in_d ELSE 0 END AS nd FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)))
+SELECT event_id, allowed FROM r""",
+    "w15_merge_cues": """WITH RECURSIVE s AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+r AS (SELECT conv_id, i, turn AS a, turn AS b, n, 0 AS g FROM s WHERE i = 1
+  UNION ALL SELECT conv_id, i, CASE WHEN ok THEN a ELSE turn END, turn, CASE WHEN ok THEN total ELSE n END, g + (NOT ok)::INT FROM (
+    SELECT s.conv_id, s.i, s.turn, s.n, r.a, r.g, r.n + 1 + s.n AS total, s.turn = r.b + 1 AND r.n + 1 + s.n <= 400 AS ok FROM r JOIN s ON s.conv_id = r.conv_id AND s.i = r.i + 1))
+SELECT conv_id, min(a) * 10.0::DOUBLE AS start, max(b) * 10.0::DOUBLE + 9 AS end, max(n)::INTEGER AS n FROM r GROUP BY conv_id, g""",
+    "w26_monotone_path": """WITH RECURSIVE c AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+s AS (SELECT conv_id, turn, i, (n * 3 % 17)::DOUBLE / 17 AS s0, (n * 4 % 17)::DOUBLE / 17 AS s1, (n * 5 % 17)::DOUBLE / 17 AS s2, (n * 6 % 17)::DOUBLE / 17 AS s3 FROM c),
+r AS (SELECT conv_id, i, s0 AS b0, s1 - 0.05::DOUBLE * 1 AS b1, s2 - 0.05::DOUBLE * 2 AS b2, s3 - 0.05::DOUBLE * 3 AS b3, [0] AS p0, [1] AS p1, [2] AS p2, [3] AS p3 FROM s WHERE i = 1
+  UNION ALL SELECT conv_id, i, s0 + t0, s1 + t1 - 0.05::DOUBLE * 1, s2 + t2 - 0.05::DOUBLE * 2, s3 + t3 - 0.05::DOUBLE * 3, list_append(q0, 0), list_append(q1, 1), list_append(q2, 2), list_append(q3, 3) FROM (
+    SELECT *, greatest(t2, l3) AS t3, CASE WHEN l3 > t2 THEN p3 ELSE q2 END AS q3 FROM (SELECT *, greatest(t1, l2) AS t2, CASE WHEN l2 > t1 THEN p2 ELSE q1 END AS q2 FROM (
+      SELECT *, greatest(t0, l1) AS t1, CASE WHEN l1 > t0 THEN p1 ELSE q0 END AS q1 FROM (
+        SELECT s.conv_id, s.i, s0, s1, s2, s3, b0 AS t0, p0 AS q0, b1 + 0.05::DOUBLE * 1 AS l1, b2 + 0.05::DOUBLE * 2 AS l2, b3 + 0.05::DOUBLE * 3 AS l3, p1, p2, p3 FROM r JOIN s ON s.conv_id = r.conv_id AND s.i = r.i + 1))))),
+f AS (SELECT conv_id, CASE WHEN b0 >= greatest(b1, b2, b3) THEN p0 WHEN b1 >= greatest(b2, b3) THEN p1 WHEN b2 >= b3 THEN p2 ELSE p3 END AS path FROM r QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1)
+SELECT conv_id, turn::INTEGER AS chunk, path[i]::INTEGER AS page FROM s JOIN f USING (conv_id)""",
     # The anchor moves with alerts only, so the rows of a key are walked by recursion.
     "st06_alert_dedupe": f"""WITH RECURSIVE {_E}, s AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) AS i FROM e),
 r AS (SELECT event_id, user_id, event_type, i, t AS anchor, false AS repeat FROM s WHERE i = 1

@@ -34,11 +34,14 @@ def lower_ascii(text: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, local mode) is a temporary folder made and set.
+    Only in local mode is a temporary folder made and set where it is unset; on a cluster each machine
+    would write to a disk of its own, so that is an error.
     """
     sc = spark.sparkContext
     held = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not held:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         held = sc.getCheckpointDir()
     return held.rstrip("/")
@@ -56,9 +59,9 @@ def bound_batches(spark: SparkSession, most: int = 8 << 20) -> None:
 class Workspace:
     """Intermediate tables of one operator run, as Parquet in the shared folder.
 
-    A written table cuts the lineage and survives the loss of any executor. After each write the
-    driver's JVM is asked to collect garbage, since Spark frees the shuffle files of finished jobs
-    only when their plans have been collected.
+    A written table cuts the lineage and survives the loss of any executor. ``sweep`` asks the driver's
+    JVM to collect garbage, since Spark frees the shuffle files of finished jobs only when their plans
+    have been collected; operators do so where they have shuffled much.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -69,10 +72,11 @@ class Workspace:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{label}"
 
-    def save(self, df: DataFrame, label: str) -> DataFrame:
+    def save(self, df: DataFrame, label: str, sweep: bool = False) -> DataFrame:
         path = self.path(label)
         df.write.parquet(path)
-        self.sweep()
+        if sweep:
+            self.sweep()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def sweep(self) -> None:

@@ -2,10 +2,10 @@
 
 Lines are compared after trimming blanks at both ends; blank lines are never compared and always
 stay. Equal lines are met by their hashes; different lines are linked where the Jaccard similarity
-of their sets of 8-character shingles (of a shorter line: the whole line) is 0.8 or more, found by 12
-bands of 3 bins (one common bucket makes a candidate: a pair of similarity 0.8 is reached but for a
-chance of two in ten thousand, one of 0.85 of one in a hundred thousand, one of 0.9 of two in ten
-million) and confirmed exactly. Of each component the line that comes first, by document id, row and
+of their sets of 8-character shingles (of a shorter line: the whole line) is 0.8 or more, found by 18
+bands of 4 bins (one common bucket makes a candidate: a pair of similarity 0.8 is reached but for a
+chance of one in ten thousand, one of 0.85 of one in two million, one of 0.9 of one in ten billion)
+and confirmed exactly. Of each component the line that comes first, by document id, row and
 place, stays; the others go from their texts.
 
 Edge cases: null and empty texts stay as they are; a document that loses all its lines gets an empty
@@ -24,10 +24,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import Workspace, release, row_key
-from millrace.llm.linking import EMPTY, band_keys, bins_of, densify, join_ids, link, local_stars, signatures
+from millrace.llm.linking import EMPTY, band_keys, bins_of, densify, join_ids, link, local_stars
 
 SHINGLE_CHARS, PERCENT = 8, 80
-BANDS, ROWS = 12, 3
+BANDS, ROWS = 18, 4
 #: Buckets that two lines must share to be compared.
 LEAST = 1
 #: Characters whose shingles are hashed at one time in a worker.
@@ -70,11 +70,6 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     return out
 
 
-def bands_of(sets: list[np.ndarray]) -> np.ndarray:
-    """The same keys as ``line_bands`` gives, from lines' sets."""
-    return band_keys(densify(signatures(sets, BANDS * ROWS)), BANDS)
-
-
 def _decode(payloads: list[bytes]) -> list[np.ndarray]:
     return shingle_sets([p.decode("utf-8", "surrogatepass") for p in payloads])
 
@@ -98,15 +93,11 @@ def _blocks(lines: list[str]):
         yield at, len(lines)
 
 
-_PLACES = ["doc", "rk", "no", "h1", "h2", "part", "blob"]
-
-
-def _places(batches):
-    """(doc, rk, no, h1, h2) of every line that is not blank, a few millions of characters at a time,
-    and (part, blob) with the buckets of the different lines among them."""
+def _lines_of(batches):
+    """(batch, lines that are not blank, their rows and numbers, first hashes, coded lines), a few
+    millions of characters of texts at a time."""
     for batch in batches:
-        docs, rks, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_pylist()
-        at = 0
+        texts, at = batch.column(batch.schema.get_field_index("t")).to_pylist(), 0
         while at < len(texts):
             end, size = at, 0
             while end < len(texts) and (end == at or size < CHUNK_CHARS):
@@ -121,22 +112,31 @@ def _places(batches):
                         no.append(n)
             coded = [x.encode("utf-8", "surrogatepass") for x in lines]
             h1 = np.fromiter(map(xxhash.xxh64_intdigest, coded), np.uint64, len(lines))
-            h2 = np.fromiter(map(xxhash.xxh3_64_intdigest, coded), np.uint64, len(lines))
-            _, fresh = np.unique(h1, return_index=True)
-            fresh.sort()
-            chosen = [lines[i] for i in fresh.tolist()]
-            keys = [line_bands(chosen[a:b]) for a, b in _blocks(chosen)]
-            rows, m = np.array(owner, np.int64), len(lines)
-            packed = local_stars(np.concatenate(keys), h1[fresh].view(np.int64)) if keys else []
-            columns = [docs.take(pa.array(rows)), pa.array(rks[rows]), pa.array(no, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, _PLACES)
-            n = len(packed)
-            columns = [pa.nulls(n, c.type) for c in columns[:5]] + [pa.array([p for p, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, _PLACES)
+            yield batch, lines, np.array(owner, np.int64), no, h1, coded
             at = end
         release()
 
 
+def _places(batches):
+    """(doc, rk, no, h1, h2) of every line that is not blank."""
+    for batch, _, owner, no, h1, coded in _lines_of(batches):
+        h2 = np.fromiter(map(xxhash.xxh3_64_intdigest, coded), np.uint64, len(coded))
+        rows = pa.array(owner)
+        columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(no, pa.int32()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "rk", "no", "h1", "h2"])
+
+
+def _buckets(batches):
+    """(part, blob) with the buckets of the different lines of a chunk."""
+    for _, lines, _, _, h1, _ in _lines_of(batches):
+        _, fresh = np.unique(h1, return_index=True)
+        fresh.sort()
+        chosen = [lines[i] for i in fresh.tolist()]
+        keys = [line_bands(chosen[a:b]) for a, b in _blocks(chosen)]
+        packed = local_stars(np.concatenate(keys), h1[fresh].view(np.int64)) if keys else []
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], ["part", "blob"])
+
+
 def _rebuild(text: Column, gone: Column, counts: bool) -> Column:
     """struct(text, has_lines, n_lines): changed texts without the lines that go; the count is that
     of lines before."""
@@ -159,27 +159,35 @@ def _rebuild(text: Column, gone: Column, counts: bool) -> Column:
     return run(text, gone)
 
 
+#: Stands for a null id, and sorts first as null does.
+_NO_ID = -(2**63)
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("t"))
+    rows = docs.select(_doc(id_col), row_key(id_col, text_col).alias("rk"), F.col(text_col).alias("t"))
     return rows.filter("t IS NOT NULL")
 
 
+def _doc(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc")
+
+
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rk, no) of every line that goes; ``rk`` is ``row_key(id_col, text_col)``.
+    """(doc, rk, no) of every line that goes; ``doc`` is the id and ``rk`` ``row_key(id_col, text_col)``,
+    which tells rows of one id apart.
 
     A line is known by a 64-bit hash, told apart by a second one: different lines that share the
     first are left alone.
     """
     space = Workspace(docs.sparkSession, "lines")
     texts = _texts(docs, id_col, text_col)
-    found = space.save(texts.mapInArrow(_places, "doc long, rk long, no int, h1 long, h2 long, part int, blob binary"), "places")
-    places = space.save(found.filter("part IS NULL").select(*_PLACES[:5]), "lines")
-    packed = found.filter("part IS NOT NULL").select("part", "blob")  # goes with its table once it is read
+    places = space.save(texts.mapInArrow(_places, "doc long, rk long, no int, h1 long, h2 long"), "lines")
+    packed = texts.select("t").mapInArrow(_buckets, "part int, blob binary")
     same = places.groupBy("h1").agg(F.min(F.struct("doc", "rk", "no")).alias("first"), F.count("*").alias("n"), F.min("h2").alias("lo"), F.max("h2").alias("hi"))
-    distinct = space.save(same.filter("lo = hi").select(F.col("h1").alias("id"), "n", "first.*"), "distinct")
+    distinct = space.save(same.filter("lo = hi").select(F.col("h1").alias("id"), "n", "first.*"), "distinct", sweep=True)
 
     def fetch(ids: DataFrame) -> DataFrame:
-        wanted = distinct.join(ids, "id").groupBy("rk").agg(F.collect_list(F.struct("no", "id")).alias("want"))  # of one text each
+        wanted = distinct.join(ids, "id").groupBy("doc", "rk").agg(F.collect_list(F.struct("no", "id")).alias("want"))  # of one text each
         wanted = space.save(wanted, "wanted")
 
         def pick(batches):
@@ -191,16 +199,16 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pd.DataFrame(rows, columns=["id", "s"])
                 release()
 
-        found = join_ids(texts, wanted, ["rk"]).select("t", "want").mapInPandas(pick, "id long, s binary")
+        found = join_ids(texts, wanted, ["doc", "rk"]).select("t", "want").mapInPandas(pick, "id long, s binary")
         return found.groupBy("id").agg(F.min("s").alias("s"))  # rows equal in id and text give a line twice
 
-    labels = link(packed, fetch, bands_of, PERCENT, space, _decode, LEAST)
+    labels = link(packed, fetch, BANDS, PERCENT, space, _decode, LEAST)
     groups = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
     groups = groups.withColumn("component", F.coalesce("component", "id"))
     keeper = groups.groupBy("component").agg(F.min(F.struct("doc", "rk", "no")).alias("keep"))
-    marked = groups.join(keeper, "component").select(F.col("id").alias("h1"), F.col("keep.rk").alias("krk"), F.col("keep.no").alias("kno"))
-    gone = places.select("rk", "no", "h1").join(space.save(marked, "marked"), "h1").filter("rk <> krk OR no <> kno")
-    return space.save(gone.select("rk", "no").distinct(), "gone")
+    marked = groups.join(keeper, "component").select(F.col("id").alias("h1"), "keep")
+    gone = places.drop("h2").join(space.save(marked, "marked"), "h1").filter("doc <> keep.doc OR rk <> keep.rk OR no <> keep.no")
+    return space.save(gone.select("doc", "rk", "no").distinct(), "gone")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_emptied: bool = False) -> DataFrame:
@@ -210,9 +218,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have none left.
     """
     gone = duplicate_lines(docs, id_col, text_col)
-    by_row = gone.groupBy("rk").agg(F.collect_set("no").alias("__gone")).withColumnRenamed("rk", "__rk")  # of one text each
+    by_row = gone.groupBy(F.col("doc").alias("__doc"), F.col("rk").alias("__rk")).agg(F.collect_set("no").alias("__gone"))  # of one text each
     by_row = F.broadcast(by_row) if gone.count() <= BROADCAST_LINES else by_row
-    held = docs.withColumn("__rk", row_key(id_col, text_col)).join(by_row, "__rk", "left")
+    held = docs.withColumns({"__doc": _doc(id_col), "__rk": row_key(id_col, text_col)}).join(by_row, ["__doc", "__rk"], "left")
     # One Python column, computed once: as an expression it would be copied into all that reads it.
     held = held.withColumn("__new", _rebuild(F.col(text_col), F.col("__gone"), counts))
     changed = F.col("__gone").isNotNull()

@@ -12,8 +12,10 @@ full sets.
 A star may miss a pair whose two members both fall short of the centre. So the members of buckets
 whose members hang under different centres are compared across these, in blocks of bounded size, by
 the smallest hashes of their sets (small sets are there as a whole); only pairs that may be similar
-become rows, and these are confirmed on full sets too. No pair that shares ``least`` buckets goes
-without a test.
+become rows, and these are confirmed on full sets too. In a large bucket the members under its
+commonest centre stay where they are, and only the others are copied to every block. No pair that
+shares ``least`` buckets goes without a test: a pair that looks sure may spare others between the
+same two components, and where such a pair fails on full sets, all is compared again without sparing.
 """
 
 from __future__ import annotations
@@ -70,14 +72,18 @@ def signatures(sets: list[np.ndarray], bins: int) -> np.ndarray:
     return sig
 
 
+#: The last bits of a bucket's key are the number of its band.
+BAND_BITS = 6
+
+
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit bucket key for each band of each signature row, as signed longs."""
     rows = sig.shape[1] // bands
     total = np.zeros((len(sig), bands), np.uint64)
     for j in range(rows):
         total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + sig[:, j::rows][:, :bands])
-    total += np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix64(total).view(np.int64)
+    total &= ~np.uint64((1 << BAND_BITS) - 1)
+    return (total | np.arange(bands, dtype=np.uint64)).view(np.int64)
 
 
 def as_hashes(payloads: list[bytes]) -> list[np.ndarray]:
@@ -151,7 +157,7 @@ def bucket_members(packed: DataFrame, space: Workspace) -> DataFrame:
     """(key, id) of every bucket with more than one member, from (part, blob) of ``local_stars``."""
     # Edges made in a chunk need no meeting; they are dealt evenly.
     dealt = packed.repartition(F.when(F.col("part") >= 0, F.col("part")).otherwise(-1 - F.pmod(F.xxhash64("blob"), F.lit(1 << PART_BITS))))
-    found = space.save(dealt.select("part", "blob").mapInArrow(_meet, "key long, centre long, id long"), "buckets")
+    found = space.save(dealt.select("part", "blob").mapInArrow(_meet, "key long, centre long, id long"), "buckets", sweep=True)
     return found.select("key", "id").union(found.select("key", F.col("centre").alias("id"))).distinct()
 
 
@@ -161,33 +167,35 @@ def join_ids(rows: DataFrame, ids: DataFrame, on: list[str], most: int = BROADCA
 
 
 def _confirm(edges: DataFrame, sets: DataFrame, percent: int, decode) -> DataFrame:
+    """(u, v, sure, ok): whether the full sets of each edge (u, v, sure) are as similar as wanted."""
+
     def check(batches):
         for pdf in batches:
             for part in chunks(pdf, 2000):
                 distinct = list({*part["su"], *part["sv"]})
                 held = dict(zip(distinct, decode(distinct), strict=True))
                 ok = [similar(held[a], held[b], percent) for a, b in zip(part["su"], part["sv"], strict=True)]
-                yield part.loc[ok, ["u", "v"]]
+                yield part[["u", "v", "sure"]].assign(ok=np.array(ok, bool))
             release()
 
     u, v = sets.select(F.col("id").alias("u"), F.col("s").alias("su")), sets.select(F.col("id").alias("v"), F.col("s").alias("sv"))
-    return edges.join(v, "v").join(u, "u").mapInPandas(check, "u long, v long")
-
-
-def _pairs(a: str, b: str):
-    return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
+    return edges.select("u", "v", "sure").join(v, "v").join(u, "u").mapInPandas(check, "u long, v long, sure boolean, ok boolean")
 
 
-def _bottom(decode, bands_of, bottom: int):
-    """(id, n, low, bands): the ``bottom`` smallest hashes of a set, by their upper halves, and its
-    bucket keys."""
+def _bottom(decode, bottom: int, bands: int):
+    """(id, n, low, bands, large): the ``bottom`` smallest hashes of a set, by their upper halves, its
+    bucket keys by band (0 where it is alone), and which of these buckets are large."""
 
     def run(batches):
         for pdf in batches:
-            sets = decode(pdf["s"].tolist())
-            low = [np.unique((s[:bottom] >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets]
-            bands = [row.tolist() for row in bands_of(sets)] if sets else []
-            yield pd.DataFrame({"id": pdf["id"], "n": [len(x) for x in sets], "low": low, "bands": bands})
+            low, sizes, keys, large = [], [], np.zeros((len(pdf), bands), np.int64), []
+            for s in decode(pdf["s"].tolist()):
+                sizes.append(len(s))
+                low.append(np.unique((s[:bottom] >> np.uint64(32)).astype(np.uint32)).tobytes())
+            for i, (held, more) in enumerate(zip(pdf["keys"], pdf["larges"], strict=True)):
+                keys[i, np.asarray(held) & ((1 << BAND_BITS) - 1)] = held
+                large.append(sum(1 << (int(k) & ((1 << BAND_BITS) - 1)) for k in more))
+            yield pd.DataFrame({"id": pdf["id"], "n": sizes, "low": low, "bands": [row.tobytes() for row in keys], "large": np.array(large, np.uint64).view(np.int64)})
             release()
 
     return run
@@ -214,21 +222,23 @@ def likeness(x: np.ndarray, y: np.ndarray, whole: bool, percent: int) -> int:
     return int(share >= p - spread) + int(share >= p + spread)
 
 
-def _across(percent: int, least: int, bottom: int):
-    """Links, as far as the smallest hashes tell, between different components within one group.
+def _across(percent: int, least: int, bottom: int, spare: bool):
+    """Links (u, v, sure), as far as the smallest hashes tell, between different components within one
+    group.
 
     Rows come sorted by group (key, a, b): with a = b all pairs inside the block count, else those of
     block a with block b. A group has at most two blocks, so what is held is bounded. A pair is
     looked at in the first large bucket that it shares, if it shares ``least`` buckets of any size,
-    and unless a sure link joins its components in this group already: that adds none.
+    and unless, with ``spare``, a sure link joins its components in this group already: that adds none.
     """
 
     def pairs(t, lo, hi):
         key, m = t["key"][lo], hi - lo
-        c, n, ids, bands, low, block = (t[x][lo:hi] for x in ("c", "n", "id", "bands", "low", "block"))
+        c, n, ids, low, block = (t[x][lo:hi] for x in ("c", "n", "id", "low", "block"))
         if (c == c[0]).all():
             return
-        large = (t["large"][lo:hi][:, None] >> np.arange(bands.shape[1])) & 1 == 1
+        bands = np.frombuffer(b"".join(t["bands"][lo:hi]), np.int64).reshape(m, -1)
+        large = (t["large"][lo:hi].view(np.uint64)[:, None] >> np.arange(bands.shape[1], dtype=np.uint64)) & np.uint64(1) == 1
         top: dict[int, int] = {}
 
         def find(v):
@@ -247,7 +257,7 @@ def _across(percent: int, least: int, bottom: int):
             i = i[r]
             keep = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             i, j = i[keep], j[keep]
-            equal = bands[i] == bands[j]
+            equal = (bands[i] == bands[j]) & (bands[i] != 0)
             first = (equal & large[i]).argmax(axis=1)
             keep = (equal.sum(axis=1) >= least) & (bands[i, first] == key)
             for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
@@ -256,8 +266,8 @@ def _across(percent: int, least: int, bottom: int):
                     continue  # a link between these two components is here already
                 like = likeness(low[x], low[y], n[x] <= bottom and n[y] <= bottom, percent)
                 if like:
-                    yield min(ids[x], ids[y]), max(ids[x], ids[y])
-                if like == 2:
+                    yield min(ids[x], ids[y]), max(ids[x], ids[y]), like == 2
+                if spare and like == 2:
                     top[max(a, b)] = min(a, b)
 
     def run(batches):
@@ -268,14 +278,14 @@ def _across(percent: int, least: int, bottom: int):
             t = {x: table[x].to_numpy() for x in ("key", "a", "b", "block", "id", "c", "n", "large")}
             m = len(table)
             t["low"] = [np.frombuffer(x, np.uint32) for x in table["low"].to_pylist()]
-            t["bands"] = table["bands"].combine_chunks().flatten().to_numpy().reshape(m, -1) if m else np.zeros((0, 1), np.int64)
+            t["bands"] = table["bands"].to_pylist()
             new = np.ones(m, bool)
             new[1:] = (t["key"][1:] != t["key"][:-1]) | (t["a"][1:] != t["a"][:-1]) | (t["b"][1:] != t["b"][:-1])
             ends = [*np.flatnonzero(new).tolist(), m]
             whole = ends if last else ends[:-1]  # the group at the end may go on in the next batch
             out = [p for lo, hi in zip(whole[:-1], whole[1:], strict=True) if hi - lo > 1 for p in pairs(t, lo, hi)]
             held = None if last or not m else table.slice(whole[-1])
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)), pa.array([p[2] for p in out], pa.bool_())], ["u", "v", "sure"])
             release()
 
     return run
@@ -292,56 +302,84 @@ def _with_last(batches):
         yield True, held
 
 
+def in_blocks(mixed: DataFrame) -> DataFrame:
+    """(key, a, b, block, id, c): the members of mixed buckets dealt to groups of two blocks at most, so
+    that any two of different components meet in one group.
+
+    ``mixed``: (key, id, c, size, big), size the members of the bucket and big its commonest component
+    with the number of its members, as a struct (n, c). Up to ``BLOCK`` members are one block. Beyond
+    that the commonest component has blocks of its own, whose members meet those of the others only:
+    a bucket of n members of which m are others makes about n * (m / BLOCK + 1) + m * n / BLOCK rows.
+    """
+    others = F.col("size") - F.col("big.n")
+    whole = F.col("size") <= BLOCK
+    held = mixed.withColumn("mine", F.when(whole, 1).otherwise(F.ceil(others / BLOCK)).cast("int"))  # blocks of the others
+    held = held.withColumn("theirs", F.when(whole, 0).otherwise(F.ceil(F.col("big.n") / BLOCK)).cast("int"))
+    common = ~whole & (F.col("c") == F.col("big.c"))
+    place = F.xxhash64("id")
+    held = held.withColumn("block", F.when(common, F.col("mine") + F.pmod(place, F.greatest("theirs", F.lit(1)))).otherwise(F.pmod(place, F.col("mine"))).cast("int"))
+    upto = F.when(common, F.col("mine")).otherwise(F.col("mine") + F.col("theirs"))
+    spread = held.withColumn("other", F.explode(F.sequence(F.lit(0), upto - 1)))
+    return spread.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "c")
+
+
 def link(
-    packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], bands_of: Callable[[list[np.ndarray]], np.ndarray], percent: int, space: Workspace,
+    packed: DataFrame, fetch: Callable[[DataFrame], DataFrame], bands: int, percent: int, space: Workspace,
     decode: Callable[[list[bytes]], list[np.ndarray]] = as_hashes, least: int = 2, bottom: int = 1024,
 ) -> DataFrame:
     """(node, component) of ids that are linked with another one.
 
-    ``packed``: (part, blob) of ``local_stars``, a table of ``space`` that goes once it is read. ``fetch``: from a table of ids to (id, s), where
-    ``decode`` makes whole sets, as sorted distinct 64-bit hashes, of binaries s, and ``bands_of``
-    their rows of bucket keys. ``least``: the number of buckets that a pair must share to be a
-    candidate. ``bottom``: the number of a set's hashes that the comparison across components sees.
+    ``packed``: (part, blob) of ``local_stars``, with keys of ``bands`` bands. ``fetch``: from a table of ids to (id, s), where
+    ``decode`` makes whole sets, as sorted distinct 64-bit hashes, of binaries s. ``least``: the number of
+    buckets that a pair must share to be a candidate. ``bottom``: the number of a set's hashes that the
+    comparison across components sees.
     """
     members = space.save(bucket_members(packed, space), "members")
-    space.drop(packed)
     if least > 1:  # whoever is in fewer shared buckets shares too few with anyone
         often = members.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("id")
         held = members.join(often, "id")
         members = space.save(held.join(held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key").select("key", "id"), "often")
-    ids = space.save(members.select("id").distinct(), "ids")
-    sets = space.save(fetch(ids), "sets")
+    sets = space.save(fetch(members.select("id").distinct()), "sets", sweep=True)
     # The centre of a bucket is the member whose buckets hold the most rows: what copies stem from
     # shares more bands with them than they do with each other.
     sized = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
     weight = sized.groupBy("id").agg(F.sum("size").alias("weight"))
-    weighed = space.save(sized.join(weight, "id"), "weighed")
+    weighed = space.save(sized.join(weight, "id"), "weighed", sweep=True)
     centres = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
     offered = weighed.join(centres, "key").select("id", F.struct(F.col("top.weight").alias("w"), F.col("top.minus").alias("minus")).alias("top")).filter("id <> -top.minus")
-    offered = offered.groupBy("id", "top").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    if least > 1:
+        offered = offered.groupBy("id", "top").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     # Each member meets the weightiest centre of its buckets: no more edges than members.
     star = offered.groupBy("id").agg(F.max("top").alias("top")).select("id", (-F.col("top.minus")).alias("centre"))
-    tested = space.save(star.select(F.col("id").alias("u"), F.col("centre").alias("v")), "candidates")
-    links = space.save(_confirm(tested, sets, percent, decode), "links")
+    star = star.select(F.col("id").alias("u"), F.col("centre").alias("v"), F.lit(False).alias("sure"))
+    tested = space.save(_confirm(star, sets, percent, decode), "links", sweep=True)
+    links = tested.filter("ok").select("u", "v")
 
     # What lies in one bucket but hangs under different centres: buckets of two are pairs by
     # themselves, larger ones are compared in blocks of bounded size.
     above = links.select(F.col("u").alias("v"), F.col("v").alias("top"))
     under = links.join(above, "v", "left").select(F.col("u").alias("id"), F.coalesce("top", "v").alias("c"))
-    labelled = weighed.select("key", "id", "size").join(under, "id", "left").select("key", "id", "size", F.coalesce("c", "id").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("u"), F.max("id").alias("v"), F.max("size").alias("size")).filter("lo <> hi")
-    twos = mixed.filter("size = 2").groupBy("u", "v").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("u", "v")
-    left = labelled.join(mixed.filter("size > 2").select("key"), "key")
-    marks = left.groupBy("id").agg(F.collect_set("key").alias("keys"))  # one for each band at most
-    lows = sets.join(marks, "id").select("id", "s").mapInPandas(_bottom(decode, bands_of, bottom), "id long, n long, low binary, bands array<long>")
-    bit = lambda acc, i: acc + F.when(F.array_contains("keys", F.get("bands", i)), F.expr("1L")).otherwise(F.expr("0L")) * F.pow(F.lit(2), i).cast("long")
-    large = F.aggregate(F.sequence(F.lit(0), F.size("bands") - 1), F.lit(0).cast("long"), bit)
-    payload = space.save(lows.join(marks, "id").select("id", "n", "low", "bands", large.alias("large")), "payload")
-    left = left.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    left = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "c")
-    dealt = spread.join(payload, "id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id")
-    more = dealt.mapInArrow(_across(percent, least, bottom), "u long, v long").union(twos).distinct().join(tested.select(*_pairs("u", "v")), ["u", "v"], "left_anti")
-    extra = space.save(_confirm(space.save(more, "more"), sets, percent, decode), "found")
+    labelled = weighed.select("key", "id").join(under, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+    counted = labelled.groupBy("key", "c").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
+    whole = counted.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("big"), F.count("*").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    mixed = space.save(labelled.join(whole.filter("parts > 1").drop("parts"), "key"), "mixed", sweep=True)
+    twos = mixed.filter("size = 2 AND id = lo").groupBy("lo", "hi").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    twos = twos.select(F.col("lo").alias("u"), F.col("hi").alias("v"), F.lit(False).alias("sure"))
+    # A bucket that two ids of different components share is mixed, so that these are all that count.
+    marks = mixed.groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("size") > 2, F.col("key"))).alias("larges"))
+    payload = sets.join(marks.filter(F.size("larges") > 0), "id").mapInPandas(_bottom(decode, bottom, bands), "id long, n long, low binary, bands binary, large long")
+    dealt = in_blocks(mixed.filter("size > 2")).join(payload, "id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id")
+
+    pairs = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "ok")
+
+    def across(spare: bool) -> tuple[bool, DataFrame]:
+        """Whether a pair that looked sure failed, and the links found."""
+        more = dealt.mapInArrow(_across(percent, least, bottom, spare), "u long, v long, sure boolean").union(twos)
+        more = space.save(more.groupBy("u", "v").agg(F.max("sure").alias("sure")).join(pairs, ["u", "v"], "left"), "more", sweep=True)
+        found = space.save(_confirm(more.filter("ok IS NULL"), sets, percent, decode), "found", sweep=True)
+        return more.union(found).filter("sure AND NOT ok").count() > 0, found.filter("ok").select("u", "v")
+
+    failed, extra = across(True)
+    if failed:  # what it spared counts after all
+        extra = across(False)[1]
     return space.save(connected(links.union(extra), space), "labels")

@@ -93,8 +93,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = join_ids(named, wanted, ["id"]).mapInPandas(sets, "id long, s binary")
         return found.groupBy("id").agg(F.min("s").alias("s"))  # repeated rows of one document are equal here
 
-    packed = space.save(classes.select("id", "bands").mapInPandas(_pack, "part int, blob binary"), "packed")
-    labels = link(packed, fetch, bands_of, percent, space)
+    packed = classes.select("id", "bands").mapInPandas(_pack, "part int, blob binary")
+    labels = link(packed, fetch, BANDS, percent, space)
     of_class = classes.select("k", F.col("id").alias("node")).join(labels, "node", "left").select("k", F.coalesce("component", "node").alias("c"))
     # Each class is one row; only groups of copies repeat a key, and those joins can be split.
     full = table.filter("n > 0").select("id", "n", "k").join(of_class, "k", "left").select("id", "n", "c")

@@ -66,11 +66,19 @@ def average_rank(value: str, part: list[str] | None = None) -> Column:
     return F.rank().over(by.orderBy(value)) + (F.count("*").over(Window.partitionBy(*(part or []), value)) - 1) / 2
 
 
-def ranks_by_value(df: DataFrame, value: str, name: str) -> DataFrame:
-    """(value, name): average ranks from counts of distinct values, so that no task sorts all rows."""
-    counts = df.groupBy(value).agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select(value, (F.coalesce(before, F.lit(0)) + (F.col("c") + 1) / 2).alias(name))
+def ranks_by_value(df: DataFrame, value: str, name: str, parts: int = 64) -> DataFrame:
+    """(value, name): average ranks from counts of distinct values, so that no task sorts all rows.
+
+    The values are cut at approximate percentiles; each part is ranked by itself and moved up by the
+    counts of the parts below it, a table of ``parts`` rows at most.
+    """
+    bounds = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)])).first()[0] or []
+    part = F.size(F.filter(F.lit(sorted(set(bounds))).cast("array<double>"), lambda b: b < F.col(value)))
+    counts = df.groupBy(value).agg(F.count("*").alias("c")).withColumn("__part", part)
+    below = counts.groupBy("__part").agg(F.sum("c").alias("s"))
+    below = below.select("__part", F.coalesce(F.sum("s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    before = F.sum("c").over(Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("before", before).join(below, "__part").select(value, (F.col("below") + F.coalesce("before", F.lit(0)) + (F.col("c") + 1) / 2).alias(name))
 
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:

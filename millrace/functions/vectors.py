@@ -15,33 +15,55 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.where(norms > 0, norms, 1.0)
 
 
-def cosine_pairs(questions: DataFrame, records: DataFrame, floor: float | None = None, block: int = 4096) -> DataFrame:
+#: Question sets of up to so many vectors are broadcast; larger ones meet the records by a join on blocks.
+BROADCAST_VECTORS = 20_000
+#: Scores that are rounded later may swap places within this.
+ROUNDING = 1e-6
+
+
+def _packed(ids: str):
+    """Rows (id, vector) of a batch as one row of two binaries."""
+
+    def run(batches):
+        for pdf in batches:
+            for lo in range(0, len(pdf), 2048):
+                part = pdf.iloc[lo : lo + 2048]
+                x = unit_rows(np.array(part["vector"].tolist(), np.float64))
+                yield pd.DataFrame([(len(part), part[ids].to_numpy(np.int64).tobytes(), x.tobytes())], columns=["n", "ids", "x"])
+
+    return run
+
+
+def cosine_pairs(questions: DataFrame, records: DataFrame, floor: float | None = None, block: int = 4096, k: int | None = None) -> DataFrame:
     """(qid, row_idx, score): the cosine of each question (qid, vector) with each record (row_idx,
     vector), clipped to [-1, 1]; with ``floor`` only pairs that reach it become rows.
 
-    The questions travel to the records in blocks of at most ``block`` vectors, one job's broadcast
-    for all: a question set beyond it is cut into blocks that each meet the records, so neither side
-    is ever gathered as a whole on one machine.
+    Vectors are packed where they lie; each chunk of records meets each block of questions in one
+    matrix product, by a join on the block's number. With ``k`` a chunk sends on no more of a question's
+    pairs than its ``k`` best, and those that rounding may put level with them.
     """
-    spark = questions.sparkSession
     count = questions.count()
     blocks = max(1, -(-count // block))
-    keyed = questions.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-    out = None
-    for b in range(blocks):
-        part = keyed.filter(F.col("__b") == b).select("qid", "vector").collect()  # at most about ``block`` vectors
-        held = spark.sparkContext.broadcast(([r["qid"] for r in part], unit_rows(np.array([r["vector"] for r in part] or [[0.0]], np.float64))))
-
-        def score(batches, held=held):
-            ids, q = held.value
-            ids = np.array(ids)
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                s = np.clip(unit_rows(np.array(pdf["vector"].tolist(), np.float64)) @ q.T, -1.0, 1.0)
-                r, c = np.nonzero(s >= floor) if floor is not None else (a.ravel() for a in np.indices(s.shape))
-                yield pd.DataFrame({"qid": ids[c], "row_idx": pdf["row_idx"].to_numpy()[r], "score": s[r, c]})
-
-        pairs = records.select("row_idx", "vector").mapInPandas(score, "qid long, row_idx long, score double")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
+    asked = questions.select("qid", "vector", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b"))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        q = unit_rows(np.array(pdf["vector"].tolist(), np.float64))
+        return pd.DataFrame([(key[0], pdf["qid"].to_numpy(np.int64).tobytes(), q.tobytes())], columns=["b", "qids", "q"])
+
+    sides = asked.groupBy("b").applyInPandas(pack, "b int, qids binary, q binary")
+    sides = F.broadcast(sides) if count <= BROADCAST_VECTORS else sides
+    chunks = records.select("row_idx", "vector").mapInPandas(_packed("row_idx"), "n int, ids binary, x binary")
+    met = chunks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(sides, "b").select("n", "ids", "x", "qids", "q")
+
+    def score(batches):
+        for pdf in batches:
+            for n, ids, x, qids, q in pdf.itertuples(index=False):
+                ids, qids = np.frombuffer(ids, np.int64), np.frombuffer(qids, np.int64)
+                s = np.clip(np.frombuffer(x).reshape(n, -1) @ np.frombuffer(q).reshape(len(qids), -1).T, -1.0, 1.0)
+                keep = np.ones(s.shape, bool) if floor is None else s >= floor
+                if k is not None and n > k:
+                    keep &= s >= np.partition(s, n - k, axis=0)[n - k] - ROUNDING
+                r, c = np.nonzero(keep)
+                yield pd.DataFrame({"qid": qids[c], "row_idx": ids[r], "score": s[r, c]})
+
+    return met.mapInPandas(score, "qid long, row_idx long, score double")

@@ -30,9 +30,9 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select(F.col("label").cast("long").alias("qid"), "vector")
 
 
-def _ranked(spark: SparkSession, sf_dir: str, floor: float | None = None) -> tuple[DataFrame, DataFrame]:
+def _ranked(spark: SparkSession, sf_dir: str, floor: float | None = None, k: int | None = None) -> tuple[DataFrame, DataFrame]:
     records = _records(spark, sf_dir)
-    pairs = cosine_pairs(_questions(spark, sf_dir), records, floor)
+    pairs = cosine_pairs(_questions(spark, sf_dir), records, floor, k=k)
     pairs = pairs.withColumn("score", F.round("score", 6))
     return pairs.join(records.drop("vector"), "row_idx"), records.drop("vector")
 
@@ -61,7 +61,7 @@ def w01_rank_cosine(spark, sf_dir):
 
 
 def w02_topk_per_query(spark, sf_dir):
-    ranked, _ = _ranked(spark, sf_dir)
+    ranked, _ = _ranked(spark, sf_dir, k=8)
     return retrieval.rank(ranked, 8).select("qid", "row_idx", "score", "rn")
 
 
@@ -98,6 +98,15 @@ def a33_threshold_summary(spark, sf_dir):
     return out.withColumn("gap", F.round("gap", 6))
 
 
+def j13_best_feature(spark, sf_dir):
+    """For each vector the feature (a label's mean) nearest to it, the score, and its lead over the next."""
+    features = _questions(spark, sf_dir).withColumnRenamed("qid", "row_idx")
+    frames = _records(spark, sf_dir).select(F.col("row_idx").alias("qid"), "vector")
+    top = retrieval.rank(cosine_pairs(frames, features, k=2).withColumn("score", F.round("score", 6)), 2)
+    best = top.groupBy("qid").agg(F.max(F.when(F.col("rn") == 1, F.col("row_idx"))).alias("feature"), F.max("score").alias("score"), F.round(F.max("score") - F.min("score"), 6).alias("lead"))
+    return best.select(F.col("qid").alias("vec_id"), "feature", "score", "lead")
+
+
 def p25_routing(spark, sf_dir):
     """Ordered cascade: the first rule that holds names the route of an event."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
@@ -126,7 +135,7 @@ def u06_jaccard(spark, sf_dir):
 
 
 _TOKENS = "regexp_extract_all(lower(text), '[a-z]+')"
-QUERIES = {f.__name__: f for f in (w01_rank_cosine, w02_topk_per_query, w03_candidates, w04_gap_fills, w06_select_segments, o02_promoted_top, o09_one_course, a33_threshold_summary, p25_routing, f42_tfidf_pairs, u06_jaccard)}
+QUERIES = {f.__name__: f for f in (w01_rank_cosine, w02_topk_per_query, w03_candidates, w04_gap_fills, w06_select_segments, o02_promoted_top, o09_one_course, a33_threshold_summary, j13_best_feature, p25_routing, f42_tfidf_pairs, u06_jaccard)}
 SQL = {
     "w01_rank_cosine": f"WITH {_BASE} SELECT qid, row_idx, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_idx)::INTEGER AS rn FROM p",
     "w02_topk_per_query": f"WITH {_BASE} SELECT * FROM (SELECT qid, row_idx, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_idx)::INTEGER AS rn FROM p) WHERE rn <= 8",
@@ -143,6 +152,8 @@ SELECT * FROM (SELECT qid, row_idx, score, row_number() OVER (PARTITION BY qid O
     "o09_one_course": f"WITH {_BASE}, t AS (SELECT qid, arg_max(course, (score, -row_idx)) AS c FROM p GROUP BY qid) SELECT p.qid, course, count(*) AS n, max(score) AS top FROM p JOIN t ON t.qid = p.qid AND t.c = p.course GROUP BY ALL",
     "a33_threshold_summary": f"""WITH {_BASE}, t AS (SELECT qid, max(score) FILTER (course = qid::VARCHAR) AS own, max(score) FILTER (course <> qid::VARCHAR) AS other FROM p GROUP BY qid)
 SELECT min(own) AS lowest_on, max(other) AS highest_off, round(min(own) - max(other), 6) AS gap, count(*) FILTER (own < 0.3) AS wrong_declines, count(*) FILTER (other >= 0.3) AS wrong_answers FROM t""",
+    "j13_best_feature": f"""WITH {_BASE}, t AS (SELECT row_idx, qid, score, row_number() OVER (PARTITION BY row_idx ORDER BY score DESC, qid) AS rn FROM p)
+SELECT row_idx AS vec_id, max(qid) FILTER (rn = 1) AS feature, max(score) AS score, round(max(score) - min(score), 6) AS lead FROM t WHERE rn <= 2 GROUP BY row_idx""",
     "p25_routing": """WITH e AS (SELECT *, (props::JSON->>'k')::BIGINT AS k FROM events)
 SELECT CASE WHEN event_type = 'error' AND value >= 50 THEN 'alert' WHEN k < 5 THEN 'stored_topic' WHEN event_type = 'signup' THEN 'faq' WHEN round(value - k, 6) >= 30 THEN 'course_info'
   WHEN value >= 20 THEN 'slides' ELSE 'declined' END AS route, count(*) AS n, round(avg(value), 6) AS mean_value FROM e GROUP BY 1""",

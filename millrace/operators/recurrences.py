@@ -169,3 +169,59 @@ def greedy_batches(df: DataFrame, key: list[str], order: list[str], size: str, m
         return pdf.assign(batch=out)
 
     return df.groupBy(*key).applyInPandas(run, _plus(df, "batch int"))
+
+
+#: Fixed values of read-along: letters of a word that lights alone, and how often it may stand on the slide.
+LONE_LETTERS, LONE_REPEATS = 4, 3
+
+
+def highlights(spoken: list[tuple[str, int]], shown: list[tuple[str, float]], letters: list[int] | None = None) -> list[tuple[int, int, int]]:
+    """(spoken word, first and last shown word) of the places that light up while a narration is read.
+
+    ``spoken``: stems with their sentence; ``shown``: stems with their height on the slide. At each spoken
+    word the longest run of equal stems within its sentence wins, then a place after the last one, then
+    the topmost. A lone word must be long and rare enough, and a place lights once; words of a run
+    don't fire again. Run lengths come from one table, filled from the ends.
+    """
+    n, m = len(spoken), len(shown)
+    letters = letters or [len(s) for s, _ in spoken]
+    run = np.zeros((n + 1, m + 1), np.int64)
+    for i in range(n - 1, -1, -1):
+        goes_on = i + 1 < n and spoken[i + 1][1] == spoken[i][1]
+        for j in range(m - 1, -1, -1):
+            if spoken[i][0] == shown[j][0]:
+                run[i, j] = 1 + (run[i + 1, j + 1] if goes_on else 0)
+    out: list[tuple[int, int, int]] = []
+    lit: set[int] = set()
+    i, last = 0, -1
+    while i < n:
+        places = np.flatnonzero(run[i, :m])
+        step = 1
+        if len(places):
+            j = min(places.tolist(), key=lambda p: (-run[i, p], p <= last, round(shown[p][1] / 0.005), p))
+            k = int(run[i, j])
+            lone = k == 1 and (letters[i] < LONE_LETTERS or len(places) > LONE_REPEATS or j in lit)
+            if not lone and not lit.issuperset(range(j, j + k)):
+                out.append((i, j, j + k - 1))
+                lit.update(range(j, j + k))
+                last, step = j + k - 1, k
+        i += step
+    return out
+
+
+def read_along(df: DataFrame, key: list[str], spoken: str, shown: str) -> DataFrame:
+    """(key, place, first, last): ``highlights`` of texts read beside texts shown, by lower-case words;
+    sentences end at stops, and a shown word's height is its line."""
+    import re
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for keys, a, b in zip(pdf[key].itertuples(index=False, name=None), pdf[spoken], pdf[shown], strict=True):
+                said = [(w, n) for n, s in enumerate(re.split(r"[.!?]+", (a or "").lower())) for w in re.findall(r"[a-z]{3,}", s)]
+                seen = [(w, float(n)) for n, line in enumerate((b or "").lower().split("\n")) for w in re.findall(r"[a-z]{3,}", line)]
+                rows += [(*keys, *h) for h in highlights(said, seen)]
+            yield pd.DataFrame(rows, columns=[*key, "place", "first", "last"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
+    return df.select(*key, spoken, shown).mapInPandas(run, f"{kinds}, place int, first int, last int")

@@ -72,6 +72,13 @@ def w26_monotone_path(spark, sf_dir):
     return recurrences.align_monotone(cells, "conv_id", "chunk", "page", "score", 0.05)
 
 
+def w30_highlights(spark, sf_dir):
+    """Words of a turn that light up while the next turn of its conversation is read."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    read = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("spoken"))
+    return recurrences.read_along(c.join(read, ["conv_id", "turn"]), ["conv_id", "turn"], "spoken", "text")
+
+
 def w27_batches(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("size"))
     return recurrences.greedy_batches(c, ["conv_id"], ["turn"], "size", 800).select("conv_id", "turn", "batch")
@@ -82,7 +89,7 @@ def f28_html_text(spark, sf_dir):
     return p.select("page_id", F.length("t").alias("n"), F.md5("t").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (st08_metering_window, st17_sessions, st02_amount_cap, st03_admission, st06_alert_dedupe, w15_merge_cues, w26_monotone_path, w27_batches, f28_html_text)}
+QUERIES = {f.__name__: f for f in (st08_metering_window, st17_sessions, st02_amount_cap, st03_admission, st06_alert_dedupe, w15_merge_cues, w26_monotone_path, w27_batches, w30_highlights, f28_html_text)}
 
 _E = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1000000.0::DOUBLE - 1704067200 AS t FROM events)"
 SQL = {

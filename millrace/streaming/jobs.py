@@ -104,3 +104,36 @@ def work_queue(stream: DataFrame, checkpoint: str, handle: Callable[[DataFrame],
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return done
+
+
+def append_degrading(df: DataFrame, put: Callable[[DataFrame], None], optional: list[list[str]]) -> int:
+    """Append rows by ``put``, without more and more of the optional columns while that fails.
+
+    ``optional``: groups of columns that a target may lack, the newest first. Returns how many groups
+    were left out; where even the last try fails its error is raised. For use in foreachBatch.
+    """
+    for tried in range(len(optional) + 1):
+        gone = {c for group in optional[:tried] for c in group}
+        try:
+            put(df.select(*(c for c in df.columns if c not in gone)))
+            return tried
+        except Exception:  # whatever the target raises for a column that it lacks
+            if tried == len(optional):
+                raise
+    return len(optional)
+
+
+def question_log(stream: DataFrame, text_col: str, checkpoint: str, put: Callable[[DataFrame], None], optional: list[list[str]], most: int = 500) -> int:
+    """Append a stream of questions to a log: scrubbed and cut before anything is written."""
+    from millrace.functions import text
+
+    clean = stream.withColumn(text_col, F.substring(text.scrub(F.col(text_col)), 1, most))
+    left_out = 0
+
+    def batch(df: DataFrame, _: int) -> None:
+        nonlocal left_out
+        left_out = max(left_out, append_degrading(df, put, optional))
+
+    query = clean.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return left_out

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import formats, speech, stats, text
 from millrace.functions.vectors import cosine_pairs
-from millrace.operators import names
+from millrace.operators import names, recurrences
 
 
 def test_near_spellings_by_known_values():
@@ -91,3 +91,29 @@ def test_ranks_by_value_in_parts(spark):
     got = {r["v"]: r["r"] for r in stats.ranks_by_value(df, "v", "r", parts=7).collect()}
     ordered = np.sort(values)
     assert all(got[v] == pytest.approx((np.searchsorted(ordered, v, "left") + np.searchsorted(ordered, v, "right") + 1) / 2) for v in set(values))
+
+
+def test_highlights_of_a_narration():
+    shown = [(w, float(y)) for y, line in enumerate(["gradient descent step", "loss step", "step size", "gradient noise", "step"]) for w in line.split()]
+    said = lambda *sentences: [(w, n) for n, s in enumerate(sentences) for w in s.split()]
+    assert recurrences.highlights(said("gradient descent step helps"), shown) == [(0, 0, 2)]  # the longest run, once
+    assert recurrences.highlights(said("noise", "noise"), shown) == [(0, 8, 8)]  # a lit word does not fire again
+    assert recurrences.highlights(said("step"), shown) == []  # too often on the slide
+    assert recurrences.highlights(said("gradient", "descent"), shown) == [(0, 0, 0), (1, 1, 1)]  # no run across sentences
+    assert recurrences.highlights(said("loss step gradient noise"), shown) == [(0, 3, 4), (2, 7, 8)]  # after the last place
+    assert recurrences.highlights([], shown) == [] and recurrences.highlights(said("x"), []) == []
+
+
+def test_highlights_are_runs_of_equal_words():
+    rng = random.Random(0)
+    for _ in range(200):
+        shown = [(rng.choice(["aaaa", "bbbb", "cccc", "dd"]), float(rng.randrange(4))) for _ in range(rng.randrange(12))]
+        said = [(rng.choice(["aaaa", "bbbb", "cccc", "dd"]), i // 5) for i in range(rng.randrange(15))]
+        found, covered = recurrences.highlights(said, shown), -1
+        assert len({(a, b) for _, a, b in found}) == len(found)
+        for i, a, b in found:
+            k = b - a + 1
+            assert i > covered and [w for w, _ in said[i : i + k]] == [w for w, _ in shown[a : b + 1]] and len({n for _, n in said[i : i + k]}) == 1
+            longest = max(next((n for n in range(k + 1, 0, -1) if [w for w, _ in shown[j : j + n]] == [w for w, _ in said[i : i + n]] and len(shown[j : j + n]) == n and len({s for _, s in said[i : i + n]}) == 1), 0) for j in range(len(shown)))
+            assert longest == k
+            covered = i + k - 1

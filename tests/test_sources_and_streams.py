@@ -92,3 +92,19 @@ def test_stream_dedupe_and_queue(spark, event_files):
     for _ in range(2):  # the second run finds nothing new
         jobs.work_queue(stream, str(work / "c3"), lambda b: seen.extend(r["i"] for r in b.collect()), lambda: rebuilt.append(1))
     assert sorted(seen) == list(range(60)) and len(rebuilt) == 3
+
+
+def test_appends_leave_out_what_the_target_lacks(spark, event_files):
+    _, stream, work = event_files
+    held = []
+
+    def put(df):
+        if "a" in df.columns:
+            raise ValueError("no column a")
+        held.extend(df.columns for _ in range(df.count()))
+
+    log = stream.withColumn("q", F.lit("mail me at a.b@c.org"))
+    left_out = jobs.question_log(log, "q", str(work / "c4"), put, [["t"], ["a"]])
+    assert left_out == 2 and held == [["i", "k", "q"]] * 60
+    with pytest.raises(ValueError, match="no column a"):
+        jobs.append_degrading(spark.range(1).withColumn("a", F.lit(1)), put, [])

@@ -119,3 +119,15 @@ def effective(*sources: tuple[str, Column]) -> Column:
     for name, c in sources:
         named = (F if named is None else named).when(c.isNotNull(), name)
     return F.struct(value.alias("value"), named.alias("source"))
+
+
+#: What is sent first and last, so that a reader never finds an index without its files.
+SENT = ((r"(^|/)manifest\.json$", 3), (r"(^|/)index(\.json|/)", 2), (r"(^|/)topics(\.json|/)", 1))
+
+
+def sending_turn(path: Column) -> Column:
+    """The turn in which a file is sent: media, topics, index, the manifest last."""
+    turn = None
+    for pattern, n in SENT:
+        turn = (F if turn is None else turn).when(F.regexp_like(path, F.lit(pattern)), n)
+    return turn.otherwise(0)

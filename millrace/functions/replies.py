@@ -89,3 +89,18 @@ def record_problem(line: Column, categories: list[str], types: list[str]) -> Col
         (j["type"].isNotNull() & ~j["type"].isin(*types), "unknown type"), (F.coalesce(F.exists(j["expected_slides"], lambda s: ~F.regexp_like(s, F.lit(r"^\d{5}-s\d{2}-\d{3}$"))), F.lit(False)), "expected_slides must be slide ids"),
         (listed(j["must_include"]), "must_include leaks"), (listed(j["must_not"]), "must_not leaks"),
     ])
+
+
+def response(kind: Column, covered: Column, segments: Column, text: Column, message: Column) -> Column:
+    """struct(status, outcome, source, message) of a playlist, as judges see it.
+
+    A web answer is ok and its own source; a covered one with segments is ok; a covered one without is
+    ok with what answered as its source; all else is not covered, with the reply's words where the
+    FAQ or a referral gave them.
+    """
+    told = F.when(kind == "faq", F.concat(F.lit("FAQ answer: "), hygiene.clip(text, 700))).when(kind == "logistics", F.concat(F.lit("referral: "), hygiene.clip(message, 300)))
+    shown, is_covered = F.coalesce(segments, F.lit(0)) > 0, F.coalesce(covered, F.lit(False))
+    is_web = F.coalesce(kind == "web", F.lit(False))
+    status = F.when(is_web | is_covered, "ok").otherwise("not_covered")
+    source = F.when(is_web, "web").when(is_covered & ~shown, F.coalesce(F.nullif(kind, F.lit("")), F.lit("answer")))
+    return F.struct(status.alias("status"), kind.alias("outcome"), source.alias("source"), F.when(status == "not_covered", told).alias("message"))

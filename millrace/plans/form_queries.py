@@ -180,11 +180,31 @@ def o04_by_cost(spark, sf_dir):
     return e.withColumn("place", F.row_number().over(Window.orderBy(F.desc("cost"), "event_type")))  # a row for each kind
 
 
+def r02_responses(spark, sf_dir):
+    """What judges see of answers of several kinds, by status and source."""
+    e = events_log(spark, sf_dir)
+    kind = F.when(F.col("k") % 5 == 0, "web").when(F.col("k") % 5 == 1, "faq").when(F.col("k") % 5 == 2, "logistics").when(F.col("k") % 5 == 3, "stored_topic")
+    r = replies.response(kind, F.col("value") >= 50, F.col("k") % 3, F.repeat(F.lit("words "), 130), F.concat(F.lit("see "), F.col("event_type")))
+    out = e.select(r.alias("r")).select("r.*")
+    return out.groupBy("status", "outcome", "source").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("message"), F.lit(0))).alias("chars"))
+
+
+def o07_sending_order(spark, sf_dir):
+    """The order in which files are sent, by turn and path, for each source."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "documents")
+    i = F.col("doc_id")
+    path = F.concat("source", F.when(i % 50 == 0, "/manifest.json").when(i % 10 == 0, "/index/part").when(i % 10 == 1, "/topics.json").otherwise("/slides/a.webp"))
+    turn = formats.sending_turn(path)
+    return d.select("source", "doc_id", turn.alias("turn"), F.row_number().over(Window.partitionBy("source").orderBy(turn, path, "doc_id")).alias("place"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         f04_clean_question, f31_lists_people, f36_paths, s21_sessions, f37_number_texts, f46_round_exact, f48_price_guard, f54_cue_times, f55_stamps, r05_effective, f23_speakable, f24_problems, p21_clean_cues, f62_classifier, f62_choice, f62_themes,
-        f64_spec_problems, f66_record_problems, f71_alignment_words, u08_unpriced, o04_by_cost,
+        f64_spec_problems, f66_record_problems, f71_alignment_words, u08_unpriced, o04_by_cost, r02_responses, o07_sending_order,
     )
 }
 _FMT = "format('{{:.2f}}', {})::DOUBLE"
@@ -230,5 +250,10 @@ SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY count DESC,
   WHEN i % 7 = 0 THEN 'unknown type' WHEN i % 100 < 10 THEN 'expected_slides must be slide ids' WHEN i % 5 = 0 THEN 'must_not leaks' ELSE 'none' END AS problem, count(*) AS n FROM (SELECT event_id AS i, event_type FROM events) GROUP BY 1""",
     "f71_alignment_words": f"WITH {EVENTS_SQL} SELECT event_id, 0 AS place, value AS start, event_type AS word FROM e UNION ALL SELECT event_id, 1, k, 'end' FROM e",
     "u08_unpriced": "WITH p AS (SELECT DISTINCT event_type, user_id FROM events WHERE value >= 90) SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS unpriced FROM events e WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.event_type = e.event_type AND p.user_id = e.user_id) GROUP BY 1",
+    "r02_responses": f"""WITH {EVENTS_SQL}, a AS (SELECT CASE k % 5 WHEN 0 THEN 'web' WHEN 1 THEN 'faq' WHEN 2 THEN 'logistics' WHEN 3 THEN 'stored_topic' END AS outcome, value >= 50 AS covered, k % 3 > 0 AS shown, event_type FROM e),
+s AS (SELECT outcome, event_type, CASE WHEN outcome = 'web' OR covered THEN 'ok' ELSE 'not_covered' END AS status, CASE WHEN outcome = 'web' THEN 'web' WHEN covered AND NOT shown THEN coalesce(outcome, 'answer') END AS source FROM a)
+SELECT status, outcome, source, count(*) AS n, sum(CASE WHEN status = 'ok' THEN 0 WHEN outcome = 'faq' THEN 12 + 695 WHEN outcome = 'logistics' THEN 10 + 4 + length(event_type) ELSE 0 END)::BIGINT AS chars FROM s GROUP BY ALL""",
+    "o07_sending_order": """WITH p AS (SELECT source, doc_id, CASE WHEN doc_id % 50 = 0 THEN 3 WHEN doc_id % 10 = 0 THEN 2 WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS turn FROM documents)
+SELECT source, doc_id, turn, row_number() OVER (PARTITION BY source ORDER BY turn, doc_id)::INTEGER AS place FROM p""",
     "o04_by_cost": "SELECT event_type, cost, row_number() OVER (ORDER BY cost DESC, event_type)::INTEGER AS place FROM (SELECT event_type, round(sum(value), 4) AS cost FROM events GROUP BY 1)",
 }

@@ -61,6 +61,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, strict: boo
     return good, parsed.filter("r IS NULL OR r._bad IS NOT NULL").select(F.col("value").alias("line"))
 
 
+#: A speaker's label before the words of a cue.
+LABEL = r"^\s*[A-Z][\w.'\- ]{0,38}:\s+"
 _STAMP = r"(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})"
 
 
@@ -71,11 +73,12 @@ def _seconds(text: Column, which: int) -> Column:
 
 
 def read_vtt(spark: SparkSession, path: str) -> DataFrame:
-    """(file, cue, start, end, text) of WebVTT files; blocks without a time line are skipped."""
+    """(file, cue, start, end, text) of WebVTT files; blocks without a time line are skipped, and labels of
+    speakers ("Name: ") go, so that no name stays in a transcript."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("v"))
     blocks = files.select("file", F.posexplode(F.split("v", r"\n\s*\n")).alias("cue", "b")).filter(F.regexp_like("b", F.lit(rf"{_STAMP}\s*-->\s*{_STAMP}")))
     body = F.trim(F.regexp_replace(F.regexp_replace("b", rf"(?s)^.*?{_STAMP}\s*-->\s*{_STAMP}[^\n]*\n?", ""), r"\s+", " "))
-    rows = blocks.select("file", "cue", _seconds(F.col("b"), 0).alias("start"), _seconds(F.col("b"), 1).alias("end"), F.regexp_replace(body, "<[^>]*>", "").alias("text"))
+    rows = blocks.select("file", "cue", _seconds(F.col("b"), 0).alias("start"), _seconds(F.col("b"), 1).alias("end"), F.trim(F.regexp_replace(F.regexp_replace(body, "<[^>]*>", ""), LABEL, "")).alias("text"))
     return rows.filter("text <> ''")
 
 
@@ -114,24 +117,33 @@ def read_notebooks(spark: SparkSession, path: str) -> DataFrame:
 
 
 class _Text(HTMLParser):
-    """Visible text with a line for each block element and a dash for each list item."""
+    """Visible text: a line for each block element, a dash for each list item, a bar before each table
+    cell, and the address of an outside link behind its words."""
 
-    BLOCKS = frozenset("p div br tr li h1 h2 h3 h4 h5 h6 ul ol table section article header footer blockquote pre".split())
-    HIDDEN = frozenset("script style head title".split())
+    BLOCKS = frozenset("p div br hr tr li dt dd h1 h2 h3 h4 h5 h6 ul ol table section article blockquote pre".split())
+    HIDDEN = frozenset("script style noscript iframe".split())
+    MARKS = {"li": "- ", "td": " | ", "th": " | "}
 
-    def __init__(self):
+    def __init__(self, home: str):
         super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.hidden = 0
+        self.home, self.parts, self.hidden, self.links = home, [], 0, []
 
     def handle_starttag(self, tag, attrs):
-        self.hidden += tag in self.HIDDEN
-        if tag in self.BLOCKS:
-            self.parts.append("\n- " if tag == "li" else "\n")
+        if tag in self.HIDDEN:
+            self.hidden += 1
+        elif tag == "a":
+            self.links.append(dict(attrs).get("href") or "")
+        else:
+            self.parts.append("\n" * (tag in self.BLOCKS) + self.MARKS.get(tag, ""))
 
     def handle_endtag(self, tag):
-        self.hidden = max(0, self.hidden - (tag in self.HIDDEN))
-        if tag in self.BLOCKS:
+        if tag in self.HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag == "a" and self.links:
+            link = self.links.pop()
+            host = re.match(r"https?://([^/?#]*)", link)
+            self.parts.append(f" ({link})" if host and host[1] != self.home else "")
+        elif tag in self.BLOCKS:
             self.parts.append("\n")
 
     def handle_data(self, data):
@@ -139,12 +151,14 @@ class _Text(HTMLParser):
             self.parts.append(data)
 
 
-def html_to_text(source: str | None) -> str:
-    parser = _Text()
+def html_to_text(source: str | None, home: str = "") -> str:
+    """Text of a page: blanks shortened, at most one empty line in a row; ``home`` is the host whose links
+    are not named."""
+    parser = _Text(home)
     parser.feed(source or "")
     parser.close()
-    lines = (re.sub(r"[ \t\r\f\v\xa0]+", " ", x).strip() for x in "".join(parser.parts).split("\n"))
-    return "\n".join(x for x in lines if x not in ("", "-"))
+    lines = [re.sub(r"[ \t\r\f\v\xa0\ufeff]+", " ", x).strip() for x in "".join(parser.parts).split("\n")]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
 def html_text(html: Column) -> Column:

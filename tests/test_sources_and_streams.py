@@ -36,7 +36,7 @@ def test_optional_and_jsonl(spark, tmp_path):
 
 
 def test_vtt(spark, tmp_path):
-    path = put(tmp_path / "a.vtt", "WEBVTT\r\n\r\n1\r\n00:00:01.000 --> 00:00:02.500\r\n<v A>Hello\r\nthere\r\n\r\n01:02.000 --> 01:03.250\nBye\n\nNOTE x\n")
+    path = put(tmp_path / "a.vtt", "WEBVTT\r\n\r\n1\r\n00:00:01.000 --> 00:00:02.500\r\n<v A>Hello\r\nthere\r\n\r\n01:02.000 --> 01:03.250\nAnn Lee: Bye\n\nNOTE x\n")
     got = [(r["start"], r["end"], r["text"]) for r in readers.read_vtt(spark, path).orderBy("cue").collect()]
     assert got == [(1.0, 2.5, "Hello there"), (62.0, 63.25, "Bye")]
 
@@ -51,7 +51,9 @@ def test_notebook_and_html(spark, tmp_path):
     cells = [{"cell_type": "markdown", "source": ["# Intro"]}, {"cell_type": "code", "source": ["x = 1\n", "y = 2"]}, {"cell_type": "code", "source": [" "]}]
     got = readers.read_notebooks(spark, put(tmp_path / "n.ipynb", json.dumps({"cells": cells}))).collect()
     assert [(r["cell"], r["source"], r["above"]) for r in got] == [(1, "x = 1\ny = 2", "# Intro")]
-    assert readers.html_to_text("<p>A&amp;B<ul><li>one<li>two</ul><script>x</script>") == "A&B\n- one\n- two"
+    assert readers.html_to_text("<p>A&amp;B<ul><li>one<li>two</ul><script>x</script>") == "A&B\n\n- one\n- two"
+    page = "<table><tr><th>a<td>b &lt; c</table><a href='https://x.org/y'>out</a>, <a href='https://home/z'>in</a><a href=/q>here</a><iframe>no</iframe>"
+    assert readers.html_to_text(page, "home") == "| a | b < c\nout (https://x.org/y), inhere"
     assert readers.html_to_text(None) == ""
 
 

@@ -9,8 +9,9 @@ the tables hold no labels, so layouts with known states stand in for them. A bat
 forest, and messages are computed level by level with numpy.
 
 Edge cases: null and empty html, and pages without content, give an empty text; unclosed, stray and
-misnested tags are repaired by implied ends; depth is not limited; equal pages get equal texts; extra
-columns are never read.
+misnested tags are repaired by implied ends; blocks nested deeper than ``MAX_DEPTH`` hang under the one
+at that depth; character references do not reach across tags; equal pages get equal texts; extra
+columns are never read. Parsing takes time in proportion to the page, whatever its nesting.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -32,13 +34,18 @@ TRAIN_PAGES, SEED, STEPS, RATE, DECAY = 360, 3, 250, 0.3, 1e-4
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript textarea title iframe xmp template svg math select object".split())
+#: Elements without markup inside, up to their end tag or the end of the page.
+RAW = frozenset("script style textarea title iframe xmp".split())
+#: Elements whose contents are no text of the page; without an end tag they are empty.
+SKIPPED = frozenset("noscript template svg math select object".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
+#: Levels of nested blocks.
+MAX_DEPTH = 512
 #: Elements whose start ends an open element of the named kinds, up to a boundary.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -70,32 +77,44 @@ _COLUMN = {f: i for i, f in enumerate(FEATURES)}
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|data-y)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Marks of the training pages; other pages' attributes of this name mean nothing.
+_STATE = re.compile(r"\bdata-y=(\d)")
 _NAME = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+@lru_cache(32)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I)
+
+
 class Page:
-    """The block elements of a page: parent, tag, hints, own text; and its text blocks in order."""
+    """The block elements of a page: parent, tag, hints, own text; and its text blocks in order.
+
+    ``labelled``: whether it is a training page, whose elements may bear their states.
+    """
 
-    def __init__(self, source: str):
-        self.parent, self.tag, self.hints, self.label = [-1], ["#"], [frozenset()], [NEUTRAL]
+    def __init__(self, source: str, labelled: bool = False):
+        self.parent, self.tag, self.hints, self.label, self.depth = [-1], ["#"], [frozenset()], [NEUTRAL], [0]
         self.text_chars, self.link_chars, self.sentence, self.items = [0], [0], [False], [0]
         self.blocks: list[tuple[int, str]] = []
+        self.labelled = labelled
         self._parse(source)
 
     def _add(self, parent: int, tag: str, attributes: str) -> int:
+        if self.depth[parent] >= MAX_DEPTH:
+            parent = self.parent[parent]
         hints, label = frozenset(), self.label[parent]
         if attributes and "=" in attributes:
             words = set()
-            for name, *values in _ATTRIBUTE.findall(attributes):
-                value = "".join(values)
-                if name.lower() == "data-y":
-                    label = int(value)
-                else:
-                    words.update(_NAME.findall(_CAMEL.sub(" ", value).lower()))
+            for _, *values in _ATTRIBUTE.findall(attributes):
+                words.update(_NAME.findall(_CAMEL.sub(" ", "".join(values)).lower()))
             hints = frozenset(_HINT_OF[w] for w in words if w in _HINT_OF)
+            if self.labelled and (state := _STATE.search(attributes)):
+                label = int(state[1])
         self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
         self.tag.append(tag)
         self.hints.append(hints)
         self.label.append(label)
@@ -107,14 +126,21 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int]] = [("#", 0)]  # open elements and the block each belongs to
+        places: dict[str, list[int]] = defaultdict(list)  # where in the stack each kind of element is open
+        solid = [0]  # where the elements are that are not inline
         pieces: list[str] = []
-        at, end, links = 0, len(source), 0
-        linked = 0  # characters of the pieces inside links
+        at, end, linked = 0, len(source), 0  # linked: characters of the pieces inside links
+
+        def say(piece: str):
+            nonlocal linked
+            pieces.append(html.unescape(piece) if "&" in piece else piece)
+            if places["a"]:
+                linked += len(piece)
 
         def flush():
             nonlocal linked
             if pieces:
-                text = " ".join(html.unescape("".join(pieces)).split())
+                text = " ".join("".join(pieces).split())
                 pieces.clear()
                 node = stack[-1][1]
                 if text:
@@ -124,37 +150,40 @@ class Page:
                     self.sentence[node] |= text[-1] in ".!?…:;\"'”»" or "," in text
                 linked = 0
 
+        def push(tag: str, block: int):
+            places[tag].append(len(stack))
+            if tag not in INLINE:
+                solid.append(len(stack))
+            stack.append((tag, block))
+
         def pop_to(k: int):
-            nonlocal links
-            if any(t not in INLINE for t, _ in stack[k:]):
+            if solid[-1] >= k:
                 flush()
-            links -= sum(t == "a" for t, _ in stack[k:])
-            del stack[k:]
+            while len(stack) > k:
+                tag, _ = stack.pop()
+                places[tag].pop()
+                if solid[-1] == len(stack):
+                    solid.pop()
 
-        for m in _MARKUP.finditer(source):
-            if m.start() < at:
-                continue  # inside raw text
+        def innermost(kinds) -> int:
+            return max((places[t][-1] for t in kinds if places[t]), default=0)
+
+        while m := _MARKUP.search(source, at):
             if m.start() > at:
-                piece = source[at : m.start()]
-                pieces.append(piece)
-                linked += len(piece) * bool(links)
+                say(source[at : m.start()])
             at = m.end()
-            tag = m[2]
-            if tag is None:
+            if m[2] is None:
                 continue
-            tag = tag.lower()
+            tag = m[2].lower()
             if m[1]:
-                k = len(stack) - 1
-                while k > 0 and stack[k][0] != tag:
-                    k -= 1
-                if k > 0 and tag not in ("body", "html"):
-                    pop_to(k)
+                if places[tag] and tag not in ("body", "html"):
+                    pop_to(places[tag][-1])
                 elif tag in ("p", "br"):
                     flush()
                 continue
-            if tag in RAW:
-                close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = close.end() if close else end
+            if tag in RAW or tag in SKIPPED:
+                close = _end_of(tag).search(source, at)
+                at = close.end() if close else end if tag in RAW else at
                 pieces.append(" ")
                 continue
             if tag in VOID:
@@ -162,30 +191,19 @@ class Page:
                     flush()
                 pieces.append(" ")
                 continue
-            if tag in CLOSES_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
+            if tag in CLOSES_P and stack[solid[-1]][0] == "p":
+                pop_to(solid[-1])
             if tag in IMPLIED:
                 kinds, bounds = IMPLIED[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] in kinds:
-                        pop_to(k)
-                        if tag not in ("tr", "tbody"):
-                            break
-                    elif stack[k][0] in bounds:
+                while (k := innermost(kinds)) > innermost(bounds):
+                    pop_to(k)
+                    if tag not in ("tr", "tbody"):
                         break
-            if tag in INLINE:
-                links += tag == "a"
-                stack.append((tag, stack[-1][1]))
-            else:
+            if tag not in INLINE:
                 flush()
-                stack.append((tag, self._add(stack[-1][1], tag, m[3])))
+            push(tag, stack[-1][1] if tag in INLINE else self._add(stack[-1][1], tag, m[3]))
         if at < end:
-            pieces.append(source[at:])
+            say(source[at:])
         flush()
 
     def rows(self) -> list[list[int]]:
@@ -364,7 +382,7 @@ def training_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[str]:
 
 @lru_cache(1)
 def trained() -> tuple[np.ndarray, np.ndarray]:
-    return fit([Page(x) for x in training_pages()])
+    return fit([Page(x, labelled=True) for x in training_pages()])
 
 
 def extract(pages: list[str | None], model: tuple[np.ndarray, np.ndarray]) -> list[str]:

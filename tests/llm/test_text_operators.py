@@ -242,7 +242,7 @@ def test_passages_of_half_a_window_lie_whole_in_one():
 
 def test_extraction_on_held_out_layouts():
     model = html_extract.trained()
-    pages = [html_extract.Page(x) for x in html_extract.training_pages(80, seed=77)]
+    pages = [html_extract.Page(x, labelled=True) for x in html_extract.training_pages(80, seed=77)]
     forest = html_extract.Forest(pages)
     node, _ = html_extract.marginals(forest, forest.unary(model[0]), model[1])
     right = total = 0
@@ -283,3 +283,52 @@ def test_extract_pages(spark):
     assert got[1] == "Title & more First line, with a break. Second <p> here, quite long enough to be a text."
     assert got[2] == got[3] == "" and got[6] == got[1] and got[7].count("Second") == 50_000
     assert df.limit(0).select(html_extract.main_text(df)).count() == 0
+
+
+TAIL = "<article><h1>Title of it</h1><p>It is a text, and it goes on for a good while. It has two sentences.</p></article>"
+SAID = "Title of it It is a text, and it goes on for a good while. It has two sentences."
+
+#: Pages of other layouts than those of the training pages.
+BY_HAND = [
+    (f"<body><script>var s='<!--';</script>{TAIL}</body>", SAID),
+    (f"<body><script>for(i=0;i<n;i++){{ /* don't stop */ }}</script>{TAIL}</body>", SAID),
+    (f"<body><style>a>b::before{{content:'<p>'}}</style ><div data-y='12px' data-y=2></div>{TAIL}", SAID),
+    (f"<body><select><option>One<option>Two{TAIL}", f"One Two {SAID}"),  # an unclosed select is no text of its own, what follows is
+    (TAIL.replace("a text", "&am<b>p;</b> text"), SAID.replace("a text", "&amp; text").replace("&amp;", "&amp;")),
+    ("<body><div id=topnav><a href=/>Start</a> | <a href=/x>More</a></div><div class=entry-content><h2>On rivers</h2><p>Rivers run down, as rivers do, for a very long way.</p><p>Then they end, in a sea or in a lake somewhere.</p></div><div class=site-footer>All rights reserved</div>", "On rivers Rivers run down, as rivers do, for a very long way. Then they end, in a sea or in a lake somewhere."),
+    ("<body><header><h1>The Daily</h1></header><main><article><h1>Rain</h1><p>It rained all day, and all night, in the whole country.<ul><li>Wind, in the north of it.<li>Hail, in the south of it.</ul></article><section class=comments><p>I was there and it was wet, so wet.</p></section></main><footer>Imprint</footer>", "Rain It rained all day, and all night, in the whole country. Wind, in the north of it. Hail, in the south of it."),
+]
+
+
+def test_pages_by_hand():
+    got = html_extract.extract([x for x, _ in BY_HAND], html_extract.trained())
+    assert [g for g in got if g] == got
+    assert got[:3] == [want for _, want in BY_HAND[:3]] and got[4:] == [want for _, want in BY_HAND[4:]]
+    assert SAID in got[3]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(["<", "<div", ">", "</", "<script>", "</script>", "<!--", "-->", "<a href='", '"', "&", "&#x", "data-y=", "<p>", "<li>", "<td>", "</div>", "<![CDATA["]), st.text(max_size=4)), max_size=25).map("".join))
+def test_any_text_is_a_page(text):
+    (got,) = html_extract.extract([text], html_extract.trained())
+    assert isinstance(got, str)
+
+
+def test_parsing_takes_time_in_proportion():
+    import time
+
+    shapes = ["<div>" * 100_000 + "</x>" * 100_000, "<p><x>" + "<b>" * 60_000 + "<div></div>" * 60_000, "<li><ul>" + "<div>" * 60_000 + "<li></li>" * 60_000, "<b>" * 100_000 + "<p></p>" * 60_000]
+    for shape in shapes:
+        began = time.perf_counter()
+        html_extract.extract([shape], html_extract.trained())
+        assert time.perf_counter() - began < 10
+
+
+def test_html_query_contract(spark):
+    from millrace.llm import queries
+    from tests.conftest import SMALL
+
+    out = queries.op2_html(spark, SMALL)
+    assert out.columns[:4] == ["page_id", "url", "text", "n_chars"] and dict(out.dtypes)["n_chars"] == "bigint"
+    rows, pages = out.collect(), spark.read.parquet(f"{SMALL}/pages.parquet").count()
+    assert len(rows) == pages and all(r["n_chars"] == len(r["text"]) and r["text"] == " ".join(r["text"].split()) for r in rows)

@@ -117,3 +117,20 @@ def test_highlights_are_runs_of_equal_words():
             longest = max(next((n for n in range(k + 1, 0, -1) if [w for w, _ in shown[j : j + n]] == [w for w, _ in said[i : i + n]] and len(shown[j : j + n]) == n and len({s for _, s in said[i : i + n]}) == 1), 0) for j in range(len(shown)))
             assert longest == k
             covered = i + k - 1
+
+
+def test_frames_of_equal_pages_take_the_page_before():
+    rng = np.random.default_rng(7)
+    for _ in range(50):
+        groups = rng.integers(0, 4, 8)
+        labels = rng.integers(-1, 8, 30)
+        got = recurrences.resolve_duplicates(labels, np.ones(30), groups)
+        before = None
+        for x, y in zip(labels.tolist(), got.tolist(), strict=True):
+            if x < 0:
+                assert y == x
+                continue
+            equal = [p for p in range(8) if groups[p] == groups[x]]
+            want = before if before in equal else equal[0] if len(equal) > 1 else x
+            assert y == want
+            before = y

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import formats, speech, stats, text
 from millrace.functions.vectors import cosine_pairs
-from millrace.operators import names, recurrences
+from millrace.operators import names, recurrences, smoothing
 
 
 def test_near_spellings_by_known_values():
@@ -134,3 +134,12 @@ def test_frames_of_equal_pages_take_the_page_before():
             want = before if before in equal else equal[0] if len(equal) > 1 else x
             assert y == want
             before = y
+
+
+def test_smoothing_by_known_values(spark):
+    cases = {
+        "Damn it, HELL no, hello": ("Darn it, HECK no, hello", 2), "an idiot and a stupid trash can": ("a silly person and an odd trash can", 2), "A Stupid day": ("An Odd day", 1),
+        "trash, worthless": ("clutter, of little use", 2), "scummy": ("scummy", 0), "": ("", 0), None: (None, 0),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: (r["s"]["text"], r["s"]["n"]) for r in df.select("t", smoothing.smooth(F.col("t")).alias("s")).collect()} == cases

@@ -11,7 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 try:
@@ -92,16 +92,80 @@ class Workspace:
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-class WordHashes(dict):
-    """Stable 64-bit hashes of words, kept for the words met most recently."""
+_FACTOR = 0x9E3779B97F4A7C15
+_POWERS: dict[int, np.ndarray] = {}
+#: Words longer than this many bytes are hashed by themselves.
+_LONG_WORD = 64
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+#: Bytes of texts whose words are hashed at one time.
+BLOCK_BYTES = 1 << 20
 
-    limit = 200_000
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
+def byte_table(pattern: re.Pattern) -> np.ndarray:
+    """Which bytes belong to words of ``pattern``, a run of characters not in some ASCII ranges: all
+    bytes of other characters do."""
+    return np.array([b >= 128 or bool(pattern.fullmatch(chr(b | 32 if 65 <= b <= 90 else b))) for b in range(256)])
+
+
+def powers(factor: int, count: int) -> np.ndarray:
+    """factor ** 0, 1, ... modulo 2 ** 64, ``count`` of them at least."""
+    held = _POWERS.get(factor)
+    if held is None or len(held) < count:
+        held = np.full(max(count, 1 << 16), factor, np.uint64)
+        held[0] = 1
+        held = _POWERS[factor] = np.cumprod(held)
+    return held
+
+
+def run_hashes(values: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the values (64-bit) from each ``begin`` up to ``end``: the difference of two prefix
+    sums of a polynomial, brought to the same power."""
+    back = pow(_FACTOR, -1, 2**64)
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(_FACTOR, len(values))[: len(values)], out=sums[1:])
+    return (sums[end] - sums[begin]) * powers(back, len(values) + 1)[begin]
+
+
+class Words:
+    """The words of some texts in lower case (A-Z only), found and hashed in their UTF-8 bytes.
+
+    ``hashes``: one for each word, equal for equal words in any process; ``first``: the number of the
+    first word of each text, and of all words; ``begin`` and ``end``: their places in ``data``.
+    """
+
+    def __init__(self, texts: list[str | None], table: np.ndarray):
+        coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        # A line feed belongs to no word, so none goes on from one text to the next.
+        self.data = _FOLD[np.frombuffer(b"\n" + b"\n".join(coded) + b"\n", np.uint8)]
+        inside = table[self.data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        self.begin, self.end = edges[0::2], edges[1::2]
+        starts = np.cumsum([1, *(len(c) + 1 for c in coded)])
+        self.first = np.searchsorted(self.begin, starts)
+        self.hashes = mix64(run_hashes(self.data.astype(np.uint64) + np.uint64(1), self.begin, self.end))
+        for i in np.flatnonzero(self.end - self.begin > _LONG_WORD).tolist():
+            self.hashes[i] = xxhash.xxh64_intdigest(self.word(i), 1)
+
+    def word(self, i: int) -> bytes:
+        return self.data[self.begin[i] : self.end[i]].tobytes()
+
+    def run(self, i: int, n: int) -> bytes:
+        """``n`` words from word i on, with one blank between them."""
+        return b" ".join(self.word(j) for j in range(i, i + n))
+
+
+def text_blocks(texts: list[str | None], most: int = BLOCK_BYTES):
+    """Slices of ``texts`` of at most ``most`` characters, or one text."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        n = len(t) if t else 0
+        if i > at and size + n > most:
+            yield at, i
+            at, size = i, 0
+        size += n
+    if len(texts) > at:
+        yield at, len(texts)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -129,3 +193,17 @@ def row_key(*cols: str) -> Column:
 def chunks(pdf, rows: int):
     for at in range(0, len(pdf), rows):
         yield pdf.iloc[at : at + rows]
+
+
+def first_by_hash(rows: DataFrame, group: str, ident: str, most: int, seed: int, parts: int = 64) -> DataFrame:
+    """The first ``most`` rows of each ``group`` by a hash of ``ident``: a fixed sample.
+
+    They are chosen among the first of each of ``parts`` parts of a group, so that the rows of a large
+    group are spread over as many tasks, and one sees ``parts * most`` of them at last.
+    """
+    order = F.xxhash64(ident, F.lit(seed))
+    dealt = rows.withColumns({"__order": order, "__part": F.pmod(F.xxhash64(ident, F.lit(seed + 1)), F.lit(parts))})
+    for keys in ([group, "__part"], [group]):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__order", ident))
+        dealt = dealt.withColumn("__rank", rank).filter(F.col("__rank") <= most)
+    return dealt.select(*rows.columns)

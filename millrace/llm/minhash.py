@@ -19,24 +19,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BLANK_WORD, WordHashes, Workspace, lower_ascii, mix64, release
+from millrace.llm.common import BLANK_WORD, Words, Workspace, byte_table, mix64, release, text_blocks
 from millrace.llm.linking import band_keys, densify, join_ids, link, local_stars, signatures
 
 BANDS, ROWS = 32, 4
 SHINGLE_WORDS, PERCENT = 5, 80
 
 
-def shingle_set(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct 64-bit hashes of a text's word shingles."""
-    words = BLANK_WORD.findall(lower_ascii(text)) if text else []
-    if not words:
+_BYTES = byte_table(BLANK_WORD)
+
+
+def shingles_of(row: np.ndarray, size: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles, from its words' hashes."""
+    if not len(row):
         return np.zeros(0, np.uint64)
-    row = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(words))
-    total = np.full(len(words) - n + 1, n, np.uint64)
+    n = min(size, len(row))
+    total = np.full(len(row) - n + 1, n, np.uint64)
     for j in range(n):
         total = mix64(total * np.uint64(0x9E3779B97F4A7C15) + row[j : j + len(total)])
-    return np.unique(total)
+    total.sort()
+    return total[np.concatenate(([True], total[1:] != total[:-1]))]
+
+
+def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
+    out = []
+    for lo, hi in text_blocks(texts):
+        words = Words(texts[lo:hi], _BYTES)
+        first = words.first.tolist()
+        out += [shingles_of(words.hashes[i:j], size) for i, j in zip(first[:-1], first[1:], strict=True)]
+    return out
 
 
 def bands_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -45,9 +56,8 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sketch(size: int):
     def run(batches):
-        hashes = WordHashes()
         for pdf in batches:
-            sets = [shingle_set(t, size, hashes) for t in pdf["t"]]
+            sets = shingle_sets(pdf["t"].tolist(), size)
             yield pd.DataFrame(
                 {
                     "id": pdf["id"],
@@ -84,9 +94,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = space.save(classes.select("id", "k").join(ids, "id"), "wanted")
 
         def sets(batches):
-            hashes = WordHashes()
             for pdf in batches:
-                held = [shingle_set(t, shingle_words, hashes).tobytes() for t in pdf["t"]]
+                held = [s.tobytes() for s in shingle_sets(pdf["t"].tolist(), shingle_words)]
                 ok = [xxhash.xxh3_128_digest(s) == bytes(k) for s, k in zip(held, pdf["k"], strict=True)]
                 yield pd.DataFrame({"id": pdf["id"], "s": held})[ok]
 

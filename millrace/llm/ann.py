@@ -3,13 +3,18 @@
 Equal vectors are one point. Points are dealt to shards of about ``SHARD_POINTS`` by a hash of their
 id; in each shard greedy searches from the medoid propose neighbours, and pruning with a relaxed
 distance (a candidate goes if a kept neighbour is nearer to it, by the factor alpha, than the point
-is) keeps diverse edges. The index is a written table with a row for each shard. Queries, in blocks
-of ``QUERY_BLOCK``, meet every shard by a join on the shard's number; a beam search gives each shard's
-best, whose distances are recomputed in double precision before the merge.
+is) keeps diverse edges. The index is a written table with a row for each shard. Queries go, in blocks
+of ``QUERY_BLOCK``, to every shard: a shard's index is dealt once and its blocks stream past it. A beam
+search gives each shard's best, whose distances are recomputed in double precision before the merge.
+
+Graphs are built and searched on vectors that are centred and scaled in their shard, in single
+precision where that tells neighbours apart and in double precision elsewhere (clusters far from each
+other, sizes that differ by many powers of ten).
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, and
 neither do rows with a null id; vectors of different length never meet; rows repeated in id and vector
-are one; ties go to the smaller id; an empty table gives an empty result. Extra columns are never read.
+are one; an id with several vectors is as near as the nearest of them (and then a query may get fewer
+than ``k``); ties go to the smaller id; an empty table gives an empty result. Extra columns are never read.
 """
 
 from __future__ import annotations
@@ -27,18 +32,50 @@ QUERY_BLOCK = 2048
 DEGREE, BUILD_WIDTH, QUERY_WIDTH, ALPHA = 32, 64, 192, 1.2
 _BATCH, _EXPAND = 256, 4
 _SEED = 11
+#: An index (turn 0: n points x with ids keys) or a block of queries (turn 1: vectors x with ids keys).
+_ROW = "shard string, turn int, n int, start int, keys binary, x binary, graph binary"
+
+
+def _distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Squared distances of x (b, k, d) from q (b, d), by differences: exact however far from the origin."""
+    gap = x - q[:, None]
+    return np.einsum("bkd,bkd->bk", gap, gap)
+
+
+class Frame:
+    """Centre, scale and precision in which a shard's graph is built and searched."""
+
+    def __init__(self, x: np.ndarray):
+        n = len(x)
+        top = float(np.abs(x).max(initial=0.0))
+        self.power = np.ldexp(1.0, -np.frexp(top)[1]) if top else 1.0  # a power of two: exact
+        y = x * self.power
+        self.centre = np.median(y, axis=0)
+        y = y - self.centre
+        spread = float(np.median(np.abs(y).max(axis=1)))
+        self.scale = 1.0 / spread if spread > 1e-150 else 1.0
+        y = y * self.scale
+        # Single precision will do where rounding is small beside the gaps between neighbours.
+        few = np.random.Generator(np.random.PCG64(_SEED)).permutation(n)[:48]
+        gaps = np.stack([np.sqrt(((y - y[i]) ** 2).sum(axis=1)) for i in few])
+        gaps[np.arange(len(few)), few] = np.inf
+        least = np.quantile(gaps.min(axis=1), 0.1) if n > 1 else np.inf
+        self.dtype = np.float32 if np.abs(y).max(initial=0.0) * x.shape[1] ** 0.5 * 1e-5 < least else np.float64
 
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        y = (x * self.power - self.centre) * self.scale
+        return np.clip(y, -1e17, 1e17).astype(self.dtype) if self.dtype == np.float32 else np.clip(y, -1e150, 1e150)
 
-def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, width: int):
+
+def beam_search(x: np.ndarray, graph: np.ndarray, start: int, q: np.ndarray, width: int):
     """For each row of ``q`` the ``width`` nearest points met, nearest first; -1 where there are fewer."""
     n, b = len(x), len(q)
     seen = np.zeros((b, n + 1), bool)
     seen[:, n] = True  # stands for missing edges
-    qn = np.einsum("bd,bd->b", q, q)
     ids = np.full((b, width), n, np.int64)
-    dist = np.full((b, width), np.inf, np.float32)
+    dist = np.full((b, width), np.inf, x.dtype)
     done = np.ones((b, width), bool)
-    ids[:, 0], dist[:, 0], done[:, 0] = start, norms[start] - 2 * q @ x[start] + qn, False
+    ids[:, 0], dist[:, 0], done[:, 0] = start, _distances(x[None, [start]], q)[:, 0], False
     seen[:, start] = True
     rows = np.arange(b)
     while len(rows):
@@ -54,8 +91,7 @@ def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: int,
         near.sort(axis=1)
         near = near[:, : max(1, int((near < n).sum(axis=1).max(initial=0)))]
         real = near < n
-        at = np.where(real, near, 0)
-        d = norms[at] - 2 * np.einsum("bkd,bd->bk", x[at], q[rows]) + qn[rows][:, None]
+        d = _distances(x[np.where(real, near, 0)], q[rows])
         d[~real] = np.inf
         all_d = np.concatenate((dist[rows], d), 1)
         order = np.argsort(all_d, axis=1, kind="stable")[:, :width]
@@ -63,8 +99,7 @@ def beam_search(x: np.ndarray, norms: np.ndarray, graph: np.ndarray, start: int,
         ids[rows] = np.take_along_axis(np.concatenate((ids[rows], near), 1), order, 1)
         done[rows] = np.take_along_axis(np.concatenate((done[rows], ~real), 1), order, 1)
         rows = rows[~done[rows].all(axis=1)]
-    ids[~np.isfinite(dist)] = -1
-    return ids
+    return np.where(ids < n, ids, -1)
 
 
 def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, alpha: float, degree: int) -> np.ndarray:
@@ -75,13 +110,11 @@ def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, alpha: flo
     real = cand < n
     at = np.where(real, cand, 0)
     v = x[at]
-    near = ((v - x[points][:, None]) ** 2).sum(-1)
+    near = _distances(v, x[points])
     near[~real] = np.inf
     order = np.argsort(near, axis=1, kind="stable")
     cand, near, v = np.take_along_axis(cand, order, 1), np.take_along_axis(near, order, 1), np.take_along_axis(v, order[..., None], 1)
-    sq = (v**2).sum(-1)
-    between = sq[:, :, None] + sq[:, None] - 2 * v @ v.transpose(0, 2, 1)
-    alive, rows = np.isfinite(near), np.arange(len(points))
+    alive, rows = cand < n, np.arange(len(points))
     out = np.full((len(points), degree), n, np.int64)
     for k in range(degree):
         pick = alive.argmax(axis=1)
@@ -89,7 +122,7 @@ def robust_prune(x: np.ndarray, points: np.ndarray, cand: np.ndarray, alpha: flo
         if not ok.any():
             break
         out[ok, k] = cand[rows, pick][ok]
-        alive &= ~((alpha * alpha * between[rows, pick] <= near) & ok[:, None])
+        alive &= ~((alpha * alpha * _distances(v, v[rows, pick]) <= near) & ok[:, None])
         alive[rows, pick] = False
     return out
 
@@ -98,8 +131,7 @@ def build_graph(x: np.ndarray) -> tuple[np.ndarray, int]:
     """The graph (a row of edges for each point and one, all missing, for "none") and its start."""
     n = len(x)
     rng = np.random.Generator(np.random.PCG64(_SEED))
-    norms = np.einsum("nd,nd->n", x, x)
-    start = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin())
+    start = int(np.einsum("nd,nd->n", x, x).argmin())  # vectors are centred: the point in their midst
     graph = np.full((n + 1, DEGREE), n, np.int64)
     if n > 1:
         first = rng.integers(0, n - 1, (n, min(DEGREE // 2, n - 1)))
@@ -108,7 +140,7 @@ def build_graph(x: np.ndarray) -> tuple[np.ndarray, int]:
         order = rng.permutation(n)
         for lo in range(0, n, _BATCH):
             p = order[lo : lo + _BATCH]
-            met = beam_search(x, norms, graph, start, x[p], BUILD_WIDTH)
+            met = beam_search(x, graph, start, x[p], BUILD_WIDTH)
             held = np.where(graph[p] < n, graph[p], -1)
             graph[p] = robust_prune(x, p, np.concatenate((met, held), 1), alpha, DEGREE)
             # Reverse edges: appended while there is room, pruned beyond.
@@ -145,34 +177,53 @@ def usable(vector: str) -> Column:
 
 def _index(pdf: pd.DataFrame) -> pd.DataFrame:
     x = np.array(pdf["v"].tolist(), np.float64)
-    graph, start = build_graph(x.astype(np.float32))
+    graph, start = build_graph(Frame(x)(x))
     rep = pdf["rep"].to_numpy(np.int64)
-    row = (pdf["shard"].iloc[0], len(x), start, rep.tobytes(), x.tobytes(), graph.astype(np.int32).tobytes())
-    return pd.DataFrame([row], columns=["shard", "n", "start", "reps", "x", "graph"])
+    row = (pdf["shard"].iloc[0], 0, len(x), start, rep.tobytes(), x.tobytes(), graph.astype(np.int32).tobytes())
+    return pd.DataFrame([row], columns=["shard", "turn", "n", "start", "keys", "x", "graph"])
 
 
 def _search(k: int):
+    """Best points of each block of queries in the shard whose index came before it."""
+
     def run(batches):
+        at = None
         for pdf in batches:
-            for n, start, reps, x, graph, q, keys in zip(*(pdf[c] for c in ("n", "start", "reps", "x", "graph", "q", "keys")), strict=True):
-                reps, x = np.frombuffer(reps, np.int64), np.frombuffer(x, np.float64).reshape(n, -1)
-                q, keys = np.frombuffer(q, np.float64).reshape(-1, x.shape[1]), np.frombuffer(keys, np.int64)
-                x32, graph = x.astype(np.float32), np.frombuffer(graph, np.int32).reshape(n + 1, -1).astype(np.int64)
-                norms = np.einsum("nd,nd->n", x32, x32)
+            for shard, turn, n, start, keys, x, graph in pdf.itertuples(index=False):
+                if turn == 0:
+                    at, begin, reps, points = shard, int(start), np.frombuffer(keys, np.int64), np.frombuffer(x, np.float64).reshape(int(n), -1)
+                    frame, edges = Frame(points), np.frombuffer(graph, np.int32).reshape(int(n) + 1, -1).astype(np.int64)
+                    held = frame(points)
+                    continue
+                if shard != at:
+                    continue  # no points in this shard
+                q, keys = np.frombuffer(x, np.float64).reshape(-1, points.shape[1]), np.frombuffer(keys, np.int64)
                 for lo in range(0, len(q), _BATCH):
                     part = q[lo : lo + _BATCH]
-                    got = beam_search(x32, norms, graph, start, part.astype(np.float32), QUERY_WIDTH)[:, : 4 * k + 16]
-                    at = np.maximum(got, 0)
-                    d = np.sqrt(((x[at] - part[:, None]) ** 2).sum(-1))
+                    got = beam_search(held, edges, begin, frame(part), QUERY_WIDTH)[:, : 4 * k + 16]
+                    near = np.maximum(got, 0)
+                    d = euclidean(points[near], part)
                     d[got < 0] = np.inf
-                    order = np.lexsort((reps[at], d))[:, : k + 1]
-                    d, best = np.take_along_axis(d, order, 1), np.take_along_axis(reps[at], order, 1)
-                    ok = np.isfinite(d)
+                    order = np.lexsort((reps[near], d))[:, : k + 1]
+                    ok = np.take_along_axis(got, order, 1) >= 0
+                    d, best = np.take_along_axis(d, order, 1), np.take_along_axis(reps[near], order, 1)
                     yield pd.DataFrame({"q": np.broadcast_to(keys[lo : lo + _BATCH, None], d.shape)[ok], "rep": best[ok], "score": d[ok]})
 
     return run
 
 
+def euclidean(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of x (b, k, d) from q (b, d), in double precision."""
+    gap = x - q[:, None]
+    with np.errstate(over="ignore"):
+        d = np.sqrt((gap**2).sum(-1))
+    big = ~np.isfinite(d) | ((d < 1e-150) & (d > 0))  # squares beyond the range
+    if big.any():
+        top = np.abs(gap[big]).max(axis=-1, keepdims=True)
+        d[big] = top[:, 0] * np.sqrt(((gap[big] / top) ** 2).sum(-1))
+    return d
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row where ``is_query`` holds,
     an expression over the column ``id``; score is the Euclidean distance."""
@@ -189,7 +240,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     shards = max(1, -(-total // SHARD_POINTS))
     keyed = points.select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"), F.size("v").alias("dim"), F.col("id").alias("rep"), "v")
     keyed = keyed.withColumn("shard", F.concat_ws("-", "dim", "s")).repartition(shards, "shard")
-    index = keyed.select("shard", "rep", "v").groupBy("shard").applyInPandas(_index, "shard string, n int, start int, reps binary, x binary, graph binary")
+    index = keyed.select("shard", "rep", "v").groupBy("shard").applyInPandas(_index, _ROW)
     index = space.save(index, "index")
 
     asking = rows.filter(is_query).select(F.col("id").alias("query_id"), "h1", "h2")
@@ -200,16 +251,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         row = (pdf["dim"].iloc[0], pdf["id"].to_numpy(np.int64).tobytes(), np.array(pdf["v"].tolist(), np.float64).tobytes())
-        return pd.DataFrame([row], columns=["dim", "keys", "q"])
+        return pd.DataFrame([row], columns=["dim", "keys", "x"])
 
-    packed = asked.groupBy("dim", "block").applyInPandas(pack, "dim int, keys binary, q binary")
-    spread = packed.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.concat_ws("-", "dim", s))))
-    met = spread.join(index, "shard").repartition(max(2, min(shards * blocks, 2000)), "shard", F.xxhash64("keys"))
-    found = space.save(met.mapInPandas(_search(k), "q long, rep long, score double"), "found")
+    packed = asked.groupBy("dim", "block").applyInPandas(pack, "dim int, keys binary, x binary")
+    none = {"turn": F.lit(1), "n": F.lit(None).cast("int"), "start": F.lit(None).cast("int"), "graph": F.lit(None).cast("binary")}
+    spread = packed.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: F.concat_ws("-", "dim", s)))).withColumns(none)
+    dealt = index.unionByName(spread.select(*index.columns)).repartition(max(2, min(4 * shards, 20_000)), "shard").sortWithinPartitions("shard", "turn")
+    found = space.save(dealt.mapInPandas(_search(k), "q long, rep long, score double"), "found")
 
     top = Window.partitionBy("q").orderBy("score", "rep")
     best = found.withColumn("n", F.row_number().over(top)).filter(F.col("n") <= k + 1)
     each = best.join(askers, "q").join(members.select("rep", "ids"), "rep").select("query_id", F.explode("ids").alias("vec_id"), "score")
+    each = each.filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = each.filter("vec_id <> query_id").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -157,7 +157,8 @@ def test_lines_equal_brute_force(spark, limit, monkeypatch):
 
 def test_line_keys_from_sets_and_texts_agree():
     lines = ["short", "a line of some length, with words", "é" * 30, "x" * 5000]
-    assert (line_dedup.line_bands(lines) == line_dedup.bands_of(line_dedup.shingle_sets(lines))).all()
+    from_sets = linking.band_keys(linking.densify(linking.signatures(line_dedup.shingle_sets(lines), line_dedup.BANDS * line_dedup.ROWS)), line_dedup.BANDS)
+    assert (line_dedup.line_bands(lines) == from_sets).all()
 
 
 def test_lines_at_the_threshold_are_found(spark):
@@ -200,6 +201,42 @@ def test_ann_recall_and_edges(spark, monkeypatch):
     assert len(few) == 2 and ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["offset", "huge", "tiny", "clusters", "mixed"])
+def test_ann_on_hard_scales(spark, monkeypatch, kind):
+    monkeypatch.setattr(ann, "SHARD_POINTS", 400)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 24))
+    if kind == "offset":
+        x += 1e4
+    elif kind == "huge":
+        x *= 1e20
+    elif kind == "tiny":
+        x *= 1e-30
+    elif kind == "clusters":
+        x[::2] += 1e7
+    else:
+        x *= 10.0 ** rng.integers(-6, 7, (1200, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("id") % 40 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    hits = 0
+    for q in range(0, 1200, 40):
+        gap = np.abs(x - x[q])
+        top = gap.max()
+        d = top * np.sqrt(((gap / top) ** 2).sum(axis=1))
+        want = sorted((i for i in range(1200) if i != q), key=lambda i: (d[i], i))[:10]
+        assert len(got[q]) == 10 and all(s == pytest.approx(d[i], rel=1e-9) for i, s in got[q])
+        hits += len({i for i, _ in got[q]} & set(want))
+    assert hits / 300 >= 0.95
+
+
+def test_ann_ids_with_several_vectors(spark):
+    rows = [(1, [0.0, 1.0]), (1, [9.0, 9.0]), (2, [0.0, 2.0]), (2, [8.0, 9.0]), (3, [5.0, 5.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 1).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, 1.0), (3, pytest.approx(32**0.5))]
+
+
 # WARC
 
 

@@ -39,6 +39,8 @@ DATE = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "file string, records long, bytes long, sha256 string, first_id string, last_id string"
 READ_BLOCK = 1 << 20
+#: Tasks that read archives, at most.
+MAX_READERS = 20_000
 
 
 def _open_fs(uri: str):
@@ -153,6 +155,9 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     # Ids travel as strings from here on: pandas would turn long ids beside nulls into floats.
     sortable = merged.repartitionByRange("p").sortWithinPartitions("p", "kind", "url", "html").withColumns({"p": F.col("p").cast("string"), "refers": F.col("refers").cast("string")})
     sortable.mapInPandas(_writer(root, roll_bytes), MANIFEST).write.json(f"{root}/manifest")
+    fs, base = _open_fs(root)
+    if fs.get_file_info(f"{base}/_temporary").type.name == "Directory":
+        fs.delete_dir(f"{base}/_temporary")  # what lost attempts left
     return spark.read.schema(MANIFEST).json(f"{root}/manifest")
 
 
@@ -208,7 +213,8 @@ def read_archives(spark: SparkSession, root: str, manifest: DataFrame, id_type:
 
     schema = READ.format(id="string") + (", payload binary" if with_payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    files = manifest.select("file").repartition("file")
+    files = manifest.select("file")
+    files = files.repartition(max(1, min(files.count(), MAX_READERS)))  # a task for each, however small its row is
     out = files.mapInPandas(read, schema)
     return out.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 

@@ -2,13 +2,13 @@
 
 A document's words are hashed once; rolling window hashes are looked up in the sorted hashes of the
 benchmark's windows, and each hit is verified word by word before it counts. The set is broadcast
-only up to ``max_windows`` windows; a larger benchmark takes the join path: a fixed-size Bloom
-filter screens the windows on the documents' side, the survivors meet the benchmark's windows in a
-shuffle join, and equal words confirm them. Both paths give the same rows.
+only up to ``max_windows`` windows of ``WINDOW_BYTES`` bytes on average; a larger benchmark takes the
+join path: a fixed-size Bloom filter screens the windows on the documents' side, the survivors meet the
+benchmark's windows in a shuffle join, and equal words confirm them. Both paths give the same rows.
 
 Edge cases: null text has no words; an item without words is ignored; an item with fewer words than
-a window is one window of its own length; repeated rows are scanned independently; empty tables give
-empty or untouched results. Extra columns are never read, whatever their names.
+a window is one window of its own length; an item without an id bears the empty text as its id;
+repeated rows are scanned independently; empty tables give empty or untouched results. Extra columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import PLAIN_WORD, WordHashes, bound_batches, lower_ascii, mix64, release, row_key
+from millrace.llm.common import PLAIN_WORD, Words, bound_batches, byte_table, lower_ascii, mix64, release, row_key, run_hashes, text_blocks
 
 WINDOW = 10
 MAX_WINDOWS = 200_000
+WINDOW_BYTES = 100
 BLOOM_BITS = 1 << 24
-_FACTOR = 0x9E3779B97F4A7C15
+#: Leading bits of window hashes that are looked up before the hashes themselves.
+SCREEN_BITS = 20
+_BYTES = byte_table(PLAIN_WORD)
 
 REPORT = T.StructType(
     [
@@ -45,14 +48,11 @@ def words_of(text: str | None) -> list[str]:
     return PLAIN_WORD.findall(lower_ascii(text)) if text else []
 
 
-def window_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each run of ``n`` words."""
-    total = np.zeros(max(0, len(word_hashes) - n + 1), np.uint64)
-    factor = 1
-    for j in range(n):
-        total += word_hashes[j : j + len(total)] * np.uint64(factor)
-        factor = factor * _FACTOR % 2**64
-    return mix64(total)
+def window_hashes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``n`` words within one text: their first words, and their hashes."""
+    owner = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    at = np.flatnonzero(owner[: len(owner) - n + 1] == owner[n - 1 :]) if len(owner) >= n else np.zeros(0, np.int64)
+    return at, mix64(run_hashes(words.hashes, at, at + n))
 
 
 def item_windows(words: list[str], window: int) -> set[tuple[str, ...]]:
@@ -68,32 +68,35 @@ def _sha_of_items(items) -> str:
 class WindowIndex:
     """The benchmark's windows: exact words to items, and sorted hashes for each window length."""
 
-    def __init__(self, items: list[tuple[object, list[str]]], window: int):
-        self.exact: dict[tuple[str, ...], list] = defaultdict(list)
+    def __init__(self, items: list[tuple[str, list[str]]], window: int):
+        exact: dict[str, list] = defaultdict(list)
+        by_length = defaultdict(list)
         for item, words in items:
             for w in item_windows(words, window):
-                self.exact[w].append(item)
-        self.exact = dict(self.exact)
-        hashes, by_length = WordHashes(), defaultdict(list)
-        for w in self.exact:
-            row = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-            by_length[len(w)].append(window_hashes(row, len(w))[0])
-        self.sorted = {n: np.unique(np.array(v, np.uint64)) for n, v in by_length.items()}
-
-    def hits(self, words: list[str], hashes: WordHashes) -> tuple[np.ndarray, set]:
-        """A mask over the words, and the items whose windows occur."""
-        mask, found = np.zeros(len(words) + 1, np.int32), set()
-        row = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+                run = " ".join(w)
+                if run not in exact:
+                    by_length[len(w)].append(run)
+                exact[run].append(item)
+        self.exact = {run.encode("utf-8", "surrogatepass"): held for run, held in exact.items()}
+        self.sorted, self.screens = {}, {}
+        for n, runs in by_length.items():
+            known = [window_hashes(Words(runs[lo:hi], _BYTES), n)[1] for lo, hi in text_blocks(runs)]
+            self.sorted[n] = np.unique(np.concatenate(known))
+            self.screens[n] = np.zeros(1 << SCREEN_BITS, bool)
+            self.screens[n][self.sorted[n] >> np.uint64(64 - SCREEN_BITS)] = True
+
+    def hits(self, words: Words) -> tuple[np.ndarray, list[set]]:
+        """A mask over the words, and for each text the items whose windows occur."""
+        mask, found = np.zeros(len(words.hashes) + 1, np.int32), [set() for _ in range(len(words.first) - 1)]
         for n, known in self.sorted.items():
-            if len(words) < n:
-                continue
-            got = window_hashes(row, n)
-            at = np.searchsorted(known, got)
-            at[at == len(known)] = 0
-            for i in np.flatnonzero(known[at] == got).tolist():
-                items = self.exact.get(tuple(words[i : i + n]))
+            at, got = window_hashes(words, n)
+            near = self.screens[n][got >> np.uint64(64 - SCREEN_BITS)]
+            at, got = at[near], got[near]
+            place = np.minimum(np.searchsorted(known, got), len(known) - 1)
+            for i in at[known[place] == got].tolist():
+                items = self.exact.get(words.run(i, n))
                 if items:
-                    found.update(items)
+                    found[int(np.searchsorted(words.first, i, "right")) - 1].update(items)
                     mask[i] += 1
                     mask[i + n] -= 1
         return np.cumsum(mask)[:-1] > 0, found
@@ -117,14 +120,15 @@ def cut_spans(text: str, hit: np.ndarray) -> str:
 
 def _scanner(held, with_text: bool):
     @F.pandas_udf(REPORT)
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        index, hashes, rows = held.value, WordHashes(), []
-        for text in texts:
-            words = words_of(text)
-            hit, found = index.hits(words, hashes)
-            n = int(hit.sum())
-            clean = (cut_spans(text, hit) if n else text) if with_text else None
-            rows.append((len(words), n, len(found), _sha_of_items(found), n > 0, clean))
+    def scan(batch: pd.Series) -> pd.DataFrame:
+        index, rows, texts = held.value, [], batch.tolist()
+        for lo, hi in text_blocks(texts):
+            words = Words(texts[lo:hi], _BYTES)
+            hit, found = index.hits(words)
+            for text, items, a, b in zip(texts[lo:hi], found, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+                n = int(hit[a:b].sum()) if items else 0
+                clean = (cut_spans(text, hit[a:b]) if n else text) if with_text else None
+                rows.append((b - a, n, len(items), _sha_of_items(items), n > 0, clean))
         release()
         return pd.DataFrame(rows, columns=REPORT.names)
 
@@ -132,16 +136,21 @@ def _scanner(held, with_text: bool):
 
 
 def _collect_items(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int):
-    """The items and their words, or None where they have more windows than ``most``.
+    """The items (their ids as texts) and their words, or None where they have more windows than ``most``
+    or more bytes than ``WINDOW_BYTES`` for each of these.
 
-    The count comes first and runs on the executors, so nothing unbounded reaches the driver.
+    The counts come first and run on the executors, so nothing unbounded reaches the driver.
     """
     lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     word_count = F.size(F.regexp_extract_all(lower, F.lit(f"({PLAIN_WORD.pattern})"), 1))
-    total = benchmark.agg(F.sum(F.greatest(word_count - (window - 1), F.lit(1)) + window)).first()[0] or 0
-    if total > most:
+    windows, size = benchmark.agg(F.sum(F.greatest(word_count - (window - 1), F.lit(1)) + window), F.sum(F.octet_length(lower))).first()
+    if (windows or 0) > most or (size or 0) > most * WINDOW_BYTES:
         return None
-    return [(r[0], words_of(r[1])) for r in benchmark.select(item_col, text_col).toLocalIterator()]
+    return [(r[0], words_of(r[1])) for r in benchmark.select(_item(item_col), text_col).toLocalIterator()]
+
+
+def _item(item_col: str):
+    return F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item")
 
 
 def scan(
@@ -189,21 +198,20 @@ def _bloom_slots(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _windows_of_items(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    kind = benchmark.schema[item_col].dataType.simpleString()
-
     def explode(batches):
-        hashes = WordHashes()
         for pdf in batches:
-            rows = []
-            for item, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True):
-                for w in item_windows(words_of(text), window):
-                    row = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-                    h = window_hashes(row, len(w))
-                    a, b = _bloom_slots(h)
-                    rows.append((item, len(w), int(h.view(np.int64)[0]), " ".join(w), int(a[0]), int(b[0])))
-            yield pd.DataFrame(rows, columns=["item", "n", "h", "w", "a", "b"])
+            for item, text in zip(pdf["item"], pdf["t"], strict=True):
+                words = words_of(text)
+                n = min(window, len(words))
+                held = Words([text], _BYTES)
+                at, h = window_hashes(held, n) if n else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                _, fresh = np.unique(h, return_index=True)
+                at, h = at[np.sort(fresh)], h[np.sort(fresh)]
+                a, b = _bloom_slots(h)
+                runs = [" ".join(words[i : i + n]) for i in at.tolist()]
+                yield pd.DataFrame({"item": np.array([item] * len(runs), object), "n": n, "h": h.view(np.int64), "w": np.array(runs, object), "a": a.astype(np.int64), "b": b.astype(np.int64)})
 
-    return benchmark.select(item_col, text_col).mapInPandas(explode, f"item {kind}, n int, h long, w string, a int, b int")
+    return benchmark.select(_item(item_col), F.col(text_col).alias("t")).mapInPandas(explode, "item string, n int, h long, w string, a int, b int")
 
 
 def _scan_by_join(docs, benchmark, text_col, item_col, item_text_col, window, with_text, into) -> DataFrame:
@@ -221,25 +229,30 @@ def _scan_by_join(docs, benchmark, text_col, item_col, item_text_col, window, wi
     held = spark.sparkContext.broadcast(bloom)
 
     def candidates(batches):
-        bits, hashes = held.value, WordHashes()
+        bits = held.value
         for pdf in batches:
-            rows = []
-            for key, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], strict=True):
-                words = words_of(text)
-                row = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+            texts = pdf["t"].tolist()
+            for lo, hi in text_blocks(texts):
+                words = Words(texts[lo:hi], _BYTES)
                 for n in lengths:
-                    h = window_hashes(row, n) if len(words) >= n else row[:0]
+                    at, h = window_hashes(words, n)
                     a, b = (s.astype(np.int64) for s in _bloom_slots(h))
                     ok = (bits[a >> 5] >> (a & 31).astype(np.uint32)) & (bits[b >> 5] >> (b & 31).astype(np.uint32)) & 1
-                    rows += [(key, n, i, int(h[i].view(np.int64)), " ".join(words[i : i + n])) for i in np.flatnonzero(ok)]
-            yield pd.DataFrame(rows, columns=["key", "n", "at", "h", "w"])
-
-    keyed = docs.select(row_key(text_col).alias("key"), F.col(text_col).alias("t"))
-    found = keyed.mapInPandas(candidates, "key long, n int, at int, h long, w string")
+                    at, h = at[ok == 1], h[ok == 1]
+                    text = np.searchsorted(words.first, at, "right") - 1
+                    rows = pdf.iloc[lo + text][["k1", "k2"]].reset_index(drop=True)
+                    runs = [words.run(i, n).decode("utf-8", "surrogatepass") for i in at.tolist()]
+                    yield rows.assign(n=n, at=at - words.first[text], h=h.view(np.int64), w=np.array(runs, object))
+            release()
+
+    # A text is known by two hashes; copies of one text make the same rows, and are one after ``distinct``.
+    keys = {"k1": row_key(text_col), "k2": F.xxhash64(F.lit(1), text_col)}
+    keyed = docs.select(*(c.alias(k) for k, c in keys.items()), F.col(text_col).alias("t"))
+    found = keyed.mapInPandas(candidates, "k1 long, k2 long, n int, at int, h long, w string").distinct()
     hits = found.join(windows.select("h", "n", "w", "item"), ["h", "n", "w"])
-    texts = hits.select("key", "item", F.explode(F.sequence("at", F.expr("at + n - 1"))).alias("i"))
-    by_text = texts.groupBy("key").agg(F.collect_set("i").alias("hit"), F.collect_set(F.col("item").cast("string")).alias("items"))
-    joined = docs.withColumn("__key", row_key(text_col)).join(by_text.withColumnRenamed("key", "__key"), "__key", "left")
+    texts = hits.select("k1", "k2", "item", F.explode(F.sequence("at", F.expr("at + n - 1"))).alias("i"))
+    by_text = texts.groupBy(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_set("i").alias("__hit"), F.collect_set("item").alias("__items"))
+    joined = docs.withColumns({f"__{k}": c for k, c in keys.items()}).join(by_text, ["__k1", "__k2"], "left")
 
     @F.pandas_udf(REPORT)
     def report(texts: pd.Series, hit: pd.Series, items: pd.Series) -> pd.DataFrame:
@@ -255,4 +268,4 @@ def _scan_by_join(docs, benchmark, text_col, item_col, item_text_col, window, wi
             rows.append((n, k, len(names), _sha_of_items(names), k > 0, clean))
         return pd.DataFrame(rows, columns=REPORT.names)
 
-    return joined.withColumn(into, report(F.col(text_col), F.col("hit"), F.col("items"))).select(*[c for c in docs.columns if c != into], into)
+    return joined.withColumn(into, report(F.col(text_col), F.col("__hit"), F.col("__items"))).select(*[c for c in docs.columns if c != into], into)

@@ -7,18 +7,19 @@ whose prototype has the largest cosine with the text.
 
 Edge cases: null text, and text without a letter, is ``und`` with score 0; without training rows
 every text is ``und``; ties go to the language that sorts first; every row is scored on its own, so
-repeated rows get equal results. Extra columns are never read.
+repeated rows get equal results (those that share an id are all learned from, if that id is chosen). Extra
+columns are never read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import bound_batches, release
+from millrace.llm.common import bound_batches, first_by_hash, release
 
 UNDECIDED = "und"
 DIM = 512
@@ -127,14 +128,14 @@ class Profiles:
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_per_lang: int = MAX_TRAIN_PER_LANG, dim: int = DIM) -> Profiles:
     """Prototypes from at most ``max_per_lang`` texts of each non-null language.
 
-    The texts are chosen by a hash of their ids from two narrow columns (a limit in each map task
-    before the shuffle), then bundled where they lie: only sums leave the executors.
+    The texts are chosen by a hash of their ids from two narrow columns, first within the parts of a
+    language, then among those chosen, so that no task sees many rows of one; then they are bundled
+    where they lie: only sums leave the executors.
     """
     bound_batches(train.sparkSession)
     rows = train.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
     rows = rows.filter(F.col("l").isNotNull() & F.col("t").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i", F.lit(SEED)), "i"))
-    chosen = rows.select("i", "l").withColumn("rank", rank).filter(F.col("rank") <= max_per_lang).select("i", "l").distinct()
+    chosen = first_by_hash(rows.select("i", "l"), "l", "i", max_per_lang, SEED).distinct()
     langs = sum(1 for _ in chosen.select("l").distinct().toLocalIterator())
     chosen = F.broadcast(chosen) if langs <= 200 else chosen  # max_per_lang short rows for each language
     texts = rows.join(chosen, ["i", "l"], "left_semi").select("l", "t")
@@ -148,7 +149,8 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col
                     v = bundler.bundle([held[i] for i in block])
                     norms = np.linalg.norm(v, axis=1, keepdims=True)
                     sums[lang] = sums.get(lang, 0) + (v / np.where(norms > 0, norms, 1)).sum(axis=0, dtype=np.float64)
-        yield pd.DataFrame({"l": list(sums), "v": [x.tolist() for x in sums.values()]})
+        if sums:  # most tasks hold none of the chosen texts
+            yield pd.DataFrame({"l": list(sums), "v": [x.tolist() for x in sums.values()]})
 
     parts = texts.mapInPandas(partial, "l string, v array<double>").selectExpr("l", "posexplode(v) AS (d, x)")
     total: dict[str, np.ndarray] = {}

@@ -19,16 +19,17 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bound_batches
+from millrace.llm.common import bound_batches, first_by_hash
 
 WINDOW, STRIDE = 64, 32
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 12, 12, 12, 8192
 VOCABULARY, MIN_TEXTS = 3000, 5
-#: The fit reads at most so many texts of each label, by a hash of their ids, of at most so many words.
-MAX_TRAIN_PER_LABEL, MAX_TRAIN_WORDS = 1000, 1200
+#: The fit reads at most so many texts of each label, by a hash of their ids, among those of at most so
+#: many characters.
+MAX_TRAIN_PER_LABEL, MAX_TRAIN_CHARS = 1000, 8000
 STEPS, BATCH_TEXTS, RATE = 260, 24, 0.01
 #: Share of a batch's distinct words that are blanked at first (falling to none at the end, so that
 #: small samples aren't learnt by heart), and decay of the input vectors in each step.
@@ -285,15 +286,14 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = MAX_TRAIN_PER_LABEL) -> Network | float:
     """Train on at most ``most`` texts of each label among the ids where ``usable`` (over ``id``) holds.
 
-    The ids are chosen from the narrow table of labels, so only their texts are gathered.
+    The ids are chosen from narrow rows, so only their texts are gathered: one for each id and label
+    (the smallest where rows share an id), of bounded length.
     """
     ids = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isin(0, 1)).filter(usable)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id", F.lit(SEED)), "id"))
-    chosen = ids.distinct().withColumn("rank", rank).filter(F.col("rank") <= most).select("id", "y")
-    rows = texts.join(F.broadcast(chosen), "id")  # at most 2 * most short rows
-    rows = rows.filter(F.size(F.split(F.coalesce("t", F.lit("")), " ")) <= MAX_TRAIN_WORDS)
-    held = sorted(((r["id"], r["y"], r["t"] or "") for r in rows.collect()), key=lambda r: (r[0], r[1], r[2]))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).filter(F.length("t") <= MAX_TRAIN_CHARS)
+    chosen = first_by_hash(ids.join(texts.select("id"), "id").distinct(), "y", "id", most, SEED)
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("t").alias("t"))  # at most 2 * most rows
+    held = sorted((r["id"], r["y"], r["t"]) for r in rows.toLocalIterator())
     return train([r[2] for r in held], [r[1] for r in held])
 
 

@@ -6,7 +6,7 @@ inversion: a uniform number from a hash of the seed and its id is compared with
 probabilities of its source. A rate above ``PIECE`` is drawn as the sum of independent numbers of
 equal means, each from a hash of its own, which is Poisson too. Copies are exploded and dealt
 globally by a hash of seed, id and copy, within whose partitions they are sorted: a shuffle that can
-be repeated exactly.
+be repeated exactly. Where a rate is high, a document's chunks of copies are dealt before they are exploded.
 
 The table of rates has a row for each source; it is broadcast while that is at most
 ``BROADCAST_SOURCES`` rows and joined by shuffle beyond.
@@ -27,8 +27,8 @@ SEED = "mix-1"
 BROADCAST_SOURCES = 20_000
 #: The largest mean drawn at one time: the table of rates stays small and exp() does not underflow.
 PIECE = 64
-#: Where the rest of the distribution is below the resolution of the uniform numbers.
-_TAIL = 2.0**-52
+#: Copies of a document that one task makes at a time.
+CHUNK_COPIES = 1000
 
 
 def uniform(*parts: Column) -> Column:
@@ -49,12 +49,8 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step)["all"]
 
 
-def rates(docs: DataFrame, source_col: str = "source", weights: dict | None = None, whole_copies: bool = False) -> DataFrame:
-    """(src, rate, fixed, pieces, cdf) of each source; without ``weights`` every source gets an equal share.
-
-    With ``whole_copies`` a rate of 64 or more is not Poisson: it is a fixed number of repetitions
-    plus a Poisson number of mean below 64, as the SQL of ``op1_mix`` has it.
-    """
+def rates(docs: DataFrame, source_col: str = "source", weights: dict | None = None) -> DataFrame:
+    """(src, rate, pieces, cdf) of each source; without ``weights`` every source gets an equal share."""
     counts = docs.groupBy(F.col(source_col).alias("src")).agg(F.count("*").alias("n"))
     if weights is None:
         weighted = counts.withColumn("w", F.lit(1.0))
@@ -65,24 +61,29 @@ def rates(docs: DataFrame, source_col: str = "source", weights: dict | None = No
     total = weighted.agg(F.sum("n").alias("total"), F.sum("w").alias("all_w"))
     rated = weighted.crossJoin(F.broadcast(total))  # one row
     rated = rated.filter("w > 0").withColumn("rate", F.col("w") / F.col("all_w") * F.col("total") / F.col("n"))
-    fixed = F.greatest(F.floor("rate") - (PIECE - 1), F.lit(0)) if whole_copies else F.lit(0)
-    pieces = F.lit(1) if whole_copies else F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1))
-    rated = rated.withColumns({"fixed": fixed.cast("int"), "pieces": pieces.cast("int")})
-    return rated.select("src", "rate", "fixed", "pieces", poisson_cdf((F.col("rate") - F.col("fixed")) / F.col("pieces")).alias("cdf"))
+    rated = rated.withColumn("pieces", F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int"))
+    return rated.select("src", "rate", "pieces", poisson_cdf(F.col("rate") / F.col("pieces")).alias("cdf"))
 
 
-def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED, whole_copies: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", seed: str = SEED) -> DataFrame:
     """The rows of ``docs``, each as often as drawn, with copy (from 1) and mix_key, shuffled."""
     space = Workspace(docs.sparkSession, "mix")
-    table = space.save(rates(docs, source_col, weights, whole_copies), "rates")
-    table = F.broadcast(table) if table.count() <= BROADCAST_SOURCES else table
+    table = space.save(rates(docs, source_col, weights), "rates")
+    sources, highest = table.agg(F.count("*"), F.max("rate")).first()
+    table = F.broadcast(table) if sources <= BROADCAST_SOURCES else table
     names = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    rows = docs.select(*names).join(table.select("src", F.struct("fixed", "pieces", "cdf").alias("__rate")), F.col(source_col).eqNullSafe(F.col("src")))
+    rows = docs.select(*names).join(table.select("src", F.struct("pieces", "cdf").alias("__rate")), F.col(source_col).eqNullSafe(F.col("src")))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     parts = F.transform(F.sequence(F.lit(1), F.col("__rate.pieces")), lambda j: uniform(F.lit(seed), F.lit("piece"), ident, j.cast("string")))
     u = F.when(F.col("__rate.pieces") == 1, F.array(uniform(F.lit(seed), ident))).otherwise(parts)
-    count = F.aggregate("__u", F.col("__rate.fixed"), lambda n, x: n + F.size(F.filter("__rate.cdf", lambda c: c <= x)))
-    rows = rows.withColumn("__u", u).withColumn("__n", count).filter("__n > 0")
-    copies = rows.select(*names, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    keyed = copies.withColumn("mix_key", F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), ident, F.col("copy").cast("string"))), 1, 13), 16, 10).cast("long"))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key", id_col, "copy")
+    count = F.aggregate("__u", F.lit(0), lambda n, x: n + F.size(F.filter("__rate.cdf", lambda c: c <= x)))
+    rows = rows.withColumn("__u", u).withColumn("__n", count).filter("__n > 0").select(*names, "__n")
+    place = lambda word, number: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(word), ident, number.cast("string"))), 1, 13), 16, 10).cast("long")
+    first, last = F.lit(1), F.col("__n")
+    if (highest or 0) > CHUNK_COPIES:
+        rows = rows.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {CHUNK_COPIES}").cast("int"))))
+        rows = rows.repartition(place("chunk", F.col("__chunk")))
+        first = F.col("__chunk") * CHUNK_COPIES + 1
+        last = F.least(F.col("__n"), first + (CHUNK_COPIES - 1))
+    copies = rows.select(*names, F.explode(F.sequence(first, last)).alias("copy"))
+    return copies.withColumn("mix_key", place("order", F.col("copy"))).repartition("mix_key").sortWithinPartitions("mix_key", id_col, "copy")

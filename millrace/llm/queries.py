@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -15,8 +15,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _id_text(name: str) -> Column:
+    """An id as text; a null one as the empty text."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_read(spark, sf_dir, "documents"), whole_copies=True)  # as its SQL
+    return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +47,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (_read(spark, sf_dir, t) for t in ("documents", "labels"))
     docs = docs.select("doc_id", "text")
-    held_out = lambda c: F.crc32(F.col(c).cast("string")) % 5 == 0
+    held_out = lambda c: F.crc32(_id_text(c)) % 5 == 0
     model = toxicity.fit(docs, labels, ~held_out("id"))
     out = docs.select("doc_id", held_out("doc_id").alias("held_out"), toxicity.score(docs, model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -69,7 +74,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held_out = F.crc32(_id_text("doc_id")) % 4 == 2
     profiles = langid.fit(docs.filter(~held_out))
     return docs.select("doc_id", held_out.alias("held_out"), langid.predict(docs, profiles).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
@@ -113,15 +118,16 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
 FROM d
 """
 
-#: Every source gets an equal share of the mixture.
+#: Every source gets an equal share of the mixture. A rate above 64 is drawn as a sum of Poisson numbers.
 _OP1_SQL = """
 WITH RECURSIVE n AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM n) * (SELECT sum(n) FROM n) / n AS rate FROM n),
-s AS (SELECT source, rate - greatest(floor(rate) - 63, 0) AS rate, greatest(floor(rate) - 63, 0) AS fixed FROM r),
-c AS (SELECT source, rate, fixed, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM s
-  UNION ALL SELECT source, rate, fixed, k + 1, p * rate / (k + 1)::DOUBLE, c + p * rate / (k + 1)::DOUBLE FROM c WHERE k < ceil(rate + 10 * sqrt(rate) + 20)),
-u AS (SELECT *, ('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-k AS (SELECT u.doc_id, any_value(c.fixed) + count(*) FILTER (c.c <= u.u) AS k FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY u.doc_id),
+s AS (SELECT source, greatest(ceil(rate / 64), 1)::INTEGER AS pieces, rate / greatest(ceil(rate / 64), 1) AS rate FROM r),
+c AS (SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM s
+  UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1)::DOUBLE, c + p * rate / (k + 1)::DOUBLE FROM c WHERE k < ceil(rate + 10 * sqrt(rate) + 20)),
+j AS (SELECT doc_id, d.source, pieces, unnest(generate_series(1, pieces)) AS j FROM documents d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+u AS (SELECT doc_id, source, ('0x' || substr(md5('mix-1:' || CASE WHEN pieces > 1 THEN 'piece:' ELSE '' END || coalesce(doc_id::VARCHAR, '') || CASE WHEN pieces > 1 THEN ':' || j ELSE '' END), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM j),
+k AS (SELECT u.doc_id, count(*) FILTER (c.c <= u.u) AS k FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source GROUP BY u.doc_id),
 x AS (SELECT d.*, unnest(generate_series(1, k.k::BIGINT)) AS i FROM documents d JOIN k USING (doc_id))
 SELECT doc_id, text, lang, source, n_chars, i::INTEGER AS copy, ('0x' || substr(md5('mix-1:order:' || doc_id || ':' || i), 1, 13))::BIGINT AS mix_key FROM x
 """

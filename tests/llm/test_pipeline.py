@@ -49,10 +49,17 @@ def test_run_and_edges(spark, tmp_path):
     copies = text()
     rows = [(i, text(), "en", "a", None, "x") for i in range(20)] + [(30, copies, "en", None, 1, "x"), (31, copies, None, "b", 1, "x"), (31, copies, None, "b", 1, "x")]
     rows += [(40, None, "en", "a", None, "x"), (41, "", "en", "a", 0, "x"), (42, "123", "de", "a", 3, "x"), (None, text(), "en", "a", 5, "x")]
+    long = " ".join(f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(150_000))
+    rows += [(50, long, "de", "a", len(long), "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy string")
     df.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, None), (2, "never there at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r["doc_id"] for r in got} <= {*range(20), 30, None}
+    assert {r["doc_id"] for r in got} <= {*range(20), 30, 50, None}
+    kept = df
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path)).cache()
+        assert kept.filter("doc_id = 50").first()["text"] == long, name  # read whole, left whole
+        assert kept.filter("doc_id = 31").count() == (2 if name == "language" else 0), name
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, df.limit(0), str(tmp_path)).count() == 0, name

@@ -18,7 +18,7 @@ def _work(spark) -> str:
     """A folder in the session's shared checkpoint folder; a temporary one only in local mode without it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="millrace-")
     return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"

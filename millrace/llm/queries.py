@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import ann, chat, decontaminate, html_extract, langid, line_dedup, minhash, mixing, toxicity, warc
+from millrace.llm import ann, chat, decontaminate, html_extract, langid, line_dedup, minhash, mixing, sketches, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", held_out.alias("held_out"), langid.predict(docs, profiles).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = sketches.edited_pairs(_read(spark, sf_dir, "documents"))
+    out = sketches.compare_versions(pairs, "text", {"edited": "near_edited", "next": "near_next"})
+    named = {"id": "doc_id", "fp_text": "fingerprint", "fp_edited": "edited_fingerprint"}
+    shown = out.withColumns({"n_chars": F.length("text").cast("long"), "edited_sha256": F.sha2("edited", 256)}).withColumnsRenamed(named)
+    return shown.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 _OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -156,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
     "op10_langid": op10_langid,
+    "op11_fingerprints": op11_fingerprints,
 }
 SQL = {"op1_mix": _OP1_SQL, "op4_chat": _OP4_SQL, "op5_decontaminate": _OP5_SQL, "op8_warc": _OP8_SQL, "op9_minhash": _OP9_SQL}
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import ann, chat, decontaminate, html_extract, langid, line_dedup, minhash, mixing, sketches, toxicity, warc
+from millrace.llm import ann, chat, decontaminate, html_extract, langid, line_dedup, merkle, minhash, mixing, sketches, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,14 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    other = merkle.leaf_hash(*map(F.col, merkle.FIELDS[:-1]), lower)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, other)
+    return merkle.manifest(docs, tampered).withColumnRenamed("id", "doc_id")
+
+
 _OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -153,6 +161,45 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+#: CRC-32 of the digits of doc_id, bit by bit.
+_CRC_SQL = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
+
+
+def _op12_sql(low: int = 7, high: int = 3) -> str:
+    """For up to 8 ** low leaves of a language and 8 ** high languages."""
+    of = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+    leaf = lambda text: f"sha256({of('doc_id')} || {of('source')} || {of('lang')} || {of('n_chars')} || {of(text)})"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        f"d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {_CRC_SQL} % 3 = 0 THEN {leaf(lower)} ELSE {leaf('text')} END AS other FROM documents)",
+        "a0 AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d)",
+        "n0 AS (SELECT lang, p, leaf AS h FROM a0)",
+    ]
+    for k in range(1, low + high + 1):
+        if k == low + 1:
+            parts.append(f"g AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS q FROM n{low})")
+            parts.append("n_low AS (SELECT 0 AS lang, q AS p, subroot AS h FROM g)")
+        below = "n_low" if k == low + 1 else f"n{k - 1}"
+        parts.append(f"q{k} AS (SELECT lang, p // 8 AS p, string_agg(h, '' ORDER BY p) AS s, p // 8 = 0 AND count(*) = 1 AS lone FROM {below} GROUP BY lang, p // 8)")
+        parts.append(f"n{k} AS (SELECT lang, p, CASE WHEN lone THEN s ELSE sha256(s) END AS h FROM q{k})")
+    cols, joins, at = [], [], "a0.p"
+    for k in range(1, low + high + 1):
+        own = at if k <= low else "g.q"
+        shift = 8 ** ((k - 1) if k <= low else (k - low - 1))
+        key = f"a0.lang IS NOT DISTINCT FROM q{k}.lang" if k <= low else f"q{k}.lang = 0"
+        joins.append(f"JOIN q{k} ON {key} AND {own} // {8 * shift} = q{k}.p")
+        cols.append((f"q{k}", f"(({own} // {shift}) % 8)"))
+    proof = " || ".join(f"CASE WHEN {q}.lone THEN '' ELSE left({q}.s, 64 * {i}) || substr({q}.s, 64 * {i} + 65) END" for q, i in cols)
+    parts.append(f"w AS (SELECT a0.doc_id, leaf, other, subroot, n{low + high}.h AS root, sha256({proof}) AS proof_sha256, " + ", ".join(f"CASE WHEN {q}.lone THEN NULL ELSE left({q}.s, 64 * {i}) END AS x{k}, substr({q}.s, 64 * {i} + 65) AS y{k}" for k, (q, i) in enumerate(cols, 1)) + f", other AS f0 FROM a0 JOIN g ON a0.lang IS NOT DISTINCT FROM g.lang {' '.join(joins)} CROSS JOIN n{low + high})")
+    last = "w"
+    for k in range(1, low + high + 1):
+        parts.append(f"f{k} AS (SELECT *, CASE WHEN x{k} IS NULL THEN f{k - 1} ELSE sha256(x{k} || f{k - 1} || y{k}) END AS f{k} FROM {last})")
+        last = f"f{k}"
+    final = f"f{low + high}"
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, root, proof_sha256, {final} AS folded_root, {final} = root AS verified FROM {final}"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_html": op2_html,
@@ -165,8 +212,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash": op9_minhash,
     "op10_langid": op10_langid,
     "op11_fingerprints": op11_fingerprints,
+    "op12_merkle": op12_merkle,
 }
-SQL = {"op1_mix": _OP1_SQL, "op4_chat": _OP4_SQL, "op5_decontaminate": _OP5_SQL, "op8_warc": _OP8_SQL, "op9_minhash": _OP9_SQL}
+SQL = {"op1_mix": _OP1_SQL, "op4_chat": _OP4_SQL, "op5_decontaminate": _OP5_SQL, "op8_warc": _OP8_SQL, "op9_minhash": _OP9_SQL, "op12_merkle": _op12_sql()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import ann, chat, decontaminate, html_extract, langid, line_dedup, merkle, minhash, mixing, sketches, toxicity, warc
+from millrace.llm import ann, chat, decontaminate, html_extract, langid, lexical, line_dedup, merkle, minhash, mixing, sketches, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, tampered).withColumnRenamed("id", "doc_id")
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 _OP5_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -161,6 +165,19 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_i
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+_OP13_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, row_number() OVER () AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0),
+q AS (SELECT item, t, count(*) AS times FROM (SELECT item, unnest(w) AS t FROM b) GROUP BY ALL),
+p AS (SELECT row, doc_id, t, n, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY t), s),
+x AS (SELECT row, doc_id, t, weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * docs) // terms)))) AS part FROM p JOIN f USING (t), s),
+r AS (SELECT item, doc_id, row, sum(part * times)::BIGINT AS score FROM x JOIN q USING (t) GROUP BY ALL),
+k AS (SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k JOIN b USING (item) WHERE rank <= 10
+"""
+
 #: CRC-32 of the digits of doc_id, bit by bit.
 _CRC_SQL = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
   lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))))"""
@@ -213,8 +230,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
     "op11_fingerprints": op11_fingerprints,
     "op12_merkle": op12_merkle,
+    "op13_lexical": op13_lexical,
 }
-SQL = {"op1_mix": _OP1_SQL, "op4_chat": _OP4_SQL, "op5_decontaminate": _OP5_SQL, "op8_warc": _OP8_SQL, "op9_minhash": _OP9_SQL, "op12_merkle": _op12_sql()}
+SQL = {"op1_mix": _OP1_SQL, "op4_chat": _OP4_SQL, "op5_decontaminate": _OP5_SQL, "op8_warc": _OP8_SQL, "op9_minhash": _OP9_SQL, "op12_merkle": _op12_sql(), "op13_lexical": _OP13_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

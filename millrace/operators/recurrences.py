@@ -1,8 +1,7 @@
-"""Rules whose next step depends on the outcome of the last: one sorted pass for each key.
+"""Rules whose next step depends on the outcome of the last: one sorted pass over narrow columns.
 
-These run as grouped maps over narrow columns. Keys are visitors, signatures, sessions or decks, whose
-rows are bounded by what one of them does; rows of one key are one group because the rule is
-sequential, which no partitioning can change.
+Keys are visitors, signatures, sessions or decks; ``segments`` streams each task's keys past one state, so
+neither a key nor a task is held as a whole.
 """
 
 from __future__ import annotations
@@ -10,61 +9,60 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from millrace.operators.segments import emitted, segmented
 
-def capped_counter(df: DataFrame, key: list[str], order: list[str], amount: str, cap: float) -> DataFrame:
-    """Adds allowed and count: an increment that would pass the cap is refused and uses nothing up."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        total, allowed, counts = 0.0, [], []
-        for a in pdf[amount]:
-            ok = total + a <= cap
-            total += a if ok else 0
-            allowed.append(ok)
-            counts.append(total)
-        return pdf.assign(allowed=allowed, count=counts)
+def capped_counter(df: DataFrame, key: list[str], order: list[str], amount: str, cap: float, seconds: str | None = None, ttl: float | None = None) -> DataFrame:
+    """Adds allowed and count: an increment that would pass the cap is refused and uses nothing up, and so is
+    a null amount. With ``ttl`` a counter lives that long from its first increment on, by ``seconds``,
+    and then begins again at 0; a row without a time is refused."""
 
-    return df.groupBy(*key).applyInPandas(run, _plus(df, "allowed boolean, count double"))
+    def start() -> list:
+        return [0.0, None]
 
+    def step(state: list, a: float | None, t: float | None = None) -> tuple:
+        if ttl is not None and t is not None and (state[1] is None or t >= state[1]):
+            state[0], state[1] = 0.0, t + ttl
+        ok = a is not None and (ttl is None or t is not None) and state[0] + a <= cap
+        state[0] += a if ok else 0.0
+        return ok, state[0]
 
-def _plus(df: DataFrame, more: str) -> str:
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
+    return segmented(df, key, order, [amount] if ttl is None else [amount, seconds], start, step, "allowed boolean, count double")
 
 
 def dedupe_alerts(df: DataFrame, key: list[str], order: list[str], seconds: str, within: float) -> DataFrame:
-    """Adds repeat: whether a row falls within ``within`` seconds of the last row that did not."""
+    """Adds repeat: whether a row falls within ``within`` seconds of the last row that did not. A row
+    without a time is an alert of its own and no anchor."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        anchor, out = None, []
-        for t in pdf[seconds]:
-            again = anchor is not None and t - anchor <= within
-            anchor = anchor if again else t
-            out.append(again)
-        return pdf.assign(repeat=out)
+    def step(state: list, t: float | None) -> tuple:
+        if t is None:
+            return (False,)
+        again = state[0] is not None and t - state[0] <= within
+        state[0] = state[0] if again else t
+        return (again,)
 
-    return df.groupBy(*key).applyInPandas(run, _plus(df, "repeat boolean"))
+    return segmented(df, key, order, [seconds], lambda: [None], step, "repeat boolean")
 
 
 def multi_window_admission(df: DataFrame, visitor: str, order: list[str], seconds: str, caps: dict[float, int]) -> DataFrame:
     """Adds allowed: within the caps of all windows (seconds of a window -> cap) at once; a refused
-    request gives back what it took."""
+    request gives back what it took. A request without a time is refused. ``admission.admit`` has more keys."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        used: dict[tuple[float, int], int] = {}
-        out = []
-        for t in pdf[seconds]:
-            slots = [(w, int(t // w)) for w in caps]
-            ok = all(used.get(s, 0) < caps[s[0]] for s in slots)
-            if ok:
-                for s in slots:
-                    used[s] = used.get(s, 0) + 1
-            out.append(ok)
-        return pdf.assign(allowed=out)
+    def step(used: dict, t: float | None) -> tuple:
+        if t is None or t != t:
+            return (False,)
+        slots = [(w, t // w) for w in caps]
+        for w, s in slots:
+            if used.get(w, (None, 0))[0] != s:
+                used[w] = (s, 0)
+        ok = all(used[w][1] < caps[w] for w, _ in slots)
+        for w, s in slots if ok else ():
+            used[w] = (s, used[w][1] + 1)
+        return (ok,)
 
-    return df.groupBy(visitor).applyInPandas(run, _plus(df, "allowed boolean"))
+    return segmented(df, [visitor], order, [seconds], dict, step, "allowed boolean")
 
 
 def resolve_duplicates(labels: np.ndarray, scores: np.ndarray, groups: np.ndarray) -> np.ndarray:
@@ -113,20 +111,19 @@ def align_monotone(scores: DataFrame, session: str, chunk: str, page: str, score
 
 
 def merge_cues(df: DataFrame, key: list[str], start: str, end: str, text: str, gap: float = 1.5, most: int = 200) -> DataFrame:
-    """Neighbouring cues joined while the pause is short and the text has room."""
-
-    def run(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows: list[list] = []
-        for s, e, t in pdf.sort_values([start, end], kind="stable")[[start, end, text]].itertuples(index=False):
-            t = t or ""
-            if rows and s - rows[-1][1] <= gap and len(rows[-1][2]) + 1 + len(t) <= most:
-                rows[-1][1], rows[-1][2] = max(rows[-1][1], e), f"{rows[-1][2]} {t}"
-            else:
-                rows.append([s, e, t])
-        return pd.DataFrame([[*keys, *r] for r in rows], columns=[*key, start, end, text])
+    """Neighbouring cues joined while the pause is short and the text has room; a null text is an empty one."""
 
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key)
-    return df.groupBy(*key).applyInPandas(run, f"{kinds}, `{start}` double, `{end}` double, `{text}` string")
+    def step(state: list, s: float, e: float, t: str | None) -> list[tuple]:
+        t = t or ""
+        if state and s - state[1] <= gap and len(state[2]) + 1 + len(t) <= most:
+            state[1], state[2] = max(state[1], e), f"{state[2]} {t}"
+            return []
+        done = [tuple(state)] if state else []
+        state[:] = [s, e, t]
+        return done
+
+    times = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull())
+    return emitted(times, key, [start, end, text], [start, end, text], list, step, lambda state: [tuple(state)], f"`{start}` double, `{end}` double, `{text}` string")
 
 
 def word_timings(text: str, spoken: list[tuple[float, str]], jump: int = 80) -> list[tuple[float, int]]:
@@ -156,19 +153,16 @@ def word_diff(a: str, b: str) -> list[tuple[str, str]]:
 
 
 def greedy_batches(df: DataFrame, key: list[str], order: list[str], size: str, most: int) -> DataFrame:
-    """Adds batch: rows in order, a new batch where the next row would pass ``most``."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        batch, total, out = 0, 0, []
-        for s in pdf[size]:
-            if total and total + s > most:
-                batch, total = batch + 1, 0
-            total += s
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    return df.groupBy(*key).applyInPandas(run, _plus(df, "batch int"))
+    """Adds batch: rows in order, a new batch where the next row would pass ``most``; a null size is 0."""
+
+    def step(state: list, s: int | None) -> tuple:
+        s = s or 0
+        if state[1] and state[1] + s > most:
+            state[:] = [state[0] + 1, 0]
+        state[1] += s
+        return (state[0],)
+
+    return segmented(df, key, order, [size], lambda: [0, 0], step, "batch int")
 
 
 #: Fixed values of read-along: letters of a word that lights alone, and how often it may stand on the slide.

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from millrace.operators import recurrences
-from millrace.plans.series_queries import _events
+from millrace.operators.admission import Quota, admit
+from millrace.operators.scratch import shared_folder
+from millrace.plans.common import events_log
+from millrace.plans.series_queries import _DAY0, _events
 from millrace.session import table
 from millrace.sources import readers
 from millrace.streaming import jobs
 
 
 def _work(spark) -> str:
-    """A folder in the session's shared checkpoint folder; a temporary one only in local mode without it."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="millrace-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_folder(spark, "stream")
 
 
 def _stream(spark, sf_dir):
@@ -48,6 +42,39 @@ def st02_amount_cap(spark, sf_dir):
     return recurrences.capped_counter(e, ["user_id"], ["t", "event_id"], "value", 300.0).select("event_id", "allowed", F.round("count", 6).alias("count"))
 
 
+def st01_expiring_counter(spark, sf_dir):
+    """A cap of 150 on counters of users that live two days: a stream run to its end."""
+    work = _work(spark)
+    out = jobs.run_to_end(jobs.capped_counter(_stream(spark, sf_dir), "user_id", ["event_id"], "ts", "value", 150.0, 2 * 86400.0), f"{work}/out", f"{work}/cp")
+    return out.select("event_id", "allowed", F.round("count", 6).alias("count"))
+
+
+def st01_expiring_batch(spark, sf_dir):
+    """The same by the batch twin, for each kind of event and three days."""
+    e = _events(spark, sf_dir).select("user_id", "event_type", "event_id", "t", "value")
+    out = recurrences.capped_counter(e, ["user_id", "event_type"], ["t", "event_id"], "value", 100.0, "t", 3 * 86400.0)
+    return out.select("event_id", "allowed", F.round("count", 6).alias("count"))
+
+
+def _requests(spark, sf_dir):
+    """Events as requests: the user is the visitor, the number in props the address."""
+    e = events_log(spark, sf_dir).select("event_id", "user_id", F.col("k").alias("address"), "event_type", "value", "ts")
+    return e.withColumn("t", (F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 - _DAY0).cast("double"))
+
+
+def st03_address_windows(spark, sf_dir):
+    """Visitors and their addresses, an hour and a day each: all four windows or none."""
+    quotas = [Quota(("user_id",), 3600.0, 1), Quota(("user_id",), 86400.0, 2), Quota(("address",), 3600.0, 2), Quota(("address",), 86400.0, 3)]
+    return admit(_requests(spark, sf_dir), "event_id", ["t", "event_id"], "t", quotas).select("event_id", "allowed")
+
+
+def st04_voice_pools(spark, sf_dir):
+    """Characters of two pools a day, of which a visitor and an address may use a quarter each."""
+    r = _requests(spark, sf_dir).withColumns({"pool": F.when(F.col("event_type") == "view", "free").otherwise("voice"), "chars": (1 + F.floor("value")).cast("long")})
+    quotas = [Quota(("pool", "user_id"), 86400.0, 75), Quota(("pool", "address"), 86400.0, 75), Quota(("pool",), 86400.0, 300)]
+    return admit(r, "event_id", ["t", "event_id"], "t", quotas, "chars").select("event_id", "chars", "allowed")
+
+
 def st03_admission(spark, sf_dir):
     """One request an hour and three a day, both or neither."""
     e = _events(spark, sf_dir).select("user_id", "event_id", "t")
@@ -89,7 +116,30 @@ def f28_html_text(spark, sf_dir):
     return p.select("page_id", F.length("t").alias("n"), F.md5("t").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (st08_metering_window, st17_sessions, st02_amount_cap, st03_admission, st06_alert_dedupe, w15_merge_cues, w26_monotone_path, w27_batches, w30_highlights, f28_html_text)}
+QUERIES = {f.__name__: f for f in (st08_metering_window, st17_sessions, st01_expiring_counter, st01_expiring_batch, st02_amount_cap, st03_admission, st03_address_windows, st04_voice_pools, st06_alert_dedupe, w15_merge_cues, w26_monotone_path, w27_batches, w30_highlights, f28_html_text)}
+
+def _expiring_sql(keys: str, cap: int, ttl: int) -> str:
+    """Counters that begin again when they have lived ``ttl`` seconds."""
+    return f"""WITH RECURSIVE {_E}, s AS (SELECT event_id, {keys}, t, value, row_number() OVER (PARTITION BY {keys} ORDER BY t, event_id) AS i FROM e),
+r AS (SELECT event_id, {keys}, i, t + {ttl} AS until, value <= {cap} AS allowed, CASE WHEN value <= {cap} THEN value ELSE 0 END::DOUBLE AS c FROM s WHERE i = 1
+  UNION ALL SELECT event_id, {keys}, i, until, c + value <= {cap}, CASE WHEN c + value <= {cap} THEN c + value ELSE c END FROM (
+    SELECT s.*, CASE WHEN s.t >= r.until THEN s.t + {ttl} ELSE r.until END AS until, CASE WHEN s.t >= r.until THEN 0 ELSE r.c END AS c FROM r JOIN s USING ({keys}) WHERE s.i = r.i + 1))
+SELECT event_id, allowed, round(c, 6) AS count FROM r"""
+
+
+def _admission_sql(rows: str, counters: list[tuple[str, int]], amount: str, shown: str) -> str:
+    """Day by day, since no window is longer: what the day's counters have given out so far is a list."""
+    keys = ", ".join(f"{k} AS k{i}" for i, (k, _) in enumerate(counters))
+    used = lambda i: f"coalesce(list_sum(list_transform(list_filter(held, lambda x: x.k = k{i}), lambda x: x.a)), 0)"
+    ok = " AND ".join(f"(k{i} IS NULL OR {used(i)} + a <= {cap})" for i, (_, cap) in enumerate(counters))
+    taken = ", ".join(f"{{'k': k{i}, 'a': a}}" for i in range(len(counters)))
+    return f"""WITH RECURSIVE e AS (SELECT event_id, user_id, (props::JSON->>'k')::BIGINT AS address, event_type, value, epoch_us(ts) / 1000000.0::DOUBLE - 1704067200 AS t FROM events), q AS ({rows}),
+s AS (SELECT *, {keys}, {amount} AS a, floor(t / 86400) AS d, row_number() OVER (PARTITION BY floor(t / 86400) ORDER BY t, event_id) AS i FROM q),
+z AS (SELECT [{{'k': '', 'a': 0::BIGINT}}] AS held),
+r AS (SELECT d, 0::BIGINT AS i, NULL::BIGINT AS event_id, false AS allowed, held FROM (SELECT DISTINCT d FROM s), z
+  UNION ALL SELECT d, i, event_id, ok, CASE WHEN ok THEN list_concat(held, [{taken}]) ELSE held END FROM (SELECT s.*, r.held, {ok} AS ok FROM r JOIN s ON s.d = r.d AND s.i = r.i + 1))
+SELECT {shown} FROM r JOIN q USING (event_id)"""
+
 
 _E = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) / 1000000.0::DOUBLE - 1704067200 AS t FROM events)"
 SQL = {
@@ -98,6 +148,20 @@ SQL = {
     "st17_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 21600000000 AS far FROM e),
 s AS (SELECT user_id, t, sum(coalesce(far, false)::INT) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id, min(t) AS start, count(*) AS n FROM s GROUP BY user_id, s HAVING max(t) + 21600000000 <= (SELECT max(t) FROM e)""",
+    "st01_expiring_counter": _expiring_sql("user_id", 150, 172800),
+    "st01_expiring_batch": _expiring_sql("user_id, event_type", 100, 259200),
+    "st03_address_windows": _admission_sql(
+        "SELECT * FROM e",
+        [("'v' || user_id || ':' || floor(t / 3600)", 1), ("'v' || user_id", 2), ("'a' || address || ':' || floor(t / 3600)", 2), ("'a' || address", 3)],
+        "1::BIGINT",
+        "event_id, allowed",
+    ),
+    "st04_voice_pools": _admission_sql(
+        "SELECT *, CASE WHEN event_type = 'view' THEN 'free' ELSE 'voice' END AS pool, (1 + floor(value))::BIGINT AS chars FROM e",
+        [("pool || 'v' || user_id", 75), ("pool || 'a' || address", 75), ("pool", 300)],
+        "chars",
+        "event_id, chars, allowed",
+    ),
     "st03_admission": f"""WITH RECURSIVE {_E}, s AS (SELECT event_id, user_id, floor(t / 3600) AS h, floor(t / 86400) AS d, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e),
 r AS (SELECT event_id, user_id, i, h, d, 1 AS in_h, 1 AS in_d, true AS allowed FROM s WHERE i = 1
   UNION ALL SELECT event_id, user_id, i, h, d, nh + ok::INT, nd + ok::INT, ok FROM (SELECT *, nh < 1 AND nd < 3 AS ok FROM (

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -31,24 +32,63 @@ def sessions(stream: DataFrame, ts: str, key: str, gap: str = "30 minutes", late
     return stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), key).agg(F.count("*").alias("n"))
 
 
-def capped_counter(stream: DataFrame, key: str, order: str, amount: str, cap: float) -> DataFrame:
-    """(key, order, amount, allowed, count): increments with a cap, one state row for each key; rows
-    of one micro-batch are taken in ``order``."""
+#: State that grows with the number of keys lives on disk, and is saved as what has changed.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def step(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total = state.get[0] if state.exists else 0.0
-        pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
-        rows = []
-        for o, a in zip(pdf[order], pdf[amount], strict=True):
-            ok = total + a <= cap
-            total += a if ok else 0.0
-            rows.append((keys[0], o, float(a), ok, total))
-        state.update((total,))
-        yield pd.DataFrame(rows, columns=[key, order, amount, "allowed", "count"])
 
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    schema = f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, `{amount}` double, allowed boolean, count double"
-    return stream.select(key, order, amount).groupBy(key).applyInPandasWithState(step, schema, "total double", "append", GroupStateTimeout.NoTimeout)
+class _Counter(StatefulProcessor):
+    """A counter with a cap: its total and the time when it ends, in seconds of the event's clock."""
+
+    def __init__(self, order: list[str], seconds: str, amount: str, cap: float, ttl: float, columns: list[str]):
+        self.order, self.seconds, self.amount, self.cap, self.ttl, self.columns = order, seconds, amount, cap, ttl, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counter = handle.getValueState("counter", "total double, until double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        total, until = self.counter.get() if self.counter.exists() else (0.0, None)
+        pdf = pd.concat(list(rows)).sort_values([self.seconds, *self.order], kind="stable", na_position="first")
+        had, allowed, counts = until, [], []
+        for t, a in zip(pdf[self.seconds], pdf[self.amount], strict=True):
+            if t == t and (until is None or t >= until):
+                total, until = 0.0, t + self.ttl
+            ok = t == t and a == a and total + a <= self.cap
+            total += a if ok else 0.0
+            allowed.append(ok)
+            counts.append(total)
+        if until is not None:
+            self.counter.update((total, until))
+            if until != had:
+                for timer in ([] if had is None else [int(had * 1000)]):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(int(until * 1000))
+        yield pdf.assign(allowed=allowed, count=counts)[self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.counter.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def capped_counter(stream: DataFrame, key: str, order: list[str], time: str, amount: str, cap: float, ttl: float, late: str = "0 seconds") -> DataFrame:
+    """(key, order, seconds, amount, allowed, count): increments with a cap on counters that live ``ttl``
+    seconds from their first one on, by the timestamp column ``time``.
+
+    A counter is one row of state, kept in RocksDB and removed by a timer once the watermark (``late``
+    behind the newest time) has passed its end, so the state holds the counters that are alive and no more.
+    Rows of one micro-batch are taken in order of time, then ``order``; rows behind the watermark
+    are dropped, and a null time or amount is refused. ``recurrences.capped_counter`` is the batch twin.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    at = F.unix_micros(time) / 1e6
+    rows = stream.withWatermark(time, late).select(key, *order, time, at.alias("seconds"), F.col(amount).cast("double").alias(amount))
+    columns = [key, *order, "seconds", amount, "allowed", "count"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"allowed": "boolean", "count": "double"}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
+    return rows.groupBy(key).transformWithStateInPandas(_Counter(order, "seconds", amount, cap, ttl, columns), schema, "append", "eventTime")
 
 
 def dedupe_alerts(stream: DataFrame, key: str, order: str, seconds: str, within: float) -> DataFrame:

@@ -77,13 +77,30 @@ def event_files(spark, tmp_path):
     return df, stream, tmp_path
 
 
-def test_stream_cap_equals_batch(spark, event_files):
-    df, stream, work = event_files
-    out = jobs.run_to_end(jobs.capped_counter(stream, "k", "i", "a", 40.0), str(work / "o"), str(work / "c"))
-    want = recurrences.capped_counter(df, ["k"], ["i"], "a", 40.0)
-    # Files arrive in any order, so totals agree though which increments were refused may not.
-    assert out.count() == 60 and out.groupBy("k").agg(F.max("count").alias("m")).filter("m > 40").count() == 0
-    assert want.filter("allowed").count() > 0
+def counted(spark, work, files, late="0 seconds"):
+    """The stream over what is in ``files``, from its checkpoint on."""
+    schema = "i long, k long, ts timestamp, a double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(files)
+    return jobs.run_to_end(jobs.capped_counter(stream, "k", ["i"], "ts", "a", 8.0, 3600.0, late), str(work / "o"), str(work / "c"))
+
+
+def test_counters_expire_and_go_on_from_a_checkpoint(spark, tmp_path):
+    files = str(tmp_path / "in")
+    at = lambda minutes: F.timestamp_seconds(F.lit(10**9) + minutes * 60)
+    rows = [[(1, 1, 0, 5.0), (2, 1, 10, 4.0), (3, 1, 20, 3.0), (4, 2, 30, 8.0), (5, 2, 31, None)], [(6, 1, 59, 1.0), (7, 1, 60, 8.0), (8, 2, 89, 1.0), (9, 2, 90, 1.0)], [(10, 3, 400, 1.0), (11, 1, 401, 8.5)]]
+    out = None
+    for n, part in enumerate(rows):
+        df = spark.createDataFrame(part, "i long, k long, m long, a double").select("i", "k", at(F.col("m")).alias("ts"), "a")
+        df.coalesce(1).write.parquet(f"{files}/{n}")
+        out = counted(spark, tmp_path, files)  # each run starts from the checkpoint of the last one
+    got = {r["i"]: (r["allowed"], r["count"]) for r in out.collect()}
+    want = {1: (True, 5.0), 2: (False, 5.0), 3: (True, 8.0), 4: (True, 8.0), 5: (False, 8.0), 6: (False, 8.0), 7: (True, 8.0), 8: (False, 8.0), 9: (True, 1.0), 10: (True, 1.0), 11: (False, 0.0)}
+    assert got == want
+    batch = spark.createDataFrame([r for part in rows for r in part], "i long, k long, m double, a double").withColumn("s", F.col("m") * 60)
+    twin = recurrences.capped_counter(batch, ["k"], ["s", "i"], "a", 8.0, "s", 3600.0)
+    assert {r["i"]: (r["allowed"], r["count"]) for r in twin.collect()} == want
+    state = spark.read.format("statestore").option("stateVarName", "counter").load(str(tmp_path / "c"))
+    assert {r["key"]["k"] for r in state.collect()} <= {1, 3}  # the counters of key 2 have ended and are gone
 
 
 def test_stream_dedupe_and_queue(spark, event_files):

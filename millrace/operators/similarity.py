@@ -1,10 +1,30 @@
-"""Sparse text similarity by an inverted index: an equi-join on terms, never all pairs of texts."""
+"""Sparse text similarity joins that never join texts on their common words.
+
+``jaccard_at_least`` orders each word set from its rarest word on. Two sets as similar as asked for must share a
+word among the first few of both (a prefix, whose length follows from the size and the floor), so only these
+are joined; sizes and the places of the shared word bound the overlap before any pair is verified on whole sets.
+
+``best_by_tfidf`` finds each item's best document. One document that holds the item's rarest words gives a
+score to beat. An item's commonest words, as long as all they could add stays below that score, need no
+join: a better document holds one of the others. Documents that do, and whose bound reaches the score, are
+completed with the common words.
+
+Both read and tokenise each table once. A null text has no words; texts without words pair with nothing. Ids are
+unique in each table.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.scratch import Scratch
+
+#: Rarest words of an item that look for its first score.
+SEEDS = 3
+#: Scores are compared at six digits, so bounds give way by this much.
+SLACK = 2e-6
+
 
 def terms(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """(id, w, tf) of the lower-case ASCII words."""
@@ -12,35 +32,74 @@ def terms(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.explode(words).alias("w")).groupBy("id", "w").agg(F.count("*").alias("tf"))
 
 
-def best_by_tfidf(items: DataFrame, docs: DataFrame, item_id: str, doc_id: str) -> DataFrame:
-    """For each item the document with the highest TF-IDF cosine (sublinear tf, smoothed idf over
-    documents, unit length), ties to the smaller document id.
+def _least_overlap(na: Column, nb: Column, floor: float) -> Column:
+    """How many words two sets of these sizes share at least, if they reach ``floor``."""
+    return F.ceil((na + nb) * (floor / (1 + floor)) - 1e-9)
+
+
+def _sets(words: DataFrame, counts: DataFrame) -> DataFrame:
+    """(id, n, words): each set from its rarest word on."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w")))
+    sets = words.join(counts, "w", "left").groupBy("id").agg(ordered.alias("s"))
+    return sets.select("id", F.size("s").alias("n"), F.transform("s", lambda x: x["w"]).alias("words"))
 
-    Only terms that items use are joined, so documents' common words cost nothing unless an item
-    has them; sums are partial before they are dealt.
-    """
-    a, b = terms(items, item_id), terms(docs, doc_id)
-    n = docs.agg(F.count("*").alias("n"))
-    df = b.groupBy("w").agg(F.count("*").alias("df"))
-    weight = (1 + F.log("tf")) * (F.log((1 + F.col("n")).cast("double") / (1 + F.coalesce("df", F.lit(0)))) + 1)
-    wa, wb = (t.join(df, "w", "left").crossJoin(F.broadcast(n)).select("id", "w", weight.alias("x")) for t in (a, b))  # n is one row
-    na = wa.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("na"))
-    nb = wb.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("nb"))
-    dots = wa.select(F.col("id").alias("i"), "w", F.col("x").alias("xa")).join(wb.select(F.col("id").alias("d"), "w", F.col("x").alias("xb")), "w")
-    dots = dots.groupBy("i", "d").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"))
-    scored = dots.join(na.withColumnRenamed("id", "i"), "i").join(nb.withColumnRenamed("id", "d"), "d")
-    scored = scored.select("i", "d", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 6).alias("score"))
-    best = Window.partitionBy("i").orderBy(F.desc("score"), "d")
-    return scored.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select(F.col("i").alias(item_id), F.col("d").alias(doc_id), "score")
+
+def prefix_matches(left: DataFrame, right: DataFrame, floor: float) -> DataFrame:
+    """(i, d): candidate pairs of two tables of ordered sets, each perhaps more than once."""
+
+    def prefix(sets: DataFrame, ident: str, n: str, at: str) -> DataFrame:
+        length = F.col("n") - F.ceil(F.col("n") * floor - 1e-9) + 1
+        return sets.select(F.col("id").alias(ident), F.col("n").alias(n), F.posexplode(F.slice("words", F.lit(1), length.cast("int"))).alias(at, "w"))
+
+    pairs = prefix(left, "i", "na", "pa").join(prefix(right, "d", "nb", "pb"), "w")
+    na, nb, pa, pb = (F.col(c) for c in ("na", "nb", "pa", "pb"))
+    reach = F.least(na - pa, nb - pb)  # this word and all behind it
+    return pairs.filter((F.least(na, nb) >= F.greatest(na, nb) * floor - 1e-9) & (reach >= _least_overlap(na, nb, floor))).select("i", "d")
 
 
 def jaccard_at_least(left: DataFrame, right: DataFrame, floor: float, left_id: str, right_id: str) -> DataFrame:
     """Pairs whose word sets have a Jaccard similarity of ``floor`` (above 0) or more."""
-    a, b = (terms(df, c).select("id", "w") for df, c in ((left, left_id), (right, right_id)))
-    na, nb = a.groupBy("id").agg(F.count("*").alias("na")), b.groupBy("id").agg(F.count("*").alias("nb"))
-    # Sizes travel with the terms, so pairs that cannot reach the floor are dropped before counting.
-    ta = a.join(na, "id").select(F.col("id").alias("i"), "w", "na")
-    tb = b.join(nb, "id").select(F.col("id").alias("d"), "w", "nb")
-    pairs = ta.join(tb, "w").filter((F.least("na", "nb") >= floor * F.greatest("na", "nb"))).groupBy("i", "d", "na", "nb").agg(F.count("*").alias("c"))
+    scratch = Scratch(left.sparkSession, "jaccard")
+    a, b = (scratch.save(terms(df, c).select("id", "w")) for df, c in ((left, left_id), (right, right_id)))
+    counts = a.union(b).groupBy("w").agg(F.count("*").alias("df"))
+    sa, sb = scratch.save(_sets(a, counts)), scratch.save(_sets(b, counts))
+    pairs = prefix_matches(sa, sb, floor).distinct()
+    held = pairs.join(sa.select(F.col("id").alias("i"), F.col("n").alias("na"), F.col("words").alias("wa")), "i")
+    held = held.join(sb.select(F.col("id").alias("d"), F.col("n").alias("nb"), F.col("words").alias("wb")), "d")
+    held = held.withColumn("c", F.size(F.array_intersect("wa", "wb")))
     union = F.col("na") + F.col("nb") - F.col("c")
-    return pairs.filter(F.col("c") >= floor * union).select(F.col("i").alias(left_id), F.col("d").alias(right_id), (F.col("c") / union).alias("jaccard"))
+    return held.filter(F.col("c") >= floor * union).select(F.col("i").alias(left_id), F.col("d").alias(right_id), (F.col("c") / union).alias("jaccard"))
+
+
+def _unit(words: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """(id, w, df, x): TF-IDF weights of unit length (sublinear tf, smoothed idf)."""
+    weight = (1 + F.log("tf")) * (F.log(F.lit(float(1 + n)) / (1 + F.coalesce("df", F.lit(0)))) + 1)
+    weighted = words.join(df, "w", "left").select("id", "w", F.coalesce("df", F.lit(0)).alias("df"), weight.alias("x"))
+    norm = weighted.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return weighted.join(norm, "id").select("id", "w", "df", (F.col("x") / F.col("norm")).alias("x"))
+
+
+def best_by_tfidf(items: DataFrame, docs: DataFrame, item_id: str, doc_id: str) -> DataFrame:
+    """For each item the document with the highest TF-IDF cosine (sublinear tf, smoothed idf over
+    documents, unit length), ties to the smaller document id; items that share no word with any have no row."""
+    scratch = Scratch(docs.sparkSession, "tfidf")
+    a, b = scratch.save(terms(items, item_id)), scratch.save(terms(docs, doc_id))
+    n = docs.count()
+    df = b.groupBy("w").agg(F.count("*").alias("df"))
+    ours = a.select("w").distinct()  # documents' words that no item has take part in their lengths alone
+    vb = scratch.save(_unit(b, df, n).join(ours, "w", "left_semi").select(F.col("id").alias("d"), "w", F.col("x").alias("xb")))
+    tops = vb.groupBy("w").agg(F.max("xb").alias("top"))
+    va = scratch.save(_unit(a, df, n).join(tops, "w").select(F.col("id").alias("i"), "w", "df", F.col("x").alias("xa"), (F.col("x") * F.col("top")).alias("most")))
+    rare = Window.partitionBy("i").orderBy("df", "w")  # the words of one item
+    seeds = va.withColumn("rn", F.row_number().over(rare)).filter(F.col("rn") <= SEEDS)
+    first = seeds.join(vb, "w").groupBy("i", "d").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot")).groupBy("i").agg(F.max(F.struct("dot", "d"))["d"].alias("d"))
+    beat = first.join(va, "i").join(vb, ["d", "w"]).groupBy("i").agg(F.sum(F.col("xa") * F.col("xb")).alias("beat"))
+    common = Window.partitionBy("i").orderBy(F.desc("df"), "w").rowsBetween(Window.unboundedPreceding, 0)
+    split = scratch.save(va.join(beat, "i").withColumn("upto", F.sum("most").over(common)).withColumn("late", F.col("upto") < F.col("beat") - SLACK))
+    rest = split.groupBy("i").agg(F.first("beat").alias("beat"), F.coalesce(F.sum(F.when(F.col("late"), F.col("most"))), F.lit(0.0)).alias("rest"))
+    found = split.filter("NOT late").select("i", "w", "xa").join(vb, "w").groupBy("i", "d").agg(F.sum(F.col("xa") * F.col("xb")).alias("dot"))
+    found = scratch.save(found.join(rest, "i").filter(F.col("dot") + F.col("rest") >= F.col("beat") - SLACK).select("i", "d", "dot"))
+    more = found.select("i", "d").join(split.filter("late").select("i", "w", "xa"), "i").join(vb, ["d", "w"]).select("i", "d", (F.col("xa") * F.col("xb")).alias("dot"))
+    scored = found.union(more).groupBy("i", "d").agg(F.round(F.sum("dot"), 6).alias("score"))
+    best = scored.groupBy("i").agg(F.max(F.struct("score", (-F.col("d")).alias("d"))).alias("m"))
+    return best.select(F.col("i").alias(item_id), (-F.col("m.d")).alias(doc_id), F.col("m.score").alias("score"))

@@ -87,10 +87,10 @@ def counted(spark, work, files, late="0 seconds"):
 def test_counters_expire_and_go_on_from_a_checkpoint(spark, tmp_path):
     files = str(tmp_path / "in")
     at = lambda minutes: F.timestamp_seconds(F.lit(10**9) + minutes * 60)
-    rows = [[(1, 1, 0, 5.0), (2, 1, 10, 4.0), (3, 1, 20, 3.0), (4, 2, 30, 8.0), (5, 2, 31, None)], [(6, 1, 59, 1.0), (7, 1, 60, 8.0), (8, 2, 89, 1.0), (9, 2, 90, 1.0)], [(10, 3, 400, 1.0), (11, 1, 401, 8.5)]]
+    rows = [[(1, 1, 0.0, 5.0), (2, 1, 10.0, 4.0), (3, 1, 20.0, 3.0), (4, 2, 30.0, 8.0), (5, 2, 31.0, None)], [(6, 1, 59.0, 1.0), (7, 1, 60.0, 8.0), (8, 2, 89.0, 1.0), (9, 2, 90.0, 1.0)], [(10, 3, 400.0, 1.0), (11, 1, 401.0, 8.5)]]
     out = None
     for n, part in enumerate(rows):
-        df = spark.createDataFrame(part, "i long, k long, m long, a double").select("i", "k", at(F.col("m")).alias("ts"), "a")
+        df = spark.createDataFrame(part, "i long, k long, m double, a double").select("i", "k", at(F.col("m")).alias("ts"), "a")
         df.coalesce(1).write.parquet(f"{files}/{n}")
         out = counted(spark, tmp_path, files)  # each run starts from the checkpoint of the last one
     got = {r["i"]: (r["allowed"], r["count"]) for r in out.collect()}

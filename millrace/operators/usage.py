@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.quantiles import at_places
+
 LOCAL_ZONE, MAX_SERIES, TOP_N = "America/New_York", 7, 20
 
 
@@ -84,9 +86,6 @@ def upper_median(values: Column) -> Column:
 
 
 def index_rank(df: DataFrame, part: list[str], value: str, at: Column) -> DataFrame:
-    """The value at a 0-based place of each group's sorted values, by ranks rather than an array of
-    the group: ``at`` is an expression over ``n``, the group's size. Adds ``picked``."""
-    w = Window.partitionBy(*part)
-    rows = df.filter(F.col(value).isNotNull()).select(*part, value)
-    rows = rows.withColumns({"n": F.count("*").over(w), "i": F.row_number().over(w.orderBy(value)) - 1})
-    return rows.filter(F.col("i") == at).select(*part, F.col(value).alias("picked"), "n")
+    """The value at a 0-based place of each group's sorted values, by selection: ``at`` is an expression
+    over ``n``, the group's size. Adds ``picked``."""
+    return at_places(df, part, value, {"picked": at}).select(*part, "picked", "n").filter("picked IS NOT NULL")

@@ -185,6 +185,16 @@ def release() -> None:
         _trim(0)
 
 
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """``names``, each with underscores before it until no column of ``df`` bears it in any case."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
 def row_key(*cols: str) -> Column:
     """A hash that tells apart rows which share an id but not their content; never null."""
     return F.xxhash64(*cols)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import PLAIN_WORD, Words, bound_batches, byte_table, lower_ascii, mix64, release, row_key, run_hashes, text_blocks
+from millrace.llm.common import PLAIN_WORD, Words, bound_batches, byte_table, lower_ascii, mix64, release, row_key, run_hashes, text_blocks, unused
 
 WINDOW = 10
 MAX_WINDOWS = 200_000
@@ -179,7 +179,7 @@ def scan(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, drop_share: float = 0.5, **options) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut, and a document goes where at least
     ``drop_share`` of its words are hit. Clean rows are untouched. ``n_chars`` follows the text."""
-    text_col, held = options.get("text_col", "text"), "__report"
+    text_col, (held,) = options.get("text_col", "text"), unused(docs, "__report")
     out = scan(docs, benchmark, with_text=True, into=held, **options)
     out = out.filter(~(F.col(f"{held}.contaminated") & (F.col(f"{held}.n_hit") >= drop_share * F.col(f"{held}.n_words"))))
     hit = F.col(f"{held}.contaminated")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import bound_batches, first_by_hash, release
+from millrace.llm.common import bound_batches, first_by_hash, release, unused
 
 UNDECIDED = "und"
 DIM = 512
@@ -185,5 +185,6 @@ def _bundler(profiles: Profiles) -> Bundler:
 
 def keep_identified(docs: DataFrame, profiles: Profiles, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
     """The rows whose language could be told (with a cosine of ``min_score`` or more), unchanged."""
-    held = docs.withColumn("__lang", predict(docs, profiles, text_col))
-    return held.filter((F.col("__lang.lang_pred") != UNDECIDED) & (F.col("__lang.score") >= min_score)).select(*docs.columns)
+    (told,) = unused(docs, "__lang")
+    held = docs.withColumn(told, predict(docs, profiles, text_col))
+    return held.filter((F.col(told)["lang_pred"] != UNDECIDED) & (F.col(told)["score"] >= min_score)).select(*docs.columns)

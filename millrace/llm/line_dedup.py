@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Workspace, release, row_key
+from millrace.llm.common import Workspace, release, row_key, unused
 from millrace.llm.linking import EMPTY, band_keys, bins_of, densify, join_ids, link, local_stars
 
 SHINGLE_CHARS, PERCENT = 8, 80
@@ -218,17 +218,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     have none left.
     """
     gone = duplicate_lines(docs, id_col, text_col)
-    by_row = gone.groupBy(F.col("doc").alias("__doc"), F.col("rk").alias("__rk")).agg(F.collect_set("no").alias("__gone"))  # of one text each
+    doc, key, out, new = unused(docs, "__doc", "__rk", "__gone", "__new")
+    by_row = gone.groupBy(F.col("doc").alias(doc), F.col("rk").alias(key)).agg(F.collect_set("no").alias(out))  # of one text each
     by_row = F.broadcast(by_row) if gone.count() <= BROADCAST_LINES else by_row
-    held = docs.withColumns({"__doc": _doc(id_col), "__rk": row_key(id_col, text_col)}).join(by_row, ["__doc", "__rk"], "left")
+    held = docs.withColumns({doc: _doc(id_col), key: row_key(id_col, text_col)}).join(by_row, [doc, key], "left")
     # One Python column, computed once: as an expression it would be copied into all that reads it.
-    held = held.withColumn("__new", _rebuild(F.col(text_col), F.col("__gone"), counts))
-    changed = F.col("__gone").isNotNull()
+    held = held.withColumn(new, _rebuild(F.col(text_col), F.col(out), counts))
+    changed = F.col(out).isNotNull()
     if drop_emptied:
-        held = held.filter(~changed | F.col("__new.has_lines"))
-    new = {text_col: F.when(changed, F.col("__new.text")).otherwise(F.col(text_col))}
+        held = held.filter(~changed | F.col(new)["has_lines"])
+    values = {text_col: F.when(changed, F.col(new)["text"]).otherwise(F.col(text_col))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length("__new.text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        values["n_chars"] = F.when(changed, F.length(F.col(new)["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     if counts:
-        held = held.withColumns({"__n_lines": F.col("__new.n_lines"), "__n_removed": F.coalesce(F.size("__gone"), F.lit(0)).cast("long")})
-    return held.withColumns(new).select(*docs.columns, *(["__n_lines", "__n_removed"] if counts else []))
+        values |= {"__n_lines": F.col(new)["n_lines"], "__n_removed": F.coalesce(F.size(out), F.lit(0)).cast("long")}
+    return held.withColumns(values).select(*docs.columns, *([c for c in ("__n_lines", "__n_removed") if c not in docs.columns] if counts else []))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BLANK_WORD, Words, Workspace, byte_table, mix64, release, text_blocks
+from millrace.llm.common import BLANK_WORD, Words, Workspace, byte_table, mix64, release, row_key, text_blocks, unused
 from millrace.llm.linking import band_keys, densify, join_ids, link, local_stars, signatures
 
 BANDS, ROWS = 32, 4
@@ -113,13 +113,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("id") == F.col("c"), F.lit(True)).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+#: Ids whose rows differ in text, up to which these are broadcast.
+BROADCAST_IDS = 100_000
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group; its columns, other rows and texts are unchanged.
 
-    Rows that share an id are one document, of which one row stays; rows with a null id all stay.
+    Rows equal in id and text are one document, of which one row stays. Rows that share an id but not
+    their text are documents of their own, behind all others in the order of ids, and among themselves in that
+    of a hash of id and text. Rows with a null id all stay.
     """
-    marks = near_duplicates(docs, id_col, **options)
-    kept = marks.filter("kept").filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"))
-    named = docs.filter(F.col(id_col).isNotNull()).withColumn("__id", F.col(id_col).cast("long"))
-    stay = named.join(kept, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    ident, key, clash = unused(docs, "__id", "__h", "__clash")
+    named = docs.filter(F.col(id_col).isNotNull()).withColumns({ident: F.col(id_col).cast("long"), key: row_key(id_col, text_col)})
+    several = named.groupBy(ident).agg(F.min(key).alias("a"), F.max(key).alias("b")).filter("a <> b").select(ident)
+    several = Workspace(docs.sparkSession, "clashes").save(several, "ids")
+    count = several.count()
+    if count:
+        several = several.withColumn(clash, F.lit(True))
+        named = named.join(F.broadcast(several) if count <= BROADCAST_IDS else several, ident, "left")
+        own = F.shiftrightunsigned(key, 2).bitwiseOR(F.lit(1 << 62))  # beyond any usual id
+        named = named.withColumn(ident, F.when(F.col(clash), own).otherwise(F.col(ident)))
+    marks = near_duplicates(named.select(F.col(ident).alias("id"), F.col(text_col).alias("text")), "id", **options)
+    kept = marks.filter("kept AND id IS NOT NULL").select(F.col("id").alias(ident))
+    stay = named.join(kept, ident, "left_semi").dropDuplicates([ident]).select(*docs.columns)
     return stay.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Workspace
+from millrace.llm.common import Workspace, unused
 
 SEED = "mix-1"
 BROADCAST_SOURCES = 20_000
@@ -71,19 +71,21 @@ def mix(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", so
     table = space.save(rates(docs, source_col, weights), "rates")
     sources, highest = table.agg(F.count("*"), F.max("rate")).first()
     table = F.broadcast(table) if sources <= BROADCAST_SOURCES else table
-    names = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    rows = docs.select(*names).join(table.select("src", F.struct("pieces", "cdf").alias("__rate")), F.col(source_col).eqNullSafe(F.col("src")))
+    names = [c for c in docs.columns if c.lower() not in ("copy", "mix_key")]
+    src, rate, draws, times, chunk = unused(docs, "src", "rate", "draws", "times", "chunk")
+    table = table.select(F.col("src").alias(src), F.struct("pieces", "cdf").alias(rate))
+    rows = docs.select(*names).join(table, F.col(source_col).eqNullSafe(F.col(src)))
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    parts = F.transform(F.sequence(F.lit(1), F.col("__rate.pieces")), lambda j: uniform(F.lit(seed), F.lit("piece"), ident, j.cast("string")))
-    u = F.when(F.col("__rate.pieces") == 1, F.array(uniform(F.lit(seed), ident))).otherwise(parts)
-    count = F.aggregate("__u", F.lit(0), lambda n, x: n + F.size(F.filter("__rate.cdf", lambda c: c <= x)))
-    rows = rows.withColumn("__u", u).withColumn("__n", count).filter("__n > 0").select(*names, "__n")
+    parts = F.transform(F.sequence(F.lit(1), F.col(rate)["pieces"]), lambda j: uniform(F.lit(seed), F.lit("piece"), ident, j.cast("string")))
+    u = F.when(F.col(rate)["pieces"] == 1, F.array(uniform(F.lit(seed), ident))).otherwise(parts)
+    count = F.aggregate(draws, F.lit(0), lambda n, x: n + F.size(F.filter(F.col(rate)["cdf"], lambda c: c <= x)))
+    rows = rows.withColumn(draws, u).withColumn(times, count).filter(F.col(times) > 0).select(*names, times)
     place = lambda word, number: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(word), ident, number.cast("string"))), 1, 13), 16, 10).cast("long")
-    first, last = F.lit(1), F.col("__n")
+    first, last = F.lit(1), F.col(times)
     if (highest or 0) > CHUNK_COPIES:
-        rows = rows.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) div {CHUNK_COPIES}").cast("int"))))
-        rows = rows.repartition(place("chunk", F.col("__chunk")))
-        first = F.col("__chunk") * CHUNK_COPIES + 1
-        last = F.least(F.col("__n"), first + (CHUNK_COPIES - 1))
+        rows = rows.withColumn(chunk, F.explode(F.sequence(F.lit(0), F.floor((F.col(times) - 1) / CHUNK_COPIES).cast("int"))))
+        rows = rows.repartition(place("chunk", F.col(chunk)))
+        first = F.col(chunk) * CHUNK_COPIES + 1
+        last = F.least(F.col(times), first + (CHUNK_COPIES - 1))
     copies = rows.select(*names, F.explode(F.sequence(first, last)).alias("copy"))
     return copies.withColumn("mix_key", place("order", F.col("copy"))).repartition("mix_key").sortWithinPartitions("mix_key", id_col, "copy")

@@ -3,20 +3,22 @@
 Each block element of a page is a node with one of three states: content, neutral (it only holds
 others) or boilerplate. A node's features give its state potentials; each parent-child edge has a
 potential for every pair of states. Sum-product messages go up from the leaves and down from the
-root and give exact marginals; a block of text is kept where content is the likeliest state. The weights
+root and give exact marginals. An edge to a child that is marked as a kind of block of its own (a form, a
+list of related pages) has other potentials than one to a plain child, so that such blocks inside an article
+say little of the article; nodes know whether they stand inside an article. A block of text is kept where content is the likeliest state. The weights
 are those of highest likelihood on labelled pages, which ``training_pages`` composes from a seed:
 the tables hold no labels, so layouts with known states stand in for them. A batch of pages is one
 forest, and messages are computed level by level with numpy.
 
 Edge cases: null and empty html, and pages without content, give an empty text; unclosed, stray and
-misnested tags are repaired by implied ends; blocks nested deeper than ``MAX_DEPTH`` hang under the one
-at that depth; character references do not reach across tags; equal pages get equal texts; extra
-columns are never read. Parsing takes time in proportion to the page, whatever its nesting.
+misnested tags are repaired by implied ends; character references do not reach across tags; equal pages
+get equal texts; extra columns are never read. Time is in proportion to the page, whatever its nesting.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import random
 import re
 from collections import defaultdict
@@ -30,22 +32,21 @@ from pyspark.sql import functions as F
 from millrace.llm.common import bound_batches
 
 CONTENT, NEUTRAL, BOILERPLATE = range(3)
-TRAIN_PAGES, SEED, STEPS, RATE, DECAY = 360, 3, 250, 0.3, 1e-4
+TRAIN_PAGES, SEED, STEPS, RATE, DECAY = 600, 3, 250, 0.3, 1e-4
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements without markup inside, up to their end tag or the end of the page.
 RAW = frozenset("script style textarea title iframe xmp".split())
 #: Elements whose contents are no text of the page; without an end tag they are empty.
-SKIPPED = frozenset("noscript template svg math select object".split())
+SKIPPED = frozenset("noscript template svg select".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br object"
+    " math mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom mspace semantics annotation".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
 )
-#: Levels of nested blocks.
-MAX_DEPTH = 512
 #: Elements whose start ends an open element of the named kinds, up to a boundary.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -60,7 +61,7 @@ HINTS = {
     "ad": "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner_ad adsense dfp",
     "notice": "cookie cookies consent gdpr notice notification alert popup modal overlay dialog disclaimer paywall",
     "comment": "comment comments commentlist reply replies respond discussion disqus reactions",
-    "share": "share sharing social follow tags meta author byline",
+    "share": "share sharing social follow tags",
     "related": "related recommended recommendations more trending popular latest teaser",
     "form": "form search login signup signin register newsletter subscribe subscription contact",
     "content": "content article post entry story body main text page prose markdown hentry blog",
@@ -69,9 +70,11 @@ _HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
 _TAGS = {
     "p": "p", "h1": "h1", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "li": "li", "dt": "li", "dd": "li", "ul": "list", "ol": "list", "dl": "list", "menu": "nav", "div": "div", "section": "section",
     "article": "article", "main": "main", "nav": "nav", "aside": "aside", "header": "header", "footer": "footer", "form": "form", "fieldset": "form", "button": "button", "dialog": "aside", "table": "table", "tbody": "table", "thead": "table",
-    "tr": "table", "td": "cell", "th": "cell", "blockquote": "quote", "pre": "quote", "figure": "figure", "figcaption": "figure", "body": "body", "html": "root", "head": "head", "#": "root", "address": "aside",
+    "tr": "table", "td": "cell", "th": "cell", "blockquote": "quote", "pre": "quote", "figure": "figure", "figcaption": "figure", "body": "body", "html": "root", "head": "head", "#": "root", "address": "p",
 }
-FEATURES = ["bias", *(f"tag {t}" for t in sorted({*_TAGS.values(), "other"})), *(f"hint {h}" for h in HINTS), *(f"text {n}" for n in ("none", "short", "some", "long")), *(f"links {n}" for n in ("some", "most")), "sentence", "items"]
+FEATURES = ["bias", *(f"tag {t}" for t in sorted({*_TAGS.values(), "other"})), *(f"hint {h}" for h in HINTS), *(f"text {n}" for n in ("none", "short", "some", "long")), *(f"links {n}" for n in ("some", "most")), "sentence", "items", "inside", "inside header", "inside links", "inside plain", "alone", "wrapper"]
+#: Kinds of blocks that stand for themselves wherever they are.
+_MARKED = frozenset(("aside", "form", "nav", "footer", "header", "button"))
 _COLUMN = {f: i for i, f in enumerate(FEATURES)}
 
 _MARKUP = re.compile(
@@ -96,15 +99,13 @@ class Page:
     """
 
     def __init__(self, source: str, labelled: bool = False):
-        self.parent, self.tag, self.hints, self.label, self.depth = [-1], ["#"], [frozenset()], [NEUTRAL], [0]
+        self.parent, self.tag, self.hints, self.label, self.inside = [-1], ["#"], [frozenset()], [NEUTRAL], [False]
         self.text_chars, self.link_chars, self.sentence, self.items = [0], [0], [False], [0]
         self.blocks: list[tuple[int, str]] = []
         self.labelled = labelled
         self._parse(source)
 
     def _add(self, parent: int, tag: str, attributes: str) -> int:
-        if self.depth[parent] >= MAX_DEPTH:
-            parent = self.parent[parent]
         hints, label = frozenset(), self.label[parent]
         if attributes and "=" in attributes:
             words = set()
@@ -114,7 +115,7 @@ class Page:
             if self.labelled and (state := _STATE.search(attributes)):
                 label = int(state[1])
         self.parent.append(parent)
-        self.depth.append(self.depth[parent] + 1)
+        self.inside.append(self.inside[parent] or self.tag[parent] in ("article", "main"))
         self.tag.append(tag)
         self.hints.append(hints)
         self.label.append(label)
@@ -206,11 +207,16 @@ class Page:
             say(source[at:])
         flush()
 
+    def marked(self) -> list[bool]:
+        """Which nodes are marked as blocks of a kind of their own."""
+        return [_TAGS.get(tag) in _MARKED or bool(hints - {"content"}) for tag, hints in zip(self.tag, self.hints, strict=True)]
+
     def rows(self) -> list[list[int]]:
         """The columns of the features that hold, for each node."""
-        out = []
-        for tag, hints, n, linked, sentence, items in zip(self.tag, self.hints, self.text_chars, self.link_chars, self.sentence, self.items, strict=True):
-            row = [0, _COLUMN[f"tag {_TAGS.get(tag, 'other')}"], _COLUMN["text " + ("none" if not n else "short" if n < 30 else "some" if n < 120 else "long")]]
+        out, few = [], len(self.blocks) < 3
+        for tag, hints, n, linked, sentence, items, inside, marked in zip(self.tag, self.hints, self.text_chars, self.link_chars, self.sentence, self.items, self.inside, self.marked(), strict=True):
+            kind = _TAGS.get(tag, "other")
+            row = [0, _COLUMN[f"tag {kind}"], _COLUMN["text " + ("none" if not n else "short" if n < 30 else "some" if n < 120 else "long")]]
             row += [_COLUMN[f"hint {h}"] for h in hints]
             if n and linked > 0.25 * n:
                 row.append(_COLUMN["links most" if linked > 0.6 * n else "links some"])
@@ -218,6 +224,16 @@ class Page:
                 row.append(_COLUMN["sentence"])
             if items > 2:
                 row.append(_COLUMN["items"])
+            if inside:
+                row.append(_COLUMN["inside"])
+                if kind == "header" or "header" in hints:
+                    row.append(_COLUMN["inside header"])
+                elif not marked:
+                    row.append(_COLUMN["inside links" if n and linked > 0.6 * n else "inside plain"])
+            if not n and not hints and kind == "div":
+                row.append(_COLUMN["wrapper"])
+            if n and few and not marked:
+                row.append(_COLUMN["alone"])
             out.append(row)
         return out
 
@@ -232,6 +248,7 @@ class Forest:
             parent += [-1 if q < 0 else q + base for q in p.parent]
             rows += p.rows()
         self.parent = np.array(parent, np.int64)
+        self.kind = np.array([m for p in pages for m in p.marked()], np.int64)
         counts = np.array([len(r) for r in rows])
         self.owner, self.feature = np.repeat(np.arange(len(rows)), counts), np.array([c for r in rows for c in r], np.int64)
         depth = np.zeros(len(parent), np.int64)
@@ -250,17 +267,46 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
+#: Levels of fewer nodes are taken node by node.
+NARROW = 6
+
+
+def _sums(rows: list[list[float]]) -> list[float]:
+    """Logarithms of the sums of exponentials of each row."""
+    out = []
+    for row in rows:
+        top = max(row)
+        out.append(top + math.log(sum(math.exp(x - top) for x in row)))
+    return out
+
+
 def marginals(forest: Forest, unary: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log marginals of nodes, and of (parent, child) states for each node's edge to its parent."""
+    """Log marginals of nodes, and of (parent, child) states for each node's edge to its parent. ``edge``:
+    potentials of (parent, child) states for each kind of child, or for all."""
+    kind = forest.kind if edge.ndim == 3 else np.zeros(len(unary), np.int64)
+    edge = edge if edge.ndim == 3 else edge[None]
     inner, up, parent = unary.copy(), np.zeros_like(unary), forest.parent
+    across, along = edge.tolist(), edge.transpose(0, 2, 1).tolist()
     for level in reversed(forest.levels[1:]):  # upward
-        up[level] = _log_sum(edge[None] + inner[level][:, None, :], 2)
+        if len(level) < NARROW:
+            for i in level.tolist():
+                own = inner[i].tolist()
+                up[i] = _sums([[e + x for e, x in zip(row, own, strict=True)] for row in across[kind[i]]])
+                inner[parent[i]] += up[i]
+            continue
+        up[level] = _log_sum(edge[kind[level]] + inner[level][:, None, :], 2)
         np.add.at(inner, parent[level], up[level])
-    belief, pairs = inner.copy(), np.zeros((len(unary), 3, 3))
+    belief = inner.copy()
     for level in forest.levels[1:]:  # downward
         outside = belief[parent[level]] - up[level]
-        pairs[level] = outside[:, :, None] + edge[None] + inner[level][:, None, :]
-        belief[level] = inner[level] + _log_sum(outside[:, :, None] + edge[None], 1)
+        if len(level) < NARROW:
+            for i, rest in zip(level.tolist(), outside.tolist(), strict=True):
+                belief[i] += _sums([[e + x for e, x in zip(row, rest, strict=True)] for row in along[kind[i]]])
+            continue
+        belief[level] += _log_sum(outside[:, :, None] + edge[kind[level]], 1)
+    child = np.flatnonzero(parent >= 0)
+    pairs = np.zeros((len(unary), 3, 3))
+    pairs[child] = (belief[parent[child]] - up[child])[:, :, None] + edge[kind[child]] + inner[child][:, None, :]
     flat = pairs.reshape(len(pairs), 9)
     return belief - _log_sum(belief, 1)[:, None], (flat - _log_sum(flat, 1)[:, None]).reshape(-1, 3, 3)
 
@@ -271,15 +317,18 @@ def fit(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     y = np.array([v for p in pages for v in p.label])
     n, child = len(y), np.flatnonzero(forest.parent >= 0)
     truth = np.eye(3)[y]
-    seen_edge = np.zeros((3, 3))
-    np.add.at(seen_edge, (y[forest.parent[child]], y[child]), 1)
-    weights, edge = np.zeros((len(FEATURES), 3)), np.zeros((3, 3))
+    kind = forest.kind[child]
+    seen_edge = np.zeros((2, 3, 3))
+    np.add.at(seen_edge, (kind, y[forest.parent[child]], y[child]), 1)
+    weights, edge = np.zeros((len(FEATURES), 3)), np.zeros((2, 3, 3))
     first, second = [np.zeros_like(weights), np.zeros_like(edge)], [np.zeros_like(weights), np.zeros_like(edge)]
     for step in range(1, STEPS + 1):
         node, pair = marginals(forest, forest.unary(weights), edge)
         gap = truth - np.exp(node)
         got = np.stack([np.bincount(forest.feature, gap[forest.owner, s], len(FEATURES)) for s in range(3)], 1)
-        grads = (got / n - DECAY * weights, (seen_edge - np.exp(pair[child]).sum(axis=0)) / n - DECAY * edge)
+        held = np.exp(pair[child])
+        expected = np.stack([held[kind == k].sum(axis=0) for k in (0, 1)])
+        grads = (got / n - DECAY * weights, (seen_edge - expected) / n - DECAY * edge)
         for k, (p, g) in enumerate(zip((weights, edge), grads, strict=True)):
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.01 * (g * g - second[k])
@@ -332,9 +381,15 @@ def training_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[str]:
 
     def body_block() -> str:
         roll = rng.random()
-        if roll < 0.62:
+        if roll < 0.55:
             text = _prose(rng, rng.randint(1, 9)) if rng.random() < 0.85 else _words(rng, rng.randint(1, 3))
             return f"<p>{'<b>' if rng.random() < 0.15 else ''}{text}{'<br>' if rng.random() < 0.15 else '</p>'}"
+        if roll < 0.58:
+            return f"<{rng.choice(('p', 'div', 'address'))} class={rng.choice(('byline', 'author', 'meta', 'dateline', 'lead'))}>{_words(rng, rng.randint(2, 6))}</p>".replace("</p>", "")
+        if roll < 0.61:
+            return f"<div>{'<br>'.join(_prose(rng, rng.randint(1, 3)) for _ in range(rng.randint(1, 4)))}</div>"
+        if roll < 0.63:
+            return "<ul>" + _links(rng, rng.randint(2, 6)) + "</ul>"
         if roll < 0.72:
             level = rng.choice("2234")
             return f"<h{level}>{_words(rng, rng.randint(1, 7))}</h{level}>"
@@ -352,8 +407,13 @@ def training_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[str]:
 
     def page() -> str:
         title = f"<h1>{_words(rng, rng.randint(2, 12))}</h1>" if rng.random() < 0.8 else ""
-        inner = title + "".join(body_block() for _ in range(rng.randint(1, 12)))
         c = f"data-y={CONTENT}"
+        if title and rng.random() < 0.2:
+            title = f"<header {c}>{title}{rng.choice(('', f'<p>{_words(rng, 5)}</p>', f'<p class=byline>{_words(rng, 3)}</p>'))}</header>"
+        blocks = [body_block() for _ in range(1 if rng.random() < 0.2 else rng.randint(1, 12))]
+        inner = title + "".join(blocks)
+        if rng.random() < 0.25:  # blocks of other kinds at the end of an article, however short that is
+            inner += some(0.6, *rng.sample(("share", "related", "form", "ad", "notice"), 3))
         name = f"{rng.choice(('class', 'id'))}='{rng.choice(('', 'the-', 'post-'))}{pick(HINTS['content'])}'"
         shape = rng.random()
         if shape < 0.4:
@@ -370,6 +430,15 @@ def training_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[str]:
             main = f"<div {c}>{inner}</div>"
         else:
             main = re.sub(r"<(p|h\d|ul|blockquote|table|figure|pre|div)(?=>)", rf"<\1 {c}", inner)
+        if rng.random() < 0.35:
+            depth = rng.choice((1, 2, 3, 5, 12, 40))
+            main = "<div>" * depth + main + some(0.2, "share", "related", "footer") + "</div>" * depth
+        lone = rng.random()
+        if lone < 0.08:  # a fragment by itself
+            return rng.choice((main, f"<div {c}>{_prose(rng, rng.randint(1, 3))}</div>", f"<div {c}><p>{_prose(rng, rng.randint(1, 2))}</p></div>", f"<p {c}>{_prose(rng, 1)}</p>"))
+        if lone < 0.16:  # text in the body itself, or in plain blocks of it
+            text = rng.choice((_prose(rng, rng.randint(1, 6)), "<br>".join(_prose(rng, 2) for _ in range(rng.randint(1, 5))), f"<div>{_prose(rng, rng.randint(1, 3))}</div>", f"<div><p>{_prose(rng, 1)}</p></div>"))
+            return f"<html><head><title>t</title></head><body {c}>{some(0.3, 'nav', 'notice')}{text}{some(0.3, 'footer', 'ad')}</body></html>"
         wrapped = some(0.5, "notice", "ad") + main + some(0.35, "sidebar", "related", "comment", "share", "form", "ad")
         if rng.random() < 0.3:
             wrapped = f"<div class='{pick('wrapper container page row layout')}'>{wrapped}</div>"

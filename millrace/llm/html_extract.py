@@ -67,12 +67,24 @@ HINTS = {
     "content": "content article post entry story body main text page prose markdown hentry blog",
 }
 _HINT_OF = {w: k for k, words in HINTS.items() for w in words.split()}
+#: Words that speak for a kind of block as part of a longer one, too.
+_STEMS = re.compile("nav(?=$|bar|menu)|menu$|header$|footer|sidebar|comments?$|advert|cookie|sharing|related|newsletter")
+
+
+@lru_cache(4096)
+def _hint_of(word: str) -> str | None:
+    if word in _HINT_OF:
+        return _HINT_OF[word]
+    part = _STEMS.search(word)
+    return _HINT_OF[part[0]] if part else None
+
+
 _TAGS = {
     "p": "p", "h1": "h1", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h", "li": "li", "dt": "li", "dd": "li", "ul": "list", "ol": "list", "dl": "list", "menu": "nav", "div": "div", "section": "section",
     "article": "article", "main": "main", "nav": "nav", "aside": "aside", "header": "header", "footer": "footer", "form": "form", "fieldset": "form", "button": "button", "dialog": "aside", "table": "table", "tbody": "table", "thead": "table",
     "tr": "table", "td": "cell", "th": "cell", "blockquote": "quote", "pre": "quote", "figure": "figure", "figcaption": "figure", "body": "body", "html": "root", "head": "head", "#": "root", "address": "p",
 }
-FEATURES = ["bias", *(f"tag {t}" for t in sorted({*_TAGS.values(), "other"})), *(f"hint {h}" for h in HINTS), *(f"text {n}" for n in ("none", "short", "some", "long")), *(f"links {n}" for n in ("some", "most")), "sentence", "items", "inside", "inside header", "inside links", "inside plain", "alone", "wrapper"]
+FEATURES = ["bias", *(f"tag {t}" for t in sorted({*_TAGS.values(), "other"})), *(f"hint {h}" for h in HINTS), *(f"text {n}" for n in ("none", "short", "some", "long")), *(f"links {n}" for n in ("some", "most")), "sentence", "items", "inside", "inside header", "outside header", "inside links", "inside plain", "alone", "wrapper"]
 #: Kinds of blocks that stand for themselves wherever they are.
 _MARKED = frozenset(("aside", "form", "nav", "footer", "header", "button"))
 _COLUMN = {f: i for i, f in enumerate(FEATURES)}
@@ -111,7 +123,7 @@ class Page:
             words = set()
             for _, *values in _ATTRIBUTE.findall(attributes):
                 words.update(_NAME.findall(_CAMEL.sub(" ", "".join(values)).lower()))
-            hints = frozenset(_HINT_OF[w] for w in words if w in _HINT_OF)
+            hints = frozenset(h for h in map(_hint_of, words) if h)
             if self.labelled and (state := _STATE.search(attributes)):
                 label = int(state[1])
         self.parent.append(parent)
@@ -230,6 +242,8 @@ class Page:
                     row.append(_COLUMN["inside header"])
                 elif not marked:
                     row.append(_COLUMN["inside links" if n and linked > 0.6 * n else "inside plain"])
+            elif kind == "header" or "header" in hints:
+                row.append(_COLUMN["outside header"])
             if not n and not hints and kind == "div":
                 row.append(_COLUMN["wrapper"])
             if n and few and not marked:
@@ -357,13 +371,15 @@ def training_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[str]:
     def block(kind: str) -> str:
         y = f"data-y={BOILERPLATE}"
         tag, name = rng.choice(("div", "div", "section", "aside")), f"{rng.choice(('class', 'id'))}='{rng.choice(('', 'site-', 'x_'))}{pick(HINTS[kind])}'"
+        if kind == "nav" and rng.random() < 0.2:
+            return f"<div {y}>{rng.choice((' | ', ' ', ' &middot; ')).join(f'<a href=/{i}>{_words(rng, rng.randint(1, 2))}</a>' for i in range(rng.randint(2, 7)))}</div>"
         if kind == "nav":
             opened = rng.choice((f"nav {y}", f"div {y} {name}", f"ul {y} {name}"))
             inner = _links(rng, rng.randint(2, 9))
             return f"<{opened}>{inner if opened[0] == 'u' else f'<ul>{inner}</ul>'}</{opened.split()[0]}>"
         if kind in ("header", "footer"):
             opened = rng.choice((kind, "div"))
-            inner = rng.choice((f"<h1>{_words(rng, 3)}</h1><p>{_words(rng, 6)}</p>", f"&copy; {_words(rng, 4)} &middot; {_prose(rng, 1)}", f"<p>{_prose(rng, 2)}</p><ul>{_links(rng, 4)}</ul>", f"<div>{_words(rng, 3)}</div>"))
+            inner = rng.choice((f"<h1>{_words(rng, rng.randint(1, 4))}</h1>", f"<h1><a href=/>{_words(rng, 2)}</a></h1>", f"<h1>{_words(rng, 3)}</h1><p>{_words(rng, 6)}</p>", f"&copy; {_words(rng, 4)} &middot; {_prose(rng, 1)}", f"<p>{_prose(rng, 2)}</p><ul>{_links(rng, 4)}</ul>", f"<div>{_words(rng, 3)}</div>"))
             return f"<{opened} {y} {name if opened == 'div' else ''}>{inner}</{opened}>"
         if kind == "form":
             return f"<form {y} action='/x'><p>{_prose(rng, 1)}</p><label>{_words(rng, 2)}</label><input name=q><button>{_words(rng, 1)}</button></form>" if rng.random() < 0.6 else f"<div {y} {name}><h3>{_words(rng, 3)}</h3><p>{_prose(rng, 2)}</p></div>"
@@ -411,6 +427,9 @@ def training_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[str]:
         if title and rng.random() < 0.2:
             title = f"<header {c}>{title}{rng.choice(('', f'<p>{_words(rng, 5)}</p>', f'<p class=byline>{_words(rng, 3)}</p>'))}</header>"
         blocks = [body_block() for _ in range(1 if rng.random() < 0.2 else rng.randint(1, 12))]
+        if rng.random() < 0.12:  # many short paragraphs among long ones
+            blocks += [f"<p>{_words(rng, rng.randint(1, 4)).capitalize()}{rng.choice('...,?')}</p>" for _ in range(rng.randint(10, 60))]
+            rng.shuffle(blocks)
         inner = title + "".join(blocks)
         if rng.random() < 0.25:  # blocks of other kinds at the end of an article, however short that is
             inner += some(0.6, *rng.sample(("share", "related", "form", "ad", "notice"), 3))
@@ -444,7 +463,7 @@ def training_pages(count: int = TRAIN_PAGES, seed: int = SEED) -> list[str]:
             wrapped = f"<div class='{pick('wrapper container page row layout')}'>{wrapped}</div>"
         head = "<head><title>t</title><style>p{}</style><script>x('</p>')</script></head>"
         ends = "" if rng.random() < 0.2 else "</body></html>"
-        return f"<!DOCTYPE html><html>{head}<body>{some(0.7, 'nav')}{some(0.4, 'header', 'ad', 'nav', 'notice')}{wrapped}{some(0.7, 'footer')}{ends}"
+        return f"<!DOCTYPE html><html>{head}<body>{some(0.7, 'nav')}{some(0.6, 'header')}{some(0.4, 'ad', 'nav', 'notice')}{wrapped}{some(0.7, 'footer')}{ends}"
 
     return [page() for _ in range(count)]
 

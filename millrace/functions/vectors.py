@@ -26,10 +26,11 @@ def _packed(ids: str):
 
     def run(batches):
         for pdf in batches:
-            for lo in range(0, len(pdf), 2048):
-                part = pdf.iloc[lo : lo + 2048]
-                x = unit_rows(np.array(part["vector"].tolist(), np.float64))
-                yield pd.DataFrame([(len(part), part[ids].to_numpy(np.int64).tobytes(), x.tobytes())], columns=["n", "ids", "x"])
+            for d, alike in pdf.groupby("d"):
+                for lo in range(0, len(alike), 2048):
+                    part = alike.iloc[lo : lo + 2048]
+                    x = unit_rows(np.array(part["vector"].tolist(), np.float64))
+                    yield pd.DataFrame([(d, len(part), part[ids].to_numpy(np.int64).tobytes(), x.tobytes())], columns=["d", "n", "ids", "x"])
 
     return run
 
@@ -40,20 +41,23 @@ def cosine_pairs(questions: DataFrame, records: DataFrame, floor: float | None =
 
     Vectors are packed where they lie; each chunk of records meets each block of questions in one
     matrix product, by a join on the block's number. With ``k`` a chunk sends on no more of a question's
-    pairs than its ``k`` best, and those that rounding may put level with them.
+    pairs than its ``k`` best, and those that rounding may put level with them. Null vectors take no part,
+    and vectors meet those of their own length only; zero vectors and such with a null or non-finite number
+    have the cosine 0.
     """
+    questions, records = (df.filter(F.col("vector").isNotNull()).withColumn("d", F.size("vector")) for df in (questions, records))
     count = questions.count()
     blocks = max(1, -(-count // block))
-    asked = questions.select("qid", "vector", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b"))
+    asked = questions.select("qid", "vector", "d", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int").alias("b"))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         q = unit_rows(np.array(pdf["vector"].tolist(), np.float64))
-        return pd.DataFrame([(key[0], pdf["qid"].to_numpy(np.int64).tobytes(), q.tobytes())], columns=["b", "qids", "q"])
+        return pd.DataFrame([(*key, pdf["qid"].to_numpy(np.int64).tobytes(), q.tobytes())], columns=["b", "d", "qids", "q"])
 
-    sides = asked.groupBy("b").applyInPandas(pack, "b int, qids binary, q binary")
+    sides = asked.groupBy("b", "d").applyInPandas(pack, "b int, d int, qids binary, q binary")
     sides = F.broadcast(sides) if count <= BROADCAST_VECTORS else sides
-    chunks = records.select("row_idx", "vector").mapInPandas(_packed("row_idx"), "n int, ids binary, x binary")
-    met = chunks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(sides, "b").select("n", "ids", "x", "qids", "q")
+    chunks = records.select("row_idx", "vector", "d").mapInPandas(_packed("row_idx"), "d int, n int, ids binary, x binary")
+    met = chunks.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(sides, ["b", "d"]).select("n", "ids", "x", "qids", "q")
 
     def score(batches):
         for pdf in batches:

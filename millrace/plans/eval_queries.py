@@ -118,8 +118,8 @@ def a48_self_grading(spark, sf_dir):
 
 
 def j07_retest(spark, sf_dir):
-    """First against second run of an answer: a document's copies in score, by generator."""
-    j = judgements(spark, sf_dir).withColumn("rep", F.col("qid") % 2).groupBy("generator", "judge", F.floor(F.col("qid") / 2).alias("pair")).pivot("rep", [0, 1]).agg(F.max("score"))
+    """First against second run of a question: documents next to each other, of one language."""
+    j = judgements(spark, sf_dir).withColumn("rep", F.col("qid") % 2).groupBy("category", "judge", F.floor(F.col("qid") / 2).alias("pair")).pivot("rep", [0, 1]).agg(F.max("score"))
     j = j.filter("`0` IS NOT NULL AND `1` IS NOT NULL")
     return j.groupBy("judge").agg(F.count("*").alias("n"), evals.rate(F.col("0") != F.col("1")).alias("flip_rate"), F.round(F.avg(F.abs(F.col("0") - F.col("1"))), 6).alias("mean_gap"))
 
@@ -196,7 +196,7 @@ SELECT round(1 - (sum(coalesce(o, 0) * d) / any_value(n)) / (sum(nx * ny * d) /
     "a30_pairwise": f"{_J} SELECT round(avg((a.score = b.score)::INT), 3) AS exact, round(avg((abs(a.score - b.score) <= 1)::INT), 3) AS within_one, count(*) AS pairs FROM j a JOIN j b ON a.qid = b.qid AND a.judge < b.judge WHERE a.score IS NOT NULL AND b.score IS NOT NULL",
     "a32_retrieval_check": f"WITH {_METRICS} SELECT count(*) AS n, round(avg(hit::INT), 6) AS hit_rate, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall FROM a14",
     "a48_self_grading": f"{_J} SELECT DISTINCT generator, judge FROM j WHERE right(generator, 1) = (length(judge) % 10)::VARCHAR",
-    "j07_retest": f"{_J}, p AS (SELECT generator, judge, qid // 2 AS p, max(score) FILTER (qid % 2 = 0) AS a, max(score) FILTER (qid % 2 = 1) AS b FROM j GROUP BY ALL) SELECT judge, count(*) AS n, round(avg((a <> b)::INT), 6) AS flip_rate, round(avg(abs(a - b)), 6) AS mean_gap FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1",
+    "j07_retest": f"{_J}, p AS (SELECT category, judge, qid // 2 AS p, max(score) FILTER (qid % 2 = 0) AS a, max(score) FILTER (qid % 2 = 1) AS b FROM j GROUP BY ALL) SELECT judge, count(*) AS n, round(avg((a <> b)::INT), 6) AS flip_rate, round(avg(abs(a - b)), 6) AS mean_gap FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1",
     "p10_ok_judgements": f"{_J} SELECT qid, count(*)::INTEGER AS n, count(score)::INTEGER AS ok, string_agg(judge, ',' ORDER BY judge) FILTER (score IS NOT NULL) AS judges FROM j GROUP BY 1",
     "p12_usable": f"{_J}, x AS (SELECT generator FROM j GROUP BY 1 HAVING {_RATE} < 0.62) SELECT generator, count(*) AS n FROM j WHERE generator NOT IN (FROM x) GROUP BY 1",
     "w32_plan_tasks": f"{_J} SELECT r AS rep, category, generator FROM (SELECT unnest([0, 1])::BIGINT AS r), (SELECT DISTINCT category FROM j), (SELECT DISTINCT generator FROM j) ORDER BY ALL",

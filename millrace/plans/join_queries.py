@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import snapshots
+from millrace.operators.scratch import shared_folder
 from millrace.session import table
+from millrace.sources.versions import VersionedTable
 
 
 def j01_last_wins_left(spark, sf_dir):
@@ -47,7 +49,33 @@ def j05_full_outer_catalog(spark, sf_dir):
 
 
 def j17_anti(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    """Customers without a large order of the first priority."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority LIKE '1%' AND o_totalprice > 100000")
+    return table(spark, sf_dir, "customer").join(orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+def _customers(spark, sf_dir) -> VersionedTable:
+    """Customers as a versioned table: committed, updated twice where a condition holds, and once in vain."""
+    out = VersionedTable(spark, shared_folder(spark, "versions"))
+    out.commit(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), "first")
+    low = F.col("c_acctbal") < 0
+    out.update(low, {"c_acctbal": F.lit(0.0), "c_mktsegment": F.concat(F.lit("low "), F.col("c_mktsegment"))}, "no debts")
+    out.update(F.col("c_mktsegment").startswith("low ") & (F.col("c_custkey") % 2 == 0), {"c_acctbal": F.lit(1.5)}, "a gift")
+    out.update(low, {"c_acctbal": F.lit(9.0)}, "never")
+    return out
+
+
+def s08_conditional_update(spark, sf_dir):
+    return _customers(spark, sf_dir).read()
+
+
+def r04_history(spark, sf_dir):
+    """Versions after an older one was restored, the newest first."""
+    held = _customers(spark, sf_dir)
+    held.restore(1)
+    rows = [(e.number, e.rows, e.note, e.restored or 0) for e in held.history()]
+    sums = {n: held.read(n).agg(F.round(F.sum("c_acctbal"), 2)).first()[0] for n, *_ in rows}
+    return spark.createDataFrame([(*r, sums[r[0]]) for r in rows], "version int, rows long, note string, restored int, total double")
 
 
 def j18_semi(spark, sf_dir):
@@ -148,7 +176,7 @@ def w21_anchors(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        j01_last_wins_left, j02_related_in_order, j03_price_fallback, j04_left_titles, j05_full_outer_catalog, j17_anti, j18_semi, j22_best_match, j23_expected_shown, s16_base_and_delta, s17_override, s18_replay, s30_cache, s32_publish_diff,
+        j01_last_wins_left, j02_related_in_order, j03_price_fallback, j04_left_titles, j05_full_outer_catalog, j17_anti, s08_conditional_update, r04_history, j18_semi, j22_best_match, j23_expected_shown, s16_base_and_delta, s17_override, s18_replay, s30_cache, s32_publish_diff,
         s36_course_facts, st11_latest_status, u07_sets, q_star_revenue, w21_anchors,
     )
 }
@@ -162,7 +190,11 @@ SQL = {
     "j04_left_titles": "SELECT coalesce(c_mktsegment, 'unknown') AS segment, count(*) AS n FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey GROUP BY 1",
     "j05_full_outer_catalog": """WITH c AS (SELECT c_nationkey AS k, count(*) AS c FROM customer GROUP BY 1 HAVING k % 4 <> 0), s AS (SELECT s_nationkey AS k, count(*) AS s FROM supplier GROUP BY 1 HAVING k % 3 <> 0), n AS (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey % 5 <> 0)
 SELECT coalesce(n.k, c.k, s.k) AS key, coalesce(n_name, '?') AS name, coalesce(c, 0) AS customers, coalesce(s, 0) AS suppliers FROM n FULL JOIN c ON n.k = c.k FULL JOIN s ON s.k = coalesce(n.k, c.k)""",
-    "j17_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "s08_conditional_update": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'low ' ELSE '' END || c_mktsegment AS c_mktsegment, CASE WHEN c_acctbal >= 0 THEN c_acctbal WHEN c_custkey % 2 = 0 THEN 1.5 ELSE 0 END::DOUBLE AS c_acctbal FROM customer",
+    "r04_history": """WITH s AS (SELECT count(*) AS n, sum(c_acctbal) AS a, sum(greatest(c_acctbal, 0)) AS b, sum(CASE WHEN c_acctbal >= 0 THEN c_acctbal WHEN c_custkey % 2 = 0 THEN 1.5 ELSE 0 END) AS c FROM customer),
+v(version, note, restored) AS (VALUES (1, 'first', 0), (2, 'no debts', 0), (3, 'a gift', 0), (4, 'Restored version 1.', 1))
+SELECT version, n AS rows, note, restored, round(CASE version WHEN 2 THEN b WHEN 3 THEN c ELSE a END, 2)::DOUBLE AS total FROM v, s""",
+    "j17_anti": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_totalprice > 100000)",
     "j18_semi": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000) GROUP BY 1",
     "j22_best_match": "SELECT p_type, arg_min(n_nationkey, (abs(length(p_type) - length(n_name)), n_nationkey)) AS n_nationkey FROM (SELECT DISTINCT p_type FROM part), nation GROUP BY 1",
     "j23_expected_shown": "WITH a AS (SELECT DISTINCT p_type, p_brand FROM part), e AS (SELECT DISTINCT p_type, p_brand FROM part WHERE p_size <= 10) SELECT p_type, count(e.p_brand)::INTEGER AS common, (count(*) - count(e.p_brand))::INTEGER AS other FROM a LEFT JOIN e USING (p_type, p_brand) WHERE p_type IN (SELECT p_type FROM e) GROUP BY 1",

@@ -71,8 +71,12 @@ def w03_candidates(spark, sf_dir):
 
 
 def w04_gap_fills(spark, sf_dir):
-    ranked, records = _ranked(spark, sf_dir)
-    pool = retrieval.candidates(ranked, threshold=-0.5, cutoff=2.0, margin=2.0, top=100)
+    """Two courses, and every third record leads nothing, so that candidates have gaps between them."""
+    own = {"course": (F.col("label") % 2).cast("string"), "leads": F.col("row_idx") % 3 != 1}
+    records = _records(spark, sf_dir).withColumn("label", F.col("course").cast("int")).withColumns(own).drop("label")
+    pairs = cosine_pairs(_questions(spark, sf_dir), records).withColumn("score", F.round("score", 6))
+    records = records.drop("vector")
+    pool = retrieval.candidates(pairs.join(records, "row_idx"), threshold=-0.5, cutoff=2.0, margin=2.0, top=100)
     return retrieval.gap_fills(pool, records).select("qid", "row_idx", F.round("score", 6).alias("score"))
 
 
@@ -140,7 +144,7 @@ SQL = {
     "w01_rank_cosine": f"WITH {_BASE} SELECT qid, row_idx, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_idx)::INTEGER AS rn FROM p",
     "w02_topk_per_query": f"WITH {_BASE} SELECT * FROM (SELECT qid, row_idx, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_idx)::INTEGER AS rn FROM p) WHERE rn <= 8",
     "w03_candidates": f"WITH {_BASE}, {_CANDIDATES} SELECT qid, row_idx, course, score, rn::INTEGER AS rn FROM c",
-    "w04_gap_fills": f"WITH {_BASE}, {_CANDIDATES.replace('best - 0.01', 'best - 2.0').replace('best - 0.12', 'best - 2.0').replace('score >= 0.1', 'score >= -0.5').replace('rn <= 8', 'rn <= 100')}, {_FILLS} SELECT qid, row_idx, round(score, 6) AS score FROM f",
+    "w04_gap_fills": f"WITH {_BASE.replace('label::VARCHAR AS course', '(label % 2)::VARCHAR AS course').replace('vec_id % 29 <> 0 AND vec_id % 20 <> 0 AS leads', 'vec_id % 3 <> 1 AS leads')}, {_CANDIDATES.replace('best - 0.01', 'best - 2.0').replace('best - 0.12', 'best - 2.0').replace('score >= 0.1', 'score >= -0.5').replace('rn <= 8', 'rn <= 100')}, {_FILLS} SELECT qid, row_idx, round(score, 6) AS score FROM f",
     "w06_select_segments": f"""WITH {_BASE}, {_CANDIDATES}, {_FILLS},
 led AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, course, session, slide_number) AS r FROM c),
 m AS (SELECT qid, row_idx, course, session, slide_number, score, r, 0 AS fill FROM led

@@ -11,6 +11,7 @@ def test_equals_oracle(spark, duck, name):
     got = catalogue.queries()[name](spark, SMALL).toPandas()
     want = duck.execute(catalogue.oracle_sql()[name]).fetch_df()
     assert sorted(got.columns) == sorted(want.columns)
+    assert len(got), "an empty result shows nothing"
     assert rows_of(got) == rows_of(want)
 
 

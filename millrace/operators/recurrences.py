@@ -6,9 +6,11 @@ neither a key nor a task is held as a whole.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.segments import emitted, segmented
@@ -65,17 +67,40 @@ def multi_window_admission(df: DataFrame, visitor: str, order: list[str], second
     return segmented(df, [visitor], order, [seconds], dict, step, "allowed boolean")
 
 
-def resolve_duplicates(labels: np.ndarray, scores: np.ndarray, groups: np.ndarray) -> np.ndarray:
-    """A frame that may be any page of a group of equal pages takes the page of the frame before, or
-    its group's first page."""
-    out = labels.copy()
-    last = -1
-    for i, x in enumerate(labels.tolist()):
-        if x >= 0:
-            same = np.flatnonzero(groups == groups[x])
-            out[i] = last if last in same else same[0] if len(same) > 1 else x
-            last = out[i]
-    return out
+def resolve_duplicates(df: DataFrame, key: list[str], order: list[str], label: str, alike: str) -> DataFrame:
+    """Adds resolved: a frame whose page looks like others (``alike``: the pages of its group, itself
+    included) takes the one nearest to half a page ahead of the last page told, ties to the lower page; the first
+    one nearest to itself. Frames without a page (null or negative) stay so and are passed over."""
+
+    def step(state: list, page: int | None, group: list[int] | None) -> tuple:
+        if page is None or page < 0:
+            return (page,)
+        if group and len(group) > 1:
+            ahead = (state[0] if state[0] >= 0 else page) + 0.5
+            page = min(group, key=lambda g: (abs(g - ahead), g))
+        state[0] = page
+        return (page,)
+
+    return segmented(df, key, order, [label, alike], lambda: [-1], step, "resolved int")
+
+
+def mark_spans(df: DataFrame, key: list[str], order: list[str], seconds: str, opens: str, closes: str, most: float) -> DataFrame:
+    """Adds inside: whether a row stands in a span from a row that ``opens`` one up to the next that ``closes`` it,
+    both included, or until ``most`` seconds after its begin; the row that finds a span too old opens none."""
+
+    def step(state: list, t: float | None, starts: bool | None, ends: bool | None) -> tuple:
+        if t is None:
+            return (False,)
+        if state[0] is None:
+            state[0] = t if starts else None
+            return (bool(starts),)
+        if t - state[0] > most:
+            state[0] = None
+            return (False,)
+        state[0] = None if ends else state[0]
+        return (True,)
+
+    return segmented(df, key, order, [seconds, opens, closes], lambda: [None], step, "inside boolean")
 
 
 def monotone_path(scores: np.ndarray, skip_cost: float = 0.0) -> list[int]:
@@ -126,30 +151,89 @@ def merge_cues(df: DataFrame, key: list[str], start: str, end: str, text: str, g
     return emitted(times, key, [start, end, text], [start, end, text], list, step, lambda state: [tuple(state)], f"`{start}` double, `{end}` double, `{text}` string")
 
 
-def word_timings(text: str, spoken: list[tuple[float, str]], jump: int = 80) -> list[tuple[float, int]]:
-    """(seconds, place in the text) of spoken words, found in order; a word further ahead than
-    ``jump`` characters is passed over."""
-    low, at, out = text.lower(), 0, []
-    for t, word in spoken:
-        found = low.find(word.lower(), at)
-        if found >= 0 and found - at <= jump:
-            out.append((t, found))
-            at = found + len(word)
-    return out
+#: Fixed values of spoken words: how far ahead one may be found, what is cut from a word that is not found, and
+#: the pairs of tokens up to which two texts are compared word by word.
+JUMP_CHARS, EDGES, MAX_TABLE = 80, ".,;:!?\"'()[]", 1_500_000
 
 
-def word_diff(a: str, b: str) -> list[tuple[str, str]]:
-    """Runs of (same | gone | new, text) between two texts, by the longest common words."""
-    from difflib import SequenceMatcher
+def word_places(df: DataFrame, key: list[str], order: list[str], text: str, seconds: str, word: str, jump: int = JUMP_CHARS) -> DataFrame:
+    """(key, seconds, place): the places in a text where its spoken words stand, in order from a cursor on. A
+    word that is not there, or further ahead than ``jump`` characters, is passed over, and times never go
+    back. Every row of a key bears its ``text``; each task reads it from the first of them only."""
 
-    x, y = a.split(), b.split()
-    out: list[tuple[str, str]] = []
-    for op, i, j, k, m in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-        if op == "equal":
-            out.append(("same", " ".join(x[i:j])))
+    def step(state: dict, first: str | None, t: float | None, said: str | None) -> list[tuple]:
+        if "text" not in state:
+            state.update(text=first or "", at=0, last=-1.0)
+        said = (said or "").strip()
+        if not said or t is None:
+            return []
+        place = state["text"].find(said, state["at"])
+        if place < 0:
+            core = said.strip(EDGES)
+            place, said = state["text"].find(core, state["at"]) if core else -1, core or said
+        if place < 0 or place - state["at"] > jump:
+            return []
+        state["at"], state["last"] = place + len(said), max(t, state["last"])
+        return [(round(state["last"], 3), place)]
+
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) == 1
+    narrow = df.withColumn("__text", F.when(first, F.col(text))).select(*dict.fromkeys([*key, *order, "__text", seconds, word]))
+    return emitted(narrow, key, order, ["__text", seconds, word], dict, step, lambda _: [], "seconds double, place int")
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """(op, token) of two lists by their longest common subsequence, removals before additions."""
+    codes = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([codes[t] for t in ts], np.int64) for ts in (a, b))
+    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # of what is left from each place on
+    for i in range(len(a) - 1, -1, -1):
+        row = np.where(y == x[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
+        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if x[i] == y[j]:
+            out.append(("=", a[i]))
+            i, j = i + 1, j + 1
+        elif best[i + 1, j] >= best[i, j + 1]:
+            out.append(("-", a[i]))
+            i += 1
         else:
-            out += [(name, " ".join(part)) for name, part in (("gone", x[i:j]), ("new", y[k:m])) if part]
-    return out
+            out.append(("+", b[j]))
+            j += 1
+    return out + [("-", t) for t in a[i:]] + [("+", t) for t in b[j:]]
+
+
+def diff_parts(before: str, after: str, most: int = MAX_TABLE) -> list[tuple[str, str]]:
+    """Runs of = (kept), - (removed) and + (added) text; the kept and added ones joined give ``after``. Texts of
+    more than ``most`` pairs of tokens are compared line by line, and beyond that replaced as a whole."""
+    a, b = (re.findall(r"\s+|\S+", s) for s in (before, after))
+    if len(a) * len(b) > most:
+        a, b = (re.findall(r"[^\n]*\n|[^\n]+", s) for s in (before, after))
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - low and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[low : len(a) - tail], b[low : len(b) - tail]
+    middle = _common(x, y) if len(x) * len(y) <= most else [("-", t) for t in x] + [("+", t) for t in y]
+    parts: list[tuple[str, str]] = []
+    for op, t in [*(("=", t) for t in a[:low]), *middle, *(("=", t) for t in a[len(a) - tail :])]:
+        if parts and parts[-1][0] == op:
+            parts[-1] = (op, parts[-1][1] + t)
+        else:
+            parts.append((op, t))
+    return parts
+
+
+def word_diff(before: Column, after: Column) -> Column:
+    """``diff_parts`` of two columns, as an array of (op, text); a null text is an empty one."""
+
+    @F.pandas_udf("array<struct<op:string,text:string>>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"op": op, "text": t} for op, t in diff_parts(x or "", y or "")] for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return run(before, after)
 
 
 def greedy_batches(df: DataFrame, key: list[str], order: list[str], size: str, most: int) -> DataFrame:
@@ -206,7 +290,6 @@ def highlights(spoken: list[tuple[str, int]], shown: list[tuple[str, float]], le
 def read_along(df: DataFrame, key: list[str], spoken: str, shown: str) -> DataFrame:
     """(key, place, first, last): ``highlights`` of texts read beside texts shown, by lower-case words;
     sentences end at stops, and a shown word's height is its line."""
-    import re
 
     def run(batches):
         for pdf in batches:

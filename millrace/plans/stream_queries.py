@@ -99,6 +99,40 @@ def w26_monotone_path(spark, sf_dir):
     return recurrences.align_monotone(cells, "conv_id", "chunk", "page", "score", 0.05)
 
 
+def w08_duplicate_frames(spark, sf_dir):
+    """Events as frames, whose pages look alike in threes; errors show no page."""
+    page = F.when(F.col("event_type") == "error", -1).otherwise((F.col("value") % 9).cast("int"))
+    e = _events(spark, sf_dir).select("user_id", "event_id", "t", page.alias("page"))
+    first = F.floor(F.col("page") / 3).cast("int") * 3
+    e = e.withColumn("alike", F.when(F.col("page") >= 0, F.sequence(first, first + 2)))
+    return recurrences.resolve_duplicates(e, ["user_id"], ["t", "event_id"], "page", "alike").select("event_id", "page", "resolved")
+
+
+def w16_spans(spark, sf_dir):
+    """Events between a signup and the next purchase of a user, three days at most."""
+    e = _events(spark, sf_dir).select("user_id", "event_id", "t", (F.col("event_type") == "signup").alias("opens"), (F.col("event_type") == "purchase").alias("closes"))
+    return recurrences.mark_spans(e, ["user_id"], ["t", "event_id"], "t", "opens", "closes", 3 * 86400.0).select("event_id", "inside")
+
+
+def w24_word_places(spark, sf_dir):
+    """The words of each turn, every third one left out, found again in its text."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    said = c.select("conv_id", "turn", "text", F.posexplode(F.split("text", r"\s+")).alias("i", "word")).filter("i % 3 <> 2")
+    out = recurrences.word_places(said.withColumn("t", F.col("i") / 2.0), ["conv_id", "turn"], ["i"], "text", "t", "word")
+    return out.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.max("place").alias("last"), F.sum("place").alias("places"))
+
+
+def r01_word_diff(spark, sf_dir):
+    """Each document against the one before: words kept, removed and added, and whether the parts give the
+    later text back."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pairs = d.join(d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before")), "doc_id")
+    held = pairs.select("doc_id", "text", F.explode(F.array(recurrences.word_diff(F.col("before"), F.col("text")))).alias("parts"))
+    joined = lambda ops: F.array_join(F.transform(F.filter("parts", lambda p: p["op"].isin(*ops)), lambda p: p["text"]), "")
+    count = lambda op: F.regexp_count(F.array_join(F.transform(F.filter("parts", lambda p: p["op"] == op), lambda p: p["text"]), " "), F.lit(r"\S+"))
+    return held.select("doc_id", count("=").alias("kept"), count("-").alias("removed"), count("+").alias("added"), (joined(["=", "+"]) == F.col("text")).alias("whole"))
+
+
 def w30_highlights(spark, sf_dir):
     """Words of a turn that light up while the next turn of its conversation is read."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
@@ -116,7 +150,7 @@ def f28_html_text(spark, sf_dir):
     return p.select("page_id", F.length("t").alias("n"), F.md5("t").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (st08_metering_window, st17_sessions, st01_expiring_counter, st01_expiring_batch, st02_amount_cap, st03_admission, st03_address_windows, st04_voice_pools, st06_alert_dedupe, w15_merge_cues, w26_monotone_path, w27_batches, w30_highlights, f28_html_text)}
+QUERIES = {f.__name__: f for f in (st08_metering_window, st17_sessions, st01_expiring_counter, st01_expiring_batch, st02_amount_cap, st03_admission, st03_address_windows, st04_voice_pools, st06_alert_dedupe, w15_merge_cues, w26_monotone_path, w27_batches, w08_duplicate_frames, w16_spans, w24_word_places, r01_word_diff, w30_highlights, f28_html_text)}
 
 def _expiring_sql(keys: str, cap: int, ttl: int) -> str:
     """Counters that begin again when they have lived ``ttl`` seconds."""
@@ -167,6 +201,16 @@ r AS (SELECT event_id, user_id, i, h, d, 1 AS in_h, 1 AS in_d, true AS allowed F
   UNION ALL SELECT event_id, user_id, i, h, d, nh + ok::INT, nd + ok::INT, ok FROM (SELECT *, nh < 1 AND nd < 3 AS ok FROM (
     SELECT s.*, CASE WHEN s.h = r.h THEN r.in_h ELSE 0 END AS nh, CASE WHEN s.d = r.d THEN r.in_d ELSE 0 END AS nd FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)))
 SELECT event_id, allowed FROM r""",
+    "w08_duplicate_frames": f"""WITH RECURSIVE {_E}, s AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN -1 ELSE trunc(value % 9)::INTEGER END AS page, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::INTEGER AS page, NULL::INTEGER AS resolved, -1 AS last FROM (SELECT DISTINCT user_id FROM s)
+  UNION ALL SELECT user_id, i, event_id, page, CASE WHEN page < 0 THEN page ELSE near END, CASE WHEN page < 0 THEN last ELSE near END FROM (
+    SELECT s.*, last, list_min(list_transform([0, 1, 2], lambda k: {{'d': abs(s.page // 3 * 3 + k - CASE WHEN last >= 0 THEN last ELSE s.page END - 0.5), 'p': s.page // 3 * 3 + k}})).p AS near FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1))
+SELECT event_id, page, resolved FROM r WHERE i > 0""",
+    "w16_spans": f"""WITH RECURSIVE {_E}, s AS (SELECT event_id, user_id, event_type, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM e),
+r AS (SELECT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::DOUBLE AS since, false AS inside FROM (SELECT DISTINCT user_id FROM s)
+  UNION ALL SELECT s.user_id, s.i, s.event_id, CASE WHEN since IS NULL THEN CASE WHEN event_type = 'signup' THEN t END WHEN t - since > 259200 OR event_type = 'purchase' THEN NULL ELSE since END,
+    CASE WHEN since IS NULL THEN event_type = 'signup' ELSE t - since <= 259200 END FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
+SELECT event_id, inside FROM r WHERE i > 0""",
     "w15_merge_cues": """WITH RECURSIVE s AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
 r AS (SELECT conv_id, i, turn AS a, turn AS b, n, 0 AS g FROM s WHERE i = 1
   UNION ALL SELECT conv_id, i, CASE WHEN ok THEN a ELSE turn END, turn, CASE WHEN ok THEN total ELSE n END, g + (NOT ok)::INT FROM (

@@ -119,23 +119,6 @@ def test_highlights_are_runs_of_equal_words():
             covered = i + k - 1
 
 
-def test_frames_of_equal_pages_take_the_page_before():
-    rng = np.random.default_rng(7)
-    for _ in range(50):
-        groups = rng.integers(0, 4, 8)
-        labels = rng.integers(-1, 8, 30)
-        got = recurrences.resolve_duplicates(labels, np.ones(30), groups)
-        before = None
-        for x, y in zip(labels.tolist(), got.tolist(), strict=True):
-            if x < 0:
-                assert y == x
-                continue
-            equal = [p for p in range(8) if groups[p] == groups[x]]
-            want = before if before in equal else equal[0] if len(equal) > 1 else x
-            assert y == want
-            before = y
-
-
 def test_smoothing_by_known_values(spark):
     cases = {
         "Damn it, HELL no, hello": ("Darn it, HECK no, hello", 2), "an idiot and a stupid trash can": ("a silly person and an odd trash can", 2), "A Stupid day": ("An Odd day", 1),

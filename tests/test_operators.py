@@ -236,8 +236,3 @@ def test_snapshots(spark):
     assert {r["k"]: r["change"] for r in snapshots.diff(old, new, "k", "h").collect()} == {1: "removed", 3: "changed", 4: "added"}
     assert one(snapshots.version_stamp(old, "k", "h")) == one(snapshots.version_stamp(old.orderBy(F.desc("k")), "k", "h"))
     assert one(snapshots.version_stamp(old, "k", "h")) != one(snapshots.version_stamp(new, "k", "h"))
-
-
-def test_words_and_diffs():
-    assert recurrences.word_timings("The cat sat", [(0.0, "the"), (0.5, "dog"), (1.0, "sat")]) == [(0.0, 0), (1.0, 8)]
-    assert recurrences.word_diff("a b c", "a x c") == [("same", "a"), ("gone", "b"), ("new", "x"), ("same", "c")]

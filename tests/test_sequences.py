@@ -95,3 +95,62 @@ def test_null_times_and_amounts(spark):
     assert allowed(recurrences.capped_counter(df, ["k"], ["i"], "a", 10.0)) == [True, True, False, True]
     assert allowed(recurrences.capped_counter(df, ["k"], ["t", "i"], "a", 10.0, "t", 100.0)) == [True, False, False, True]
     assert [r["repeat"] for r in recurrences.dedupe_alerts(df, ["k"], ["t", "i"], "t", 60.0).orderBy("i").collect()] == [False, False, True, True]
+
+
+def test_duplicate_frames(spark):
+    rng = random.Random(7)
+    groups = {p: [q for q in range(12) if q % 4 == p % 4] if p % 4 < 3 else [p] for p in range(12)}
+    rows = [(k, i, rng.choice([None, -1, *range(12)])) for k in range(5) for i in range(80)]
+    df = spark.createDataFrame([(k, i, p, groups.get(p)) for k, i, p in rows], "k long, i long, page int, alike array<int>")
+    got = {(r["k"], r["i"]): r["resolved"] for r in recurrences.resolve_duplicates(df, ["k"], ["i"], "page", "alike").collect()}
+    last = {}
+    for k, i, p in rows:
+        want = p
+        if p is not None and p >= 0:
+            ref = last.get(k, p)
+            want = min(groups[p], key=lambda g: (abs(g - ref - 0.5), g)) if len(groups[p]) > 1 else p
+            last[k] = want
+        assert got[k, i] == want
+
+
+def test_spans(spark):
+    rows = [(0.0, True, False), (5.0, False, False), (6.0, False, True), (7.0, False, False), (8.0, True, True), (9.0, False, False), (90.0, True, False), (91.0, False, False), (None, True, None)]
+    df = spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "k long, i long, t double, o boolean, c boolean")
+    got = [r["inside"] for r in recurrences.mark_spans(df, ["k"], ["i"], "t", "o", "c", 60.0).orderBy("i").collect()]
+    # The span from 8.0 on goes on after its own closing word; the row at 90.0 ends it and opens none.
+    assert got == [True, True, True, False, True, True, False, False, False]
+
+
+def test_word_places(spark):
+    text = "The k-means cat sat, then the cat ran. " + "x " * 60 + "far"
+    said = ["The", "k-means,", None, "dog", "cat", "cat", " ", "far", "ran"]
+    df = spark.createDataFrame([(1, i, text, float(10 - i) if i < 2 else float(i), w) for i, w in enumerate(said)], "k long, i long, text string, t double, w string")
+    got = [(r["seconds"], r["place"]) for r in recurrences.word_places(df, ["k"], ["i"], "text", "t", "w").orderBy("place").collect()]
+    assert got == [(10.0, 0), (10.0, 4), (10.0, 12), (10.0, 30), (10.0, 34)]
+
+
+def longest(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    return best[0][0]
+
+
+def test_word_diff(spark):
+    assert recurrences.diff_parts("a b c", "a x c") == [("=", "a "), ("-", "b"), ("+", "x"), ("=", " c")]
+    assert recurrences.diff_parts("", "") == [] and recurrences.diff_parts("", "a") == [("+", "a")]
+    assert recurrences.diff_parts("a\nb\nc\n", "a\nz\nc\n", most=9) == [("=", "a\n"), ("-", "b\n"), ("+", "z\n"), ("=", "c\n")]
+    assert recurrences.diff_parts("a\nb\nc", "d\ne\nf", most=1) == [("-", "a\nb\nc"), ("+", "d\ne\nf")]
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice(["a", "b", "c", "dd"]) + rng.choice([" ", "\n", "  "]) for _ in range(rng.randint(0, 25)))
+    pairs = [(text(), text()) for _ in range(60)] + [(None, "x"), ("same", "same")]
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", recurrences.word_diff(F.col("a"), F.col("b")).alias("p")).collect()
+    for r in rows:
+        a, b, parts = r["a"] or "", r["b"] or "", [(p["op"], p["text"]) for p in r["p"]]
+        joined = lambda ops: "".join(t for op, t in parts if op in ops)  # noqa: B023, E731
+        assert joined("=+") == b and joined("=-") == a
+        import re
+
+        kept = sum(len(re.findall(r"\s+|\S+", t)) for op, t in parts if op == "=")
+        assert kept == longest(*(re.findall(r"\s+|\S+", x) for x in (a, b)))

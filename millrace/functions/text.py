@@ -39,10 +39,18 @@ def scrub(text: Column, keep: tuple[str, ...] = ()) -> Column:
 
 
 def leak_reasons(text: Column) -> Column:
-    """Names of the detectors that find something, in order; "personal detail" where a mask would change it."""
-    found = F.array_compact(F.array(*(F.when(F.regexp_like(text, F.lit(p)), n) for n, p in DETECTORS)))
-    changed = (scrub(text) != text) & ~F.array_contains(found, "scrub token")
-    return F.when(changed, F.array_append(found, F.lit("personal detail"))).otherwise(found)
+    """Names of the detectors that find something, in order; "personal detail" where a mask would change it.
+
+    A mask changes a text exactly if its pattern is found, and one that follows others sees the text as it was
+    if none of those did; so patterns are searched for, until one is found, and nothing is replaced.
+    """
+    masks = [p for p, _ in PLAIN_MASKS] + [f"{lead}{NAME}" for lead in (SELF, TITLE, PEER)]
+    changed = ~F.regexp_like(text, F.lit(TOKEN))
+    found = F.regexp_like(text, F.lit(masks[0]))
+    for pattern in masks[1:]:
+        found |= F.regexp_like(text, F.lit(pattern))
+    named = [F.when(F.regexp_like(text, F.lit(p)), n) for n, p in DETECTORS]
+    return F.array_compact(F.array(*named, F.when(changed & found, F.lit("personal detail"))))
 
 
 def redact_keys(text: Column, mark: str = "[REDACTED_KEY]") -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.functions import table_functions
 from millrace.operators import series, usage
 from millrace.session import table
 
@@ -27,6 +28,20 @@ def w10_runs(spark, sf_dir):
     return runs.groupBy("user_id", "run", "event_type").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count("*").alias("n"))
 
 
+def x11_runs_in_sql(spark, sf_dir):
+    """The same runs by the table function, from SQL."""
+    table_functions.register(spark)
+    _events(spark, sf_dir).createOrReplaceTempView("millrace_events")
+    return spark.sql("SELECT key AS user_id, run, label AS event_type, first, last, n FROM label_runs(TABLE(SELECT user_id, t, event_type, event_id FROM millrace_events) PARTITION BY user_id ORDER BY (t, event_id))")
+
+
+def x11_chunks_in_sql(spark, sf_dir):
+    """Turns of a conversation in chunks of at most 800 characters."""
+    table_functions.register(spark)
+    table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "length(text) AS size").createOrReplaceTempView("millrace_turns")
+    return spark.sql("SELECT key AS conv_id, chunk, first, last, size FROM greedy_chunks(TABLE(SELECT conv_id, turn, CAST(size AS BIGINT) AS size FROM millrace_turns) PARTITION BY conv_id ORDER BY (turn), 800)")
+
+
 def w07_raw_labels(spark, sf_dir):
     label = F.when((F.col("value") >= 50) | ((F.col("value") >= 20) & (F.col("event_id") % 3 == 0)), (F.col("user_id") % 4).cast("int")).otherwise(-1)
     return _events(spark, sf_dir).groupBy(label.alias("label")).agg(F.count("*").alias("n"))
@@ -134,7 +149,7 @@ def a40_motion(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        w10_runs, w07_raw_labels, w09_smooth, w11_merge_windows, w12_complement, w14_chunks, w18_usable_spans, w19_longest, w23_prefix_timings, w28_reading_order, j09_point_in_window, j10_override_labels, j11_overlap, j15_asof_prev_next,
+        w10_runs, x11_runs_in_sql, x11_chunks_in_sql, w07_raw_labels, w09_smooth, w11_merge_windows, w12_complement, w14_chunks, w18_usable_spans, w19_longest, w23_prefix_timings, w28_reading_order, j09_point_in_window, j10_override_labels, j11_overlap, j15_asof_prev_next,
         j21_repeat_within, j24_locate, a38_minutes, a40_motion,
     )
 }
@@ -156,6 +171,11 @@ m1 AS (SELECT *, (sum(new) OVER ({order} ROWS UNBOUNDED PRECEDING))::BIGINT AS p
 
 _SPANS = f"{_E.replace('FROM events', 'FROM events')}, k AS (SELECT *, event_type <> 'error' AS ok FROM e), {_islands('ok', source='k')}, s AS (SELECT user_id, run, min(t) AS first, max(t) AS last FROM i WHERE ok GROUP BY ALL)"
 SQL = {
+    "x11_runs_in_sql": f"WITH {_E}, {_islands('event_type')} SELECT user_id, run, event_type, min(t) AS first, max(t) AS last, count(*)::INTEGER AS n FROM i GROUP BY ALL",
+    "x11_chunks_in_sql": """WITH RECURSIVE s AS (SELECT conv_id, turn, length(text) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+r AS (SELECT conv_id, turn, i, size, size AS total, 0 AS chunk FROM s WHERE i = 1
+  UNION ALL SELECT s.conv_id, s.turn, s.i, s.size, CASE WHEN r.total > 0 AND r.total + s.size > 800 THEN s.size ELSE r.total + s.size END, r.chunk + (r.total > 0 AND r.total + s.size > 800)::INTEGER FROM r JOIN s ON s.conv_id = r.conv_id AND s.i = r.i + 1)
+SELECT conv_id, chunk, min(turn) AS first, max(turn) AS last, sum(size)::BIGINT AS size FROM r GROUP BY conv_id, chunk""",
     "w10_runs": f"WITH {_E}, {_islands('event_type')} SELECT user_id, run, event_type, min(t) AS first, max(t) AS last, count(*) AS n FROM i GROUP BY ALL",
     "w07_raw_labels": f"WITH {_E} SELECT CASE WHEN value >= 50 OR (value >= 20 AND event_id % 3 = 0) THEN (user_id % 4)::INTEGER ELSE -1 END AS label, count(*) AS n FROM e GROUP BY 1",
     "w09_smooth": f"""WITH {_E}, l AS (SELECT *, CASE event_type WHEN 'error' THEN -1 WHEN 'view' THEN 1 ELSE 2 END AS label FROM e),

@@ -16,7 +16,7 @@ def f01_scrub(spark, sf_dir):
 
 
 def f01_scrub_names(spark, sf_dir):
-    out = table(spark, sf_dir, "documents").select("doc_id", text.scrub(F.col("text"), ("ben", "benjamin")).alias("t"))
+    out = table(spark, sf_dir, "documents").select("doc_id", text.scrub(F.col("text"), ("orin", "orinda")).alias("t"))
     return out.select("doc_id", F.regexp_count("t", F.lit(text.TOKEN)).alias("n"))
 
 
@@ -194,7 +194,7 @@ SELECT doc_id, chunk, sum({_WC.format("t")})::INTEGER AS words, md5(string_agg(t
 _G8, _G4 = _GRAMS.format(n=8, m=7), _GRAMS.format(n=4, m=3)
 SQL = {
     "f01_scrub": f"WITH m AS (SELECT doc_id, {_masked('text')} AS t FROM documents) SELECT doc_id, md5(t) AS masked, len(regexp_extract_all(t, '\\[(?:email|number|handle)\\]'))::INTEGER AS n FROM m",
-    "f01_scrub_names": f"WITH m AS (SELECT doc_id, {_masked('text')} AS t FROM documents), s AS (SELECT doc_id, {_named('t', 'ben|benjamin')} AS t FROM m) SELECT doc_id, len(regexp_extract_all(t, '{_TOKENS}'))::INTEGER AS n FROM s",
+    "f01_scrub_names": f"WITH m AS (SELECT doc_id, {_masked('text')} AS t FROM documents), s AS (SELECT doc_id, {_named('t', 'orin|orinda')} AS t FROM m) SELECT doc_id, len(regexp_extract_all(t, '{_TOKENS}'))::INTEGER AS n FROM s",
     "f02_leaks": f"""WITH m AS (SELECT text, {_masked('text')} AS t FROM documents), s AS (SELECT text, {_named('t')} AS t, regexp_matches(text, '{_TOKENS}') AS token FROM m)
 SELECT concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z][A-Za-z]+') THEN 'email' END, CASE WHEN regexp_matches(text, '(?i)https?://[^\\s]+') THEN 'url' END,
   CASE WHEN regexp_matches(text, '\\b[0-9]{{7}}[0-9]*\\b') THEN 'long number' END, CASE WHEN regexp_matches(text, '{_KEY}') THEN 'api key' END, CASE WHEN token THEN 'scrub token' END,

@@ -194,13 +194,13 @@ def test_monotone_path_is_the_best(n, m, seed):
 
 
 def test_scrub_is_idempotent_and_keeps_names(spark):
-    rows = [("Mail a.b@c.org or +1 412 555 1234, id 12345678, @handle",), ("my name is Ann Lee and Prof. Roe",), ("my name is Ben, Dr. Benjamin",), (None,), ("",)]
-    df = spark.createDataFrame(rows, "t string").select(text.scrub(F.col("t"), ("ben", "benjamin")).alias("s"))
+    rows = [("Mail a.b@c.org or +1 412 555 1234, id 12345678, @handle",), ("my name is Ann Lee and Prof. Roe",), ("my name is Orin, Dr. Orinda",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "t string").select(text.scrub(F.col("t"), ("orin", "orinda")).alias("s"))
     got = [r["s"] for r in df.collect()]
     assert got[0] == "Mail [email] or [number], id [number], [handle]"
     assert got[1] == "my name is [name] and Prof. [person]"
-    assert got[2] == "my name is Ben, Dr. Benjamin" and got[3] is None and got[4] == ""
-    assert [r["s"] for r in df.select(text.scrub(F.col("s"), ("ben", "benjamin")).alias("s")).collect()] == got
+    assert got[2] == "my name is Orin, Dr. Orinda" and got[3] is None and got[4] == ""
+    assert [r["s"] for r in df.select(text.scrub(F.col("s"), ("orin", "orinda")).alias("s")).collect()] == got
 
 
 def test_hmac(spark):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import stats
-from millrace.operators import evals
+from millrace.operators import evals, resumable
 from millrace.plans.common import JUDGEMENTS_SQL, judgements
+from millrace.operators.scratch import shared_folder
 from millrace.session import table
 
 
@@ -150,11 +151,40 @@ def r03_calibration(spark, sf_dir):
     return j.groupBy("judge").agg(F.count_if(met).alias("met"), F.count_if(~F.coalesce(met, F.lit(False))).alias("missed"), F.count("*").alias("done"))
 
 
+def st15_resumed_run(spark, sf_dir):
+    """Labelled documents are questions to three generators, toxic ones twice, and two judges look at the answers. In
+    the first session one provider refuses and one worker is stopped after a chunk; later sessions do what is left."""
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length(text).alias("size"), F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint").alias("sum"))
+    questions = table(spark, sf_dir, "labels").select("doc_id", "toxic").join(docs, "doc_id").withColumnRenamed("doc_id", "qid")
+    key = ["qid", "generator", "rep"]
+    answers = resumable.Run(spark, shared_folder(spark, "answers"), key)
+    verdicts = resumable.Run(spark, shared_folder(spark, "verdicts"), [*key, "judge"])
+    answers.extend(resumable.plan_tasks(questions, [("small", "north"), ("large", "north"), ("other", "south")], 2, "toxic = 1"), 2, first="rep")
+
+    def refused(refusing):
+        return F.col("provider") == refusing
+
+    def ask(refusing):
+        state = F.when(F.col("size") == 0, "error").when(F.col("sum") % 5 == 0, "not_covered").otherwise("ok")
+        answer = F.pmod(F.col("sum") + F.length("generator") * F.col("rep"), F.lit(7))
+        return lambda df: df.withColumns({"status": F.when(refused(refusing), resumable.REFUSED).otherwise(state), "cost": F.lit(0.0), "answer": answer})
+
+    def judge(refusing):
+        return lambda df: df.withColumns({"status": F.when(refused(refusing), resumable.REFUSED).otherwise("ok"), "cost": F.lit(0.0), "pass": F.col("answer") > F.when(F.col("judge") == "strict", 3).otherwise(1)})
+
+    judges = [("strict", "north"), ("mild", "west")]
+    answers.work(ask("south"), most=1)
+    resumable.evaluate(answers, verdicts, ask("south"), judge("west"), judges, 1)
+    resumable.evaluate(answers, verdicts, ask("none"), judge("none"), judges, 1)
+    return verdicts.results().select(*key, "judge", "answered", "answer", "pass")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         a08_model_scores, a10_judge_summary, a11_by_category, a12_judge_agreement, a13_brier, a14_answer_metrics, a16_without_same_family, a18_category_counts, a19_hardest_first, a20_agreement, a21_matrix_cube, a21_leniency, a23_composite,
-        a25_score_ci, a26_icc, a27_correlations, a28_kappa, a29_alpha, a30_pairwise, a32_retrieval_check, a48_self_grading, j07_retest, p10_ok_judgements, p12_usable, w32_plan_tasks, r03_calibration,
+        a25_score_ci, a26_icc, a27_correlations, a28_kappa, a29_alpha, a30_pairwise, a32_retrieval_check, a48_self_grading, j07_retest, p10_ok_judgements, p12_usable, w32_plan_tasks, r03_calibration, st15_resumed_run,
     )
 }
 
@@ -201,4 +231,8 @@ SELECT round(1 - (sum(coalesce(o, 0) * d) / any_value(n)) / (sum(nx * ny * d) /
     "p12_usable": f"{_J}, x AS (SELECT generator FROM j GROUP BY 1 HAVING {_RATE} < 0.62) SELECT generator, count(*) AS n FROM j WHERE generator NOT IN (FROM x) GROUP BY 1",
     "w32_plan_tasks": f"{_J} SELECT r AS rep, category, generator FROM (SELECT unnest([0, 1])::BIGINT AS r), (SELECT DISTINCT category FROM j), (SELECT DISTINCT generator FROM j) ORDER BY ALL",
     "r03_calibration": f"{_J} SELECT judge, count(*) FILTER (score BETWEEN 2 AND 5) AS met, count(*) FILTER (NOT coalesce(score BETWEEN 2 AND 5, false)) AS missed, count(*) AS done FROM j GROUP BY 1",
+    "st15_resumed_run": """WITH q AS (SELECT doc_id AS qid, toxic, length(coalesce(text, '')) AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 8))::BIGINT AS s FROM labels JOIN documents USING (doc_id)),
+t AS (SELECT q.*, generator, rep FROM q, (VALUES ('small'), ('large'), ('other')) AS g(generator), (VALUES (1), (2)) AS r(rep) WHERE rep = 1 OR toxic = 1)
+SELECT qid, generator, rep::INTEGER AS rep, judge, CASE WHEN s % 5 = 0 THEN 'not_covered' ELSE 'ok' END AS answered, (s + length(generator) * rep) % 7 AS answer, (s + length(generator) * rep) % 7 > bar AS pass
+FROM t, (VALUES ('strict', 3), ('mild', 1)) AS j(judge, bar) WHERE size > 0""",
 }

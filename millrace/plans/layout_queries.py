@@ -47,9 +47,8 @@ def s27_publishable_words(spark, sf_dir):
 def s27_recognised_order(spark, sf_dir):
     """Words as a recogniser gives them, lines from the bottom up and words from the right, put in reading order."""
     pages = layouts.split_pages(_files(spark, sf_dir), "xml")
-    last = F.array_max(F.transform("words", lambda w: w["line"]))
-    mixed = F.transform(F.reverse("words"), lambda w: w.withField("line", last - w["line"]))
-    return pages.select("doc_id", "page_no", *_told(layouts.reading_order(mixed)))
+    mixed = F.transform(F.reverse("words"), lambda w: w.withField("line", 1000 - w["line"]))
+    return pages.select("doc_id", "page_no", layouts.reading_order(mixed).alias("words")).select("doc_id", "page_no", *_told(F.col("words")))
 
 
 QUERIES = {f.__name__: f for f in (s27_page_words, s27_publishable_words, s27_recognised_order)}

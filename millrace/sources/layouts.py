@@ -7,6 +7,8 @@ order of lines and words is that of the file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ MAX_WORDS = 600
 WORD = "struct<word string, x0 double, y0 double, x1 double, y1 double, line int>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: named in an inner lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _number(value: Column) -> Column:
     return F.coalesce(value.try_cast("double"), F.lit(0.0))
 
@@ -63,8 +70,7 @@ def page_words(page: Column) -> Column:
 
         return F.when((width > 0) & (height > 0), F.flatten(F.transform(lines, words))).otherwise(none)
 
-    # The parsed page is an argument, so that it is parsed once and not for each word.
-    return F.coalesce(F.get(F.transform(F.array(F.from_xml(page, SCHEMA, {"mode": "PERMISSIVE"})), of_page), F.lit(0)), none)
+    return F.coalesce(_bound(F.from_xml(page, SCHEMA, {"mode": "PERMISSIVE"}), of_page), none)
 
 
 def split_pages(df: DataFrame, xml: str) -> DataFrame:
@@ -87,8 +93,12 @@ def _line_text(words: Column) -> Column:
 
 def by_line(words: Column) -> Column:
     """array of lines, each an array of its words, in the order in which the lines come first."""
-    numbers = F.array_distinct(F.transform(words, lambda w: w["line"]))
-    return F.transform(numbers, lambda n: F.filter(words, lambda w: w["line"] == n))
+
+    def lines(ws: Column) -> Column:
+        numbers = F.array_distinct(F.transform(ws, lambda w: w["line"]))
+        return F.transform(numbers, lambda n: F.filter(ws, lambda w: w["line"] == n))
+
+    return _bound(words, lines)
 
 
 def reading_order(words: Column) -> Column:
@@ -112,12 +122,11 @@ def publishable(words: Column, changed: Column | None = None, names: Column | No
 
     ``changed`` may hold an array of texts of lines that further filters would change; those go as well."""
 
-    def clean(ws: Column) -> Column:
-        line = _line_text(ws)
+    def clean(line: Column) -> Column:
         same = (texts.scrub(line) == line) & ~F.regexp_like(line, F.lit(SECRET))
         return same if changed is None else same & ~F.array_contains(F.coalesce(changed, F.array().cast("array<string>")), line)
 
-    kept = F.flatten(F.filter(by_line(words), clean))
+    kept = F.flatten(F.filter(by_line(words), lambda ws: _bound(_line_text(ws), clean)))
     if names is not None:
         listed = F.coalesce(names, F.array().cast("array<string>"))
         bare = lambda w: F.regexp_replace(w["word"], r"^[^\p{L}]+|[^\p{L}]+$", "")

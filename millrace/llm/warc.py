@@ -34,6 +34,8 @@ from millrace.llm.common import bound_batches, shared_dir
 MIN_REVISIT_BYTES = 100
 #: A file is closed once its compressed size reaches this.
 ROLL_BYTES = 64 << 20
+#: Payload bytes that one task writes, about: the sort is cut into more ranges where the session's number gives larger ones.
+RANGE_BYTES = 1 << 30
 #: Records carry a fixed date, so that equal input gives equal bytes.
 DATE = datetime(2024, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -141,8 +143,9 @@ def _writer(root: str, roll: int):
     return write
 
 
-def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Write ``pages`` below ``root`` and return the manifest, one row for each committed file."""
+def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Write ``pages`` below ``root`` and return the manifest, one row for each committed file. The number of ranges
+    follows from the bytes of all payloads, and is the session's number of shuffle partitions at least."""
     spark = pages.sparkSession
     bound_batches(spark)
     rows = pages.select(F.col(id_col).alias("p"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
@@ -153,7 +156,9 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     flags = ids.join(groups, "digest").distinct().select("p", F.lit(0).alias("kind"), F.lit("").alias("url"), F.lit("").alias("html"), "digest", F.col("refers").cast(kind))
     merged = rows.select("p", F.lit(1).alias("kind"), "url", "html", F.lit("").alias("digest"), F.lit(None).cast(kind).alias("refers")).unionByName(flags)
     # Ids travel as strings from here on: pandas would turn long ids beside nulls into floats.
-    sortable = merged.repartitionByRange("p").sortWithinPartitions("p", "kind", "url", "html").withColumns({"p": F.col("p").cast("string"), "refers": F.col("refers").cast("string")})
+    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // range_bytes))
+    sortable = merged.repartitionByRange(ranges, "p").sortWithinPartitions("p", "kind", "url", "html").withColumns({"p": F.col("p").cast("string"), "refers": F.col("refers").cast("string")})
     sortable.mapInPandas(_writer(root, roll_bytes), MANIFEST).write.json(f"{root}/manifest")
     fs, base = _open_fs(root)
     if fs.get_file_info(f"{base}/_temporary").type.name == "Directory":

@@ -268,3 +268,12 @@ def test_warc_round_trip(spark, tmp_path):
     cut.write_bytes(cut.read_bytes()[:-5])
     with pytest.raises(Exception, match="cut short"):
         warc.read_archives(spark, root, manifest).count()
+
+
+def test_warc_ranges_follow_from_bytes(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 40) for i in range(64)], "page_id long, url string, html string")
+    few = warc.write_archives(pages, f"file://{tmp_path}/few").count()
+    many = warc.write_archives(pages, f"file://{tmp_path}/many", range_bytes=1000)
+    assert few <= int(spark.conf.get("spark.sql.shuffle.partitions")) < many.count()
+    out = warc.read_archives(spark, f"file://{tmp_path}/many", many)
+    assert sorted(r["page_id"] for r in out.collect()) == list(range(64))

@@ -104,3 +104,50 @@ def response(kind: Column, covered: Column, segments: Column, text: Column, mess
     status = F.when(is_web | is_covered, "ok").otherwise("not_covered")
     source = F.when(is_web, "web").when(is_covered & ~shown, F.coalesce(F.nullif(kind, F.lit("")), F.lit("answer")))
     return F.struct(status.alias("status"), kind.alias("outcome"), source.alias("source"), F.when(status == "not_covered", told).alias("message"))
+
+
+#: The scale of scores, what a verdict may be, and how much of the words around it is kept.
+SCALE, VERDICTS, RATIONALE_MOST, ISSUE_MOST, ISSUES = (1, 5), ("pass", "fail"), 600, 200, 8
+_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
+def _short(value: Column, most: int) -> Column:
+    """One line of at most so many characters, an ellipsis as the last one where some were cut."""
+    line = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " "))
+    return F.when(F.length(line) <= most, line).otherwise(F.concat(F.substring(line, 1, most - 1), F.lit("…")))
+
+
+def judgement(reply: Column, dimensions: list[str]) -> Column:
+    """struct(problem, scores, verdict, rationale, issues) of a judge's reply, which may stand in fences or talk.
+
+    ``problem`` names the first thing wrong, and all else is null then: no JSON, no object of scores, a score that
+    is no number or outside the scale (by dimension, in their order), no verdict. Scores are rounded, halves
+    to even; one that is null or not there is null. Issues that are no list are one issue; null ones go.
+    """
+    fields = "scores map<string, string>, verdict string, rationale string, issues string"
+    read = lambda text: F.struct(F.try_parse_json(text).isNotNull().alias("valid"), F.from_json(text, fields).alias("j"))
+    # What was parsed is an argument, so that it is parsed once for all that is asked of it.
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return bound(read(hygiene.extract_json(reply)), lambda r: _judged(r["valid"], r["j"], dimensions))
+
+
+def _judged(valid: Column, j: Column, dimensions: list[str]) -> Column:
+    def score(dimension: str) -> Column:
+        raw = j["scores"][dimension]
+        number = F.when(F.regexp_like(raw, F.lit(_NUMBER)), F.trim(raw).try_cast("double")).when(raw == "true", 1.0).when(raw == "false", 0.0)
+        return F.bround(number, 0)
+
+    faults = []
+    for d in dimensions:
+        given = j["scores"][d].isNotNull()
+        faults += [(given & score(d).isNull(), f"score {d} is not a number"), (given & ~score(d).between(*SCALE), f"score {d} is outside {SCALE[0]} to {SCALE[1]}")]
+    verdict = F.lower(F.trim(F.coalesce(j["verdict"], F.lit(""))))
+    problem = speech.first_problem([(~valid, "reply is not JSON"), (j["scores"].isNull(), "reply has no scores object"), *faults, (~verdict.isin(*VERDICTS), "verdict must be pass or fail")])
+    listed = F.coalesce(F.from_json(j["issues"], "array<string>"), F.when(F.coalesce(j["issues"], F.lit("")) != "", F.array(j["issues"])), F.array().cast("array<string>"))
+    issues = F.slice(F.transform(F.filter(listed, lambda i: i.isNotNull()), lambda i: _short(i, ISSUE_MOST)), 1, ISSUES)
+    fine = problem.isNull()
+    scores = F.struct(*(score(d).cast("int").alias(d) for d in dimensions))
+    return F.struct(
+        problem.alias("problem"), F.when(fine, scores).alias("scores"), F.when(fine, verdict).alias("verdict"),
+        F.when(fine, _short(j["rationale"], RATIONALE_MOST)).alias("rationale"), F.when(fine, issues).alias("issues"),
+    )

@@ -200,11 +200,25 @@ def o07_sending_order(spark, sf_dir):
     return d.select("source", "doc_id", turn.alias("turn"), F.row_number().over(Window.partitionBy("source").orderBy(turn, path, "doc_id")).alias("place"))
 
 
+def f61_judgements(spark, sf_dir):
+    """Replies of a judge of every labelled document, made of its numbers and text: bare, fenced or cut short."""
+    d = table(spark, sf_dir, "labels").select("doc_id", "quality").join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"), "doc_id")
+    n = F.col("n_chars")
+    scores = F.struct((n % 7).alias("style"), F.when(n % 9 < 8, n % 9 / 2).alias("depth"))
+    verdict = F.when(F.col("quality") == 1, "Pass ").when(n % 13 == 0, F.col("lang")).otherwise("fail")
+    issues = F.when(n % 3 == 0, F.to_json(F.struct(F.col("text").alias("issues")))).otherwise(F.to_json(F.struct(F.split("text", "\n").alias("issues"))))
+    body = F.concat(F.regexp_replace(F.to_json(F.struct(scores.alias("scores"), verdict.alias("verdict"), F.col("text").alias("rationale"))), r"\}$", ""), F.lit(","), F.regexp_replace(issues, r"^\{", ""))
+    body = F.when(F.col("text").isNull(), F.to_json(F.struct(scores.alias("scores"), verdict.alias("verdict")))).otherwise(body)
+    reply = F.when(n % 10 == 3, F.regexp_replace(body, r"\}$", "")).when(n % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    r = d.select("doc_id", replies.judgement(reply, ["style", "depth"]).alias("r"))
+    return r.select("doc_id", "r.problem", F.col("r.scores.style").cast("double").alias("style"), F.col("r.scores.depth").cast("double").alias("depth"), "r.verdict", F.md5("r.rationale").alias("rationale"), F.coalesce(F.size("r.issues"), F.lit(-1)).alias("n_issues"), F.md5(F.array_join("r.issues", "|")).alias("issues"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         f04_clean_question, f31_lists_people, f36_paths, s21_sessions, f37_number_texts, f46_round_exact, f48_price_guard, f54_cue_times, f55_stamps, r05_effective, f23_speakable, f24_problems, p21_clean_cues, f62_classifier, f62_choice, f62_themes,
-        f64_spec_problems, f66_record_problems, f71_alignment_words, u08_unpriced, o04_by_cost, r02_responses, o07_sending_order,
+        f64_spec_problems, f66_record_problems, f71_alignment_words, u08_unpriced, o04_by_cost, r02_responses, o07_sending_order, f61_judgements,
     )
 }
 _FMT = "format('{{:.2f}}', {})::DOUBLE"
@@ -256,4 +270,11 @@ SELECT status, outcome, source, count(*) AS n, sum(CASE WHEN status = 'ok' THEN
     "o07_sending_order": """WITH p AS (SELECT source, doc_id, CASE WHEN doc_id % 50 = 0 THEN 3 WHEN doc_id % 10 = 0 THEN 2 WHEN doc_id % 10 = 1 THEN 1 ELSE 0 END AS turn FROM documents)
 SELECT source, doc_id, turn, row_number() OVER (PARTITION BY source ORDER BY turn, doc_id)::INTEGER AS place FROM p""",
     "o04_by_cost": "SELECT event_type, cost, row_number() OVER (ORDER BY cost DESC, event_type)::INTEGER AS place FROM (SELECT event_type, round(sum(value), 4) AS cost FROM events GROUP BY 1)",
+    "f61_judgements": r"""WITH b AS (SELECT doc_id, quality, text, lang, n_chars AS n, n_chars % 7 AS style, CASE WHEN n_chars % 9 < 8 THEN round_even((n_chars % 9) / 2.0::DOUBLE, 0)::INTEGER END AS depth FROM labels JOIN documents USING (doc_id)),
+p AS (SELECT *, CASE WHEN n % 10 = 3 THEN 'reply is not JSON' WHEN style NOT BETWEEN 1 AND 5 THEN 'score style is outside 1 to 5' WHEN depth NOT BETWEEN 1 AND 5 THEN 'score depth is outside 1 to 5'
+  WHEN quality <> 1 AND n % 13 = 0 THEN 'verdict must be pass or fail' END AS problem, CASE WHEN text IS NULL OR (n % 3 = 0 AND text = '') THEN []::VARCHAR[] WHEN n % 3 = 0 THEN [text] ELSE string_split(text, chr(10)) END AS raw FROM b),
+s AS (SELECT *, list_transform(raw[1:8], lambda i: trim(regexp_replace(i, '\s+', ' ', 'g'))) AS lines, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM p),
+c AS (SELECT *, list_transform(lines, lambda i: CASE WHEN length(i) <= 200 THEN i ELSE i[1:199] || '…' END) AS cut FROM s)
+SELECT doc_id, problem, CASE WHEN problem IS NULL THEN style::DOUBLE END AS style, CASE WHEN problem IS NULL THEN depth::DOUBLE END AS depth, CASE WHEN problem IS NULL THEN CASE WHEN quality = 1 THEN 'pass' ELSE 'fail' END END AS verdict,
+  CASE WHEN problem IS NULL THEN md5(CASE WHEN length(t) <= 600 THEN t ELSE t[1:599] || '…' END) END AS rationale, CASE WHEN problem IS NULL THEN len(cut) ELSE -1 END::INTEGER AS n_issues, CASE WHEN problem IS NULL THEN md5(array_to_string(cut, '|')) END AS issues FROM c""",
 }

@@ -203,6 +203,26 @@ def test_scrub_is_idempotent_and_keeps_names(spark):
     assert [r["s"] for r in df.select(text.scrub(F.col("s"), ("orin", "orinda")).alias("s")).collect()] == got
 
 
+def test_masks_and_detectors_equal_their_sql(spark, tmp_path):
+    """Letters of other scripts bound no words, a vertical tab is no blank, k and s have a third form."""
+    import duckdb
+
+    from millrace.plans import text_queries
+
+    odd = [
+        "Gaóta Renting", "é12345678 日1234567", "ésk-abcdefgh1", "my\x0bname is Ann", "Dr\x0bKim", "\u017ftudent Lee Roe", "call me Bo\u212a", "HTTP\u017f://a", "all right\u017f reserved", "élicense under", "friend Orin met Dr Orinda",
+        "Mr Dr Orin", "Dr \x01Kim", "111 222 3333 +1 555 123 4567", "555 123 4567 555 123 4567 555 123 4567", "(555)\x0b123 4567", "１２３４５６７ 7654321é", "5551234567\n", "x +1 412 555 1234\r\n", "@ab@cd é@ef", "a@b.co é", "TAS Kim, tas Kim, Students Ann", "", None,
+    ]
+    rows = [(i, t, "en", "a", len(t or "")) for i, t in enumerate(odd)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("f01_scrub", "f01_scrub_names", "f02_leaks", "f08_secrets", "p16_content_flags"):
+        got = text_queries.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({text_queries.SQL[name]})").fetchall()
+        assert sorted(map(repr, (tuple(r) for r in got.collect()))) == sorted(map(repr, want)), name
+
+
 def test_hmac(spark):
     import hashlib
     import hmac

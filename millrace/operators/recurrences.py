@@ -10,10 +10,12 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.segments import emitted, segmented
+from millrace.session import bound_batches
 
 
 def capped_counter(df: DataFrame, key: list[str], order: list[str], amount: str, cap: float, seconds: str | None = None, ttl: float | None = None) -> DataFrame:
@@ -159,7 +161,9 @@ JUMP_CHARS, EDGES, MAX_TABLE = 80, ".,;:!?\"'()[]", 1_500_000
 def word_places(df: DataFrame, key: list[str], order: list[str], text: str, seconds: str, word: str, jump: int = JUMP_CHARS) -> DataFrame:
     """(key, seconds, place): the places in a text where its spoken words stand, in order from a cursor on. A
     word that is not there, or further ahead than ``jump`` characters, is passed over, and times never go
-    back. Every row of a key bears its ``text``; each task reads it from the first of them only."""
+    back. The first row of a key bears its ``text``; others may be null there, so that a text need not travel with
+    each of its words."""
+    bound_batches(df.sparkSession)
 
     def step(state: dict, first: str | None, t: float | None, said: str | None) -> list[tuple]:
         if "text" not in state:
@@ -176,9 +180,7 @@ def word_places(df: DataFrame, key: list[str], order: list[str], text: str, seco
         state["at"], state["last"] = place + len(said), max(t, state["last"])
         return [(round(state["last"], 3), place)]
 
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) == 1
-    narrow = df.withColumn("__text", F.when(first, F.col(text))).select(*dict.fromkeys([*key, *order, "__text", seconds, word]))
-    return emitted(narrow, key, order, ["__text", seconds, word], dict, step, lambda _: [], "seconds double, place int")
+    return emitted(df, key, order, [text, seconds, word], dict, step, lambda _: [], "seconds double, place int")
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[str, str]]:
@@ -226,12 +228,25 @@ def diff_parts(before: str, after: str, most: int = MAX_TABLE) -> list[tuple[str
     return parts
 
 
+def parts_of(before: pa.Array, after: pa.Array) -> pa.Array:
+    """``diff_parts`` of each pair of texts. A pair's parts go into Arrow before the next pair is compared, so there
+    are never Python objects for the parts of a whole batch."""
+    fields = [pa.field("op", pa.string()), pa.field("text", pa.string())]
+    ends, parts = [0], [pa.StructArray.from_arrays([pa.array([], pa.string())] * 2, fields=fields)]
+    for x, y in zip(before, after, strict=True):
+        found = diff_parts(x.as_py() or "", y.as_py() or "")
+        parts.append(pa.StructArray.from_arrays([pa.array([p[i] for p in found], pa.string()) for i in (0, 1)], fields=fields))
+        ends.append(ends[-1] + len(found))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts))
+
+
 def word_diff(before: Column, after: Column) -> Column:
     """``diff_parts`` of two columns, as an array of (op, text); a null text is an empty one."""
+    bound_batches(SparkSession.active())
 
-    @F.pandas_udf("array<struct<op:string,text:string>>")
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"op": op, "text": t} for op, t in diff_parts(x or "", y or "")] for x, y in zip(a, b, strict=True)], dtype=object)
+    @F.arrow_udf("array<struct<op:string,text:string>>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return parts_of(a, b)
 
     return run(before, after)
 

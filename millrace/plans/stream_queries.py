@@ -118,6 +118,7 @@ def w24_word_places(spark, sf_dir):
     """The words of each turn, every third one left out, found again in its text."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     said = c.select("conv_id", "turn", "text", F.posexplode(F.split("text", r"\s+")).alias("i", "word")).filter("i % 3 <> 2")
+    said = said.withColumn("text", F.when(F.col("i") == 0, F.col("text")))
     out = recurrences.word_places(said.withColumn("t", F.col("i") / 2.0), ["conv_id", "turn"], ["i"], "text", "t", "word")
     return out.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.max("place").alias("last"), F.sum("place").alias("places"))
 

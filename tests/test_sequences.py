@@ -127,6 +127,9 @@ def test_word_places(spark):
     df = spark.createDataFrame([(1, i, text, float(10 - i) if i < 2 else float(i), w) for i, w in enumerate(said)], "k long, i long, text string, t double, w string")
     got = [(r["seconds"], r["place"]) for r in recurrences.word_places(df, ["k"], ["i"], "text", "t", "w").orderBy("place").collect()]
     assert got == [(10.0, 0), (10.0, 4), (10.0, 12), (10.0, 30), (10.0, 34)]
+    once = recurrences.word_places(df.withColumn("text", F.when(F.col("i") == 0, F.col("text"))), ["k"], ["i"], "text", "t", "w")
+    assert [(r["seconds"], r["place"]) for r in once.orderBy("place").collect()] == got
+    assert "Window" not in once._jdf.queryExecution().toString()  # no text is sorted beside each of its words
 
 
 def longest(a, b):
@@ -137,6 +140,24 @@ def longest(a, b):
     return best[0][0]
 
 
+def test_word_diff_bounds_what_a_worker_holds(spark):
+    """A batch of many parts makes no objects that outlive their text."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = lambda i: " ".join(f"{'abc'[(i + k) % 3]}{k}" for k in range(150))
+    recurrences.word_diff(F.lit("a"), F.lit("b"))
+    most = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert int(most.rstrip("b")) <= 8 << 20
+    a, b = (pa.array([text(i + s) for i in range(300)]) for s in (0, 1))
+    tracemalloc.start()
+    parts = recurrences.parts_of(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(parts) == 300 and len(parts.flatten()) > 40_000 and peak < 2 << 20
+
+
 def test_word_diff(spark):
     assert recurrences.diff_parts("a b c", "a x c") == [("=", "a "), ("-", "b"), ("+", "x"), ("=", " c")]
     assert recurrences.diff_parts("", "") == [] and recurrences.diff_parts("", "a") == [("+", "a")]

@@ -78,8 +78,12 @@ _RECORD = "question string, category string, month string, reference_answer stri
 
 
 def record_problem(line: Column, categories: list[str], types: list[str]) -> Column:
-    """The first thing wrong with a question record; the text itself is never named."""
-    j = F.from_json(line, _RECORD)
+    """The first thing wrong with a question record; the text itself is never named. A line is parsed once for
+    all that is asked of it."""
+    return F.get(F.transform(F.array(F.from_json(line, _RECORD)), lambda j: _record_problem(j, categories, types)), F.lit(0))
+
+
+def _record_problem(j: Column, categories: list[str], types: list[str]) -> Column:
     category = F.upper(F.trim(F.coalesce(j["category"], F.lit(""))))
     leaks = lambda t: F.size(F.coalesce(hygiene.leak_reasons(t), F.array().cast("array<string>"))) > 0
     listed = lambda a: F.coalesce(F.exists(a, lambda x: x.isNotNull() & leaks(x)), F.lit(False))

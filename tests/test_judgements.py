@@ -45,3 +45,15 @@ def test_bounds(spark):
     assert got["rationale"] == "x" * 599 + "…" and got["issues"] == ["y" * 199 + "…"] * 8
     assert _read(spark, json.dumps({"scores": {}, "verdict": "fail", "issues": "only one"}))["issues"] == ["only one"]
     assert _read(spark, json.dumps({"scores": {}, "verdict": "fail"}))["issues"] == []
+
+
+def test_records_are_parsed_once(spark):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import replies
+
+    line = '{"question": "What is it?", "category": "view", "month": "2026-01", "type": "concept", "expected_slides": ["70445-s06-001"], "must_not": [%s]}'
+    df = spark.createDataFrame([(line % '"no"',), (line % '"12345678"',), (line % "null",), ("[",), (None,)], "t string")
+    told = df.select(replies.record_problem(F.col("t"), ["VIEW"], ["concept"]).alias("p"))
+    assert [r["p"] for r in told.collect()] == [None, "must_not leaks", None, "question is empty", "not a JSON object"]
+    assert told._jdf.queryExecution().analyzed().toString().count("from_json") == 1

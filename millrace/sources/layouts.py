@@ -1,24 +1,32 @@
 """Words of laid-out pages with their boxes, from the XML that PDF extractors write for each file.
 
-A file has pages, flows, blocks, lines and words, the places of words as attributes. Spark's XML parser
-reads each page into nested arrays, and everything after that is functions of arrays: nothing is shuffled, and the
-order of lines and words is that of the file.
+A file has pages, flows, blocks, lines and words, the places of words as attributes. Each page is parsed in an
+Arrow batch into an array of words, and everything after that is functions of arrays: nothing is shuffled, and the
+order of lines and words is that of the file. (Spark's own XML parser makes an event reader for each page and is
+several times slower.)
 """
 
 from __future__ import annotations
 
+import decimal
+import re
 from collections.abc import Callable
+from functools import lru_cache
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as texts
-
-#: A page of one file as text, for each match of it.
-PAGE = r"(?s)(<page\b[^>]*/>|<page\b.*?</page\s*>)"
-_BOX = "_xMin: string, _yMin: string, _xMax: string, _yMax: string"
-_LINES = "array<struct<word: array<struct<_VALUE: string, " + _BOX + ">>>>"
-SCHEMA = f"_width string, _height string, flow array<struct<block: array<struct<line: {_LINES}>>>>"
+from millrace.session import bound_batches
+
+#: A page of one file as text, for each match of it; what lies between tags is passed over in one step.
+PAGE = r"(?s)(<page\b[^>]*/>|<page\b[^<]*+(?:<(?!/page\s*>)[^<]*+)*+</page\s*>)"
+_NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?(inf|infinity|nan)", re.I | re.A)
+#: White space and Unicode's separators at both ends.
+_BLANK = re.compile(r"^[ \t\n\x0b\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[ \t\n\x0b\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$")
+_TEN_THOUSANDTH = decimal.Decimal("0.0001")
 # The forms of keys and tokens that are never shown.
 SECRET = (
     r"(sk-[A-Za-z0-9_\-]{16,}|AKIA[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,}"
@@ -34,48 +42,87 @@ def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _number(value: Column) -> Column:
-    return F.coalesce(value.try_cast("double"), F.lit(0.0))
-
-
-def _share(value: Column, of: Column) -> Column:
-    """Part of the page's side, within it, to four digits."""
-    return F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), _number(value) / of)), 4)
-
-
-def _bare(value: Column) -> Column:
-    return F.regexp_replace(F.coalesce(value, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+@lru_cache(1 << 16)
+def _number(value: str | None) -> float:
+    return float(value) if value and _NUMBER.fullmatch(value := value.strip()) else 0.0
+
+
+@lru_cache(1 << 16)
+def _share(value: str | None, of: float) -> float:
+    """Part of the page's side, within it, to four digits; halves are rounded up, as Spark does."""
+    part = _number(value) / of
+    if not 0.0 < part < 1.0:
+        return 0.0 if part <= 0.0 else 1.0
+    return float(decimal.Decimal(repr(part)).quantize(_TEN_THOUSANDTH, decimal.ROUND_HALF_UP))
+
+
+def _words_of(xml: str | None) -> list[tuple]:
+    """The words of a page: of the path page, flow, block, line, word. Other elements and their text are passed over."""
+    path, words, parts = ("page", "flow", "block", "line", "word", None), [], []
+    depth, other, line, width, height = 0, 0, -1, 0.0, 0.0
+    given = None
+
+    def start(tag, attributes):
+        nonlocal depth, other, line, width, height, given
+        if other or tag != path[depth]:
+            other += 1
+            return
+        depth += 1
+        if depth == 5:
+            given = attributes
+        elif depth == 4:
+            line += 1
+        elif depth == 1:
+            width, height = _number(attributes.get("width")), _number(attributes.get("height"))
+
+    def end(tag):
+        nonlocal depth, other, given
+        if other:
+            other -= 1
+            return
+        depth -= 1
+        if depth == 4:
+            word = _BLANK.sub("", "".join(parts))
+            parts.clear()
+            if word and width > 0 and height > 0:
+                get = given.get
+                words.append((word, _share(get("xMin"), width), _share(get("yMin"), height), _share(get("xMax"), width), _share(get("yMax"), height), line))
+
+    def characters(text):
+        if depth == 5 and not other:
+            parts.append(text)
+
+    parser = expat.ParserCreate()
+    parser.buffer_text = True
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
+    try:
+        parser.Parse(xml or "", True)
+    except expat.ExpatError:
+        return []
+    return words
+
+
+def _read_pages(xml: pa.Array) -> pa.Array:
+    ends, words = [0], []
+    for x in xml:
+        words += _words_of(x.as_py())
+        ends.append(len(words))
+    kinds = [pa.string(), *[pa.float64()] * 4, pa.int32()]
+    held = [pa.array(c, k) for c, k in zip(zip(*words, strict=True) if words else [()] * 6, kinds, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(held, ["word", "x0", "y0", "x1", "y1", "line"]))
 
 
 def page_words(page: Column) -> Column:
     """array of (word, x0, y0, x1, y1, line) of a page's XML: places as shares of its sides from the top left,
     lines counted from 0, also those without words. Null, broken or sizeless pages have no words; nor has
     a word that is blank. Places that are no numbers are 0."""
-    none = F.array().cast(f"array<{WORD}>")
-
-    def of_page(p: Column) -> Column:
-        width, height = _number(p["_width"]), _number(p["_height"])
-        blocks = F.flatten(F.transform(F.coalesce(p["flow"], F.array()), lambda f: F.coalesce(f["block"], F.array())))
-        lines = F.flatten(F.transform(blocks, lambda b: F.coalesce(b["line"], F.array())))
-
-        def words(line: Column, i: Column) -> Column:
-            made = F.transform(
-                F.coalesce(line["word"], F.array()),
-                lambda w: F.struct(
-                    _bare(w["_VALUE"]).alias("word"), _share(w["_xMin"], width).alias("x0"), _share(w["_yMin"], height).alias("y0"),
-                    _share(w["_xMax"], width).alias("x1"), _share(w["_yMax"], height).alias("y1"), i.cast("int").alias("line"),
-                ),
-            )
-            return F.filter(made, lambda w: w["word"] != "")
-
-        return F.when((width > 0) & (height > 0), F.flatten(F.transform(lines, words))).otherwise(none)
-
-    return F.coalesce(_bound(F.from_xml(page, SCHEMA, {"mode": "PERMISSIVE"}), of_page), none)
+    return F.arrow_udf(_read_pages, f"array<{WORD}>")(page)
 
 
 def split_pages(df: DataFrame, xml: str) -> DataFrame:
     """A row for each page of each file, with ``page_no`` from 0 and ``words`` in place of the XML. Files without
     pages have no rows. A file's XML is one value; it is never parsed as a whole."""
+    bound_batches(df.sparkSession)
     rest = [F.col(f"`{c}`") for c in df.columns if c != xml]
     pages = df.select(*rest, F.posexplode(F.regexp_extract_all(F.col(xml), F.lit(PAGE), F.lit(1))).alias("page_no", "_page"))
     return pages.withColumn("words", page_words(F.col("_page"))).drop("_page")

@@ -12,6 +12,7 @@ The pass over a component holds its counters of windows that are still open, how
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,13 +34,13 @@ class Quota:
 
 
 def _counter(i: int, quota: Quota, seconds: str) -> Column:
-    """(key, quota, until) of the counter that a request takes from, null where the quota does not apply."""
+    """(key, quota) of the counter that a request takes from, null where the quota does not apply."""
     slot = F.floor(F.col(seconds) / quota.window)
     key = F.concat_ws("\x1f", F.lit(str(i)), *(F.col(c).cast("string") for c in quota.columns), slot.cast("string"))
     there = F.lit(True)
     for c in quota.columns:
         there &= F.col(c).isNotNull()
-    return F.when(there, F.struct(key.alias("key"), F.lit(i).alias("quota"), ((slot + 1) * quota.window).cast("double").alias("until")))
+    return F.when(there, F.struct(key.alias("key"), F.lit(i).alias("quota")))
 
 
 def admit(df: DataFrame, ident: str, order: list[str], seconds: str, quotas: list[Quota], amount: str | None = None, name: str = "allowed") -> DataFrame:
@@ -55,27 +56,35 @@ def admit(df: DataFrame, ident: str, order: list[str], seconds: str, quotas: lis
     asked = scratch.save(asked.select("__i", "__a", *(f"__o{i}" for i in range(len(order))), "__c.*"))
     caps = F.element_at(F.array(*(F.lit(float(q.cap)) for q in quotas)), F.col("quota") + 1)
     binding = scratch.save(asked.groupBy("key", "quota").agg(F.sum("__a").alias("all")).filter(F.col("all") > caps).select("key"))
-    held = asked.join(binding, "key").groupBy("__i").agg(F.first("__a").alias("__a"), *(F.first(f"__o{i}").alias(f"__o{i}") for i in range(len(order))), F.sort_array(F.collect_list(F.struct("key", caps.alias("cap"), "until"))).alias("__c"))
-    held = scratch.save(held.withColumn("__first", F.col("__c")[0]["key"]))
-    edges = held.filter(F.size("__c") > 1).select(F.col("__first").alias("u"), F.explode(F.slice(F.transform("__c", lambda c: c["key"]), 2, len(quotas))).alias("v"))
+    held = asked.join(binding, "key").groupBy("__i").agg(F.first("__a").alias("__a"), *(F.first(f"__o{i}").alias(f"__o{i}") for i in range(len(order))), F.sort_array(F.collect_list(F.struct("key", "quota"))).alias("__c"))
+    # Two flat arrays, since structs would become a Python object each in the pass.
+    held = scratch.save(held.withColumns({"__c": F.transform("__c", lambda c: c["key"]), "__q": F.transform("__c", lambda c: c["quota"])}).withColumn("__first", F.col("__c")[0]))
+    edges = held.filter(F.size("__c") > 1).select(F.col("__first").alias("u"), F.explode(F.slice("__c", 2, len(quotas))).alias("v"))
     groups = components(edges, scratch)
     held = held.join(groups, held["__first"] == groups["node"], "left").withColumn("__g", F.coalesce("component", "__first")).drop("node", "component", "__first")
 
+    most, windows = [float(q.cap) for q in quotas], [float(q.window) for q in quotas]
+
     def start() -> dict:
         return {"used": {}, "next": 0}
 
-    def step(state: dict, t: float, size: float, wanted: list[dict]) -> tuple:
+    def step(state: dict, t: float, size: float, keys: list[str], kinds: list[int]) -> tuple:
         used = state["used"]
         if len(used) > state["next"]:  # windows that time has passed
             for k in [k for k, (_, until) in used.items() if until <= t]:
                 del used[k]
             state["next"] = 2 * len(used) + 64
-        ok = all(used.get(c["key"], (0.0, 0))[0] + size <= c["cap"] for c in wanted)
-        if ok:
-            for c in wanted:
-                used[c["key"]] = (used.get(c["key"], (0.0, 0))[0] + size, c["until"])
-        return (ok,)
-
-    decided = segmented(held, ["__g"], [f"__o{i}" for i in range(len(order))], ["__o0", "__a", "__c"], start, step, "__ok boolean").select(F.col("__i").alias("__id"), "__ok")
+        taken = []
+        for k, i in zip(keys, kinds, strict=True):
+            now = used.get(k)
+            total = size if now is None else now[0] + size
+            if not total <= most[i]:
+                return (False,)
+            taken.append((k, (total, (math.floor(float(t) / windows[i]) + 1) * windows[i] if now is None else now[1])))
+        used.update(taken)
+        return (True,)
+
+    order_kept = [f"__o{i}" for i in range(len(order))]
+    decided = segmented(held.select("__i", "__g", *order_kept, "__a", "__c", "__q"), ["__g"], order_kept, ["__o0", "__a", "__c", "__q"], start, step, "__ok boolean").select(F.col("__i").alias("__id"), "__ok")
     out = df.join(decided, df[ident] == decided["__id"], "left")
     return out.select(*(df[c] for c in df.columns if c != name), F.when(sound, F.coalesce("__ok", F.lit(True))).otherwise(False).alias(name))

@@ -175,3 +175,16 @@ def test_word_diff(spark):
 
         kept = sum(len(re.findall(r"\s+|\S+", t)) for op, t in parts if op == "=")
         assert kept == longest(*(re.findall(r"\s+|\S+", x) for x in (a, b)))
+
+
+def test_admission_passes_flat_counters(spark, monkeypatch):
+    from millrace.operators import admission
+
+    seen, segmented = [], admission.segmented
+    monkeypatch.setattr(admission, "segmented", lambda df, *rest: seen.append(dict(df.dtypes)) or segmented(df, *rest))
+    rows = [(1, 0.0, "a", "x"), (2, 9.5, "a", None), (3, 9.9, "b", "x"), (4, 10.0, "a", "x"), (5, 10.0, "c", "x"), (6, None, "a", "x")]
+    asked = spark.createDataFrame(rows, "i long, t double, who string, place string")
+    quotas = [admission.Quota(("who",), 10.0, 1), admission.Quota(("place",), 20.0, 2)]
+    got = admission.admit(asked, "i", ["t", "i"], "t", quotas)
+    assert {r["i"]: r["allowed"] for r in got.collect()} == {1: True, 2: False, 3: True, 4: False, 5: False, 6: False}
+    assert not any("struct" in kind for kind in seen[0].values())

@@ -32,6 +32,8 @@ BANDS, ROWS = 18, 4
 LEAST = 1
 #: Characters whose shingles are hashed at one time in a worker.
 BLOCK_CHARS = 100_000
+#: Lines whose signatures a worker holds at one time.
+BLOCK_LINES = 8192
 #: Characters of texts whose lines a worker holds at one time.
 CHUNK_CHARS = 6_000_000
 #: Up to so many removed lines their places are broadcast to the texts; more are joined by shuffle.
@@ -39,15 +41,20 @@ BROADCAST_LINES = 1_000_000
 _BLANKS = " \t\r\x0b\f"
 
 
-def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of the lines, and each one's line."""
+def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash at each character of the lines, of the shingle that begins there; which of them lie inside
+    one line; and the lines' lengths, as padded."""
     k = SHINGLE_CHARS
     padded = [x if len(x) >= k else x.ljust(k, "\0") for x in lines]
-    total = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(x) for x in padded])
+    joined = "".join(padded)
+    codes = np.frombuffer(joined.encode("ascii"), np.uint8) if joined.isascii() else np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32)
+    total = codes.astype(np.uint64)
+    lengths = np.fromiter(map(len, padded), np.int64, len(padded))
     factor, span = 0x9E3779B97F4A7C15, 1
     while span < k:  # doubling: a hash of 2 n characters from two of n
-        total = total[:-span] * np.uint64(factor) + total[span:]
+        ahead = total[span:]
+        total = total[:-span] * np.uint64(factor)
+        total += ahead
         factor, span = factor * factor % 2**64, 2 * span
     total ^= total >> np.uint64(32)
     total *= np.uint64(0xD6E8FEB86659FD93)
@@ -56,17 +63,24 @@ def _shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(lengths)[:-1]
     for back in range(1, k):
         inside[ends - back] = False
-    owner = np.repeat(np.arange(len(lines), dtype=np.int32), lengths)[: len(total)]
-    return total[inside], owner[inside]
+    return total, inside, lengths
 
 
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     """The sorted distinct hashes of each line's shingles."""
     out = []
     for a, b in _blocks(lines):
-        hashes, owner = _shingle_hashes(lines[a:b])
-        ends = np.searchsorted(owner, np.arange(b - a + 1))
-        out += [np.unique(hashes[i:j]) for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        hashes, inside, lengths = _shingle_hashes(lines[a:b])
+        hashes = hashes[inside]
+        ends = np.cumsum(lengths - (SHINGLE_CHARS - 1)).tolist()
+        for i, j in zip([0, *ends[:-1]], ends, strict=True):
+            hashes[i:j].sort()
+        fresh = np.ones(len(hashes), bool)
+        fresh[1:] = hashes[1:] != hashes[:-1]
+        fresh[ends[:-1]] = True
+        upto = np.cumsum(fresh)[np.array(ends) - 1].tolist()
+        hashes = hashes[fresh]
+        out += [hashes[i:j] for i, j in zip([0, *upto[:-1]], upto, strict=True)]
     return out
 
 
@@ -75,10 +89,15 @@ def _decode(payloads: list[bytes]) -> list[np.ndarray]:
 
 
 def line_bands(lines: list[str]) -> np.ndarray:
+    """The bucket keys of each line, a row of them for each."""
     bins = BANDS * ROWS
-    hashes, owner = _shingle_hashes(lines)
     sig = np.full(len(lines) * bins, EMPTY, np.uint64)
-    np.minimum.at(sig, owner.astype(np.int64) * bins + bins_of(hashes, bins), hashes)
+    for a, b in _blocks(lines):
+        hashes, inside, lengths = _shingle_hashes(lines[a:b])
+        hashes[~inside] = EMPTY  # no minimum
+        place = np.repeat(np.arange(a * bins, b * bins, bins), lengths)[: len(hashes)]
+        place += bins_of(hashes, bins)
+        np.minimum.at(sig, place, hashes)
     return band_keys(densify(sig.reshape(len(lines), bins)), BANDS)
 
 
@@ -132,7 +151,7 @@ def _buckets(batches):
         _, fresh = np.unique(h1, return_index=True)
         fresh.sort()
         chosen = [lines[i] for i in fresh.tolist()]
-        keys = [line_bands(chosen[a:b]) for a, b in _blocks(chosen)]
+        keys = [line_bands(chosen[a : a + BLOCK_LINES]) for a in range(0, len(chosen), BLOCK_LINES)]
         packed = local_stars(np.concatenate(keys), h1[fresh].view(np.int64)) if keys else []
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.int32()), pa.array([b for _, b in packed], pa.binary())], ["part", "blob"])
 

@@ -21,6 +21,7 @@ same two components, and where such a pair fails on full sets, all is compared a
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,6 +36,8 @@ EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Id sets up to this many rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_IDS = 500_000
 _PICKS = 4096
+#: Picks that are looked up at one time.
+_HELD_PICKS = 1 << 20
 #: Members of a block in the comparison across components.
 BLOCK = 1024
 
@@ -43,20 +46,27 @@ def bins_of(hashes: np.ndarray, bins: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
 
 
+@lru_cache
+def _picks(bins: int) -> np.ndarray:
+    """For each bin its sequence of random picks."""
+    return np.ascontiguousarray(np.random.Generator(np.random.PCG64(bins)).integers(0, bins, (_PICKS, bins)).T)
+
+
 def densify(sig: np.ndarray) -> np.ndarray:
     """Fill each empty bin from the first filled one in that bin's own sequence of picks."""
-    rows, bins = sig.shape
-    picks = np.random.Generator(np.random.PCG64(bins)).integers(0, bins, (_PICKS, bins))
+    bins, picks = sig.shape[1], _picks(sig.shape[1])
     filled = sig != EMPTY
     out = sig.copy()
     r, b = np.nonzero(~filled & filled.any(axis=1)[:, None])
-    for t in range(_PICKS):
-        if not len(r):
-            break
-        donor = picks[t][b]
-        ok = filled[r, donor]
-        out[r[ok], b[ok]] = sig[r[ok], donor[ok]]
-        r, b = r[~ok], b[~ok]
+    at = 0
+    while len(r) and at < _PICKS:  # as many picks at a time as were seen before
+        span = max(1, min(at, _PICKS - at, _HELD_PICKS // len(r)))
+        donor = picks[b, at : at + span]
+        ok = filled.ravel()[donor + (r * bins)[:, None]]
+        first = ok.argmax(axis=1)
+        hit = ok[np.arange(len(r)), first]
+        out[r[hit], b[hit]] = sig[r[hit], donor[hit, first[hit]]]
+        r, b, at = r[~hit], b[~hit], at + span
     for i, j in zip(r.tolist(), b.tolist(), strict=True):
         out[i, j] = sig[i, filled[i].argmax()]
     return out
@@ -191,7 +201,8 @@ def _bottom(decode, bottom: int, bands: int):
             low, sizes, keys, large = [], [], np.zeros((len(pdf), bands), np.int64), []
             for s in decode(pdf["s"].tolist()):
                 sizes.append(len(s))
-                low.append(np.unique((s[:bottom] >> np.uint64(32)).astype(np.uint32)).tobytes())
+                upper = (s[:bottom] >> np.uint64(32)).astype(np.uint32)  # sorted, as the hashes are
+                low.append(upper[np.concatenate(([True], upper[1:] != upper[:-1]))[: len(upper)]].tobytes())
             for i, (held, more) in enumerate(zip(pdf["keys"], pdf["larges"], strict=True)):
                 keys[i, np.asarray(held) & ((1 << BAND_BITS) - 1)] = held
                 large.append(sum(1 << (int(k) & ((1 << BAND_BITS) - 1)) for k in more))
@@ -222,6 +233,34 @@ def likeness(x: np.ndarray, y: np.ndarray, whole: bool, percent: int) -> int:
     return int(share >= p - spread) + int(share >= p + spread)
 
 
+#: Bits of a set's map.
+MAP_BITS = 8192
+
+
+def set_maps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A row of bits for each set, one set for each remainder of its hashes; the sets' sizes; and how many
+    hashes of each share a bit with another one."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    bits = np.zeros((len(sets), MAP_BITS), bool)
+    bits[np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets) % np.uint32(MAP_BITS)] = True
+    maps = np.packbits(bits, axis=1).view(np.uint64)
+    return maps, sizes, sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+
+
+def may_be_like(i: np.ndarray, j: np.ndarray, maps: np.ndarray, sizes: np.ndarray, shared: np.ndarray, whole: np.ndarray, percent: int) -> np.ndarray:
+    """False for pairs to which ``likeness`` gives 0 by the bits alone: two sets have no more hashes in
+    common than bits, and those of either set that share a bit."""
+    common = np.empty(len(i), np.int64)
+    for at in range(0, len(i), 1024):
+        x, y = i[at : at + 1024], j[at : at + 1024]
+        common[at : at + 1024] = np.bitwise_count(maps[x] & maps[y]).sum(axis=1, dtype=np.int64)
+    common += np.minimum(shared[i], shared[j])
+    p, least = percent / 100, np.minimum(sizes[i], sizes[j])
+    np.minimum(common, least, out=common)
+    estimate = common / np.maximum(least, 1) >= p - 4.5 * np.sqrt(p * (1 - p) / np.maximum(least, 1))
+    return np.where(whole[i] & whole[j], common + 2 >= p * (sizes[i] + sizes[j] - common), estimate)
+
+
 def _across(percent: int, least: int, bottom: int, spare: bool):
     """Links (u, v, sure), as far as the smallest hashes tell, between different components within one
     group.
@@ -239,7 +278,7 @@ def _across(percent: int, least: int, bottom: int, spare: bool):
             return
         bands = np.frombuffer(b"".join(t["bands"][lo:hi]), np.int64).reshape(m, -1)
         large = (t["large"][lo:hi].view(np.uint64)[:, None] >> np.arange(bands.shape[1], dtype=np.uint64)) & np.uint64(1) == 1
-        top: dict[int, int] = {}
+        maps, small, top = None, n <= bottom, {}
 
         def find(v):
             while v in top:
@@ -260,11 +299,16 @@ def _across(percent: int, least: int, bottom: int, spare: bool):
             equal = (bands[i] == bands[j]) & (bands[i] != 0)
             first = (equal & large[i]).argmax(axis=1)
             keep = (equal.sum(axis=1) >= least) & (bands[i, first] == key)
-            for x, y in zip(i[keep].tolist(), j[keep].tolist(), strict=True):
+            i, j = i[keep], j[keep]
+            if len(i):
+                maps = maps or set_maps(low)
+                keep = may_be_like(i, j, *maps, small, percent)
+                i, j = i[keep], j[keep]
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
                 a, b = find(c[x]), find(c[y])
                 if a == b:
                     continue  # a link between these two components is here already
-                like = likeness(low[x], low[y], n[x] <= bottom and n[y] <= bottom, percent)
+                like = likeness(low[x], low[y], small[x] and small[y], percent)
                 if like:
                     yield min(ids[x], ids[y]), max(ids[x], ids[y]), like == 2
                 if spare and like == 2:

@@ -6,6 +6,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,50 @@ def test_densified_signatures_estimate_similarity():
     assert (linking.densify(np.full((1, 8), linking.EMPTY)) == linking.EMPTY).all()
 
 
+def test_empty_bins_take_the_first_filled_pick():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 2**63, (40, 72), np.uint64)
+    sig[rng.random(sig.shape) < rng.random((40, 1))] = linking.EMPTY
+    sig[0], sig[1, 1:] = linking.EMPTY, linking.EMPTY
+    picks = np.random.Generator(np.random.PCG64(72)).integers(0, 72, (4096, 72))
+    want = sig.copy()
+    for i, b in zip(*np.nonzero(sig == linking.EMPTY), strict=True):
+        filled = sig[i, picks[:, b]] != linking.EMPTY
+        if filled.any():
+            want[i, b] = sig[i, picks[filled.argmax(), b]]
+    assert (linking.densify(sig) == want).all()
+
+
+def test_unlike_members_of_a_block_are_told_apart_by_their_bits(monkeypatch):
+    """A bucket of 60 sets, 50 of them unlike all others and 10 alike: only the alike ones, and few besides,
+    are compared hash by hash, and no pair that ``likeness`` would take is lost."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 2**32, n, np.uint32)) for n in rng.integers(200, 240, 50)]
+    base = np.unique(rng.integers(0, 2**32, 400, np.uint32))
+    sets += [np.unique(np.concatenate((base[:360], rng.choice(base, 20), rng.integers(0, 2**32, 8, np.uint32)))) for _ in range(10)]
+    i, j = np.triu_indices(60, 1)
+    for percent, whole in ((80, True), (80, False), (30, True), (30, False)):
+        marks = np.full(60, whole)
+        kept = linking.may_be_like(i, j, *linking.set_maps(sets), marks, percent)
+        like = np.array([linking.likeness(sets[a], sets[b], whole, percent) > 0 for a, b in zip(i, j, strict=True)])
+        assert not (like & ~kept).any() and kept.sum() <= like.sum() + 20
+    calls, plain = [], linking.likeness
+    monkeypatch.setattr(linking, "likeness", lambda *a: calls.append(1) or plain(*a))
+    bands = np.zeros((60, 18), np.int64)
+    bands[:, 0] = 64
+    rows = {"id": range(60), "key": [64] * 60, "a": [0] * 60, "b": [0] * 60, "block": [0] * 60, "c": range(60), "n": [len(s) for s in sets]}
+    rows |= {"low": [s.tobytes() for s in sets], "bands": [r.tobytes() for r in bands], "large": [1] * 60}
+    out = list(linking._across(80, 1, 1024, False)(iter([pa.RecordBatch.from_pydict({k: list(v) for k, v in rows.items()})])))
+    assert sum(b.num_rows for b in out) == 45 and len(calls) < 70
+
+
+def test_line_sets_are_those_of_their_texts():
+    lines = ["short", "", "12345678", "aaaaaaaaaaaaaaaa", "a line of some length", "ünïcödé line \u2028 of words", "x" * 250_000]
+    for line, held in zip(lines, line_dedup.shingle_sets(lines), strict=True):
+        assert len(held) == len(line_set(line)) and (np.diff(held.astype(object)) > 0).all()
+    assert (line_dedup.shingle_sets(["ü" + lines[4], lines[4]])[1] == line_dedup.shingle_sets([lines[4]])[0]).all()
+
+
 def test_small_blocks_give_the_same_groups(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(near_copies(8))]
     df = spark.createDataFrame(rows, "doc_id long, text string")

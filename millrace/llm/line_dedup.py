@@ -192,8 +192,13 @@ def _doc(id_col: str) -> Column:
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, rk, no) of every line that goes; ``doc`` is the id and ``rk`` ``row_key(id_col, text_col)``,
-    which tells rows of one id apart.
+    """(doc, rk, no) of every line that goes, as in ``changed_texts``."""
+    return changed_texts(docs, id_col, text_col).select("doc", "rk", F.explode("nos").alias("no"))
+
+
+def changed_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, rk, nos) of every text that loses lines, ``nos`` being their numbers; ``doc`` is the id and
+    ``rk`` ``row_key(id_col, text_col)``, which tells rows of one id apart.
 
     A line is known by a 64-bit hash, told apart by a second one: different lines that share the
     first are left alone.
@@ -223,11 +228,11 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     labels = link(packed, fetch, BANDS, PERCENT, space, _decode, LEAST)
     groups = distinct.join(labels.withColumnRenamed("node", "id"), "id", "left").filter("n > 1 OR component IS NOT NULL")
-    groups = groups.withColumn("component", F.coalesce("component", "id"))
+    groups = space.save(groups.withColumn("component", F.coalesce("component", "id")), "groups")
     keeper = groups.groupBy("component").agg(F.min(F.struct("doc", "rk", "no")).alias("keep"))
     marked = groups.join(keeper, "component").select(F.col("id").alias("h1"), "keep")
     gone = places.drop("h2").join(space.save(marked, "marked"), "h1").filter("doc <> keep.doc OR rk <> keep.rk OR no <> keep.no")
-    return space.save(gone.select("doc", "rk", "no").distinct(), "gone")
+    return space.save(gone.groupBy("doc", "rk").agg(F.collect_set("no").alias("nos")), "gone")  # of one text each
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False, drop_emptied: bool = False) -> DataFrame:
@@ -236,10 +241,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``counts`` adds __n_lines and __n_removed. ``drop_emptied`` drops documents that had lines and
     have none left.
     """
-    gone = duplicate_lines(docs, id_col, text_col)
+    gone = changed_texts(docs, id_col, text_col)
     doc, key, out, new = unused(docs, "__doc", "__rk", "__gone", "__new")
-    by_row = gone.groupBy(F.col("doc").alias(doc), F.col("rk").alias(key)).agg(F.collect_set("no").alias(out))  # of one text each
-    by_row = F.broadcast(by_row) if gone.count() <= BROADCAST_LINES else by_row
+    by_row = gone.toDF(doc, key, out)
+    by_row = F.broadcast(by_row) if (gone.agg(F.sum(F.size("nos"))).first()[0] or 0) <= BROADCAST_LINES else by_row
     held = docs.withColumns({doc: _doc(id_col), key: row_key(id_col, text_col)}).join(by_row, [doc, key], "left")
     # One Python column, computed once: as an expression it would be copied into all that reads it.
     held = held.withColumn(new, _rebuild(F.col(text_col), F.col(out), counts))

@@ -383,16 +383,25 @@ def link(
         often = members.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("id")
         held = members.join(often, "id")
         members = space.save(held.join(held.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "key").select("key", "id"), "often")
-    sets = space.save(fetch(members.select("id").distinct()), "sets", sweep=True)
+    # Most buckets have two members, and alike ones share many of them: these travel as pairs with their number.
+    sized = space.save(members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi")), "sized")
+    shared = [F.count("*").alias("n"), *([F.collect_list("key").alias("keys")] if least > 1 else [])]
+    couples = space.save(sized.filter("size = 2").groupBy("lo", "hi").agg(*shared), "couples")
+    large = space.save(members.join(sized.filter("size > 2").select("key", "size"), "key"), "large")
     # The centre of a bucket is the member whose buckets hold the most rows: what copies stem from
     # shares more bands with them than they do with each other.
-    sized = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
-    weight = sized.groupBy("id").agg(F.sum("size").alias("weight"))
-    weighed = space.save(sized.join(weight, "id"), "weighed", sweep=True)
+    held = large.select("id", F.col("size").alias("w")).unionAll(couples.select(F.explode(F.array("lo", "hi")).alias("id"), (2 * F.col("n")).alias("w")))
+    weight = space.save(held.groupBy("id").agg(F.sum("w").alias("weight")), "weight")
+    sets = space.save(fetch(weight.select("id")), "sets", sweep=True)
+    weighed = large.join(weight, "id")
     centres = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"))).alias("top"))
-    offered = weighed.join(centres, "key").select("id", F.struct(F.col("top.weight").alias("w"), F.col("top.minus").alias("minus")).alias("top")).filter("id <> -top.minus")
+    offered = large.join(centres, "key").select("id", F.struct(F.col("top.weight").alias("w"), F.col("top.minus").alias("minus")).alias("top"), F.lit(1).cast("long").alias("n")).filter("id <> -top.minus")
+    ends = couples.join(weight.toDF("lo", "wlo"), "lo").join(weight.toDF("hi", "whi"), "hi")
+    low_first = F.col("wlo") >= F.col("whi")
+    lesser, greater = F.when(low_first, F.col("hi")).otherwise(F.col("lo")), F.when(low_first, F.col("lo")).otherwise(F.col("hi"))
+    offered = offered.unionAll(ends.select(lesser.alias("id"), F.struct(F.greatest("wlo", "whi").alias("w"), (-greater).alias("minus")).alias("top"), "n"))
     if least > 1:
-        offered = offered.groupBy("id", "top").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        offered = offered.groupBy("id", "top").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     # Each member meets the weightiest centre of its buckets: no more edges than members.
     star = offered.groupBy("id").agg(F.max("top").alias("top")).select("id", (-F.col("top.minus")).alias("centre"))
     star = star.select(F.col("id").alias("u"), F.col("centre").alias("v"), F.lit(False).alias("sure"))
@@ -403,16 +412,20 @@ def link(
     # themselves, larger ones are compared in blocks of bounded size.
     above = links.select(F.col("u").alias("v"), F.col("v").alias("top"))
     under = links.join(above, "v", "left").select(F.col("u").alias("id"), F.coalesce("top", "v").alias("c"))
-    labelled = weighed.select("key", "id").join(under, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-    counted = labelled.groupBy("key", "c").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    whole = counted.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("big"), F.count("*").alias("parts"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    under = space.save(under, "under")
+    labelled = large.select("key", "id").join(under, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+    counted = labelled.groupBy("key", "c").agg(F.count("*").alias("n"))
+    whole = counted.groupBy("key").agg(F.sum("n").alias("size"), F.max(F.struct("n", "c")).alias("big"), F.count("*").alias("parts"))
     mixed = space.save(labelled.join(whole.filter("parts > 1").drop("parts"), "key"), "mixed", sweep=True)
-    twos = mixed.filter("size = 2 AND id = lo").groupBy("lo", "hi").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    twos = twos.select(F.col("lo").alias("u"), F.col("hi").alias("v"), F.lit(False).alias("sure"))
+    apart = couples.join(under.toDF("lo", "clo"), "lo", "left").join(under.toDF("hi", "chi"), "hi", "left").filter("coalesce(clo, lo) <> coalesce(chi, hi)")
+    twos = apart.filter(F.col("n") >= least).select(F.col("lo").alias("u"), F.col("hi").alias("v"), F.lit(False).alias("sure"))
     # A bucket that two ids of different components share is mixed, so that these are all that count.
-    marks = mixed.groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("size") > 2, F.col("key"))).alias("larges"))
+    buckets = mixed.select("id", "key", F.lit(True).alias("large"))
+    if least > 1:
+        buckets = buckets.unionAll(apart.select(F.explode(F.array("lo", "hi")).alias("id"), "keys").select("id", F.explode("keys"), F.lit(False)))
+    marks = buckets.groupBy("id").agg(F.collect_list("key").alias("keys"), F.collect_list(F.when(F.col("large"), F.col("key"))).alias("larges"))
     payload = sets.join(marks.filter(F.size("larges") > 0), "id").mapInPandas(_bottom(decode, bottom, bands), "id long, n long, low binary, bands binary, large long")
-    dealt = in_blocks(mixed.filter("size > 2")).join(payload, "id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id")
+    dealt = in_blocks(mixed).join(payload, "id").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "id")
 
     pairs = tested.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "ok")
 

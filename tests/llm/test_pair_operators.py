@@ -147,6 +147,25 @@ def test_line_sets_are_those_of_their_texts():
     assert (line_dedup.shingle_sets(["ü" + lines[4], lines[4]])[1] == line_dedup.shingle_sets([lines[4]])[0]).all()
 
 
+@pytest.mark.parametrize("least", [1, 2])
+def test_buckets_of_two_count_with_larger_ones(spark, least):
+    """1 and 2 are alike and share one bucket of four and one of two; 3, unlike them, is the weightiest; 8
+    and 9 are alike and share two buckets of two, 10 and 11 only one."""
+    rng = np.random.default_rng(6)
+    draw = lambda: np.unique(rng.integers(0, 2**63, 40, np.uint64))
+    sets = {i: draw() for i in range(1, 12)}
+    sets[2], sets[9], sets[11] = sets[1], sets[8], sets[10]
+    groups = [(1, 2, 3, 4), (1, 2), (3, 5, 6, 7), (3, 5, 6, 7), (8, 9), (8, 9), (10, 11)]
+    keys = np.array([[(k + 1) << 8 | band for band, k in enumerate(range(7))]], np.int64).ravel()
+    own = iter(range(10**6, 10**7))
+    rows = np.array([[keys[b] if i in groups[b] else next(own) << 16 | b for b in range(7)] for i in sets], np.int64)
+    packed = spark.createDataFrame(linking.local_stars(rows, np.array(list(sets), np.int64)), "part int, blob binary")
+    frame = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in sets.items()], "id long, s binary")
+    out = linking.link(packed, lambda ids: frame.join(ids, "id"), 7, 80, Workspace(spark, "twos"), least=least)
+    want = {1: 1, 2: 1, 8: 8, 9: 8} | ({10: 10, 11: 10} if least == 1 else {})
+    assert {r["node"]: r["component"] for r in out.collect()} == want
+
+
 def test_small_blocks_give_the_same_groups(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(near_copies(8))]
     df = spark.createDataFrame(rows, "doc_id long, text string")

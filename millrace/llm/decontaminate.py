@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import PLAIN_WORD, Words, bound_batches, byte_table, lower_ascii, mix64, release, row_key, run_hashes, text_blocks, unused
+from millrace.llm.common import PLAIN_WORD, Words, bound_batches, byte_table, lower_ascii, mix64, once, release, row_key, run_hashes, text_blocks, unused
 
 WINDOW = 10
 MAX_WINDOWS = 200_000
@@ -132,7 +132,7 @@ def _scanner(held, with_text: bool):
         release()
         return pd.DataFrame(rows, columns=REPORT.names)
 
-    return scan
+    return once(scan)
 
 
 def _collect_items(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int):
@@ -268,4 +268,4 @@ def _scan_by_join(docs, benchmark, text_col, item_col, item_text_col, window, wi
             rows.append((n, k, len(names), _sha_of_items(names), k > 0, clean))
         return pd.DataFrame(rows, columns=REPORT.names)
 
-    return joined.withColumn(into, report(F.col(text_col), F.col("__hit"), F.col("__items"))).select(*[c for c in docs.columns if c != into], into)
+    return joined.withColumn(into, once(report)(F.col(text_col), F.col("__hit"), F.col("__items"))).select(*[c for c in docs.columns if c != into], into)

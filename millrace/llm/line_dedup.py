@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Workspace, release, row_key, unused
+from millrace.llm.common import Workspace, once, release, row_key, unused
 from millrace.llm.linking import EMPTY, band_keys, bins_of, densify, join_ids, link, local_stars
 
 SHINGLE_CHARS, PERCENT = 8, 80
@@ -175,7 +175,7 @@ def _rebuild(text: Column, gone: Column, counts: bool) -> Column:
         release()
         return pd.DataFrame(rows, columns=["text", "has_lines", "n_lines"])
 
-    return run(text, gone)
+    return once(run)(text, gone)
 
 
 #: Stands for a null id, and sorts first as null does.
@@ -246,7 +246,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by_row = gone.toDF(doc, key, out)
     by_row = F.broadcast(by_row) if (gone.agg(F.sum(F.size("nos"))).first()[0] or 0) <= BROADCAST_LINES else by_row
     held = docs.withColumns({doc: _doc(id_col), key: row_key(id_col, text_col)}).join(by_row, [doc, key], "left")
-    # One Python column, computed once: as an expression it would be copied into all that reads it.
+    # One Python column, computed once: else it would be copied into all that reads it.
     held = held.withColumn(new, _rebuild(F.col(text_col), F.col(out), counts))
     changed = F.col(out).isNotNull()
     if drop_emptied:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import queries
+from millrace.llm import decontaminate, queries
 from millrace.llm.decontaminate import item_windows, words_of
 from tests.conftest import SMALL, rows_of
 
@@ -43,6 +43,17 @@ def test_stages(spark):
     assert mixed.columns == [*COLUMNS, "copy", "mix_key"] and {r["doc_id"] for r in mixed.collect()} <= set(texts)
 
 
+def test_a_text_passes_python_once(spark):
+    docs, benchmark = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
+    held = {
+        "lines": corpus_pipeline.drop_repeated_lines(spark, docs, SMALL),
+        "benchmark": corpus_pipeline.remove_benchmark_passages(spark, docs, SMALL),
+        "benchmark by join": decontaminate.decontaminate(docs, benchmark, max_windows=0),
+    }
+    for name, out in held.items():  # the filters on what Python returns must not call it again
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1, name
+
+
 def test_run_and_edges(spark, tmp_path):
     rng = random.Random(0)
     text = lambda: "\n".join(" ".join("".join(rng.choice("aeioulnt") for _ in range(5)) for _ in range(12)) for _ in range(4))

@@ -6,7 +6,9 @@ neither a key nor a task is held as a whole.
 
 from __future__ import annotations
 
+import math
 import re
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -153,9 +155,11 @@ def merge_cues(df: DataFrame, key: list[str], start: str, end: str, text: str, g
     return emitted(times, key, [start, end, text], [start, end, text], list, step, lambda state: [tuple(state)], f"`{start}` double, `{end}` double, `{text}` string")
 
 
-#: Fixed values of spoken words: how far ahead one may be found, what is cut from a word that is not found, and
-#: the pairs of tokens up to which two texts are compared word by word.
-JUMP_CHARS, EDGES, MAX_TABLE = 80, ".,;:!?\"'()[]", 1_500_000
+#: Fixed values of spoken words: how far ahead one may be found, and what is cut from a word that is not found.
+JUMP_CHARS, EDGES = 80, ".,;:!?\"'()[]"
+#: Bytes that two compared texts may take for the rows of their table, and as many again for the places of their tokens.
+TABLE_BYTES = 1 << 22
+_TOKEN, _ROW = re.compile(r"\s+|\S+").findall, re.compile(r"[^\n]*\n|[^\n]+").findall
 
 
 def word_places(df: DataFrame, key: list[str], order: list[str], text: str, seconds: str, word: str, jump: int = JUMP_CHARS) -> DataFrame:
@@ -183,49 +187,115 @@ def word_places(df: DataFrame, key: list[str], order: list[str], text: str, seco
     return emitted(df, key, order, [text, seconds, word], dict, step, lambda _: [], "seconds double, place int")
 
 
-def _common(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """(op, token) of two lists by their longest common subsequence, removals before additions."""
-    codes = {t: i for i, t in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = (np.array([codes[t] for t in ts], np.int64) for ts in (a, b))
-    best = np.zeros((len(a) + 1, len(b) + 1), np.int32)  # of what is left from each place on
-    for i in range(len(a) - 1, -1, -1):
-        row = np.where(y == x[i], best[i + 1, 1:] + 1, best[i + 1, :-1])
-        best[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if x[i] == y[j]:
-            out.append(("=", a[i]))
-            i, j = i + 1, j + 1
-        elif best[i + 1, j] >= best[i, j + 1]:
-            out.append(("-", a[i]))
-            i += 1
-        else:
-            out.append(("+", b[j]))
+def _bits(places: list[int], m: int) -> int:
+    if len(places) < 3:
+        return sum(1 << p for p in places)
+    held = bytearray((m >> 3) + 1)
+    for p in places:
+        held[p >> 3] |= 1 << (p & 7)
+    return int.from_bytes(held, "little")
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """The places in two lists of their longest common subsequence. Where there are several, the tokens of ``a`` are left
+    out first that cost no match.
+
+    Rows of the table of lengths are differences from place to place, one bit each, the last token of ``b`` lowest, and
+    a row follows from the next one by an addition (Hyyrö 2004). Its carries tell at which places of ``b`` leaving
+    out a token of ``a`` costs a match; such a token then meets its next place in ``b``. Only the rows at every so many
+    tokens are kept, and those between are made again on the way, so memory grows with ``b`` times the root of ``a``.
+    """
+    m = len(b)
+    where: dict[str, list[int]] = {t: [] for t in set(a).intersection(b)}
+    for j, t in enumerate(reversed(b)):
+        if t in where:
+            where[t].append(j)
+    rows = [i for i, t in enumerate(a) if t in where]
+    masks: dict[str, int] = {}
+    room, top, full = TABLE_BYTES // ((m >> 3) + 32), 1 << m + 64, (1 << m) - 1
+
+    def mask(t: str) -> int:
+        found = _bits(where[t], m)
+        if len(masks) < room:
+            masks[t] = found
+        return found
+
+    # What is carried past the last place does no harm there, so a row is cut only now and then.
+    block = max(math.isqrt(len(rows)) + 1, room)
+    blocks = [rows[k : k + block] for k in range(0, len(rows), block)]
+    row, kept = full, []
+    for of_block in blocks[:0:-1]:
+        kept.append(row)
+        for i in reversed(of_block):
+            met = row & (masks.get(a[i]) or mask(a[i]))
+            row = row + met | row ^ met
+            if row > top:
+                row &= full
+    kept.append(row)
+    found, j = [], 0
+    for of_block in blocks:
+        row, carries = kept.pop(), []
+        for i in reversed(of_block):
+            met = row & (masks.get(a[i]) or mask(a[i]))
+            rest, total = row ^ met, row + met
+            carries.append(rest ^ total)
+            row = total | rest
+            if row > top:
+                row &= full
+        for i in of_block:
+            t, carried = a[i], carries.pop()
+            if t != b[j]:
+                if not carried >> m - j & 1:
+                    continue
+                j = b.index(t, j)
+            found.append((i, j))
             j += 1
-    return out + [("-", t) for t in a[i:]] + [("+", t) for t in b[j:]]
+            if j == m:
+                return found
+    return found
 
 
-def diff_parts(before: str, after: str, most: int = MAX_TABLE) -> list[tuple[str, str]]:
-    """Runs of = (kept), - (removed) and + (added) text; the kept and added ones joined give ``after``. Texts of
-    more than ``most`` pairs of tokens are compared line by line, and beyond that replaced as a whole."""
-    a, b = (re.findall(r"\s+|\S+", s) for s in (before, after))
-    if len(a) * len(b) > most:
-        a, b = (re.findall(r"[^\n]*\n|[^\n]+", s) for s in (before, after))
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
+def _runs(before: str, after: str, most: int | None = None) -> tuple[list[str], list[str]]:
+    a, b = _TOKEN(before), _TOKEN(after)
+    if most is not None and len(a) * len(b) > most:
+        a, b = _ROW(before), _ROW(after)
+    low, least = 0, min(len(a), len(b))
+    while low < least and a[low] == b[low]:
         low += 1
     tail = 0
-    while tail < min(len(a), len(b)) - low and a[-1 - tail] == b[-1 - tail]:
+    while tail < least - low and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[low : len(a) - tail], b[low : len(b) - tail]
-    middle = _common(x, y) if len(x) * len(y) <= most else [("-", t) for t in x] + [("+", t) for t in y]
-    parts: list[tuple[str, str]] = []
-    for op, t in [*(("=", t) for t in a[:low]), *middle, *(("=", t) for t in a[len(a) - tail :])]:
-        if parts and parts[-1][0] == op:
-            parts[-1] = (op, parts[-1][1] + t)
-        else:
-            parts.append((op, t))
-    return parts
+    met = _common(x, y) if x and y and (most is None or len(x) * len(y) <= most) else []
+    ops, texts = [], []
+    # A run is what stands between two places of a text; a place past the end closes the last one.
+    at, to = [0, *accumulate(map(len, a))], [0, *accumulate(map(len, b))]
+    first, i, j = 0, low, low
+    for p, q in [*met, (len(x), len(y))]:
+        p, q = p + low, q + low
+        if p != i or q != j:
+            if i > first:
+                ops.append("=")
+                texts.append(before[at[first] : at[i]])
+            if p > i:
+                ops.append("-")
+                texts.append(before[at[i] : at[p]])
+            if q > j:
+                ops.append("+")
+                texts.append(after[to[j] : to[q]])
+            first = p
+        i, j = p + 1, q + 1
+    if len(a) > first:
+        ops.append("=")
+        texts.append(before[at[first] :])
+    return ops, texts
+
+
+def diff_parts(before: str, after: str, most: int | None = None) -> list[tuple[str, str]]:
+    """Runs of = (kept), - (removed) and + (added) text by words, removals before additions; the kept and added ones
+    joined give ``after``. A caller may ask for a coarser answer: texts of more than ``most`` pairs of tokens are then
+    compared line by line, and beyond that replaced as a whole."""
+    return list(zip(*_runs(before, after, most), strict=True))
 
 
 def parts_of(before: pa.Array, after: pa.Array) -> pa.Array:
@@ -234,9 +304,9 @@ def parts_of(before: pa.Array, after: pa.Array) -> pa.Array:
     fields = [pa.field("op", pa.string()), pa.field("text", pa.string())]
     ends, parts = [0], [pa.StructArray.from_arrays([pa.array([], pa.string())] * 2, fields=fields)]
     for x, y in zip(before, after, strict=True):
-        found = diff_parts(x.as_py() or "", y.as_py() or "")
-        parts.append(pa.StructArray.from_arrays([pa.array([p[i] for p in found], pa.string()) for i in (0, 1)], fields=fields))
-        ends.append(ends[-1] + len(found))
+        found = _runs(x.as_py() or "", y.as_py() or "")
+        parts.append(pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in found], fields=fields))
+        ends.append(ends[-1] + len(found[0]))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(parts))
 
 

@@ -177,6 +177,66 @@ def test_word_diff(spark):
         assert kept == longest(*(re.findall(r"\s+|\S+", x) for x in (a, b)))
 
 
+def test_word_diff_of_long_texts_is_by_words(spark):
+    """However long two texts are, no word that both have in order is lost, and what is held stays small."""
+    import tracemalloc
+
+    a = " ".join(f"w{i % 700}" for i in range(2500))
+    words = a.split(" ")
+    words[7], words[900:902], words[2100] = "x", [], "y z"
+    b = "v " + " ".join(words)
+    tracemalloc.start()
+    parts = recurrences.diff_parts(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [p for p in parts if p[0] != "="] == [("+", "v "), ("-", "w7"), ("+", "x"), ("-", "w200 w201 "), ("-", "w2"), ("+", "y z")]
+    assert "".join(t for op, t in parts if op in "=+") == b and "".join(t for op, t in parts if op in "=-") == a
+    assert peak < 12 << 20
+    other = " ".join(f"w{i * 37 % 701}" for i in range(2500))
+    kept = sum(len(t.replace(" ", " x ").split()) for op, t in recurrences.diff_parts(a, other) if op == "=")
+    assert kept > 2500
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(recurrences.word_diff(F.col("a"), F.col("b")).alias("p")).first()
+    assert [tuple(p) for p in row["p"]] == parts
+
+
+@pytest.mark.parametrize("held", [1, 40, 1 << 22])
+def test_word_diff_is_that_of_the_whole_table(monkeypatch, held):
+    """Rows that are kept, made again or made in one block give the same runs: removals before additions."""
+    import re
+
+    monkeypatch.setattr(recurrences, "TABLE_BYTES", held)
+
+    def slow(a, b):
+        n, m = len(a), len(b)
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        out, i, j = [], 0, 0
+        while i < n or j < m:
+            if i < n and j < m and a[i] == b[j]:
+                out.append(("=", a[i]))
+                i, j = i + 1, j + 1
+            elif i < n and (j == m or best[i + 1][j] >= best[i][j + 1]):
+                out.append(("-", a[i]))
+                i += 1
+            else:
+                out.append(("+", b[j]))
+                j += 1
+        return out
+
+    rng = random.Random(held)
+    for _ in range(150):
+        a, b = (["^", *(rng.choice("abcdef") for _ in range(rng.randint(0, 70)))] for _ in range(2))
+        a, b = a + ["x"], b + ["y"]  # nothing to cut at the ends but the first
+        tokens = lambda ts: " ".join(ts)
+        want = slow(*(re.findall(r"\s+|\S+", tokens(t)) for t in (a, b)))
+        runs = []
+        for op, t in want:
+            runs = [*runs[:-1], (op, runs[-1][1] + t)] if runs and runs[-1][0] == op else [*runs, (op, t)]
+        assert recurrences.diff_parts(tokens(a), tokens(b)) == runs
+
+
 def test_admission_passes_flat_counters(spark, monkeypatch):
     from millrace.operators import admission
 

@@ -127,7 +127,7 @@ def r01_word_diff(spark, sf_dir):
     """Each document against the one before: words kept, removed and added, and whether the parts give the
     later text back."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    pairs = d.join(d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before")), "doc_id")
+    pairs = d.join(d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("before")).hint("merge"), "doc_id")
     held = pairs.select("doc_id", "text", F.explode(F.array(recurrences.word_diff(F.col("before"), F.col("text")))).alias("parts"))
     joined = lambda ops: F.array_join(F.transform(F.filter("parts", lambda p: p["op"].isin(*ops)), lambda p: p["text"]), "")
     count = lambda op: F.regexp_count(F.array_join(F.transform(F.filter("parts", lambda p: p["op"] == op), lambda p: p["text"]), " "), F.lit(r"\S+"))

@@ -60,3 +60,35 @@ def test_stems_need_no_pattern_for_each_ending(spark):
     plan = stems._jdf.queryExecution().analyzed().toString()
     assert len(re.findall("regexp_replace|RLIKE", plan)) <= 2
     assert {r["w"]: r["stem"] for r in stems.collect()} == want
+
+
+def test_others_are_the_material(spark):
+    """Without materials every other narration of the group is read, and none is its own material."""
+    rows = [
+        (0, "a", "slow rivers carry salt"), (1, "a", "slow river carried sand"), (2, "a", "dragons breathe fire, slow fire"), (3, "b", "dragons breathe purple fire"), (6, "a", None),
+        (7, None, "slow rivers"), (8, None, "slow rivers"), (9, "a", "one two three four five six seven eight"), (10, "b", "one two three four five six seven eight"), (11, "b", "so one two three four five six seven eight"),
+    ]
+    narrations = spark.createDataFrame(rows, "i long, g string, text string")
+    asked = spark.createDataFrame([(g, "say one two three four five six seven eight") for g in ("a", "b")], "g string, text string")
+    got = {r["i"]: (r["words"], r["ungrounded"], r["problem"]) for r in grounding.problems(narrations, None, asked, "i", "g").collect()}
+    # Words of 3 letters at least: one, two, three, four, five, six, seven, eight.
+    assert got == {
+        0: (4, 1, None), 1: (4, 1, None), 2: (5, 4, "vocabulary"), 3: (4, 4, "vocabulary"), 6: (0, 0, None), 7: (2, 2, "vocabulary"), 8: (2, 2, "vocabulary"), 9: (8, 8, "vocabulary"), 10: (8, 0, None), 11: (8, 0, None),
+    }
+
+
+def test_echo_of_a_question_that_no_other_narration_has(spark):
+    words = "one two three four five six seven eight"
+    narrations = spark.createDataFrame([(1, "a", words), (2, "a", "eight seven six five four three two one"), (3, "b", words), (4, "b", words)], "i long, g string, text string")
+    asked = spark.createDataFrame([(g, words) for g in ("a", "b")], "g string, text string")
+    assert {r["i"]: r["problem"] for r in grounding.problems(narrations, None, asked, "i", "g").collect()} == {1: "echo", 2: None, 3: None, 4: None}
+
+
+def test_grounding_reads_every_document_as_material(spark):
+    """No document is left out by its number: a word of two documents of a remainder is grounded in both."""
+    from millrace.plans import grounding_queries
+    from tests.conftest import SMALL
+
+    assert "%" not in grounding_queries.SQL["f26_grounding"].replace("doc_id % 20", "").replace("item_id % 20", "").replace("LIKE '%", "")
+    plan = grounding_queries.f26_grounding(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "% 2)" not in plan and "% 3)" not in plan and "% 20)" in plan

@@ -11,7 +11,8 @@ from __future__ import annotations
 import decimal
 import re
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
+from xml.etree.ElementTree import TreeBuilder
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -25,13 +26,15 @@ from millrace.session import bound_batches
 PAGE = r"(?s)(<page\b[^>]*/>|<page\b[^<]*+(?:<(?!/page\s*>)[^<]*+)*+</page\s*>)"
 _NUMBER = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[+-]?(inf|infinity|nan)", re.I | re.A)
 #: White space and Unicode's separators at both ends.
-_BLANK = re.compile(r"^[ \t\n\x0b\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|[ \t\n\x0b\f\r\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+$")
+_BLANKS = " \t\n\x0b\f\r\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 _TEN_THOUSANDTH = decimal.Decimal("0.0001")
 # The forms of keys and tokens that are never shown.
 SECRET = (
     r"(sk-[A-Za-z0-9_\-]{16,}|AKIA[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{5,}"
     r"|pa-[A-Za-z0-9_\-]{20,}|AIza[0-9A-Za-z_\-]{30,}|hf_[A-Za-z0-9]{20,}|sk_[a-f0-9]{40,})"
 )
+#: What stands in every one of them.
+SECRET_SIGNS = ("sk-", "sk_", "AKIA", "ghp_", "gho_", "eyJ", "pa-", "AIza", "hf_")
 #: Words that a page keeps at most: a denser one is a table, where no highlight helps.
 MAX_WORDS = 600
 WORD = "struct<word string, x0 double, y0 double, x1 double, y1 double, line int>"
@@ -57,48 +60,29 @@ def _share(value: str | None, of: float) -> float:
 
 
 def _words_of(xml: str | None) -> list[tuple]:
-    """The words of a page: of the path page, flow, block, line, word. Other elements and their text are passed over."""
-    path, words, parts = ("page", "flow", "block", "line", "word", None), [], []
-    depth, other, line, width, height = 0, 0, -1, 0.0, 0.0
-    given = None
-
-    def start(tag, attributes):
-        nonlocal depth, other, line, width, height, given
-        if other or tag != path[depth]:
-            other += 1
-            return
-        depth += 1
-        if depth == 5:
-            given = attributes
-        elif depth == 4:
-            line += 1
-        elif depth == 1:
-            width, height = _number(attributes.get("width")), _number(attributes.get("height"))
-
-    def end(tag):
-        nonlocal depth, other, given
-        if other:
-            other -= 1
-            return
-        depth -= 1
-        if depth == 4:
-            word = _BLANK.sub("", "".join(parts))
-            parts.clear()
-            if word and width > 0 and height > 0:
-                get = given.get
-                words.append((word, _share(get("xMin"), width), _share(get("yMin"), height), _share(get("xMax"), width), _share(get("yMax"), height), line))
-
-    def characters(text):
-        if depth == 5 and not other:
-            parts.append(text)
-
-    parser = expat.ParserCreate()
+    """The words of a page: of the path page, flow, block, line, word. Other elements and their text are passed over.
+    The parser hands a page's elements to a tree builder without a call of Python for each; names keep their prefixes."""
+    tree, parser = TreeBuilder(), expat.ParserCreate()
     parser.buffer_text = True
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = tree.start, tree.end, tree.data
     try:
         parser.Parse(xml or "", True)
     except expat.ExpatError:
         return []
+    page = tree.close()
+    width, height = _number(page.get("width")), _number(page.get("height"))
+    if page.tag != "page" or not (width > 0 and height > 0):
+        return []
+    words = []
+    lines = (line for flow in page.findall("flow") for block in flow.findall("block") for line in block.findall("line"))
+    for number, line in enumerate(lines):
+        for given in line.findall("word"):
+            text = given.text or ""
+            if len(given):
+                text += "".join(other.tail or "" for other in given)
+            if text := text.strip(_BLANKS):
+                get = given.get
+                words.append((text, _share(get("xMin"), width), _share(get("yMin"), height), _share(get("xMax"), width), _share(get("yMax"), height), number))
     return words
 
 
@@ -139,13 +123,18 @@ def _line_text(words: Column) -> Column:
 
 
 def by_line(words: Column) -> Column:
-    """array of lines, each an array of its words, in the order in which the lines come first."""
+    """array of lines, each an array of its words, in the order in which the lines come first. Where line numbers never
+    fall, as in files, lines are cut out as they stand; otherwise each line's words are looked for in the page."""
+
+    def cut(ws: Column, at: Column) -> Column:
+        starts = F.transform(F.array_distinct(at), lambda n: F.array_position(at, n).cast("int"))
+        return _bound(starts, lambda ps: F.transform(ps, lambda p, i: F.slice(ws, p, F.coalesce(F.get(ps, i + 1), F.size(ws) + 1) - p)))
 
-    def lines(ws: Column) -> Column:
-        numbers = F.array_distinct(F.transform(ws, lambda w: w["line"]))
-        return F.transform(numbers, lambda n: F.filter(ws, lambda w: w["line"] == n))
+    def lines(ws: Column, at: Column) -> Column:
+        looked = F.transform(F.array_distinct(at), lambda n: F.filter(ws, lambda w: w["line"] == n))
+        return F.when((F.sort_array(at) == at) & F.get(at, F.lit(0)).isNotNull(), cut(ws, at)).otherwise(looked)
 
-    return _bound(words, lines)
+    return _bound(words, lambda ws: _bound(F.transform(ws, lambda w: w["line"]), lambda at: lines(ws, at)))
 
 
 def reading_order(words: Column) -> Column:
@@ -170,7 +159,8 @@ def publishable(words: Column, changed: Column | None = None, names: Column | No
     ``changed`` may hold an array of texts of lines that further filters would change; those go as well."""
 
     def clean(line: Column) -> Column:
-        same = (texts.scrub(line) == line) & ~F.regexp_like(line, F.lit(SECRET))
+        signs = reduce(lambda a, b: a | b, (F.contains(line, F.lit(x)) for x in SECRET_SIGNS))
+        same = ~texts.needs_scrub(line) & ~(signs & F.regexp_like(line, F.lit(SECRET)))
         return same if changed is None else same & ~F.array_contains(F.coalesce(changed, F.array().cast("array<string>")), line)
 
     kept = F.flatten(F.filter(by_line(words), lambda ws: _bound(_line_text(ws), clean)))

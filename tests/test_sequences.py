@@ -237,6 +237,15 @@ def test_word_diff_is_that_of_the_whole_table(monkeypatch, held):
         assert recurrences.diff_parts(tokens(a), tokens(b)) == runs
 
 
+def test_pairs_of_a_small_table_are_dealt_out(spark):
+    """Both sides are dealt by number, or the file of a small table would be compared in one task."""
+    from millrace.plans import stream_queries
+    from tests.conftest import SMALL
+
+    plan = stream_queries.r01_word_diff(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
 def test_admission_passes_flat_counters(spark, monkeypatch):
     from millrace.operators import admission
 
